@@ -211,10 +211,156 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **limits: int) -> DataFrame:
-    """One row of each component: the one with the least doc_id (of equal ids one; null ids only where all are null)."""
+# ---- near duplicates by the similarity of their shingles ----
+
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+CLASS_SHINGLES, CLASSES = 4, 8
+BLOCK_NODES = 512
+
+
+def shingle_hashes(text: str, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64 of the text's shingles."""
+    words = text.encode("utf-8", "replace").lower().split()
+    if len(words) <= shingle:
+        parts = [b" ".join(words)] if words else []
+        return np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], np.uint64)
+    digest, join = xxhash.xxh64_digest, b" ".join
+    return np.unique(np.frombuffer(b"".join([digest(join(s), SEED) for s in zip(*(words[k:] for k in range(shingle)))]), ">u8").astype(np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of some shingle hashes."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
+
+
+def class_fingerprints(hashes: np.ndarray) -> list[int]:
+    """SimHashes of small classes of a text's shingles.
+
+    Shingles fall into 2^level classes by the low bits of their hashes, about CLASS_SHINGLES in each; CLASSES of them
+    stand for the text. An edit changes few shingles, so texts that share four fifths of them nearly always agree in a
+    class (each with a chance of about 0.6). Texts near the border of two levels have both.
+    """
+    n = len(hashes)
+    size = np.log2(max(n, 1) / CLASS_SHINGLES)
+    out = []
+    for level in {max(0, int(np.floor(size - 0.25))), max(0, int(np.floor(size + 0.25)))}:
+        of = hashes & np.uint64((1 << level) - 1)
+        for c in range(min(CLASSES, 1 << level)):
+            if len(own := hashes[of == c]):
+                out.append(xxhash.xxh64_intdigest(f"{level}:{c}:{majority(own)}:{len(own)}", SEED))
+    return out
+
+
+def similar_links(nodes: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """((node, linked node) pairs that span the components, the components' leaders) of one block.
+
+    Each node is compared with the nodes before it, those with most links first, until it has met one of each
+    component or all; so a family of copies costs about one comparison a node.
+    """
+    parent, links_of, found, order = list(range(len(nodes))), [0] * len(nodes), [], []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, own in enumerate(sets):
+        for j in sorted(order, key=lambda k: -links_of[k]):
+            if root(j) == root(i):
+                continue
+            a, b = len(own), len(sets[j])
+            if min(a, b) < similarity * max(a, b):
+                continue
+            both = len(np.intersect1d(own, sets[j], assume_unique=True))
+            if both >= similarity * (a + b - both):
+                found.append((nodes[i], nodes[j]))
+                links_of[i] += 1
+                links_of[j] += 1
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+        order.append(i)
+    best = {}
+    for i in range(len(nodes)):
+        r = root(i)
+        if r not in best or links_of[i] > links_of[best[r]]:
+            best[r] = i
+    return found, [nodes[i] for i in best.values()]
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", similarity: float = SIMILARITY, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """row and root of every row: rows whose texts are equal, or linked by a Jaccard similarity of their five-word
+    shingles of at least `similarity`, have the same root.
+
+    Equal shingle sets are one node. Nodes that share a class fingerprint meet; only these carry their shingles along.
+    A fingerprint that more than block_nodes nodes share is taken in blocks, whose leaders meet again.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
+            sets = [shingle_hashes(t) for t in texts_of(b)]
+            ids = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
+            keys = [[signed(x) for x in class_fingerprints(s)] for s in sets]
+            yield pa.record_batch([b.column("row"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["row", "node", "keys", "shingles"])
+
+    marked = written(docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text")).mapInArrow(sketch, "row long, node long, keys array<long>, shingles binary"), "near-sketch")
+    members = marked.groupBy("node").agg(F.min("row").alias("least"))
+    keyed = written(marked.select("row", "node", "keys").join(members.select(F.col("least").alias("row")), "row", "left_semi").select("row", "node", F.explode("keys").alias("key")), "near-keys")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    level = keyed.join(counts, "key").select("row", "node", "key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / block_nodes).cast("long")).alias("block"), (F.col("n") > block_nodes).alias("more"))
+    edges, depth, told = None, 0, 0
+    while True:
+        rows = level.join(marked.select("row", "shingles"), "row").select("node", "row", "key", "block", "more", "shingles")
+        got = written(_blocks(rows, similarity), f"near-links-{depth}")
+        new = got.where("b IS NOT NULL").select("a", "b")
+        edges = new if edges is None else edges.union(new)
+        again = got.where("b IS NULL").select(F.col("a").alias("node"), "row", "key")
+        n = again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        depth += 1
+        if n.isEmpty():
+            break
+        # leaders of one key's blocks; every round but a last one joins blocks, as leaders that stay apart end it
+        total = again.count()
+        if depth > 1 and total >= told:
+            break
+        told = total
+        level = again.join(n, "key").select("row", "node", "key", F.pmod(F.xxhash64("node", "key", F.lit(depth)), F.ceil(F.col("n") / block_nodes).cast("long")).alias("block"), (F.col("n") > block_nodes).alias("more"))
+    found = components(edges)
+    return marked.select("row", "node").join(found, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+
+
+def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of each block of a key, and a row (a, null) for each leader of a key that has more blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, ids, at, more = [], [], [], None, False
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found, leaders = similar_links(nodes, sets, similarity) if len(nodes) > 1 else ([], nodes)
+            of = dict(zip(nodes, ids, strict=True))
+            out = [(a, b, None, None) for a, b in found] + ([(a, None, of[a], at[0]) for a in leaders] if more else [])
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "row", "key"])
+
+        for b in batches:
+            for node, row, key, block, now, s in zip(*(b.column(c).to_pylist() for c in ("node", "row", "key", "block", "more", "shingles")), strict=True):
+                if (key, block) != at:
+                    yield from done()
+                    nodes, sets, ids, at, more = [], [], [], (key, block), now
+                nodes.append(node)
+                ids.append(row)
+                sets.append(np.frombuffer(s, "<u8"))
+        yield from done()
+
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(run, "a long, b long, row long, key long")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near duplicates: that with the least doc_id (of equal ids one; a null id only where all
+    are null)."""
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-input")
-    got = groups(numbered.select("text", "__row"), doc_id="__row", **limits)  # named by row: rows may share an id
-    ids = written(got.join(numbered.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("real")), "doc_id"), "dedup-groups")
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("real").isNull(), "real", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("__row"))
+    rooted = near_duplicates(numbered, similarity=similarity)
+    ids = written(rooted.join(numbered.select(F.col("__row").alias("row"), F.col("doc_id").alias("real")), "row"), "dedup-groups")
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("real").isNull(), "real", "row")).alias("first")).select(F.col("first.row").alias("__row"))
     return numbered.join(first, "__row", "left_semi").select(*docs.columns)
