@@ -1,15 +1,639 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the test tables and, where SQL expresses them, their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.operators import classify as C
+from marginalia.operators import identity as D
+from marginalia.operators import importing as M
+from marginalia.operators import indicators as I
+from marginalia.operators import networks as N
+from marginalia.operators import similarity as S
+from marginalia.plans.corpus import Corpus, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: The configuration of the classification queries.
+GROUPS = [(1, "validator", 0), (2, "noise", 1), (3, "normal", 2), (4, "normal", 3), (5, "normal", 4), (6, "normal", 5)]
+RULES = [(1, 0, "bolt"), (1, 1, "gear"), (1, 2, "ring"), (2, 0, "old anvil"), (3, 0, "red"), (3, 1, "blue"), (4, 0, "small"), (5, 0, "large plate"), (5, 1, "hot gear"), (6, 0, "widget")]
+LENSES = [("colour", "red"), ("colour", "blue"), ("size", "small"), ("joint", "ring red"), ("part", "ring")]
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[Corpus], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = oracle(sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def groups(c: Corpus) -> DataFrame:
+    return c.spark.createDataFrame(GROUPS, "id int, type string, position int")
+
+
+def rules(c: Corpus) -> DataFrame:
+    return c.spark.createDataFrame(RULES, "group_id int, position int, term string")
+
+
+def texts(c: Corpus) -> DataFrame:
+    """document_id, year, text."""
+    return c.documents.select(F.col("id").alias("document_id"), "year").join(c.titles, "document_id").withColumnRenamed("title", "text")
+
+
+def labels(c: Corpus) -> DataFrame:
+    return D.keyword_labels(c.view("keyword"), c.view("concept"))
+
+
+def plain_words(c: Corpus) -> DataFrame:
+    return c.document_keywords.select("document_id", "keyword").distinct()
+
+
+def values(rows: list[tuple], names: str) -> str:
+    return f"(VALUES {', '.join(map(str, rows))}) t({names})"
+
+
+# ---- production and citations ----
+
+PER_YEAR = """p AS (SELECT year, count(*) AS n, sum(coalesce(cited_by, 0)) AS c FROM {doc} WHERE year IS NOT NULL GROUP BY year),
+ y AS (SELECT unnest(generate_series((SELECT min(year) FROM p), (SELECT max(year) FROM p))) AS year),
+ g AS (SELECT CAST(y.year AS INT) AS year, CAST(coalesce(n, 0) AS BIGINT) AS doc_count, CAST(coalesce(c, 0) AS BIGINT) AS citations FROM y LEFT JOIN p ON p.year = y.year)"""
+
+
+@query("WITH " + PER_YEAR + " SELECT * FROM g")
+def annual_production(c):
+    return I.annual_production(c.documents)
+
+
+@query("WITH " + PER_YEAR + """ SELECT year, doc_count, citations, CASE WHEN doc_count > 0 THEN round(citations / doc_count, 1) ELSE 0.0 END AS avg_citations,
+ CAST(sum(doc_count) OVER (ORDER BY year) AS BIGINT) AS cumulative,
+ CASE WHEN lag(doc_count) OVER (ORDER BY year) > 0 THEN round((doc_count - lag(doc_count) OVER (ORDER BY year)) / lag(doc_count) OVER (ORDER BY year) * 100, 1) END AS growth,
+ CASE WHEN row_number() OVER (ORDER BY year) >= 3 THEN round(avg(doc_count) OVER (ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 1) END AS moving_avg FROM g""")
+def annual_detail(c):
+    return I.annual_detail(c.documents)
+
+
+@query("WITH " + PER_YEAR + """, k AS (SELECT count(*) AS years, CAST(sum(doc_count) AS BIGINT) AS documents, round(avg(doc_count), 1) AS avg_per_year FROM g),
+ b AS (SELECT year AS best_year FROM g ORDER BY doc_count DESC, year LIMIT 1), f AS (SELECT doc_count AS a FROM g ORDER BY year LIMIT 1), l AS (SELECT doc_count AS z FROM g ORDER BY year DESC LIMIT 1)
+ SELECT years, documents, avg_per_year, best_year, CASE WHEN years > 1 AND a > 0 THEN round((pow(z / a, 1 / (years - 1)) - 1) * 100, 1) END AS cagr FROM k, b, f, l""")
+def annual_kpis(c):
+    return I.annual_kpis(c.documents)
+
+
+@query("WITH " + PER_YEAR + """ SELECT year, doc_count, CASE WHEN lag(doc_count) OVER (ORDER BY year) > 0 THEN
+ round((doc_count - lag(doc_count) OVER (ORDER BY year)) / lag(doc_count) OVER (ORDER BY year) * 100, 1) END AS growth FROM g""")
+def growth_rate(c):
+    return I.growth_rate(c.documents)
+
+
+@query("""WITH p AS (SELECT year, sum(cited_by) AS s, avg(cited_by) AS a, max(cited_by) AS m, count(*) AS n FROM {doc} WHERE year IS NOT NULL AND cited_by IS NOT NULL GROUP BY year),
+ y AS (SELECT unnest(generate_series((SELECT min(year) FROM p), (SELECT max(year) FROM p))) AS year)
+ SELECT CAST(y.year AS INT) AS year, CAST(coalesce(s, 0) AS BIGINT) AS citations, coalesce(round(a, 2), 0.0) AS avg_citations, CAST(coalesce(m, 0) AS INT) AS max_citations, CAST(coalesce(n, 0) AS BIGINT) AS documents FROM y LEFT JOIN p ON p.year = y.year""")
+def citations_per_year(c):
+    return I.citations_per_year(c.documents)
+
+
+@query("""WITH r AS (SELECT cited_by, row_number() OVER (ORDER BY cited_by DESC) AS rn FROM {doc} WHERE cited_by IS NOT NULL)
+ SELECT CAST(coalesce(max(CASE WHEN cited_by >= rn THEN rn END), 0) AS BIGINT) AS h_index FROM r""")
+def h_index(c):
+    return I.h_index(c.documents)
+
+
+@query("""SELECT count(*) AS documents, CAST(coalesce(sum(cited_by), 0) AS BIGINT) AS citations, round(avg(coalesce(cited_by, 0)), 2) AS avg_citations,
+ count(DISTINCT CASE WHEN source_title <> '' THEN source_title END) AS sources, min(year) AS first_year, max(year) AS last_year,
+ count(CASE WHEN open_access_status NOT IN ('closed', '') THEN 1 END) AS open_access,
+ (SELECT count(DISTINCT author) FROM {da}) AS authors, (SELECT count(DISTINCT keyword) FROM {dk}) AS keywords FROM {doc}""")
+def summary(c):
+    return I.summary(c.documents, c.document_authors, c.document_keywords)
+
+
+def _dist(column: str) -> str:
+    return f"SELECT coalesce({column}, 'Unknown') AS label, count(*) AS doc_count FROM {{doc}} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+
+
+@query(_dist("document_type"))
+def dist_type(c):
+    return I.distribution(c.documents, "document_type")
+
+
+@query(_dist("open_access_status"))
+def dist_oa(c):
+    return I.distribution(c.documents, "open_access_status")
+
+
+@query(_dist("language"))
+def dist_lang(c):
+    return I.distribution(c.documents, "language")
+
+
+@query("""SELECT source_title, count(*) AS doc_count, CAST(sum(cited_by) AS BIGINT) AS citations, round(avg(cited_by), 1) AS avg_citations FROM {doc}
+ WHERE source_title <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def top_sources(c):
+    return I.top_sources(c.documents)
+
+
+@query("""SELECT source_title, max(issn) AS issn, min(qualis) AS best_stratum, count(*) AS doc_count, CAST(sum(coalesce(cited_by, 0)) AS BIGINT) AS citations FROM {doc}
+ WHERE source_title <> '' GROUP BY 1 ORDER BY 4 DESC, 5 DESC, 1 LIMIT 100""")
+def sources_report(c):
+    return I.sources_report(c.documents)
+
+
+@query("""WITH s AS (SELECT source_title, count(*) AS n, sum(coalesce(cited_by, 0)) AS c FROM {doc} WHERE source_title <> '' GROUP BY 1),
+ r AS (SELECT *, row_number() OVER w AS rn, sum(n) OVER (ORDER BY n DESC, c DESC, source_title ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER () AS total FROM s WINDOW w AS (ORDER BY n DESC, c DESC, source_title))
+ SELECT source_title, n AS doc_count, CAST(c AS BIGINT) AS citations, CAST(cum AS BIGINT) AS cumulative, CASE WHEN rn = 1 OR cum <= round(total * 0.33) THEN 1 WHEN cum <= round(total * 0.67) THEN 2 ELSE 3 END AS zone FROM r""")
+def bradford(c):
+    return I.bradford(c.documents)
+
+
+@query("""SELECT coalesce(qualis, 'none') AS stratum, count(*) AS doc_count, CAST(CASE coalesce(qualis, 'none') WHEN 'A1' THEN 1 WHEN 'A2' THEN 2 WHEN 'B1' THEN 5 WHEN 'C' THEN 10 ELSE 99 END AS INT) AS position FROM {doc} GROUP BY 1""")
+def qualis_dist(c):
+    return I.qualis_distribution(c.documents)
+
+
+# ---- authors ----
+
+
+@query("""SELECT author, preferred_name AS name, doc_count, citations FROM (SELECT author, count(*) AS doc_count, CAST(sum(cited_by) AS BIGINT) AS citations FROM {da} JOIN {doc} d ON d.id = document_id
+ GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) t JOIN {author} a ON a.id = t.author""")
+def top_authors(c):
+    return I.top_authors(c.document_authors, c.documents, c.view("author"))
+
+
+HG = """x AS (SELECT author, coalesce(cited_by, 0) AS cited, row_number() OVER w AS rn, sum(coalesce(cited_by, 0)) OVER (PARTITION BY author ORDER BY coalesce(cited_by, 0) DESC, document_id ROWS UNBOUNDED PRECEDING) AS total
+ FROM {da} JOIN {doc} d ON d.id = document_id WINDOW w AS (PARTITION BY author ORDER BY coalesce(cited_by, 0) DESC, document_id)),
+ hg AS (SELECT author, CAST(coalesce(max(CASE WHEN cited >= rn THEN rn END), 0) AS BIGINT) AS h_index, CAST(coalesce(max(CASE WHEN total >= rn * rn THEN rn END), 0) AS BIGINT) AS g_index FROM x GROUP BY 1)"""
+
+
+@query("WITH " + HG + """, t AS (SELECT author, count(*) AS doc_count, CAST(sum(coalesce(cited_by, 0)) AS BIGINT) AS citations, round(avg(coalesce(cited_by, 0)), 1) AS avg_citations, min(year) AS first_year, max(year) AS last_year
+ FROM {da} JOIN {doc} d ON d.id = document_id GROUP BY 1)
+ SELECT author, doc_count, citations, avg_citations, first_year, last_year, preferred_name AS name, h_index, g_index FROM t JOIN hg USING (author) JOIN {author} a ON a.id = author ORDER BY doc_count DESC, citations DESC, author LIMIT 100""")
+def authors_report(c):
+    return I.authors_report(c.document_authors, c.documents, c.view("author"))
+
+
+@query("WITH " + HG + " SELECT author, h_index FROM hg")
+def author_h(c):
+    return I.author_indices(c.document_authors, c.documents).select("author", "h_index")
+
+
+@query("WITH " + HG + " SELECT author, g_index FROM hg")
+def author_g(c):
+    return I.author_indices(c.document_authors, c.documents).select("author", "g_index")
+
+
+@query("""WITH n AS (SELECT n_docs, count(*) AS authors FROM (SELECT author, count(*) AS n_docs FROM {da} GROUP BY 1) GROUP BY 1)
+ SELECT n_docs, authors, round(coalesce((SELECT authors FROM n WHERE n_docs = 1), 0) / (n_docs * n_docs), 1) AS expected FROM n""")
+def lotka(c):
+    return I.lotka(c.document_authors)
+
+
+@query("""WITH p AS (SELECT document_id, count(*) AS n FROM {da} GROUP BY 1)
+ SELECT year, round(avg(n), 2) AS collaboration_index, count(*) AS documents FROM p JOIN {doc} d ON d.id = document_id WHERE year IS NOT NULL GROUP BY 1""")
+def collaboration_index(c):
+    return I.collaboration_index(c.document_authors, c.documents)
+
+
+@query("""WITH f AS (SELECT e.document_id, author, min(position) AS position FROM {eff_author} e JOIN {doc} d ON d.id = e.document_id GROUP BY 1, 2)
+ SELECT document_id, string_agg(preferred_name, '; ' ORDER BY position, author) AS authors FROM f JOIN {author} a ON a.id = author GROUP BY 1""")
+def author_string(c):
+    return I.author_string(c.author_links, c.view("author"))
+
+
+@query("""WITH top AS (SELECT id AS document_id, year, source_title, coalesce(cited_by, 0) AS cited FROM {doc} ORDER BY cited DESC, id LIMIT 100),
+ f AS (SELECT e.document_id, author, min(position) AS position FROM {eff_author} e JOIN top USING (document_id) GROUP BY 1, 2),
+ n AS (SELECT document_id, string_agg(preferred_name, '; ' ORDER BY position, author) AS authors FROM f JOIN {author} a ON a.id = author GROUP BY 1),
+ s AS (SELECT document_id, string_agg(DISTINCT country, ', ' ORDER BY country) AS countries FROM {dc} GROUP BY 1)
+ SELECT top.*, authors, countries FROM top LEFT JOIN n USING (document_id) LEFT JOIN s USING (document_id)""")
+def documents_report(c):
+    return I.documents_report(c.documents, c.author_links, c.view("author"), c.document_countries)
+
+
+@query("SELECT e.document_id, e.author_id, e.position, e.author FROM {eff_author} e JOIN {doc} d ON d.id = e.document_id")
+def effective_author(c):
+    return c.author_links
+
+
+@query("SELECT e.document_id, e.keyword_id, e.type, e.keyword FROM {eff_keyword} e JOIN {doc} d ON d.id = e.document_id")
+def effective_keyword(c):
+    return c.keyword_links
+
+
+@query("SELECT author_id AS author, count(DISTINCT document_id) AS doc_count FROM {document_author} GROUP BY 1")
+def link_counts(c):
+    return c.view("document_author").groupBy(F.col("author_id").alias("author")).agg(F.countDistinct("document_id").alias("doc_count"))
+
+
+@query("""SELECT e.author AS target, count(DISTINCT e.document_id) AS doc_count FROM {eff_author} e JOIN {doc} d ON d.id = e.document_id WHERE e.author <> e.author_id GROUP BY 1""")
+def groupings_in_use(c):
+    return c.author_links.where("author <> author_id").groupBy(F.col("author").alias("target")).agg(F.countDistinct("document_id").alias("doc_count"))
+
+
+# ---- keywords ----
+
+
+@query("""WITH r AS (SELECT e.keyword, e.document_id, coalesce(t.label, h.display, k.display) AS label FROM {eff_keyword} e JOIN {doc} d ON d.id = e.document_id JOIN {keyword} k ON k.id = e.keyword_id
+ LEFT JOIN {keyword} h ON h.id = k.keyword_concept_id LEFT JOIN {concept} t ON t.id = k.thesaurus_concept_id WHERE e.type = 'author_keyword')
+ SELECT keyword, max(label) AS label, count(DISTINCT document_id) AS doc_count FROM r GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 50""")
+def top_keywords(c):
+    return I.top_keywords(c.keyword_links, c.view("keyword"), c.view("concept"))
+
+
+KEYWORDS = """WITH r AS (SELECT e.keyword, l.label, e.document_id, e.type, d.year, k.original FROM {eff_keyword} e JOIN {doc} d ON d.id = e.document_id JOIN {kw_label} l ON l.keyword = e.keyword JOIN {keyword} k ON k.id = e.keyword_id),
+ t AS (SELECT keyword, label, count(DISTINCT document_id) AS freq, count(DISTINCT CASE WHEN type = 'author_keyword' THEN document_id END) AS author_freq, count(DISTINCT CASE WHEN type = 'indexed_keyword' THEN document_id END) AS indexed_freq,
+ min(year) AS first_year, max(year) AS last_year, max(contains(lower(original), 'red')) AS hit FROM r GROUP BY 1, 2)
+ SELECT keyword, label, freq, author_freq, indexed_freq, first_year, last_year, CASE WHEN author_freq > 0 AND indexed_freq > 0 THEN 'both' WHEN author_freq > 0 THEN 'author' WHEN indexed_freq > 0 THEN 'indexed' ELSE 'raw' END AS kind FROM t"""
+
+
+@query(KEYWORDS + " ORDER BY freq DESC, label, keyword LIMIT 150")
+def keywords_report(c):
+    return I.keywords_report(c.keyword_links, c.documents, c.view("keyword"), c.view("concept"))
+
+
+@query(KEYWORDS + " WHERE contains(lower(label), 'red') OR hit ORDER BY freq DESC, label, keyword LIMIT 300")
+def keyword_search(c):
+    return I.keywords_report(c.keyword_links, c.documents, c.view("keyword"), c.view("concept"), search="red")
+
+
+@query("""WITH top AS (SELECT keyword FROM (SELECT DISTINCT document_id, keyword FROM {dk}) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10),
+ y AS (SELECT unnest(generate_series(1996, 2000)) AS year), n AS (SELECT keyword, year, count(DISTINCT document_id) AS n FROM {dk} JOIN {doc} d ON d.id = document_id GROUP BY 1, 2)
+ SELECT t.keyword, l.label, CAST(y.year AS INT) AS year, coalesce(n, 0) AS doc_count FROM top t JOIN {kw_label} l ON l.keyword = t.keyword CROSS JOIN y LEFT JOIN n ON n.keyword = t.keyword AND n.year = y.year""")
+def keyword_evolution(c):
+    return I.keyword_evolution(c.document_keywords, c.documents, labels(c), N.top_nodes(plain_words(c), "keyword", 10), 1996, 2000)
+
+
+@query("""WITH u AS (SELECT e.* FROM {eff_keyword} e JOIN {doc} d ON d.id = e.document_id WHERE e.keyword < 0), v AS (SELECT keyword, count(DISTINCT keyword_id) AS variant_count FROM u GROUP BY 1),
+ p AS (SELECT keyword, count(*) AS doc_count, CAST(sum(coalesce(cited_by, 0)) AS BIGINT) AS citations FROM (SELECT DISTINCT document_id, keyword FROM u) JOIN {doc} d ON d.id = document_id GROUP BY 1)
+ SELECT keyword, doc_count, citations, variant_count, c.label, upper(substr(c.label, 1, 1)) AS letter FROM p JOIN v USING (keyword) JOIN {concept} c ON c.id = -keyword""")
+def glossary(c):
+    return I.glossary(c.keyword_links, c.documents, c.view("concept"))
+
+
+@query("""SELECT k.id AS keyword_id, k.display, k.type, count(DISTINCT l.document_id) AS doc_count FROM {document_keyword} l JOIN {doc} d ON d.id = l.document_id JOIN {keyword} k ON k.id = l.keyword_id
+ WHERE contains(lower(k.display), 'bolt') GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1 LIMIT 500""")
+def all_keywords(c):
+    hit = c.view("keyword").where(F.lower("display").contains("bolt")).select(F.col("id").alias("keyword_id"), "display", "type")
+    return c.of_project("document_keyword").join(hit, "keyword_id").groupBy("keyword_id", "display", "type").agg(F.countDistinct("document_id").alias("doc_count")).orderBy(F.desc("doc_count"), "keyword_id").limit(500)
+
+
+@query("""SELECT a.normalized AS label, min(a.id) AS author_keyword_id, min(b.id) AS indexed_keyword_id FROM {keyword} a JOIN {keyword} b ON lower(trim(a.display)) = lower(trim(b.display)) AND a.type = 'author_keyword' AND b.type = 'indexed_keyword' GROUP BY 1""")
+def cross_type(c):
+    return S.cross_type(c.view("keyword"))
+
+
+@query("""SELECT k.id, k.display, c.id AS concept_id FROM {keyword} k LEFT JOIN (SELECT lower(label) AS l, min(id) AS id FROM {concept} GROUP BY 1) c ON c.l = k.normalized""")
+def concept_link(c):
+    concepts = c.view("concept").groupBy(F.lower("label").alias("normalized")).agg(F.min("id").alias("concept_id"))
+    return c.view("keyword").join(concepts, "normalized", "left").select("id", "display", "concept_id")
+
+
+@query("""WITH r AS (SELECT id, normalized, type, (row_number() OVER (ORDER BY id) - 1) // 500 AS batch FROM {keyword})
+ SELECT batch, normalized, type, count(*) AS n, min(id) AS canonical FROM r GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+def kw_exact_groups(c):
+    return S.exact_groups(c.view("keyword"))
+
+
+# ---- places and institutions ----
+
+
+def _entity(source: str, key: str) -> str:
+    return f"""WITH p AS (SELECT DISTINCT document_id, {key} FROM {{{source}}} WHERE {key} IS NOT NULL)
+ SELECT {key}, count(*) AS doc_count, CAST(sum(coalesce(cited_by, 0)) AS BIGINT) AS citations, round(avg(coalesce(cited_by, 0)), 1) AS avg_citations FROM p JOIN {{doc}} d ON d.id = document_id GROUP BY 1"""
+
+
+@query(_entity("dc", "country"))
+def countries_report(c):
+    return I.entity_report(c.document_countries, c.documents, "country")
+
+
+@query(_entity("dc", "continent"))
+def geo_continents(c):
+    return I.entity_report(c.document_countries, c.documents, "continent")
+
+
+@query("SELECT continent, count(DISTINCT document_id) AS doc_count FROM {dc} GROUP BY 1")
+def continents(c):
+    return c.document_countries.groupBy("continent").agg(F.countDistinct("document_id").alias("doc_count"))
+
+
+@query("SELECT count(DISTINCT document_id) AS mapped, (SELECT count(*) FROM {doc}) AS documents FROM {dc}")
+def geo_mapped(c):
+    return c.document_countries.agg(F.countDistinct("document_id").alias("mapped")).crossJoin(c.documents.agg(F.count("*").alias("documents")))
+
+
+INSTITUTIONS = "i AS (SELECT DISTINCT l.document_id, n.official_name, n.nature FROM {document_institution} l JOIN {doc} d ON d.id = l.document_id JOIN {institution} n ON n.id = l.institution_id)"
+
+
+@query("WITH " + INSTITUTIONS + """ SELECT official_name, count(*) AS doc_count, CAST(sum(coalesce(cited_by, 0)) AS BIGINT) AS citations, round(avg(coalesce(cited_by, 0)), 1) AS avg_citations FROM i JOIN {doc} d ON d.id = document_id GROUP BY 1""")
+def institutions_report(c):
+    return I.entity_report(_institutions(c), c.documents, "official_name")
+
+
+@query("WITH " + INSTITUTIONS + """, p AS (SELECT DISTINCT document_id, nature FROM i WHERE nature IS NOT NULL) SELECT nature, count(*) AS doc_count, CAST(sum(coalesce(cited_by, 0)) AS BIGINT) AS citations, round(avg(coalesce(cited_by, 0)), 1) AS avg_citations FROM p JOIN {doc} d ON d.id = document_id GROUP BY 1""")
+def geo_nature(c):
+    return I.entity_report(_institutions(c), c.documents, "nature")
+
+
+def _institutions(c: Corpus) -> DataFrame:
+    return c.document_institutions.join(c.view("institution").withColumnRenamed("id", "institution_id"), "institution_id")
+
+
+# ---- networks ----
+
+NODES = "n AS (SELECT {0}, count(*) AS doc_count FROM {1} GROUP BY 1 HAVING count(*) >= {3} ORDER BY 2 DESC, 1 LIMIT {2})"
+EDGES = "e AS (SELECT a.{0} AS source, b.{0} AS target, count(*) AS weight FROM {1} a JOIN {1} b ON a.document_id = b.document_id AND a.{0} < b.{0} WHERE a.{0} IN (SELECT {0} FROM n) AND b.{0} IN (SELECT {0} FROM n) GROUP BY 1, 2)"
+CO = "WITH " + NODES.format("author", "{{da}}", 100, 1).replace("{{", "{").replace("}}", "}") + ", " + EDGES.format("author", "{{da}}").replace("{{", "{").replace("}}", "}")
+KW = "WITH w AS (SELECT DISTINCT document_id, keyword FROM {dk}), " + NODES.format("keyword", "w", 100, 2) + ", " + EDGES.format("keyword", "w")
+
+
+def _co(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    nodes = N.top_nodes(c.document_authors, "author", 100)
+    return nodes, N.co_edges(c.document_authors, nodes, "author")
+
+
+def _kw(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    nodes = N.top_nodes(plain_words(c), "keyword", 100, 2)
+    return nodes, N.co_edges(plain_words(c), nodes, "keyword")
+
+
+@query(CO + " SELECT * FROM n")
+def net_coauthor_nodes(c):
+    return _co(c)[0]
+
+
+@query(CO + " SELECT * FROM e")
+def net_coauthor_edges(c):
+    return _co(c)[1]
+
+
+@query(KW + " SELECT * FROM e")
+def net_kw_edges(c):
+    return _kw(c)[1]
+
+
+@query("""WITH p AS (SELECT DISTINCT document_id, trim(country) AS country FROM {dc}) SELECT a.country AS source, b.country AS target, count(*) AS weight FROM p a JOIN p b ON a.document_id = b.document_id AND a.country < b.country GROUP BY 1, 2""")
+def net_country_edges(c):
+    pairs = c.document_countries.select("document_id", F.trim("country").alias("country")).distinct()
+    return N.co_edges(pairs, N.top_nodes(pairs, "country", 1000), "country")
+
+
+@query(CO + " SELECT id, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted_degree FROM (SELECT source AS id, weight FROM e UNION ALL SELECT target, weight FROM e) GROUP BY 1")
+def net_degree(c):
+    return N.degrees(_co(c)[1])
+
+
+@query(CO + ", z AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges) SELECT nodes, edges, CASE WHEN nodes > 1 THEN round(2 * edges / (nodes * (nodes - 1)), 4) ELSE 0.0 END AS density FROM z")
+def net_density(c):
+    return N.density(*_co(c))
+
+
+@query()
+def net_communities(c):
+    nodes, edges = _co(c)
+    return N.clusters(N.association(edges, nodes, "author"), method="labels")
+
+
+@query(KW + " SELECT source, target, weight, weight / (a.doc_count * b.doc_count) AS strength FROM e JOIN n a ON a.keyword = source JOIN n b ON b.keyword = target")
+def tm_edges(c):
+    nodes, edges = _kw(c)
+    return N.association(edges, nodes, "keyword")
+
+
+@query()
+def tm_clusters(c):
+    nodes, edges = _kw(c)
+    return N.clusters(N.association(edges, nodes, "keyword"))
+
+
+@query(KW + """, s AS (SELECT source, target, weight / (a.doc_count * b.doc_count) AS strength, source % 5 AS x, target % 5 AS y FROM e JOIN n a ON a.keyword = source JOIN n b ON b.keyword = target),
+ m AS (SELECT keyword % 5 AS cluster, count(*) AS size FROM n GROUP BY 1), i AS (SELECT x AS cluster, sum(strength) AS w FROM s WHERE x = y GROUP BY 1), o AS (SELECT cluster, sum(strength) AS w FROM (SELECT x AS cluster, strength FROM s WHERE x <> y UNION ALL SELECT y, strength FROM s WHERE x <> y) GROUP BY 1)
+ SELECT m.cluster, size, round(coalesce(o.w, 0), 6) AS centrality, round(100 * coalesce(i.w, 0) / size, 6) AS density FROM m LEFT JOIN i ON i.cluster = m.cluster LEFT JOIN o ON o.cluster = m.cluster""")
+def tm_metrics(c):
+    nodes, edges = _kw(c)
+    return N.theme_metrics(N.association(edges, nodes, "keyword"), nodes.select(F.col("keyword").alias("id"), (F.col("keyword") % 5).alias("cluster")))
+
+
+@query()
+def thematic_map(c):
+    return N.thematic_map(plain_words(c), labels(c))
+
+
+@query()
+def thematic_evolution(c):
+    return N.thematic_evolution(plain_words(c), c.documents, labels(c), 1998)
+
+
+FIELDS = """c AS (SELECT DISTINCT document_id, country_id AS id, country AS name FROM {dc}), k AS (SELECT DISTINCT d.document_id, d.keyword AS id, l.label AS name FROM {dk} d JOIN {kw_label} l ON l.keyword = d.keyword WHERE d.type = 'author_keyword'),
+ s AS (SELECT id AS document_id, source_title AS id, source_title AS name FROM {doc} WHERE source_title <> ''),
+ c2 AS (SELECT DISTINCT document_id, name FROM c WHERE id IN (SELECT id FROM (SELECT DISTINCT document_id, id FROM c) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)),
+ k2 AS (SELECT DISTINCT document_id, name FROM k WHERE id IN (SELECT id FROM (SELECT DISTINCT document_id, id FROM k) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)),
+ s2 AS (SELECT DISTINCT document_id, name FROM s WHERE id IN (SELECT id FROM (SELECT DISTINCT document_id, id FROM s) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20))"""
+
+
+@query("WITH " + FIELDS + """ SELECT 0 AS stage, c2.name AS source, k2.name AS target, count(*) AS weight FROM c2 JOIN k2 USING (document_id) GROUP BY 2, 3
+ UNION ALL SELECT 1, k2.name, s2.name, count(*) FROM k2 JOIN s2 USING (document_id) GROUP BY 2, 3""")
+def three_fields(c):
+    country = c.document_countries.select("document_id", F.col("country_id").alias("id"), F.col("country").alias("name"))
+    word = c.document_keywords.where("type = 'author_keyword'").join(labels(c), "keyword").select("document_id", F.col("keyword").alias("id"), F.col("label").alias("name"))
+    source = c.documents.where("source_title <> ''").select(F.col("id").alias("document_id"), F.col("source_title").alias("id"), F.col("source_title").alias("name"))
+    return N.three_fields([country, word, source])
+
+
+def _matrix(rows: str, cols: str) -> str:
+    return f"""WITH r AS ({rows}), c AS ({cols}), p AS (SELECT r.document_id, r.value AS x, c.value AS y FROM r JOIN c ON r.document_id = c.document_id AND r.value <> c.value),
+ a AS (SELECT x FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 30), b AS (SELECT y FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 30)
+ SELECT x AS "row", y AS col, count(*) AS weight FROM p WHERE x IN (SELECT x FROM a) AND y IN (SELECT y FROM b) GROUP BY 1, 2"""
+
+
+AUTHOR_DIM = "SELECT DISTINCT document_id, preferred_name AS value FROM {da} JOIN {author} a ON a.id = author"
+
+
+def _author_dim(c: Corpus) -> DataFrame:
+    return N.dimension(c.document_authors.join(c.view("author").withColumnRenamed("id", "author"), "author"), "preferred_name")
+
+
+@query(_matrix(AUTHOR_DIM, "SELECT DISTINCT document_id, country AS value FROM {dc}"))
+def matrix_cross(c):
+    return N.matrix(_author_dim(c), N.dimension(c.document_countries, "country"))
+
+
+@query(_matrix(AUTHOR_DIM, AUTHOR_DIM))
+def matrix_same(c):
+    return N.matrix(_author_dim(c), _author_dim(c))
+
+
+# ---- classification and search ----
+
+CLASSIFY = f"""g AS (SELECT * FROM {values(GROUPS, 'id, type, position')}), r AS (SELECT * FROM {values(RULES, 'group_id, position, term')}),
+ t AS (SELECT d.id AS document_id, d.year, title AS text FROM {{doc}} d JOIN {{title}} ON document_id = d.id),
+ h AS (SELECT document_id, group_id, arg_min(term, position) AS term FROM t JOIN r ON contains(lower(text), term) GROUP BY 1, 2),
+ a AS (SELECT document_id, CAST(2 AS INT) AS group_id, 'year<1996' AS term FROM t WHERE year <> 0 AND year < 1996
+  UNION ALL SELECT t.document_id, 2, h.term FROM t JOIN h ON h.document_id = t.document_id AND h.group_id = 2 WHERE NOT coalesce(year <> 0 AND year < 1996, false)
+  UNION ALL SELECT t.document_id, h.group_id, h.term FROM t JOIN h ON h.document_id = t.document_id AND h.group_id > 2
+   WHERE NOT coalesce(year <> 0 AND year < 1996, false) AND t.document_id NOT IN (SELECT document_id FROM h WHERE group_id = 2) AND t.document_id IN (SELECT document_id FROM h WHERE group_id = 1)),
+ cl AS (SELECT * FROM a UNION ALL SELECT document_id, NULL, NULL FROM t WHERE document_id NOT IN (SELECT document_id FROM a))"""
+ASSIGNED = "cl WHERE group_id IS NOT NULL"
+
+
+def _assigned(c: Corpus) -> DataFrame:
+    return C.classify(texts(c), groups(c), rules(c))
+
+
+@query("WITH " + CLASSIFY + " SELECT * FROM cl")
+def classify(c):
+    return _assigned(c)
+
+
+@query("WITH " + CLASSIFY + """ SELECT (SELECT count(DISTINCT document_id) FROM cl) AS total, (SELECT count(*) FROM cl WHERE group_id IS NULL) AS unclassified,
+ (SELECT count(*) FROM (SELECT document_id FROM cl WHERE group_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS multi, (SELECT count(DISTINCT document_id) FROM cl WHERE group_id = 2) AS noise""")
+def classify_stats(c):
+    return C.classification_stats(_assigned(c), groups(c))
+
+
+@query("WITH " + CLASSIFY + " SELECT group_id, count(DISTINCT document_id) AS doc_count FROM cl WHERE group_id IS NOT NULL GROUP BY 1")
+def cls_counts(c):
+    return _assigned(c).where("group_id IS NOT NULL").groupBy("group_id").agg(F.countDistinct("document_id").alias("doc_count"))
+
+
+@query("WITH " + CLASSIFY + """ SELECT group_id, count(*) AS doc_count, CAST(sum(coalesce(cited_by, 0)) AS BIGINT) AS citations, round(avg(coalesce(cited_by, 0)), 1) AS avg_citations, min(d.year) AS first_year, max(d.year) AS last_year
+ FROM cl JOIN {doc} d ON d.id = document_id WHERE group_id IS NOT NULL GROUP BY 1""")
+def cls_stats(c):
+    return C.group_stats(_assigned(c), c.documents)
+
+
+@query("WITH " + CLASSIFY + """ SELECT document_id, group_id, coalesce(cited_by, 0) AS cited, CAST(row_number() OVER (PARTITION BY group_id ORDER BY coalesce(cited_by, 0) DESC, document_id) AS INT) AS rank
+ FROM cl JOIN {doc} d ON d.id = document_id WHERE group_id IS NOT NULL QUALIFY rank <= 3""")
+def cls_top3(c):
+    return C.group_top_documents(_assigned(c), c.documents)
+
+
+@query("WITH " + CLASSIFY + """, j AS (SELECT group_id, source_title, count(*) AS doc_count FROM cl JOIN {doc} d ON d.id = document_id WHERE group_id IS NOT NULL AND source_title <> '' GROUP BY 1, 2)
+ SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY doc_count DESC, source_title) AS INT) AS rank FROM j QUALIFY rank <= 5""")
+def cls_journals(c):
+    return C.group_top_journals(_assigned(c), c.documents)
+
+
+@query("WITH " + CLASSIFY + " SELECT group_id, d.year, count(*) AS doc_count FROM cl JOIN {doc} d ON d.id = document_id WHERE group_id IS NOT NULL AND d.year > 1900 GROUP BY 1, 2")
+def cmp_temporal(c):
+    return C.group_years(_assigned(c), c.documents)
+
+
+@query("WITH " + CLASSIFY + """, s AS (SELECT group_id, count(*) AS doc_count FROM cl WHERE group_id IS NOT NULL GROUP BY 1) SELECT group_id, doc_count, round(100 * doc_count / (SELECT count(*) FROM {doc}), 1) AS percent FROM s""")
+def cmp_summary(c):
+    n = c.documents.agg(F.count("*").alias("n"))
+    return C.group_stats(_assigned(c), c.documents).crossJoin(n).select("group_id", "doc_count", F.round(100 * F.col("doc_count") / F.col("n"), 1).alias("percent"))
+
+
+@query("WITH " + CLASSIFY + """, o AS (SELECT group_id, lower(trim(l.label)) AS label FROM cl JOIN (SELECT DISTINCT document_id, keyword FROM {dk}) k USING (document_id) JOIN {kw_label} l ON l.keyword = k.keyword WHERE group_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT document_id) >= 2),
+ z AS (SELECT group_id, count(*) AS n FROM o GROUP BY 1), b AS (SELECT x.group_id AS a, y.group_id AS b, count(*) AS shared FROM o x JOIN o y ON x.label = y.label AND x.group_id < y.group_id GROUP BY 1, 2)
+ SELECT a, b, shared, p.n + q.n - shared AS "either", round(shared / (p.n + q.n - shared), 3) AS jaccard FROM b JOIN z p ON p.group_id = a JOIN z q ON q.group_id = b""")
+def group_jaccard(c):
+    return C.group_overlap(_assigned(c), c.document_keywords, labels(c))
+
+
+@query("WITH " + CLASSIFY + """ SELECT group_id, document_id, 'leaves' AS change FROM cl WHERE group_id = 4""")
+def expansion_diff(c):
+    return C.assignments_diff(_assigned(c), C.classify(texts(c), groups(c), rules(c).where("group_id <> 4")))
+
+
+@query(f"""WITH l AS (SELECT * FROM {values(LENSES, 'lens, term')}), m AS (SELECT DISTINCT lens, document_id FROM {{title}} JOIN {{doc}} d ON d.id = document_id JOIN l ON regexp_matches(title, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lens ORDER BY document_id) AS rn FROM m) SELECT lens, count(*) AS doc_count, string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY document_id) FILTER (WHERE rn <= 5) AS samples FROM r GROUP BY 1""")
+def lens_matches(c):
+    return C.lens_matches(texts(c), c.spark.createDataFrame(LENSES, "lens string, term string"))
+
+
+@query("SELECT document_id, year, title AS text FROM {title} JOIN {doc} d ON d.id = document_id WHERE contains(title, 'red bolt') AND year = 1998 ORDER BY year DESC, title, document_id LIMIT 500")
+def doc_search(c):
+    return C.document_search(texts(c), title="Red bolt", year=1998)
+
+
+# ---- repeats, import and upkeep ----
+
+
+@query("""SELECT md5(trim(lower(title))) AS title_md5, year, count(*) AS n, min(id) AS first_id FROM {doc} JOIN {title} ON document_id = id GROUP BY 1, 2 HAVING count(*) > 1""")
+def possible_repeats(c):
+    return I.possible_repeats(c.documents, c.titles)
+
+
+DEDUP = """x AS (SELECT d.id, CASE WHEN trim(coalesce(doi, '')) <> '' THEN md5('doi:' || lower(trim(doi))) WHEN trim(coalesce(title, '')) <> '' AND year IS NOT NULL THEN md5(lower(trim(title)) || ':' || year)
+ ELSE md5('ext:orders:' || d.id) END AS hash FROM {doc} d LEFT JOIN {title} ON document_id = d.id)"""
+
+
+def _hashed(c: Corpus) -> DataFrame:
+    rows = c.documents.join(c.titles.withColumnRenamed("document_id", "id"), "id", "left")
+    return rows.select("id", I.dedup_key(F.col("doi"), F.lit(False), F.lit("orders"), F.col("id").cast("string"), F.col("title"), F.col("year")).alias("hash"))
+
+
+@query("WITH " + DEDUP + " SELECT * FROM x")
+def dedup_hash(c):
+    return _hashed(c)
+
+
+@query("WITH " + DEDUP + ", r AS (SELECT id, hash, min(id) OVER (PARTITION BY hash) AS kept FROM x) SELECT id, kept, CASE WHEN id = kept THEN 'imported' ELSE 'hash' END AS outcome FROM r")
+def dedup_import(c):
+    return M.first_of_each(_hashed(c), "hash", "id")
+
+
+@query("""WITH o AS (SELECT l_orderkey AS document_id, lower(trim(p_name)) AS term, CASE p_size % 2 WHEN 0 THEN 0 ELSE 1 END AS kind, l_linenumber AS position, l_partkey AS keyword_id FROM lineitem JOIN part ON p_partkey = l_partkey)
+ SELECT document_id, term, kind, position, keyword_id FROM o QUALIFY row_number() OVER (PARTITION BY document_id, term ORDER BY kind, position, keyword_id) = 1""")
+def link_build(c):
+    rows = c.view("document_keyword_position").join(c.view("keyword").select(F.col("id").alias("keyword_id"), "display", "type"), "keyword_id")
+    return M.keyword_links(rows.select("document_id", F.col("display").alias("term"), F.when(F.col("type") == "author_keyword", 0).otherwise(1).alias("kind"), "position", "keyword_id"))
+
+
+@query("""SELECT count(*) AS total, count(CASE WHEN d.id IS NULL THEN 1 END) AS without_parent FROM {document_author} l LEFT JOIN {doc} d ON d.id = l.document_id""")
+def orphan_audit(c):
+    rows = c.view("document_author").join(c.documents.select(F.col("id").alias("document_id"), F.lit(1).alias("known")), "document_id", "left")
+    return rows.agg(F.count("*").alias("total"), F.count(F.when(F.col("known").isNull(), 1)).alias("without_parent"))
+
+
+@query("""WITH j AS (SELECT DISTINCT '1000' || CAST(CAST(1000 + floor(sqrt(c_custkey)) AS INT) AS VARCHAR) AS issn, CASE CAST(floor(sqrt(c_custkey)) AS INT) % 3 WHEN 0 THEN 'A1' WHEN 1 THEN 'B2' END AS stratum FROM customer)
+ SELECT d.id, d.issn, j.stratum FROM {doc} d LEFT JOIN j ON j.issn = replace(replace(lower(d.issn), '-', ''), ' ', '') AND j.stratum IS NOT NULL""")
+def qualis_enrich(c):
+    return M.journal_strata(c.documents, _journals(c)).select("id", "issn", "stratum")
+
+
+@query("""WITH j AS (SELECT DISTINCT '1000' || CAST(CAST(1000 + floor(sqrt(c_custkey)) AS INT) AS VARCHAR) AS issn FROM customer WHERE CAST(floor(sqrt(c_custkey)) AS INT) % 3 < 2)
+ SELECT DISTINCT replace(issn, '-', '') AS issn FROM {doc} WHERE issn IS NOT NULL AND replace(issn, '-', '') NOT IN (SELECT issn FROM j)""")
+def missing_journals(c):
+    return M.missing_journals(c.documents, _journals(c))
+
+
+def _journals(c: Corpus) -> DataFrame:
+    """Invented strata of the journals: by the number in their ISSN, a third has none."""
+    n = F.floor(F.sqrt("c_custkey")).cast("int")
+    rows = c.source("customer").select(F.concat(F.lit("1000-"), (n + 1000).cast("string")).alias("issn"), F.when(n % 3 == 0, "A1").when(n % 3 == 1, "B2").alias("stratum"))
+    return rows.where("stratum IS NOT NULL")
+
+
+@query("""WITH p AS (SELECT id, preferred_name, lower(substr(preferred_name, 1, 4)) || '|' AS k FROM {author}), s AS (SELECT a.id AS id1, b.id AS id2, 1 - levenshtein(lower(a.preferred_name), lower(b.preferred_name)) / greatest(length(a.preferred_name), length(b.preferred_name)) AS score FROM p a JOIN p b ON a.k = b.k AND a.id < b.id)
+ SELECT id1, id2, round(score, 4) AS score FROM s WHERE score >= 0.95""")
+def similar_authors(c):
+    return S.similar_pairs(c.view("author").select("id", F.col("preferred_name").alias("name")), S.block_key_column("name"), 0.95)
+
+
+@query()
+def block_keys(c):
+    return c.view("author").select("id", S.block_key_column("preferred_name").alias("key"))
+
+
+@query()
+def clean_texts(c):
+    """Display and comparison forms of every document's text."""
+    from marginalia.functions.text import clean_display_udf, normalize_udf
+
+    docs = c.source("documents")
+    return docs.select("doc_id", F.md5(clean_display_udf("text")).alias("display_md5"), F.md5(normalize_udf("text")).alias("normal_md5"))
