@@ -1,0 +1,400 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from marginalia.llm import media_png, piece_bpe, quality_knn, secret_scan, simhash_groups, spaced_seeds, token_shards, toxicity_ordinal
+from tests.conftest import SF
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "lorem ipsum dolor " * 30_000
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, "one two", "en", "s", 7), (3, "one two", "en", "s", 7), (None, "one two", None, "s", 7),
+    (5, LONG, "en", "s", len(LONG)), (6, "  spaces \n\n here ", "en", None, 3), (7, "日本 é \U0001f600\x00 x", "ja", "t", 1), (2**40, "token = \"abcdefghij1234567890\"", "en", "t", 5),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA).withColumn("row", F.lit("clash")).withColumn("key", F.lit(1)).withColumn("label", F.lit(2)).withColumn("node", F.lit(3)).withColumn("words", F.lit("w"))
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# ---- secrets ----
+
+
+def brute_base(text):
+    found = []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 12:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found)
+
+
+def test_secret_spans_are_those_of_plain_patterns(docs):
+    rng = random.Random(3)
+    bits = ["token", "Password", "api_key", "=", ": ", '"', "AKIA", "ABCDEFGHIJKLMNOP", "deadbeefdeadbeef", "abc", "0123456789", " ", "\n", "é", "secret"]
+    texts = [r.text for r in docs.collect()] + ["".join(rng.choice(bits) for _ in range(12)) for _ in range(3000)]
+    for t in texts:
+        got = [(s, k, e) for k, s, e, _, _ in secret_scan.find_spans(t) if k < 3]
+        assert got == brute_base(t)
+
+
+def test_secret_ownership(spark):
+    copied, own = "token=Zx81Kq99Lm2Pw7Tr55", "token=Qa72Mn48Vb3Xc9Lk01"
+    rows = [(i, f"x {copied}", "en", f"s{i}", 1) for i in range(6)] + [(9, f"y {own} z", "en", "s9", 1)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in secret_scan.digest_columns(secret_scan.secret_findings(d, **secret_scan.owner_columns(d))).collect()}
+    assert got[0].n_widely_copied == 1 and got[0].n_owner_specific == 0 and got[0].n_assign == 1
+    assert got[9].n_owner_specific == 1 and got[9].spans == f"assign:2:{2 + len(own)}"
+    assert got[9].base_sha256 == hashlib.sha256(got[9].spans.encode()).hexdigest()
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(d).collect()}
+    assert masked[9] == "y [assign] z" and masked[0] == f"x {copied}"
+
+
+def test_secret_odd_rows(odd, none):
+    got = secret_scan.digest_columns(secret_scan.secret_findings(odd, **secret_scan.owner_columns(odd))).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(r[0] or 0 for r in ODD)
+    assert sum(r.n_assign for r in got) == 1
+    assert secret_scan.secret_findings(none).count() == 0 and secret_scan.mask_secrets(none).count() == 0
+    masked = secret_scan.mask_secrets(odd)
+    assert masked.columns == odd.columns and masked.count() == len(ODD)
+
+
+# ---- tokens ----
+
+BYTE, PIECE = tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")
+
+
+def fuzz(n, seed=1):
+    rng = random.Random(seed)
+    bits = ["a", "B", " ", " ", "\n", "é", "'s", "1", "▁", " ", ".", ",", "日", "\t", "<s>", "  ", "ab", "\x1c", "<|endoftext|>"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(n)]
+
+
+def test_chunks_give_the_librarys_ids(docs):
+    texts = [r.text for r in docs.limit(60).collect()] + fuzz(4000) + [r[1] or "" for r in ODD]
+    b = token_shards.ByteBpe(BYTE, 500)
+    assert b.encode(texts) == b.whole(texts)
+
+
+def test_shard_round_trip_and_damage():
+    rows = [(i, np.arange(i, dtype="<u2").tobytes()) for i in range(200)]
+    file = token_shards.write_shard([rows[:50], rows[50:120], rows[120:]], 2)
+    shard = token_shards.Shard(file)
+    got = shard.documents([3, 130])
+    assert {k: len(v) for k, v in got.items()} == {3: 3, 130: 130} and shard.opened == 2
+    bad = bytearray(file)
+    bad[40] ^= 1
+    with pytest.raises(Exception):
+        list(token_shards.Shard(bytes(bad)).read(0))
+    with pytest.raises(ValueError):
+        token_shards.Shard(file[:-1] + b"x")
+
+
+def test_token_shards_against_the_library(docs, odd, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTE)
+    for d in (docs, odd):
+        got = token_shards.read_shards(token_shards.write_shards(d, BYTE, shard_ids=5000, frame_ids=700)).collect()
+        rows = sorted(((r.doc_id, r.text) for r in d.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+        start, want = 0, []
+        for i, text in rows:
+            ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+            want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        key = lambda x: (x[1], x[2])
+        assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=key) == sorted(want, key=key)
+    assert token_shards.read_shards(token_shards.write_shards(none, BYTE)).count() == 0
+
+
+def test_pieces_are_the_librarys(docs):
+    p = piece_bpe.PieceBpe(PIECE, 500)
+    texts = [r.text for r in docs.limit(60).collect()] + fuzz(4000, 2) + [r[1] or "" for r in ODD if r[0] != 5]
+    shown, ids = p.encode(texts)
+    want = p.library.encode(texts)
+    assert ids == want and shown == [",".join(map(str, x)) for x in want]
+    assert [p.decode(x) for x in want] == p.library.decode(want)
+    rng = random.Random(5)
+    ids = [[rng.choice([0, 1, 2, rng.randint(3, 258), rng.randint(259, 31999)]) for _ in range(8)] for _ in range(1000)]
+    assert [p.decode(x) for x in ids] == p.library.decode(ids)
+    long = ["".join(rng.choice("abcehnort") for _ in range(90)) for _ in range(50)]  # the heap's side
+    assert [p.merge("▁" + x) for x in long] == p.library.encode(long)
+
+
+def test_piece_query_on_odd_rows(odd, none):
+    got = piece_bpe.encode_documents(odd, PIECE).collect()
+    assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
+    assert piece_bpe.encode_documents(none, PIECE).count() == 0
+
+
+# ---- near duplicates ----
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(n, linked):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("shard", [1024, 2])
+def test_simhash_groups_against_all_pairs(spark, docs, shard):
+    rng = random.Random(4)
+    extra = [(1000 + i, " ".join(["same words go round"] * 30 + [rng.choice(["a", "b", "c", "d e"])] * (i % 3)), "en", "s", 1) for i in range(30)]
+    d = docs.union(spark.createDataFrame(extra, SCHEMA)).orderBy("doc_id")
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    fps = [brute_fingerprint(t) for _, t in rows]
+    want = components(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    got = {r.doc_id: r for r in simhash_groups.groups(d, shard_nodes=shard).collect()}
+    for (i, _), f, w in zip(rows, fps, want, strict=True):
+        assert got[i].fp & (2**64 - 1) == f and got[i].component_id == rows[w][0]
+
+
+def test_links_lose_nothing_in_crowded_shards(spark):
+    rng = random.Random(7)
+    base = rng.getrandbits(64)
+    values = {base}
+    for _ in range(300):  # a walk of single and double flips: all in few shards
+        v = rng.choice(sorted(values))
+        values.add(v ^ (1 << rng.randrange(20)) ^ (1 << rng.randrange(64)))
+    values = sorted(values)
+    nodes = spark.createDataFrame([(simhash_groups.signed(v),) for v in values], "fp long")
+    found = simhash_groups.components(simhash_groups.links(nodes, shard_nodes=5)).collect()
+    root = {r.node: r.root for r in found}
+    want = components(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 2)
+    classes = {}
+    for v, w in zip(values, want, strict=True):
+        classes.setdefault(w, set()).add(root.get(simhash_groups.signed(v), simhash_groups.signed(v)))
+    assert all(len(x) == 1 for x in classes.values()) and len({next(iter(x)) for x in classes.values()}) == len(classes)
+
+
+def test_bk_tree():
+    rng = random.Random(2)
+    tree, values = simhash_groups.BkTree(), [rng.getrandbits(12) for _ in range(300)]
+    for v in values:
+        tree.add(v)
+    for q in values[:40]:
+        assert sorted(tree.within(q, 2)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 2]
+
+
+def test_simhash_odd_rows(odd, none):
+    got = simhash_groups.groups(odd).collect()
+    assert len(got) == len(ODD)
+    assert {r.component_id for r in got if r.doc_id in (1, 2)} == {1} and {r.component_id for r in got if r.doc_id in (3, None)} == {3}
+    assert simhash_groups.groups(none).count() == 0 and simhash_groups.keep_one(none).count() == 0
+    kept = simhash_groups.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6, 7, 2**40]
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_against_all_pairs(spark, block):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 300))]
+        for k in range(rng.choice([1, 2, 30])):
+            w = list(base)
+            for _ in range(rng.randint(0, len(w) // 90)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(w), "en", "s", k))
+    d = spark.createDataFrame(rows, SCHEMA).withColumn("__row", F.col("doc_id"))
+    sets = [set(simhash_groups.shingle_hashes(r[1]).tolist()) for r in rows]
+    want = components(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    root = {r.row: r.root for r in simhash_groups.near_duplicates(d, block_nodes=block).collect()}
+    same = lambda r, i: {j for j in range(len(rows)) if r[j] == r[i]}
+    assert sum(same(root, i) == same(want, i) for i in range(len(rows))) >= 0.98 * len(rows)
+    assert all(same(root, i) <= same(want, i) for i in range(len(rows)))
+
+
+# ---- classifiers ----
+
+
+def auc(score, label):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    for v in np.unique(score):
+        rank[score == v] = rank[score == v].mean()
+    good = label == 1
+    return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+
+def test_quality_on_held_out_rows(spark):
+    at = SF.replace("0.001", "0.01")
+    got = quality_knn.op5_quality_knn(spark, at).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert auc(got["score"].to_numpy(), got["quality"].to_numpy()) > 0.95
+    assert ((got["score"] >= 0.5).astype(int) == got["predicted"]).all() and got["score"].between(0, 1).all()
+
+
+def test_quality_neighbours_are_exact():
+    rng = np.random.default_rng(1)
+    c, labels = rng.poisson(0.05, (90, quality_knn.DIMENSIONS)).astype(np.float32), rng.integers(0, 2, 90).astype(float)
+    m = quality_knn.train(c, labels)
+    q = rng.poisson(0.05, (7, quality_knn.DIMENSIONS)).astype(np.float32)
+    for row, got in zip(q, m.score(q, neighbours=5, block=3), strict=True):
+        cos = m.vectors @ m.project(row[None])[0]
+        near = sorted(range(90), key=lambda i: -cos[i])[:5]
+        w = np.exp(quality_knn.SHARPNESS * cos[near])
+        assert abs(got - (w * labels[near]).sum() / w.sum()) < 1e-5
+
+
+def test_quality_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (5, None, None), (None, 1, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    m = quality_knn.fit(odd, labels)
+    assert quality_knn.score_documents(odd, m).count() == len(ODD)
+    empty = quality_knn.fit(none, labels)
+    assert [r.score for r in quality_knn.score_documents(odd, empty).collect()] == [0.5] * len(ODD)
+    assert quality_knn.keep_good(odd, empty).columns == odd.columns and quality_knn.score_documents(none, m).count() == 0
+
+
+def test_toxicity(spark):
+    at = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    m = toxicity_ordinal.fit(d, labels.where("doc_id % 2 = 0"))
+    assert list(m.thresholds) == sorted(m.thresholds)
+    got = toxicity_ordinal.grade_documents(d, m).withColumnRenamed("toxic", "flag").join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    assert got[got.toxic == 0].flag.mean() < 0.01 and got[got.toxic == 1].flag.mean() > 0.75
+    assert got.expected_severity.between(0, 3).all()
+    mild, severe = m.predict("a loser b")[0], m.predict("loser idiot moron trash scum pathetic loser")[0]
+    assert severe > mild
+
+
+def test_cumulative_link_finds_planted_weights():
+    rng = np.random.default_rng(3)
+    n, k = 3000, 6
+    x = rng.integers(0, 2, (n, k)).astype(float)
+    z = x @ np.array([2.0, 1.0, 0, 0, -1.5, 0]) + rng.logistic(size=n)
+    grade = (z > 0).astype(int) + (z > 2) + (z > 3)
+    rows, cols = np.nonzero(x)
+    w, t = toxicity_ordinal.cumulative_link(rows, cols, x[rows, cols], k, grade, 4, l1=0.0, rounds=3000)
+    assert np.allclose(w, [2, 1, 0, 0, -1.5, 0], atol=0.35) and np.allclose(t, [0, 2, 3], atol=0.35)
+
+
+def test_toxicity_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(3, 1, 0), (5, None, None), (None, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    m = toxicity_ordinal.fit(odd, labels)
+    assert toxicity_ordinal.grade_documents(odd, m).count() == len(ODD)
+    assert {r.expected_severity for r in toxicity_ordinal.grade_documents(odd, toxicity_ordinal.fit(none, labels)).collect()} == {0.0}
+    assert toxicity_ordinal.grade_documents(none, m).count() == 0
+
+
+# ---- media ----
+
+
+def test_png_is_lossless_under_all_filters(docs):
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 256, (9, 64)).astype(np.uint8)
+    for kinds in ([0] * 9, [1] * 9, [2] * 9, [3] * 9, [4] * 9, [0, 1, 2, 3, 4, 4, 3, 2, 1]):
+        filtered = []
+        for y, k in enumerate(kinds):
+            up = rows[y - 1].astype(int) if y else np.zeros(64, int)
+            line = []
+            for x in range(64):
+                a, b, c = (int(rows[y][x - 1]) if x else 0), int(up[x]), (int(up[x - 1]) if x else 0)
+                p = a + b - c
+                paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                line.append((int(rows[y][x]) - [0, a, b, (a + b) // 2, paeth][k]) & 255)
+            filtered.append(line)
+        assert (media_png.unfiltered(np.array(kinds), np.array(filtered, np.uint8)) == rows).all()
+    smooth = np.add.outer(np.arange(20), np.arange(64)).astype(np.uint8).tobytes()
+    for data in [smooth, *(media_png.payload(r.text)[1] for r in docs.limit(40).collect())]:
+        file = media_png.write_png(data)
+        assert media_png.read_png(file).tobytes() == data
+        for at in (30, len(file) - 5):
+            with pytest.raises(ValueError):
+                media_png.read_png(file[:at] + bytes([file[at] ^ 1]) + file[at + 1 :])
+
+
+def test_media_features_against_a_plain_version(odd, none):
+    got = media_png.features(media_png.store(odd)).collect()
+    texts = {i: t or "" for i, t, *_ in ODD}
+    assert len(got) == len(ODD)
+    for r in got:
+        data = texts[r.doc_id].encode() if r.doc_id is not None else b"one two"
+        full = data + bytes(-len(data) % 64 or (64 if not data else 0))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+    same = [r for r in got if r.doc_id in (3, None)]
+    assert len({(r.media_sha256, r.feature) for r in same}) == 1
+    image = np.random.default_rng(0).integers(0, 256, (70, 64)).astype(np.uint8)
+    small = np.kron(image.astype(float), np.ones((32, 32))).reshape(32, 70, 32, 64).mean(axis=(1, 3))
+    k = np.cos(np.pi * np.arange(8)[:, None] * (2 * np.arange(32) + 1) / 64)
+    low = (k @ small @ k.T).ravel()
+    assert media_png.feature(image) == np.packbits(low > np.median(low[1:])).tobytes().hex()
+    assert media_png.features(media_png.store(none)).count() == 0
+
+
+# ---- decontamination ----
+
+
+def test_seeds_find_passages_with_substitutions(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([4, 9, 15, 40])))) for i in range(60)]
+    rows, want = [], {}
+    for i in range(300):
+        w = [rng.choice(vocabulary) for _ in range(rng.choice([5, 100, 400]))]
+        if i % 3 == 0:
+            k, item = rng.choice(items)
+            part = item.split()
+            if len(part) >= 15:
+                part[rng.randrange(len(part))] = "changed"
+            w[len(w) // 2 : len(w) // 2] = [x.upper() + "," for x in part]
+            want[i] = k
+        rows.append((i, " ".join(w), "en", "s", 1))
+    d, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    for words in (10**6, 300):
+        got = spaced_seeds.overlaps(d, b, block_words=words).where(spaced_seeds.is_contaminated()).collect()
+        assert {r.doc_id: r["__item_id"] for r in got} == want
+
+
+def test_seeds_on_the_tables(spark, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = {r.doc_id for r in docs.collect() if any(t in r.text for _, t in items)}
+    got = {r.doc_id for r in spaced_seeds.op9_spaced_seeds(spark, SF).where("contaminated").collect()}
+    assert got == want and want
+
+
+def test_seeds_odd_rows(spark, odd, none):
+    b = spark.createDataFrame([(1, None), (None, "one two"), (2, ""), (3, "one two"), (3, "one two")], "item_id long, text string")
+    got = spaced_seeds.overlaps(odd, b).where(spaced_seeds.is_contaminated()).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 3, 3]
+    assert spaced_seeds.keep_clean(odd, b.limit(0)).count() == len(ODD) and spaced_seeds.keep_clean(none, b).count() == 0
