@@ -620,9 +620,9 @@ def _journals(c: Corpus) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT id, preferred_name, lower(substr(preferred_name, 1, 4)) || '|' AS k FROM {author}), s AS (SELECT a.id AS id1, b.id AS id2, 1 - levenshtein(lower(a.preferred_name), lower(b.preferred_name)) / greatest(length(a.preferred_name), length(b.preferred_name)) AS score FROM p a JOIN p b ON a.k = b.k AND a.id < b.id)
- SELECT id1, id2, round(score, 4) AS score FROM s WHERE score >= 0.95""")
+ SELECT id1, id2, round(score, 4) AS score FROM s WHERE score >= 0.94""")
 def similar_authors(c):
-    return S.similar_pairs(c.view("author").select("id", F.col("preferred_name").alias("name")), S.block_key_column("name"), 0.95)
+    return S.similar_pairs(c.view("author").select("id", F.col("preferred_name").alias("name")), S.block_key_column("name"), 0.94)
 
 
 @query()
