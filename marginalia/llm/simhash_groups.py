@@ -214,7 +214,7 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- near duplicates by the similarity of their shingles ----
 
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-CLASS_SHINGLES, CLASSES = 4, 8
+CLASS_SHINGLES, CLASSES = 4, 6
 BLOCK_NODES = 512
 
 
@@ -246,7 +246,7 @@ def class_fingerprints(hashes: np.ndarray) -> list[int]:
     n = len(hashes)
     size = np.log2(max(n, 1) / CLASS_SHINGLES)
     out = []
-    for level in {max(0, int(np.floor(size - 0.25))), max(0, int(np.floor(size + 0.25)))}:
+    for level in {max(0, int(np.floor(size - 0.15))), max(0, int(np.floor(size + 0.15)))}:
         of = hashes & np.uint64((1 << level) - 1)
         for c in range(min(CLASSES, 1 << level)):
             if len(own := hashes[of == c]):
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", sim
     """row and root of every row: rows whose texts are equal, or linked by a Jaccard similarity of their five-word
     shingles of at least `similarity`, have the same root.
 
-    Equal shingle sets are one node. Nodes that share a class fingerprint meet; only these carry their shingles along.
+    Equal shingle sets are one node. Nodes that share a class fingerprint meet; only for these are shingles kept and sent.
     A fingerprint that more than block_nodes nodes share is taken in blocks, whose leaders meet again.
     """
 
@@ -302,16 +302,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", sim
             sets = [shingle_hashes(t) for t in texts_of(b)]
             ids = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
             keys = [[signed(x) for x in class_fingerprints(s)] for s in sets]
-            yield pa.record_batch([b.column("row"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["row", "node", "keys", "shingles"])
+            yield pa.record_batch([b.column("row"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "node", "keys"])
 
-    marked = written(docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text")).mapInArrow(sketch, "row long, node long, keys array<long>, shingles binary"), "near-sketch")
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The upper halves of the hashes: enough to compare texts with."""
+        for b in slices(batches, 500):
+            halves = [np.unique((shingle_hashes(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts_of(b)]
+            yield pa.record_batch([b.column("row"), pa.array(halves, pa.binary())], names=["row", "shingles"])
+
+    texts = docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
+    marked = written(texts.mapInArrow(sketch, "row long, node long, keys array<long>"), "near-sketch")
     members = marked.groupBy("node").agg(F.min("row").alias("least"))
     keyed = written(marked.select("row", "node", "keys").join(members.select(F.col("least").alias("row")), "row", "left_semi").select("row", "node", F.explode("keys").alias("key")), "near-keys")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     level = keyed.join(counts, "key").select("row", "node", "key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / block_nodes).cast("long")).alias("block"), (F.col("n") > block_nodes).alias("more"))
+    level = written(level, "near-level")
+    compared = written(texts.join(level.select("row").distinct(), "row", "left_semi").mapInArrow(shingles, "row long, shingles binary"), "near-shingles")
     edges, depth, told = None, 0, 0
     while True:
-        rows = level.join(marked.select("row", "shingles"), "row").select("node", "row", "key", "block", "more", "shingles")
+        rows = level.join(compared, "row").select("node", "row", "key", "block", "more", "shingles")
         got = written(_blocks(rows, similarity), f"near-links-{depth}")
         new = got.where("b IS NOT NULL").select("a", "b")
         edges = new if edges is None else edges.union(new)
@@ -350,7 +359,7 @@ def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
                     nodes, sets, ids, at, more = [], [], [], (key, block), now
                 nodes.append(node)
                 ids.append(row)
-                sets.append(np.frombuffer(s, "<u8"))
+                sets.append(np.frombuffer(s, "<u4"))
         yield from done()
 
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(run, "a long, b long, row long, key long")
