@@ -33,7 +33,7 @@ SHAPES, WORDS, EXTRA = 512, 512, 3
 DIMENSIONS = SHAPES + WORDS + EXTRA
 WORD_WEIGHT = 0.25
 MAX_LABELS, AXES, NEIGHBOURS, SHARPNESS = 6000, 32, 40, 20.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 RUNS = re.compile(r"[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+|[0-9]+")
 
 

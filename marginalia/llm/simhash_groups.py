@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", sim
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     level = keyed.join(counts, "key").select("row", "node", "key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / block_nodes).cast("long")).alias("block"), (F.col("n") > block_nodes).alias("more"))
     level = written(level, "near-level")
-    compared = written(texts.join(level.select("row").distinct(), "row", "left_semi").mapInArrow(shingles, "row long, shingles binary"), "near-shingles")
+    compared = written(texts.join(level.select("row").distinct().hint("merge"), "row", "left_semi").mapInArrow(shingles, "row long, shingles binary"), "near-shingles")
     edges, depth, told = None, 0, 0
     while True:
         rows = level.join(compared, "row").select("node", "row", "key", "block", "more", "shingles")
@@ -372,4 +372,4 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rooted = near_duplicates(numbered, similarity=similarity)
     ids = written(rooted.join(numbered.select(F.col("__row").alias("row"), F.col("doc_id").alias("real")), "row"), "dedup-groups")
     first = ids.groupBy("root").agg(F.min(F.struct(F.col("real").isNull(), "real", "row")).alias("first")).select(F.col("first.row").alias("__row"))
-    return numbered.join(first, "__row", "left_semi").select(*docs.columns)
+    return numbered.join(first.hint("merge"), "__row", "left_semi").select(*docs.columns)  # as many rows as are kept: never broadcast

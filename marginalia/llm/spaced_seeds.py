@@ -32,7 +32,7 @@ from .common import WordCache, slices, table, texts_of
 MASKS = ("110100110111", "111010010111", "111011001011", "111111110000")
 SPAN, WINDOW, IDENTITY = 12, 15, 0.8
 BLOCK_WORDS = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 SIGNS = ".,;:!?*#$%&|()[]{}\"'<>«»“”"
 RNG = np.random.default_rng(20)
 FACTORS = RNG.integers(1, 2**63, SPAN, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
