@@ -33,6 +33,7 @@ MASKS = ("110100110111", "111010010111", "111011001011", "111111110000")
 SPAN, WINDOW, IDENTITY = 12, 15, 0.8
 BLOCK_WORDS = 2_000_000
 CACHE_WORDS = 200_000
+UNKNOWN = np.int32(-1).tobytes()
 SIGNS = ".,;:!?*#$%&|()[]{}\"'<>«»“”"
 RNG = np.random.default_rng(20)
 FACTORS = RNG.integers(1, 2**63, SPAN, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,11 +81,13 @@ class Seeds:
             item = np.concatenate([np.full(len(p), k, np.int32) for k, p in zip(of, parts, strict=True)]) if parts else np.zeros(0, np.int32)
             at = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
             order = np.argsort(hashes, kind="stable")
-            bits = max(16, math.ceil(math.log2(16 * len(hashes) + 1)))
+            bits = max(20, math.ceil(math.log2(256 * len(hashes) + 1)))  # one in 256 other windows at most passes this table
             known = np.zeros(1 << bits, bool)
             known[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
             self.sets.append((places, hashes[order], item[order], at[order], known, np.uint64(64 - bits)))
-        self.cache = WordCache(lambda w: np.int32([vocabulary.get(w.lower().strip(SIGNS), -1 if w.strip(SIGNS) else -2)]).tobytes(), CACHE_WORDS)
+        packed = {w: np.int32(k).tobytes() for w, k in vocabulary.items()}
+        # signs alone are no word and leave nothing
+        self.cache = WordCache(lambda w: packed.get(x, UNKNOWN) if (x := w.strip(SIGNS)) else b"", CACHE_WORDS)
 
     def __reduce__(self):
         return _seeds, ([(i, " ".join(self._text(w))) for i, w in zip(self.items, self.words, strict=True)],)
@@ -94,33 +97,42 @@ class Seeds:
             self._names = {k: w for w, k in self.vocabulary.items()}
         return [self._names[k] for k in ids.tolist()]
 
-    def search(self, text: str, window: int = WINDOW) -> Overlap | None:
-        """The best overlap of the text with an item."""
-        words = text.split()
-        if not words or not self.items:
-            return None
-        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), np.int32)
-        ids = ids[ids != -2]  # signs alone are no words
-        places, hits = set(), 0
-        for mask, hashes, item, at, known, shift in self.sets:
-            h = seed_hashes(ids, mask)
-            for i in np.flatnonzero(known[(h >> shift).astype(np.int64)]).tolist():
-                lo, hi = np.searchsorted(hashes, h[i], "left"), np.searchsorted(hashes, h[i], "right")
-                hits += int(hi > lo)
-                places.update(zip(item[lo:hi].tolist(), (i - at[lo:hi]).tolist(), strict=True))
-        best = None
-        for k, shift in sorted(places):
-            item = self.words[k]
-            lo, hi = max(0, -shift), min(len(item), len(ids) - shift)
+    def search(self, texts: list[str], window: int = WINDOW) -> list[Overlap | None]:
+        """The best overlap of each text with an item. All texts are hashed as one row of words, parted by SPAN unknown
+        words, so that numpy works on long arrays."""
+        out: list[Overlap | None] = [None] * len(texts)
+        if not self.items:
+            return out
+        known_words = self.cache.__getitem__
+        parts = [b"".join(map(known_words, t.lower().split())) for t in texts]
+        sizes = np.array([len(p) // 4 for p in parts])
+        starts = np.cumsum(sizes + SPAN) - sizes - SPAN
+        ids = np.frombuffer((UNKNOWN * SPAN).join(parts) + UNKNOWN * SPAN, np.int32)
+        triples, hits = [], np.zeros(len(texts), np.int64)
+        for places, hashes, item, at, known, shift in self.sets:
+            h = seed_hashes(ids, places)
+            where = np.flatnonzero(known[(h >> shift).astype(np.int64)])
+            lo, hi = np.searchsorted(hashes, h[where], "left"), np.searchsorted(hashes, h[where], "right")
+            where, lo, n = where[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            if len(where):
+                doc = np.searchsorted(starts, where, "right") - 1
+                hits += np.bincount(doc, minlength=len(texts))
+                each = np.repeat(np.arange(len(where)), n)
+                place = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                triples.append(np.stack([doc[each], item[place], where[each] - at[place]], axis=1))
+        for doc, k, begin in np.unique(np.concatenate(triples), axis=0).tolist() if triples else []:
+            item, first, last = self.words[k], int(starts[doc]), int(starts[doc] + sizes[doc])
+            lo, hi = max(0, first - begin), min(len(item), last - begin)
             same = np.zeros(len(item), np.int32)
-            same[lo:hi] = item[lo:hi] == ids[lo + shift : hi + shift]
+            if lo < hi:
+                same[lo:hi] = item[lo:hi] == ids[begin + lo : begin + hi]
             n = min(window, len(item))
             sums = np.concatenate([[0], np.cumsum(same)])
-            agree = int((sums[n:] - sums[:-n]).max())
-            new = Overlap(self.items[k], agree, n, hits)
-            if best is None or (agree / n, -new.item) > (best.agree / best.window, -best.item):
-                best = new
-        return best
+            new = Overlap(self.items[k], int((sums[n:] - sums[:-n]).max()), n, int(hits[doc]))
+            best = out[doc]
+            if best is None or (new.agree / n, -new.item) > (best.agree / best.window, -best.item):
+                out[doc] = new
+        return out
 
 
 def _seeds(items: list[tuple[int, str]]) -> Seeds:
@@ -149,8 +161,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 1000, text=names[place]):
                 got = [b.column(len(fields) + i).to_pylist() for i in range(4)]
-                for i, t in enumerate(texts_of(b, names[place])):
-                    if new := shared.value.search(t):
+                for i, new in enumerate(shared.value.search(texts_of(b, names[place]))):
+                    if new:
                         item, agree, window, hits = (c[i] for c in got)
                         if item is None or (new.agree / new.window, -new.item) > (agree / window, -item):
                             got[0][i], got[1][i], got[2][i] = new.item, new.agree, new.window
