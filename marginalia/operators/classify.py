@@ -54,12 +54,12 @@ def classification_stats(assigned: DataFrame, groups: DataFrame) -> DataFrame:
 
 def group_stats(assigned: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents, citations, mean and years per group."""
-    rows = assigned.where("group_id IS NOT NULL").select("document_id", "group_id").distinct().join(docs.select(F.col("id").alias("document_id"), cites.alias("cited"), "year"), "document_id")
+    rows = assigned.where("group_id IS NOT NULL").select("document_id", "group_id").distinct().join(docs.select(F.col("id").alias("document_id"), cites().alias("cited"), "year"), "document_id")
     return rows.groupBy("group_id").agg(F.count("*").alias("doc_count"), long_sum(F.col("cited")).alias("citations"), F.round(F.avg("cited"), 1).alias("avg_citations"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
 def group_top_documents(assigned: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
-    rows = assigned.where("group_id IS NOT NULL").select("document_id", "group_id").distinct().join(docs.select(F.col("id").alias("document_id"), cites.alias("cited")), "document_id")
+    rows = assigned.where("group_id IS NOT NULL").select("document_id", "group_id").distinct().join(docs.select(F.col("id").alias("document_id"), cites().alias("cited")), "document_id")
     rank = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("cited"), "document_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 

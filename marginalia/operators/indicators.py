@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marginalia.operators.identity import keyword_labels
 
-cites = F.coalesce(F.col("cited_by"), F.lit(0))
+def cites() -> Column:
+    return F.coalesce(F.col("cited_by"), F.lit(0))
 
 
 def long_sum(c: Column) -> Column:
@@ -21,26 +22,27 @@ def filled_years(years: DataFrame, zero: list[str]) -> DataFrame:
 
 
 def annual_production(docs: DataFrame) -> DataFrame:
-    per = docs.where("year IS NOT NULL").groupBy("year").agg(F.count("*").alias("doc_count"), long_sum(cites).alias("citations"))
+    per = docs.where("year IS NOT NULL").groupBy("year").agg(F.count("*").alias("doc_count"), long_sum(cites()).alias("citations"))
     return filled_years(per, ["doc_count", "citations"])
 
 
-by_year = Window.orderBy("year")  # over a row a year
+def by_year() -> Window:
+    return Window.orderBy("year")  # over a row a year
 
 
 def growth_rate(docs: DataFrame) -> DataFrame:
-    before = F.lag("doc_count").over(by_year)
+    before = F.lag("doc_count").over(by_year())
     return annual_production(docs).select("year", "doc_count", F.when(before > 0, F.round((F.col("doc_count") - before) / before * 100, 1)).alias("growth"))
 
 
 def annual_detail(docs: DataFrame) -> DataFrame:
-    n, before = F.col("doc_count"), F.lag("doc_count").over(by_year)
+    n, before = F.col("doc_count"), F.lag("doc_count").over(by_year())
     return annual_production(docs).select(
         "year", "doc_count", "citations",
         F.when(n > 0, F.round(F.col("citations") / n, 1)).otherwise(F.lit(0.0)).alias("avg_citations"),
-        F.sum("doc_count").over(by_year.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"),
+        F.sum("doc_count").over(by_year().rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"),
         F.when(before > 0, F.round((n - before) / before * 100, 1)).alias("growth"),
-        F.when(F.row_number().over(by_year) >= 3, F.round(F.avg("doc_count").over(by_year.rowsBetween(-2, 0)), 1)).alias("moving_avg"),
+        F.when(F.row_number().over(by_year()) >= 3, F.round(F.avg("doc_count").over(by_year().rowsBetween(-2, 0)), 1)).alias("moving_avg"),
     )
 
 
@@ -101,7 +103,7 @@ def distribution(docs: DataFrame, column: str, limit: int = 10) -> DataFrame:
 def summary(docs: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFrame:
     open_ = F.col("open_access_status").isNotNull() & ~F.col("open_access_status").isin("closed", "")
     one = docs.agg(
-        F.count("*").alias("documents"), F.coalesce(long_sum(F.col("cited_by")), F.lit(0)).alias("citations"), F.round(F.avg(cites), 2).alias("avg_citations"),
+        F.count("*").alias("documents"), F.coalesce(long_sum(F.col("cited_by")), F.lit(0)).alias("citations"), F.round(F.avg(cites()), 2).alias("avg_citations"),
         F.countDistinct(F.when(F.col("source_title") != "", F.col("source_title"))).alias("sources"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
         F.count(F.when(open_, 1)).alias("open_access"))
     return one.crossJoin(pairs.agg(F.countDistinct("author").alias("authors"))).crossJoin(words.agg(F.countDistinct("keyword").alias("keywords")))  # one row each
@@ -114,7 +116,7 @@ def collaboration_index(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def author_indices(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """author, h_index, g_index: both are the last rank of a passing prefix, so the greatest rank that passes."""
-    rows = pairs.join(docs.select(F.col("id").alias("document_id"), cites.alias("cited")), "document_id")
+    rows = pairs.join(docs.select(F.col("id").alias("document_id"), cites().alias("cited")), "document_id")
     rank = Window.partitionBy("author").orderBy(F.desc("cited"), "document_id")
     rows = rows.select("author", "cited", F.row_number().over(rank).alias("rn"), F.sum("cited").over(rank.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
     best = lambda ok: F.coalesce(F.max(F.when(ok, F.col("rn"))), F.lit(0)).cast("long")
@@ -132,7 +134,7 @@ def authors_report(pairs: DataFrame, docs: DataFrame, authors: DataFrame, limit:
     names = authors.select(F.col("id").alias("author"), F.col("preferred_name").alias("name"))
     if search:
         names, limit = names.where(F.col("name").contains(search.strip())), 250
-    rows = pairs.join(docs.select(F.col("id").alias("document_id"), cites.alias("cited"), "year"), "document_id")
+    rows = pairs.join(docs.select(F.col("id").alias("document_id"), cites().alias("cited"), "year"), "document_id")
     per = rows.groupBy("author").agg(F.count("*").alias("doc_count"), long_sum(F.col("cited")).alias("citations"), F.round(F.avg("cited"), 1).alias("avg_citations"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     top = per.join(names, "author").orderBy(F.desc("doc_count"), F.desc("citations"), "author").limit(limit)
     return top.join(author_indices(pairs.join(top.select("author"), "author", "left_semi"), docs), "author")
@@ -153,14 +155,14 @@ def keywords_report(links: DataFrame, docs: DataFrame, keywords: DataFrame, conc
 def sources_report(docs: DataFrame, limit: int = 100) -> DataFrame:
     return (
         docs.where("source_title IS NOT NULL AND source_title <> ''").groupBy("source_title")
-        .agg(F.max("issn").alias("issn"), F.min("qualis").alias("best_stratum"), F.count("*").alias("doc_count"), long_sum(cites).alias("citations"))
+        .agg(F.max("issn").alias("issn"), F.min("qualis").alias("best_stratum"), F.count("*").alias("doc_count"), long_sum(cites()).alias("citations"))
         .orderBy(F.desc("doc_count"), F.desc("citations"), "source_title").limit(limit)
     )
 
 
 def bradford(docs: DataFrame) -> DataFrame:
     """Zones of sources by documents. One row a source goes through the window; documents are summed before it."""
-    per = docs.where("source_title IS NOT NULL AND source_title <> ''").groupBy("source_title").agg(F.count("*").alias("doc_count"), long_sum(cites).alias("citations"))
+    per = docs.where("source_title IS NOT NULL AND source_title <> ''").groupBy("source_title").agg(F.count("*").alias("doc_count"), long_sum(cites()).alias("citations"))
     order = Window.orderBy(F.desc("doc_count"), F.desc("citations"), "source_title")
     rows = per.withColumns({"rank": F.row_number().over(order), "cumulative": F.sum("doc_count").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("doc_count").over(Window.partitionBy())})
     zone = F.when((F.col("rank") == 1) | (F.col("cumulative") <= F.round(F.col("total") * 0.33)), 1).when(F.col("cumulative") <= F.round(F.col("total") * 0.67), 2).otherwise(3)
@@ -177,13 +179,13 @@ def qualis_distribution(docs: DataFrame) -> DataFrame:
 def entity_report(links: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """Documents, citations and mean per label; each (label, document) counts once before anything is summed."""
     pairs = links.select("document_id", key).where(F.col(key).isNotNull()).distinct()
-    rows = pairs.join(docs.select(F.col("id").alias("document_id"), cites.alias("cited")), "document_id")
+    rows = pairs.join(docs.select(F.col("id").alias("document_id"), cites().alias("cited")), "document_id")
     return rows.groupBy(key).agg(F.count("*").alias("doc_count"), long_sum(F.col("cited")).alias("citations"), F.round(F.avg("cited"), 1).alias("avg_citations"))
 
 
 def documents_report(docs: DataFrame, author_links: DataFrame, authors: DataFrame, countries: DataFrame, limit: int = 100) -> DataFrame:
     """The most cited documents, then their author and country strings: links are joined with the few top rows only."""
-    top = docs.orderBy(F.desc(cites), "id").limit(limit).select(F.col("id").alias("document_id"), "year", "source_title", cites.alias("cited"))
+    top = docs.orderBy(F.desc(cites()), "id").limit(limit).select(F.col("id").alias("document_id"), "year", "source_title", cites().alias("cited"))
     names = author_string(author_links.join(top.select("document_id"), "document_id", "left_semi"), authors)
     places = countries.join(top.select("document_id"), "document_id", "left_semi").groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("country")), ", ").alias("countries"))
     return top.join(names, "document_id", "left").join(places, "document_id", "left")
