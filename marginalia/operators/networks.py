@@ -150,7 +150,7 @@ def clusters(edges: DataFrame, weight: str = "strength", method: str = "louvain"
         yield pd.DataFrame({"id": list(found), "cluster": list(found.values())}, dtype="int64")
 
     few = edges.select("source", "target", F.col(weight).cast("double").alias("w")).where("w > 0")
-    return few.coalesce(1).mapInPandas(run, "id long, cluster long")
+    return few.repartition(1).mapInPandas(run, "id long, cluster long")
 
 
 def theme_metrics(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -167,8 +167,9 @@ def theme_metrics(edges: DataFrame, members: DataFrame) -> DataFrame:
 def thematic_map(words: DataFrame, labels: DataFrame, limit: int = 100, min_docs: int = 2) -> DataFrame:
     """Themes with centrality, density, size and the label of their most frequent keyword."""
     nodes = top_nodes(words, "keyword", limit, min_docs)
-    edges = association(co_edges(words, nodes, "keyword"), nodes, "keyword").where("strength > 0")
-    members = clusters(edges)
+    # few rows, by the limit on nodes, that several steps read
+    edges = association(co_edges(words, nodes, "keyword"), nodes, "keyword").where("strength > 0").persist()
+    members = clusters(edges).persist()
     named = members.join(nodes.withColumnRenamed("keyword", "id"), "id").join(labels.withColumnRenamed("keyword", "id"), "id")
     top = named.groupBy("cluster").agg(F.min_by("label", F.struct(-F.col("doc_count"), F.col("id"))).alias("label"), F.sum("doc_count").alias("doc_count"))
     return theme_metrics(edges, members).join(top, "cluster")
@@ -181,7 +182,7 @@ def thematic_evolution(words: DataFrame, docs: DataFrame, labels: DataFrame, cut
     for side in (dated.where(F.col("year") <= cutoff), dated.where(F.col("year") > cutoff)):
         pairs = side.select("document_id", "keyword")
         nodes = top_nodes(pairs, "keyword", limit, 2)
-        sides.append(clusters(association(co_edges(pairs, nodes, "keyword"), nodes, "keyword")))
+        sides.append(clusters(association(co_edges(pairs, nodes, "keyword"), nodes, "keyword")).persist())  # a row a node
     sized = [s.groupBy("cluster").agg(F.count("*").alias("n")) for s in sides]
     both = sides[0].select("id", F.col("cluster").alias("before")).join(sides[1].select("id", F.col("cluster").alias("after")), "id").groupBy("before", "after").agg(F.count("*").alias("shared"))
     out = both.join(sized[0].toDF("before", "n_before"), "before").join(sized[1].toDF("after", "n_after"), "after")

@@ -15,7 +15,7 @@ SCALARS = ("source", "external_id", "title", "abstract", "year", "document_type"
 LISTS = ("author_names", "author_keywords", "indexed_keywords", "affiliations", "references", "countries", "institutions")
 NUMBERS = ("year", "cited_by")
 #: Stems that mark the part of an affiliation that names an institution.
-INSTITUTION_STEMS = ("univ", "inst", "college", "school", "hosp", "center", "centre", "acad", "lab", "faculd", "escola", "minist", "embrapa", "fund", "polytech", "corp", "council", "agency")
+INSTITUTION_STEMS = ("universi", "colleg", "institut", "school", "hospital", "center", "centre", "clinic", "laboratory", "lab", "foundation", "fundacao", "embrapa", "cnpq", "usp", "unicamp", "unesp", "ufscar")
 
 
 def bare(c: Column) -> Column:
@@ -43,14 +43,17 @@ def listed(c: Column, sep: str) -> Column:
 
 
 def country_of(affiliation: Column) -> Column:
-    last = F.trim(F.regexp_replace(F.element_at(F.split(affiliation, ","), -1), r"\.$", ""))
-    return F.when(last.rlike(r"^[A-Z]{2} \d{5}(-\d{4})? USA$") | last.rlike(r"\bUSA$"), "USA").when(last == "Peoples R China", "China").otherwise(F.nullif(last, F.lit("")))
+    """The last part between commas, unless it is shorter than three letters; a US state and ZIP code give USA."""
+    last = bare(F.element_at(F.split(affiliation, ","), -1))
+    us = last.rlike(r"(?i)^[A-Z]{2}\s+\d{5}(?:-\d{4})?\s+(USA|US|U\.S\.A\.)$")
+    return F.when(us, "USA").when(F.lower(last) == "peoples r china", "China").when(F.length(last) > 2, last)
 
 
 def institution_of(affiliation: Column) -> Column:
-    parts = F.transform(F.split(affiliation, ","), bare)
+    """The first part that holds a stem and has 4 to 99 letters."""
+    parts = F.transform(F.split(affiliation, ","), lambda x: F.regexp_replace(bare(x), r"\s+", " "))
     stems = "|".join(INSTITUTION_STEMS)
-    return F.get(F.filter(parts, lambda x: F.lower(x).rlike(stems)), F.lit(0))
+    return F.get(F.filter(parts, lambda x: F.lower(x).rlike(stems) & F.length(x).between(4, 99)), F.lit(0))
 
 
 # ---- tagged text ----
