@@ -69,6 +69,23 @@ def _mapped(f: Callable[[str], str]) -> Callable[[str], Column]:
 clean_display_udf, normalize_udf = _mapped(clean_display), _mapped(normalize)
 
 
+def entities(c: Column) -> Column:
+    """With HTML entities decoded."""
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else html.unescape(x))
+
+    return F.pandas_udf(run, "string")(c)
+
+
+def without_tags(c: Column) -> Column:
+    return F.regexp_replace(c, "</?[A-Za-z!][^<>]*>", "")
+
+
+def safe_url(c: Column) -> Column:
+    """Addresses of the web only."""
+    return F.when(c.rlike("(?i)^https?://"), c)
+
+
 def safe_cell(c: Column) -> Column:
     """A CSV cell that no spreadsheet takes for a formula: ' goes before = + - @ tab and CR unless it is a number."""
     return F.when(c.rlike(r"\A[=+\-@\t\r]") & ~c.rlike(r"\A[+-]?\d+([.,]\d+)?\z"), F.concat(F.lit("'"), c)).otherwise(c)

@@ -77,3 +77,78 @@ def similar_text(a: str, b: str) -> int:
             if k > best:
                 best, at, bt = k, i, j
     return best and best + similar_text(a[:at], b[:bt]) + similar_text(a[at + best :], b[bt + best :])
+
+
+def pair_score(a: Column, b: Column, least: float = 0.0) -> Column:
+    """1 for texts equal in lower case, 0.98 for texts equal but for signs, else 1 - distance / longer length; null
+    where that is below `least`."""
+    longer = F.greatest(F.length(a), F.length(b))
+    bare = lambda x: F.regexp_replace(x, "[^a-z0-9 ]", "")
+    score = F.when(a == b, 1.0).when(bare(a) == bare(b), 0.98).otherwise(1 - F.levenshtein(a, b) / longer)
+    return F.when(score >= least, score)
+
+
+def similar_keywords(rows: DataFrame, threshold: float = 0.85, limit: int = 5000) -> DataFrame:
+    """keep, discard, similarity (percent), match_type of rows(id, term, doc_count) with the same first four bytes: above
+    the threshold, or one the other's plural in s or es. The one with more documents stays, of equal ones the first term.
+    Lengths that can't reach the threshold are left out before any distance is taken; equal terms meet once as one."""
+    low = F.lower(F.trim("term"))
+    own = rows.select("id", "term", "doc_count", low.alias("low"), F.substring(F.encode(low, "utf-8"), 1, 4).alias("block"))
+    a, b = (own.select("block", *(F.col(c).alias(f"{c}{k}") for c in ("id", "term", "doc_count", "low"))) for k in (1, 2))
+    plural = (F.concat("low1", F.lit("s")) == F.col("low2")) | (F.concat("low2", F.lit("s")) == F.col("low1")) | (F.concat("low1", F.lit("es")) == F.col("low2")) | (F.concat("low2", F.lit("es")) == F.col("low1"))
+    before = (F.col("term1") < F.col("term2")) | ((F.col("term1") == F.col("term2")) & (F.col("id1") < F.col("id2")))
+    bare = lambda x: F.regexp_replace(x, "[^a-z0-9 ]", "")
+    reach = F.least(F.length("low1"), F.length("low2")) >= F.greatest(F.length("low1"), F.length("low2")) * threshold - 1e-9
+    pairs = a.join(b, "block").where(before).where(reach | plural | (bare(F.col("low1")) == bare(F.col("low2")))).withColumn("plural", plural)
+    pairs = pairs.withColumn("score", pair_score(F.col("low1"), F.col("low2"))).where(F.col("plural") | (F.col("score") >= threshold))
+    first = F.col("doc_count1") >= F.col("doc_count2")
+    out = pairs.select(F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("keep"), F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("discard"), F.round(F.col("score") * 100, 1).alias("similarity"), F.when(F.col("plural"), "plural").otherwise("same_type").alias("match_type"))
+    return out.orderBy(F.desc("similarity"), "keep", "discard").limit(limit)  # the report's top
+
+
+def duplicate_documents(docs: DataFrame, threshold: float = 0.85, limit: int = 100) -> DataFrame:
+    """keep, discard, similarity (percent) of docs(id, title, year, doi, cited_by) of one year with similar titles; byte
+    lengths must be within the threshold. The first by title and id stays if it alone has a DOI or is cited no less.
+
+    Not all titles of a year are compared. Cut into one more piece than the edits that the threshold allows, the longer
+    of two similar titles has a piece that the other one holds unchanged, at most so many places away; titles meet by
+    such pieces.
+    """
+    own = docs.where("year IS NOT NULL AND title IS NOT NULL").select("id", "title", "year", "doi", F.coalesce("cited_by", F.lit(-1)).alias("cited"), F.lower("title").alias("low"), F.octet_length("title").alias("bytes"))
+    own = own.withColumn("size", F.length("low")).withColumn("bare", F.regexp_replace("low", "[^a-z0-9 ]", ""))
+    long = own.select("year", F.col("id").alias("id1"), F.col("size").alias("size1"), F.inline(_pieces(F.col("low"), F.col("size"), threshold)))
+    short = own.select("year", F.col("id").alias("id2"), F.col("size").alias("size2"), F.inline(_parts(F.col("low"), F.col("size"), threshold)).alias("at2", "piece"))
+    edits = F.floor(F.col("size1") * (1 - threshold) + 1e-9)
+    met = long.join(short, ["year", "piece"]).where((F.col("id1") != F.col("id2")) & (F.col("size2") <= F.col("size1")) & (F.col("size1") - F.col("size2") <= edits) & (F.abs(F.col("at") - F.col("at2")) <= edits))
+    same = own.select("year", "bare", F.col("id").alias("id1")).join(own.select("year", "bare", F.col("id").alias("id2")), ["year", "bare"]).where("id1 < id2")
+    ids = met.select("id1", "id2").union(same.select("id1", "id2")).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
+    a, b = (own.select(*(F.col(c).alias(f"{c}{k}") for c in ("id", "title", "doi", "cited", "low", "bytes"))) for k in (1, 2))
+    near = F.abs(F.col("bytes1") - F.col("bytes2")) <= F.greatest("bytes1", "bytes2") * (1 - threshold) + 1e-9
+    pairs = ids.join(a, "id1").join(b, "id2").where(near).withColumn("score", pair_score(F.col("low1"), F.col("low2"), threshold)).where("score IS NOT NULL")
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    ahead = (F.col("title1") < F.col("title2")) | ((F.col("title1") == F.col("title2")) & (F.col("id1") < F.col("id2")))
+    side = lambda k, o: (has(f"doi{k}") & ~has(f"doi{o}")) | (F.col(f"cited{k}") >= F.col(f"cited{o}"))
+    first = F.when(ahead, side(1, 2)).otherwise(~side(2, 1))
+    out = pairs.select(F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("keep"), F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("discard"), F.round(F.col("score") * 100, 1).alias("similarity"))
+    return out.orderBy(F.desc("similarity"), "keep", "discard").limit(limit)  # the report's top
+
+
+def _count(size: Column, threshold: float) -> Column:
+    """Pieces that a title of this length is cut into."""
+    return (F.floor(size * (1 - threshold) + 1e-9) + 1).cast("int")
+
+
+def _pieces(low: Column, size: Column, threshold: float) -> Column:
+    """array<struct<at, piece>>: so many pieces of equal length; what is left at the end belongs to none."""
+    n = _count(size, threshold)
+    width = F.floor(size / n).cast("int")
+    cut = lambda i: F.struct((i * width + 1).alias("at"), F.substr(low, i * width + 1, width).alias("piece"))
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0), n - 1), cut))
+
+
+def _parts(low: Column, size: Column, threshold: float) -> Column:
+    """array<struct<at, piece>>: every part of the title that may be a piece of one that is as long or longer."""
+    longer = F.sequence(size, F.floor(size / threshold + 1e-9).cast("int"))
+    widths = F.array_distinct(F.transform(longer, lambda x: F.floor(x / _count(x, threshold)).cast("int")))
+    of_width = lambda w: F.transform(F.sequence(F.lit(1), size - w + 1), lambda i: F.struct(i.alias("at"), F.substr(low, i, w).alias("piece")))
+    return F.when(size > 0, F.flatten(F.transform(F.filter(widths, lambda w: w <= size), of_width)))

@@ -12,7 +12,9 @@ from marginalia.operators import identity as D
 from marginalia.operators import importing as M
 from marginalia.operators import indicators as I
 from marginalia.operators import networks as N
+from marginalia.operators import enrichment as E
 from marginalia.operators import similarity as S
+from marginalia.operators import treatment as T
 from marginalia.plans.corpus import Corpus, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -637,3 +639,162 @@ def clean_texts(c):
 
     docs = c.source("documents")
     return docs.select("doc_id", F.md5(clean_display_udf("text")).alias("display_md5"), F.md5(normalize_udf("text")).alias("normal_md5"))
+
+
+# ---- treatment and enrichment ----
+
+
+@query()
+def dup_documents(c):
+    return S.duplicate_documents(c.documents.join(c.titles.withColumnRenamed("document_id", "id"), "id"))
+
+
+@query("""WITH k AS (SELECT k.id, k.display AS term, count(DISTINCT e.document_id) AS n FROM {keyword} k JOIN {dk} e ON e.keyword = k.id WHERE k.type = 'author_keyword' AND k.thesaurus_concept_id IS NULL GROUP BY 1, 2),
+ p AS (SELECT a.id AS id1, b.id AS id2, a.n AS n1, b.n AS n2, CASE WHEN a.term = b.term THEN 1 ELSE 1 - levenshtein(a.term, b.term) / greatest(length(a.term), length(b.term)) END AS s
+  FROM k a JOIN k b ON left(a.term, 4) = left(b.term, 4) AND (a.term < b.term OR (a.term = b.term AND a.id < b.id)))
+ SELECT CASE WHEN n1 >= n2 THEN id1 ELSE id2 END AS keep, CASE WHEN n1 >= n2 THEN id2 ELSE id1 END AS discard, round(s * 100, 1) AS similarity, 'same_type' AS match_type FROM p WHERE s >= 0.85 ORDER BY 3 DESC, 1, 2 LIMIT 5000""")
+def similar_keywords(c):
+    own = c.view("keyword").where("type = 'author_keyword' AND thesaurus_concept_id IS NULL").select("id", F.col("display").alias("term"))
+    docs = c.document_keywords.groupBy(F.col("keyword").alias("id")).agg(F.countDistinct("document_id").alias("doc_count"))
+    return S.similar_keywords(own.join(docs, "id"))
+
+
+#: How the raw forms that are treated are made of the tables' names, for Spark and DuckDB alike.
+RAW_KEYWORDS = """SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN concat(' ', upper(substr(p_name, 1, 1)), substr(p_name, 2), '.') WHEN 1 THEN concat(p_name, ' 2') WHEN 2 THEN '[12]' WHEN 3 THEN p_name ELSE concat(p_name, 's') END AS original,
+ p_name AS display, CASE p_size % 5 WHEN 4 THEN concat(p_name, 's') ELSE p_name END AS normalized, CASE p_size % 2 WHEN 0 THEN 'author_keyword' ELSE 'indexed_keyword' END AS type, CASE p_partkey % 7 WHEN 0 THEN 0 ELSE 1 END AS status FROM {part}"""
+RAW_PLACES = """SELECT l_orderkey AS document_id, CASE l_suppkey % 6 WHEN 0 THEN n_name WHEN 1 THEN 'ny 10027 USA' WHEN 2 THEN 'TX' WHEN 3 THEN concat('City ', CAST(l_suppkey % 5 AS STRING)) WHEN 4 THEN concat('State ', CAST(l_suppkey % 4 AS STRING)) ELSE 'UK' END AS raw
+ FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey"""
+RAW_HOUSES = """SELECT l_orderkey AS document_id, CASE l_suppkey % 6 WHEN 0 THEN concat('INSTITUTION  ', CAST(l_suppkey % 50 AS STRING)) WHEN 1 THEN concat('Unit ', CAST(l_suppkey % 9 AS STRING)) WHEN 2 THEN '12 Main St' WHEN 3 THEN concat('Company ', CAST(l_suppkey % 5 AS STRING))
+ WHEN 4 THEN concat('Inst. ', CAST(l_suppkey % 60 AS STRING)) ELSE 'Institution of nothing' END AS raw FROM {lineitem}"""
+
+
+def _raw(c: Corpus, sql: str) -> DataFrame:
+    return c.spark.sql(sql, **{n: c.view(n) for n in ("part", "lineitem", "supplier", "nation") if f"{{{n}}}" in sql})
+
+
+def _raw_keywords(c: Corpus) -> DataFrame:
+    return _raw(c, RAW_KEYWORDS)
+
+
+@query(f"""WITH k AS ({RAW_KEYWORDS}), f AS (SELECT *, original <> '[12]' AS valid, trim(trim(lower(original)), '.') AS nd FROM k), d AS (SELECT *, regexp_replace(nd, '^new ', 'New ') AS shown, valid AND (regexp_replace(nd, '^new ', 'New ') <> display OR nd <> normalized) AS dirty FROM f),
+ g AS (SELECT type, nd, min(id) AS gets FROM d WHERE dirty GROUP BY 1, 2), h AS (SELECT type, normalized, min(id) AS h1, max(id) AS h2 FROM k GROUP BY 1, 2),
+ m AS (SELECT d.*, CASE WHEN dirty THEN coalesce(nullif(h1, id), nullif(h2, id), CASE WHEN gets < id THEN gets END) END AS merged_into FROM d LEFT JOIN g ON g.type = d.type AND g.nd = d.nd LEFT JOIN h ON h.type = d.type AND h.normalized = d.nd)
+ SELECT id, type, CASE WHEN NOT valid THEN 'invalid' WHEN merged_into IS NOT NULL THEN 'merged' WHEN dirty THEN 'cleaned' ELSE 'kept' END AS action, CASE WHEN NOT valid THEN 'numeric_reference' END AS reason,
+  CASE WHEN valid THEN shown ELSE '' END AS new_display, CASE WHEN valid THEN nd ELSE '' END AS new_normalized, merged_into, CASE WHEN valid AND contains(nd, '2') THEN 'contains_number' END AS review_reasons FROM m""")
+def kw_clean(c):
+    return T.cleaned_keywords(_raw_keywords(c))
+
+
+@query(f"""WITH k AS ({RAW_KEYWORDS}), s AS (SELECT count(*) AS n FROM (SELECT normalized FROM k GROUP BY 1 HAVING count(*) > 1)), v AS (SELECT k.*, r.thesaurus_concept_id, r.keyword_concept_id FROM k JOIN {{keyword}} r ON r.id = k.id),
+ l AS (SELECT count(*) AS links, count(DISTINCT document_id) AS documents FROM {{document_keyword}})
+ SELECT count(*) AS total, 0 AS no_display, 0 AS no_normalized, count(CASE WHEN original LIKE ' %' OR original = '[12]' THEN 1 END) AS dirty, count(CASE WHEN original = '[12]' THEN 1 END) AS invalid, count(CASE WHEN original LIKE '% 2' THEN 1 END) AS suspicious,
+  count(CASE WHEN thesaurus_concept_id IS NULL THEN 1 END) AS no_concept, count(thesaurus_concept_id) AS with_concept, count(CASE WHEN thesaurus_concept_id IS NULL AND keyword_concept_id IS NOT NULL THEN 1 END) AS keyword_concept,
+  count(CASE WHEN type = 'author_keyword' THEN 1 END) AS author_keywords, count(CASE WHEN type = 'indexed_keyword' THEN 1 END) AS indexed_keywords, any_value(s.n) AS duplicates, any_value(links) AS links, any_value(documents) AS documents FROM v, s, l""")
+def kw_diagnosis(c):
+    """Of the raw forms, as no other form is kept for them."""
+    own = _raw_keywords(c).withColumn("display", F.col("original")).join(c.view("keyword").select("id", "thesaurus_concept_id", "keyword_concept_id"), "id")
+    return T.diagnosis(own, c.view("document_keyword"))
+
+
+@query()
+def thesaurus_match(c):
+    concepts = c.view("concept").select("id", F.lower("label").alias("normalized"), "label")
+    other = concepts.select(F.concat("normalized", F.lit("es")).alias("normalized"), F.concat("label", F.lit("es")).alias("label"), F.col("id").alias("concept_id"))
+    return T.thesaurus_matches(_raw_keywords(c), other, concepts)
+
+
+@query()
+def fuzzy_score(c):
+    """Of every raw keyword and its name."""
+    rows = _raw_keywords(c)
+    return rows.select("id", F.round(T.fuzzy_score(F.col("normalized"), F.col("display"), F.col("normalized"), F.col("display")), 6).alias("score"))
+
+
+@query(f"""WITH k AS ({RAW_KEYWORDS}), a AS (SELECT normalized, type, min(id) AS suggestion FROM k WHERE status = 1 GROUP BY 1, 2) SELECT k.id, k.normalized, k.type, a.suggestion FROM (SELECT * FROM k WHERE status = 0 ORDER BY id LIMIT 100) k LEFT JOIN a ON a.normalized = k.normalized AND a.type = k.type""")
+def review_suggestions(c):
+    return T.review_suggestions(_raw_keywords(c), ["normalized", "type"])
+
+
+@query("""WITH a AS (SELECT s_suppkey AS id, concat('supplier ', CAST(s_suppkey % 40 AS VARCHAR)) AS key, CAST(s_suppkey % 3 > 0 AS INT) AS status FROM supplier), d AS (SELECT author_id, count(DISTINCT document_id) AS n FROM {document_author} GROUP BY 1),
+ r AS (SELECT id, key, row_number() OVER w AS rn, first_value(id) OVER w AS master, count(*) OVER (PARTITION BY key) AS m FROM a LEFT JOIN d ON author_id = id WINDOW w AS (PARTITION BY key ORDER BY coalesce(n, 0) DESC, status DESC, id))
+ SELECT id, master, key FROM r WHERE m > 1""")
+def author_masters(c):
+    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "SUPPLIER, ").otherwise("Supplier "), (F.col("s_suppkey") % 40).cast("string"))
+    return T.author_masters(c.source("supplier").select(F.col("s_suppkey").alias("id"), name.alias("preferred_name"), F.lit("").alias("normalized"), (F.col("s_suppkey") % 3 > 0).cast("int").alias("status")), c.view("document_author"))
+
+
+@query("""SELECT d.id, d.year, t.title, count(*) OVER () AS total, count(*) OVER () > 70 AS has_more FROM {doc} d JOIN {title} t ON t.document_id = d.id WHERE d.year = 1998 ORDER BY t.title, d.id LIMIT 50 OFFSET 20""")
+def work_list(c):
+    rows = c.documents.where("year = 1998").join(c.titles.withColumnRenamed("document_id", "id"), "id").select("id", "year", "title")
+    return T.page(rows, [F.desc("year"), "title", "id"], 50, 20)
+
+
+@query("""SELECT e.document_id, coalesce(c.label, nullif(n.display, ''), k.display, k.original) AS label, coalesce(nullif(k.display, ''), k.original) AS plain_label FROM {document_keyword} e JOIN {doc} d ON d.id = e.document_id JOIN {keyword} k ON k.id = e.keyword_id
+ LEFT JOIN {concept} c ON c.id = k.thesaurus_concept_id LEFT JOIN {keyword} n ON n.id = k.keyword_concept_id""")
+def matrix_label(c):
+    """A keyword's label with the thesaurus (concept, grouping keyword, own form) and without."""
+    k = c.view("keyword")
+    own = F.coalesce(F.nullif("display", F.lit("")), "original")
+    rows = k.select(F.col("id").alias("keyword_id"), own.alias("plain_label"), "keyword_concept_id", "thesaurus_concept_id")
+    rows = rows.join(c.view("concept").select(F.col("id").alias("thesaurus_concept_id"), F.col("label").alias("preferred")), "thesaurus_concept_id", "left").join(k.select(F.col("id").alias("keyword_concept_id"), F.nullif("display", F.lit("")).alias("grouped")), "keyword_concept_id", "left")
+    return c.of_project("document_keyword").join(rows, "keyword_id").select("document_id", F.coalesce("preferred", "grouped", "plain_label").alias("label"), "plain_label")
+
+
+def _houses(c: Corpus) -> DataFrame:
+    s = c.source("supplier").select(F.col("s_suppkey").alias("k"))
+    named = lambda kind, n, id_, *more: s.select(id_.alias("id"), F.concat(F.lit(f"{kind} "), (F.col("k") % n).cast("string")).alias("name"), *more).distinct()
+    return E.institutions(
+        _raw(c, RAW_HOUSES), c.view("institution").select("id", F.col("official_name").alias("name")), named("Inst.", 60, F.col("k") % 60 % 50), named("Company", 5, F.col("k") % 5), named("Unit", 9, F.col("k") % 9, (F.col("k") % 9 + 100).alias("parent")),
+    )
+
+
+HOUSES = f"""r AS ({RAW_HOUSES}), s AS (SELECT s_suppkey AS k FROM supplier), n AS (
+  SELECT DISTINCT 'institution' || ' ' || CAST(k % 50 AS VARCHAR) AS key, 'institution' AS kind, k % 50 AS entity_id, k % 50 AS institution_id FROM s UNION SELECT 'inst ' || CAST(k % 60 AS VARCHAR), 'institution', k % 60 % 50, k % 60 % 50 FROM s
+  UNION SELECT 'company ' || CAST(k % 5 AS VARCHAR), 'organization', k % 5, NULL FROM s UNION SELECT 'unit ' || CAST(k % 9 AS VARCHAR), 'unit', k % 9, k % 9 + 100 FROM s),
+ x AS (SELECT document_id, raw, kind, entity_id, institution_id FROM (SELECT *, replace(replace(lower(raw), '.', ''), '  ', ' ') AS key FROM r WHERE raw <> '12 Main St') q LEFT JOIN n USING (key))"""
+
+
+@query(f"WITH {HOUSES} SELECT * FROM x")
+def enrich_inst(c):
+    return _houses(c)
+
+
+@query(f"WITH {HOUSES} SELECT raw, count(*) AS n FROM x WHERE kind IS NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+def unresolved(c):
+    return E.unresolved(_houses(c), F.col("kind").isNotNull())
+
+
+@query(f"""WITH r AS ({RAW_PLACES}), n AS (SELECT lower(n_name) AS k, n_nationkey AS id FROM nation)
+ SELECT document_id, raw, CAST(CASE WHEN raw IN ('ny 10027 USA', 'TX') THEN 24 WHEN raw LIKE 'City %' THEN CAST(right(raw, 1) AS INT) WHEN raw LIKE 'State %' THEN CAST(right(raw, 1) AS INT) + 10 ELSE n.id END AS BIGINT) AS country_id,
+  CASE raw WHEN 'ny 10027 USA' THEN 'NY' WHEN 'TX' THEN 'TX' END AS state, CAST(CASE WHEN raw = 'TX' THEN 50 WHEN raw LIKE 'City %' THEN CAST(right(raw, 1) AS INT) + 60 WHEN raw LIKE 'State %' THEN CAST(right(raw, 1) AS INT) END AS BIGINT) AS state_id,
+  CAST(CASE WHEN raw LIKE 'City %' THEN CAST(right(raw, 1) AS INT) + 200 END AS BIGINT) AS city_id FROM r LEFT JOIN n ON n.k = lower(raw)""")
+def enrich_country(c):
+    s = c.source("supplier").select(F.col("s_suppkey").alias("k"))
+    states = s.select((F.col("k") % 4).alias("id"), F.concat(F.lit("State "), (F.col("k") % 4).cast("string")).alias("name"), (F.col("k") % 4 + 10).alias("country_id")).distinct()
+    states = states.union(c.spark.createDataFrame([(50, "TX", 24), (51, "UK", 24)], "id long, name string, country_id long"))
+    cities = s.select((F.col("k") % 5 + 200).alias("id"), F.concat(F.lit("City "), (F.col("k") % 5).cast("string")).alias("name"), (F.col("k") % 5 + 60).alias("state_id"), (F.col("k") % 5).alias("country_id")).distinct()
+    return E.places(_raw(c, RAW_PLACES), c.source("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), states, cities, 24)
+
+
+@query()
+def color_board(c):
+    rows = groups(c).withColumn("color", F.when(F.col("id") % 2 == 0, "#FF0000").otherwise("")).withColumn("description", F.when(F.col("id") > 3, F.concat(F.lit("x | Categoria "), F.col("id").cast("string"), F.lit(": colours"))))
+    return E.color_board(rows, _assigned(c))
+
+
+@query()
+def term_expand(c):
+    """The rules' terms with the labels and variations that the tables' names give them."""
+    concepts = c.view("concept").select("id", "label", F.lower("label").alias("normalized"))
+    labels = concepts.select(F.col("id").alias("concept_id"), F.explode(F.array("label", F.concat("label", F.lit(" part")))).alias("label")).withColumn("normalized", F.lower("label"))
+    raw = _raw_keywords(c)
+    own = rules(c).withColumn("term", F.when(F.col("group_id") == 4, "small bolt").otherwise(F.col("term")))
+    return T.term_expansion(own, labels, concepts, raw.select("id", F.col("display").alias("normalized"), "status"), raw.select(F.col("id").alias("keyword_id"), F.col("original").alias("variation"), "status"))
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM {doc}), a AS (SELECT document_id, count(*) AS authors FROM {document_author} GROUP BY 1)
+ SELECT CAST(rn + 9999999 AS BIGINT) AS id, 9 AS project_id, year, title_md5, coalesce(authors, 0) AS authors FROM (SELECT o.*, md5(coalesce(doi, '')) AS title_md5, a.authors FROM o LEFT JOIN a ON a.document_id = o.id)""")
+def project_copy(c):
+    docs, links, _ = E.copy_project(c.view("document"), {"author": c.view("document_author")}, c.view("authority_mapping"), c.project_id, 9, 10_000_000)
+    n = links["author"].groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("authors"))
+    return docs.select("id", "project_id", "year", F.md5(F.coalesce("doi", F.lit(""))).alias("title_md5")).join(n, "id", "left").withColumn("authors", F.coalesce("authors", F.lit(0)))

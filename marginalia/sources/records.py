@@ -23,8 +23,8 @@ def bare(c: Column) -> Column:
     return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
 
-def record(rows: DataFrame, **fields: Column) -> DataFrame:
-    """The columns of RECORD; what isn't given is null or an empty list, empty strings are null."""
+def record(rows: DataFrame, keep: tuple[str, ...] = (), **fields: Column) -> DataFrame:
+    """The columns of RECORD; what isn't given is null or an empty list, empty strings are null. Then those to keep."""
     def one(c: str) -> Column:
         kind = "array<string>" if c in LISTS else "int" if c in NUMBERS else "string"
         got = fields.get(c, F.lit(None)).cast(kind)
@@ -32,7 +32,7 @@ def record(rows: DataFrame, **fields: Column) -> DataFrame:
             return F.coalesce(F.array_distinct(F.filter(F.transform(got, bare), lambda x: x.isNotNull() & (x != ""))), F.array().cast(kind)).alias(c)
         return (got if c in NUMBERS else F.nullif(bare(got), F.lit(""))).alias(c)
 
-    return rows.select(*map(one, (*SCALARS, *LISTS)))
+    return rows.select(*map(one, (*SCALARS, *LISTS)), *keep)
 
 
 def listed(c: Column, sep: str) -> Column:
@@ -87,10 +87,10 @@ def read_ris(spark: SparkSession, path: str, source: str = "ris") -> DataFrame:
     return ris_record(rows, source)
 
 
-def ris_record(rows: DataFrame, source: str) -> DataFrame:
+def ris_record(rows: DataFrame, source: str, keep: tuple[str, ...] = ()) -> DataFrame:
     flat = lambda c: F.regexp_replace(c, r"\s*\n\s*", " ")
     return record(
-        rows, source=F.lit(source), external_id=first_of("ID", "AN"), title=flat(first_of("TI", "T1")), abstract=flat(first_of("AB", "N2")), year=year_of(first_of("PY", "Y1", "DA")), document_type=first_of("TY"),
+        rows, keep, source=F.lit(source), external_id=first_of("ID", "AN"), title=flat(first_of("TI", "T1")), abstract=flat(first_of("AB", "N2")), year=year_of(first_of("PY", "Y1", "DA")), document_type=first_of("TY"),
         doi=F.coalesce(doi_of(first_of("DO")), doi_of(first_of("UR"))), issn=first_issn(first_of("SN")), url=F.when(first_of("UR").rlike("(?i)^https?://"), first_of("UR")), language=first_of("LA"),
         source_title=flat(first_of("JO", "T2", "JF", "JA")), volume=first_of("VL"), issue=first_of("IS"), page_start=first_of("SP"), page_end=first_of("EP"), publisher=first_of("PB"),
         author_names=all_of("AU", "A1"), author_keywords=all_of("KW"), affiliations=all_of("AD"),
@@ -121,7 +121,7 @@ def read_wos(spark: SparkSession, path: str) -> DataFrame:
     return record(
         rows, source=F.lit("wos"), external_id=first_of("UT"), title=flat(first_of("TI")), abstract=flat(first_of("AB")), year=year_of(first_of("PY")), document_type=flat(first_of("DT")), doi=doi_of(first_of("DI")),
         issn=F.coalesce(first_issn(first_of("SN")), first_issn(first_of("EI"))), language=first_of("LA"), source_title=flat(first_of("SO")), volume=first_of("VL"), issue=first_of("IS"), page_start=first_of("BP"), page_end=first_of("EP"), publisher=first_of("PU"),
-        cited_by=first_of("TC", "CT"), author_names=F.when(F.size(lines("AF")) > 0, lines("AF")).otherwise(lines("AU")), author_keywords=F.split(flat(first_of("DE")), ";"), indexed_keywords=F.split(flat(first_of("ID")), ";"),
+        cited_by=first_of("TC", "CT"), open_access_status=first_of("OA"), author_names=F.when(F.size(lines("AF")) > 0, lines("AF")).otherwise(lines("AU")), author_keywords=F.split(flat(first_of("DE")), ";"), indexed_keywords=F.split(flat(first_of("ID")), ";"),
         affiliations=places, references=lines("CR"), countries=F.transform(places, country_of), institutions=F.transform(places, lambda x: F.trim(F.get(F.split(x, ","), F.lit(0)))),
     )
 
@@ -178,30 +178,8 @@ def read_works_json(spark: SparkSession, path: str) -> DataFrame:
     a = F.col("authorships")
     each = lambda f: F.flatten(F.transform(a, f))
     return record(
-        rows, source=F.lit("works"), external_id=F.col("id"), title=F.col("title"), abstract=abstract, year=F.col("publication_year"), document_type=F.col("type"), doi=doi_of(F.col("doi")), issn=first_issn(F.col("primary_location.source.issn_l")),
+        rows, source=F.lit("openalex"), external_id=F.nullif(F.regexp_extract("id", r"(W\d+)\s*$", 1), F.lit("")), title=F.col("title"), abstract=abstract, year=F.col("publication_year"), document_type=F.col("type"), doi=doi_of(F.col("doi")), issn=first_issn(F.col("primary_location.source.issn_l")),
         language=F.col("language"), source_title=F.col("primary_location.source.display_name"), cited_by=F.col("cited_by_count"), open_access_status=F.col("open_access.oa_status"), author_names=F.transform(a, lambda x: x["author"]["display_name"]),
-        author_keywords=F.transform("keywords", lambda x: x["display_name"]), affiliations=each(lambda x: x["raw_affiliation_strings"]), references=F.col("referenced_works"), countries=each(lambda x: x["countries"]), institutions=each(lambda x: F.transform(x["institutions"], lambda i: i["display_name"])),
+        author_keywords=F.transform("keywords", lambda x: x["display_name"]), affiliations=each(lambda x: x["raw_affiliation_strings"]), references=F.transform("referenced_works", lambda x: F.nullif(F.regexp_extract(x, r"(W\d+)\s*$", 1), F.lit(""))), countries=each(lambda x: x["countries"]), institutions=each(lambda x: F.transform(x["institutions"], lambda i: i["display_name"])),
     )
 
-
-READERS = {"ris": read_ris, "nbib": read_nbib, "wos": read_wos, "scopus": read_scopus_csv, "lens": read_lens_csv, "pubmed": read_pubmed_csv, "works": read_works_json}
-#: What a file's first line or lines hold for each reader.
-SIGNATURES = {"scopus": ("EID", "Authors", "Cited by", "Author Keywords"), "lens": ("Lens ID", "Title", "Publication Year", "Citing Works Count"), "pubmed": ("PMID", "Title", "Authors", "Journal/Book")}
-
-
-def detect(spark: SparkSession, path: str) -> str | None:
-    """The reader whose signature fits the file's first lines best."""
-    head = [r.value.lstrip("\ufeff") for r in spark.read.text(path).limit(20).collect()]
-    text = "\n".join(head)
-    if any(x.startswith("PMID- ") for x in head):
-        return "nbib"
-    if any(x.startswith("TY  - ") for x in head) or "\rTY  - " in text:
-        return "ris"
-    if any(x.startswith("PT ") for x in head):
-        return "wos"
-    if text.lstrip().startswith("{"):
-        return "works"
-    first = head[0] if head else ""
-    scores = {k: sum(s in first for s in v) / len(v) for k, v in SIGNATURES.items()}
-    best = max(scores, key=scores.get)
-    return best if scores[best] > 0.5 else None

@@ -8,10 +8,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import text as T
-from marginalia.operators import classify, identity, importing, networks, similarity
+from marginalia.functions import forms, text as T
+from marginalia.operators import classify, enrichment, identity, importing, networks, similarity, treatment
 from marginalia.plans import catalog
-from marginalia.sources import records, sinks
+from marginalia.sources import exports, records, registry, sinks, vocabularies
 from marginalia.streaming import ingest
 from tests.conftest import SF
 
@@ -162,7 +162,7 @@ def test_nbib_and_wos(spark, tmp_path):
     a, b = sorted(records.read_wos(spark, str(tmp_path / "w.txt")).collect(), key=lambda r: r.title, reverse=True)
     assert (a.title, a.author_names, a.author_keywords, a.countries, a.institutions, a.cited_by) == ("Some title", ["Silva, J", "Souza, M"], ["one", "two"], ["Brazil", "USA"], ["Univ A", "Inst B"], 7)
     assert b.title == "Second"
-    assert [records.detect(spark, str(tmp_path / f)) for f in ("a.nbib", "w.txt")] == ["nbib", "wos"]
+    assert [registry.detect(spark, str(tmp_path / f)) for f in ("a.nbib", "w.txt")] == ["nbib", "wos"]
 
 
 def test_tables_and_json(spark, tmp_path):
@@ -172,7 +172,7 @@ def test_tables_and_json(spark, tmp_path):
     (tmp_path / "w.jsonl").write_text('{"id":"W1","title":"T","publication_year":2020,"abstract_inverted_index":{"b":[1],"a":[0,2]},"authorships":[{"author":{"display_name":"X"},"countries":["BR"]}]}\n')
     r = records.read_works_json(spark, str(tmp_path / "w.jsonl")).first()
     assert (r.abstract, r.author_names, r.countries, r.institutions) == ("a b a", ["X"], ["BR"], [])
-    assert records.detect(spark, str(tmp_path / "s.csv")) == "scopus"
+    assert registry.detect(spark, str(tmp_path / "s.csv")) == "scopus"
 
 
 def test_stream_import_and_windows(spark, tmp_path):
@@ -192,3 +192,139 @@ def test_sinks(spark, tmp_path):
     assert (wide[1].total, wide[2]["2000"], wide[2].total) == (5, 0, 1)
     sinks.safe_csv(d, str(tmp_path / "c"))
     assert {r.label for r in spark.read.csv(str(tmp_path / "c"), header=True, sep=";").collect()} == {"a", "'=b"}
+
+
+def write(path, text):
+    path.write_text(text)
+    return str(path)
+
+
+def test_thesis_tables(spark, tmp_path):
+    head = "Autor(a),Orientadores,Título,Ano de defesa,Instituição de defesa,Sigla da instituição de defesa,País da instituição de defesa,Tipo de documento,Tipos de acesso,Assuntos em português,Assuntos em inglês,Idioma,Resumo em Português,Resumo,Link de acesso\n"
+    row = '"2019||Silva, Ana, 1980-||x",,"[pt] Um &amp; dois",2019,Universidade X (UX),UX,Não Informado pela Instituição,masterThesis,openAccess,Redes||redes||[pt] Teoria,Nets,pt_BR,Não Informado pela Instituição,<p>Some</p> text,http://a.b/1||https://doi.org/10.1/x\n'
+    path = write(tmp_path / "t.csv", head + row + row)
+    a, b = sorted(records_of(spark, path), key=lambda r: r.external_id)
+    assert b.external_id == a.external_id + "#2" and a.external_id.startswith("bdtd:") and len(a.external_id) == 45
+    assert (a.title, a.author_names, a.year, a.document_type, a.open_access_status, a.language) == ("Um & dois", ["Silva, Ana"], 2019, "Dissertação (mestrado)", "Open Access", "por")
+    assert (a.author_keywords, a.institutions, a.countries, a.abstract, a.url) == (["Redes", "Teoria", "Nets"], ["Universidade X"], ["Brasil"], "Some text", "http://a.b/1")
+    path = write(tmp_path / "t.ris", "TY  - doctoralThesis\nAU  - 2001-02\nAU  - Souza, Rui\nTI  - Tese\nPY  - 2001\nUR  - http://c.d/; http://e.f/\nER  - \n")
+    r = records_of(spark, path)[0]
+    assert (r.author_names, r.document_type, r.url, r.countries) == (["Souza, Rui"], "Tese (doutorado)", "http://c.d/", [])
+
+
+def records_of(spark, path):
+    return registry.read(spark, path).collect()
+
+
+def test_baskets(spark, tmp_path):
+    head = '"ID","CLASS","YEAR","PUBLICATION","AUTHORS","TITLE","KEYWORDS","ABSTRACTS","SESSION","LEGEND","URL",\n'
+    rows = '"7","Article","2020","R","A B; C D (org.)","X &amp; Y","k; l; k",null,"s","R, v. 3, n. nº 2, 2020","https://doi.org/10.1234/one",\n"8","Article","2020","LIVRO","E","::Sem título::",null,null,"s","R","https://doi.org/10.1234/two",\n"9","Article","20","R","F","T","","","","","https://doi.org/10.1234/TWO",\n"x","Article","2020","R","F","T","","","","","",\n'
+    got = {r.external_id: r for r in records_of(spark, write(tmp_path / "b.csv", head + rows))}
+    assert set(got) == {"7", "8", "9"} and (got["7"].doi, got["8"].doi, got["9"].doi) == ("10.1234/one", None, None)
+    assert (got["7"].author_names, got["7"].title, got["7"].author_keywords, got["7"].volume, got["7"].issue, got["7"].abstract) == (["A B", "C D"], "X & Y", ["k", "l"], "3", "2", None)
+    assert (got["8"].title, got["8"].source_title, got["9"].year) == (None, None, None) and got["7"].url.endswith("brapci/7")
+    r = records_of(spark, write(tmp_path / "b.ris", f"TY  - JOUR\nTI  - T\nUR  - {exports.BASKET_HANDLE}12\nDB  - X\nER  - \n"))[0]
+    assert (r.source, r.external_id, r.title) == ("brapci", "12", "T")
+
+
+def test_searches(spark, tmp_path):
+    head = "﻿title,publicationDate,authors,publisher,plink,longDbName,shortDbName,accessionNumber,abstract,docType,source,subjects,keywords,issn,doi,language,coverDate\n"
+    rows = '"A title.",20200315,"X, Y ; Z, W",P,https://a.b/c,L,LIH,123,"<b>ab</b>",Article ; Review,S,s1 ; s2,k1,12345678,10.1000/Z,English ; French,\n"Other...",,,,https://a.b/0123456789abcdef-0123456789abcdef-012,L,,,,,,,,,,German,2001 May\n'
+    a, b = sorted(records_of(spark, write(tmp_path / "s.csv", head + rows)), key=lambda r: r.title)
+    assert (a.title, a.external_id, a.year, a.author_names, a.document_type, a.language, a.abstract, a.indexed_keywords, a.issn, a.doi) == ("A title", "lih:123", 2020, ["X, Y", "Z, W"], "Article", "eng", "ab", ["s1", "s2"], "1234-5678", "10.1000/z")
+    assert (b.title, b.year, b.language, b.source) == ("Other...", 2001, "German", "lista") and b.external_id.startswith("plink:")
+
+
+def test_works_tables(spark, tmp_path):
+    head = "Title,Author,Year,Citation count,Open access,Keyword,Source,Institution,Country,Cites,DOI,ISSN,Work ID,Open Access status\n"
+    long = "|".join(f"https://openalex.org/W{i:09d}" for i in range(1000))
+    a, b = sorted(records_of(spark, write(tmp_path / "o.csv", head + f"<i>T</i> &amp; U,Ana|B|Rui,2020,5,true,k|k|l,S,I||J,BR,W1|x|W2,https://doi.org/10.1000/A,bad|1234-5678,https://openalex.org/W9,green\nLong,A B,,x,,,,,,{long},,,W8,\n")), key=lambda r: r.title)
+    b, a = (a, b) if a.title == "Long" else (b, a)
+    assert (a.title, a.author_names, a.cited_by, a.indexed_keywords, a.institutions, a.references, a.issn, a.external_id, a.open_access_status, a.url) == ("T & U", ["Ana", "Rui"], 5, ["k", "l"], ["I", "J"], ["W1", "W2"], "1234-5678", "W9", "Green", "https://doi.org/10.1000/a")
+    assert (len(b.references), b.cited_by, b.url) == (999, None, "https://openalex.org/W8")
+    with pytest.raises(ValueError):
+        records_of(spark, write(tmp_path / "d.csv", "Title,Author,Year,Citation count,Open access\nT,A,2020,1,true\n"))
+    r = records_of(spark, write(tmp_path / "o.ris", "TY  - JOUR\nTI  - T\nAU  - A B\nC1  - Dept, University of C, Town, Brazil\nDA  - 2020-01-02\nUR  - https://doi.org/10.1000/a\nER  - \n"))[0]
+    assert (r.source, r.document_type, r.affiliations, r.countries, r.institutions) == ("openalex", "jour", ["Dept, University of C, Town, Brazil"], ["Brazil"], ["University of C"])
+    r = records_of(spark, write(tmp_path / "o.txt", "FN OpenAlex\nVR 1.0\nPT J\nTI T\nDT Book-Chapter\nCT 4\nVL\nUT https://openalex.org/W5\nER\n\nEF\n"))[0]
+    assert (r.source, r.external_id, r.cited_by, r.document_type, r.volume) == ("openalex", "W5", 4, "book-chapter", None)
+
+
+def test_archive(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("../x/in.ris", "TY")
+    assert registry.unpack(str(tmp_path / "a.zip"), str(tmp_path)) == str(tmp_path / "in.ris")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("a.exe", "")
+    with pytest.raises(ValueError):
+        registry.unpack(str(tmp_path / "b.zip"), str(tmp_path))
+
+
+def test_vocabularies(spark, tmp_path):
+    path = write(tmp_path / "a.the", "junk\r\n**#Head One\r\n100 1 ^var a$\r\n100 1 ^var a$\r\nplain$\r\n\r\n**Second\r\n")
+    assert {r.header: r.variations for r in vocabularies.read_the(spark, path).collect()} == {"Head One": ["var a", "plain"], "Second": []}
+    path = write(tmp_path / "b.the", "**#First\n0 1 ^x$\n")
+    assert [tuple(r) for r in vocabularies.read_the(spark, path).collect()] == [("First", ["x"])]
+    path = write(tmp_path / "m.csv", "﻿preferred_keyword;variant_keyword\nA;a1\nA;a2\nA;a1\nB;\n")
+    assert [tuple(r) for r in vocabularies.read_merge_csv(spark, path).collect()] == [("A", ["a1", "a2"])]
+    lines = [r.value for r in vocabularies.the_lines(spark.createDataFrame([("B", "x"), ("A", "Y"), ("A", None)], "header string, variation string")).collect()]
+    assert lines == ["**#a", "100 1 ^y$", "**#b", "100 1 ^x$"]
+    head = "n;t;c;i;p;terms;f;s;e;q;nat;con;cou;a;u\n"
+    path = write(tmp_path / "g.csv", head + "G;odd;;;2;'=x, y;title;1990;;a1;;;;;0\ng;noise;#fff;;1;z;;;;;;;;;1\nH;normal;;;;;;;;;;;;;\n")
+    groups, rules = vocabularies.read_groups(spark, path)
+    assert {r.name: (r.type, r.position, r.use_thesaurus) for r in groups.collect()} == {"g": ("noise", 1, True), "H": ("normal", 0, True)}
+    assert [tuple(r) for r in rules.collect()] == [("g", 0, "z")]
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("machine LEARNING in brazil", (True, None, "machine learning in Brazil", "machine learning in brazil", False, "")), ("dna AI de", (True, None, "DNA AI de", "dna ai de", False, "")), ("[12]", (False, "numeric_reference", "", "", False, "")),
+    ("a", (False, "empty_or_too_short", "a", "a", False, "")), ("3.04", (False, "purely_numeric", "3.04", "3 04", False, "")), ("sic sic sic", (False, "repetitive_nonsense", "sic sic sic", "sic sic sic", False, "")),
+    ("1234 ab", (False, "numeric_fragment", "1234 ab", "1234 ab", False, "")), ("x" * 201, (False, "too_long", "x" * 201, "x" * 201, False, "")), ("Silva, J.", (True, None, "silva, j", "silva j", True, "looks_like_author")), ("web 2", (True, None, "web 2", "web 2", True, "contains_number")),
+])
+def test_keyword_forms(raw, want):
+    assert forms.keyword_form(raw) == want
+
+
+def test_author_forms():
+    assert forms.author_form("Plato")[4:] == (True, "single_word_author") and forms.author_form("MIT Lab 3")[5] == "contains_number,looks_like_institution" and not forms.author_form("-")[0]
+
+
+def test_duplicates_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["data", "of", "the", "networks", "deep", "study", "a", "x"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(150)]
+    titles += ["".join(c for c in t if rng.random() > 0.06) or "q" for t in titles]
+    rows = [(i, t, 2000 + i % 2, "10.1/x" if i % 3 else None, i % 5) for i, t in enumerate(titles)]
+    d = spark.createDataFrame(rows, "id long, title string, year int, doi string, cited_by int")
+    got = {(frozenset((r.keep, r.discard)), r.similarity) for r in similarity.duplicate_documents(d, 0.85, 10**6).collect()}
+    a, b = (d.select(*(F.col(c).alias(c + k) for c in ("id", "title", "year"))) for k in "12")
+    near = F.abs(F.length("title1") - F.length("title2")) <= F.greatest(F.length("title1"), F.length("title2")) * 0.15 + 1e-9
+    want = a.join(b, (F.col("year1") == F.col("year2")) & (F.col("id1") < F.col("id2")) & near).select("id1", "id2", similarity.pair_score(F.col("title1"), F.col("title2"), 0.85).alias("s")).where("s IS NOT NULL").collect()
+    assert {(frozenset((r.id1, r.id2))) for r in want} == {k for k, _ in got} and len(want) > 50
+
+
+def test_thesaurus_matches(spark):
+    keys = spark.createDataFrame([(1, "machine lerning", None), (2, "deep networks", None), (3, "iot", None), (4, "graph", "GRPH"), (5, "exact", None), (6, "color", None), (7, "nothing like it", None), (8, "", None), (9, "information retrieval systems", None)], "id long, normalized string, display string")
+    labels = spark.createDataFrame([("exact", "Exact", 10), ("colour", "Colour", 11), ("colors", "Colors", 12), ("information retrieval system", "x", 14), ("information retrieval systemz", "x", 14)], "normalized string, label string, concept_id long")
+    concepts = spark.createDataFrame([(13, "machine learning", "Machine learning"), (10, "exact", "Exact")], "id long, normalized string, label string")
+    got = {r.id: (r.method, r.concept_id, round(r.score, 2), r.ambiguous) for r in treatment.thesaurus_matches(keys, labels, concepts).collect()}
+    assert got == {1: ("fuzzy", 13, 93.75, False), 5: ("exact_label", 10, 100.0, False), 6: ("fuzzy", 11, 83.33, True), 9: ("fuzzy_auto", 14, 96.55, False)}
+    known = spark.createDataFrame([(6, 11)], "id long, concept_id long")
+    assert {r.id for r in treatment.new_suggestions(treatment.thesaurus_matches(keys, labels, concepts), known).collect()} == {1}
+
+
+def test_entities_and_relinks(spark):
+    links = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "document_id long, institution_id long")
+    pairs = spark.createDataFrame([(6, 5)], "kept long, dropped long")
+    assert {tuple(r) for r in enrichment.merge_entity(links, "institution_id", pairs).collect()} == {(1, 6), (2, 6)}
+    kw = spark.createDataFrame([(1, "a", 3), (2, "b", None), (3, "c", 3), (4, "a", 4)], "id long, normalized string, thesaurus_concept_id long")
+    labels = spark.createDataFrame([("a", 3), ("b", 4), ("b", 3)], "normalized string, concept_id long")
+    assert {tuple(r) for r in treatment.relinked(kw, labels, spark.createDataFrame([(3,)], "concept_id long")).select("id", "thesaurus_concept_id").collect()} == {(1, 3), (2, 3), (3, None), (4, 4)}
+
+
+def test_term_expansion(spark):
+    make = spark.createDataFrame
+    got = treatment.term_expansion(make([(1, 0, " Car "), (1, 1, "bus")], "group_id int, position int, term string"), make([(1, "Auto", "auto"), (1, "car", "car")], "concept_id long, label string, normalized string"), make([(1, "Car", "car"), (2, "Bus", "bus")], "id long, label string, normalized string"), make([(9, "bus", 1), (8, "car", 0)], "id long, normalized string, status int"), make([(9, "Omnibus", 1), (9, "old", 0), (8, "no", 1)], "keyword_id long, variation string, status int"))
+    assert [r.term for r in got.orderBy("position").collect()] == ["car", "auto", "bus", "omnibus"]
