@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.indicators import cites, long_sum
@@ -10,37 +12,108 @@ from marginalia.operators.indicators import cites, long_sum
 MIN_YEAR = 1996
 
 
-def term_hits(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+FIELDS = ("title", "abstract", "author_keywords", "indexed_keywords")
+
+
+def continent_matches(wanted: Column, continents: Column) -> Column:
+    """One of the continents is the wanted one, or a list apart by / that holds it."""
+    w = F.lower(F.trim(wanted))
+    own = F.transform(continents, lambda x: F.lower(F.trim(x)))
+    return F.exists(own, lambda x: (x == w) | F.exists(F.split(x, "/"), lambda y: F.trim(y) == w))
+
+
+def passes_filters(docs: DataFrame, groups: DataFrame) -> Column:
+    """Whether a document's row passes a group's filters, of those columns that both tables have: groups(qualis, start_year,
+    end_year, continent, country_ids, nature, authors), docs(qualis, year, continents, countries, natures, authors)."""
+    has = lambda d, g: d in docs.columns and g in groups.columns
+    low = lambda c: F.transform(c, F.lower)
+    d, g = (lambda c: F.col(f"d.{c}")), (lambda c: F.col(f"g.{c}"))
+    within = lambda own, wanted: F.exists(low(own), lambda x: F.exists(low(wanted), lambda y: x.contains(y)))
+    tests = [F.lit(True)]
+
+    def add(test: Column, unset: Column) -> None:
+        tests.append(unset | F.coalesce(test, F.lit(False)))
+
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    if has("qualis", "qualis"):
+        add(F.array_contains(F.transform(g("qualis"), F.upper), F.upper(d("qualis"))), empty(g("qualis")))
+    if "start_year" in groups.columns:
+        add(d("year") >= g("start_year"), g("start_year").isNull())
+    if "end_year" in groups.columns:
+        add(d("year") <= g("end_year"), g("end_year").isNull())
+    if has("continents", "continent"):
+        add(continent_matches(g("continent"), d("continents")), F.coalesce(g("continent"), F.lit("")) == "")
+    if has("countries", "country_ids"):
+        add(F.arrays_overlap(low(d("countries")), low(g("country_ids"))), empty(g("country_ids")))
+    if has("natures", "nature"):
+        add(within(d("natures"), g("nature")), empty(g("nature")))
+    if has("authors", "authors"):
+        add(within(d("authors"), g("authors")), empty(g("authors")))
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
+def parse_authors(raw: str) -> list[str]:
+    """Names apart by ; or lines, or else by commas, where initials belong to the name before them."""
+    if re.search(r"[;\r\n]", raw):
+        parts = re.split(r"[;\r\n]+", raw)
+    else:
+        parts = []
+        for piece in raw.split(","):
+            initials = 1 <= len(re.sub(r"[.\s]", "", piece)) <= 3 and all(c.isupper() or c in ". " for c in piece)
+            if parts and initials:
+                parts[-1] += ", " + piece.strip()
+            else:
+                parts.append(piece.strip())
+    return [x.strip() for x in parts if x.strip()]
+
+
+def term_hits(docs: DataFrame, rules: DataFrame, text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """document_id, group_id, term: for each group the first rule (by position) whose term the text holds, as a substring
-    of lower case. Rules are configuration; they are matched against every document through one map join."""
-    rows = docs.select("document_id", F.lower(text).alias("text")).join(F.broadcast(rules.select("group_id", "position", F.lower(F.trim("term")).alias("term")).where("term <> ''")), F.col("text").contains(F.col("term")))
-    return rows.groupBy("document_id", "group_id").agg(F.min_by("term", F.struct("position", "term")).alias("term"))
+    of lower case. Rules are configuration; they are matched against every document through one map join. With groups,
+    normal ones count only for documents that pass their filters, and each looks at its own match_fields if docs has them."""
+    own = rules.select("group_id", F.col("position").alias("rule"), F.lower(F.trim("term")).alias("term")).where("term <> ''")
+    fields = [f for f in FIELDS if f in docs.columns]
+    searched, passes = F.lower(F.col(f"d.{text}")) if text in docs.columns else None, F.lit(True)
+    if groups is not None:
+        own = own.join(groups.withColumnRenamed("id", "group_id").drop("position"), "group_id")
+        passes = (F.col("g.type") != "normal") | passes_filters(docs, groups)
+        if fields and "match_fields" in groups.columns:
+            chosen = lambda f: F.when(F.col("g.match_fields").isNull() | F.array_contains("g.match_fields", f), F.lower(F.col(f"d.{f}")))
+            searched = F.concat_ws(" ", *map(chosen, fields))
+    rows = docs.alias("d").join(F.broadcast(own).alias("g"), searched.contains(F.col("g.term")) & passes)
+    return rows.groupBy("document_id", "group_id").agg(F.min_by("term", F.struct("rule", "term")).alias("term"))
 
 
 def classify(docs: DataFrame, groups: DataFrame, rules: DataFrame, min_year: int = MIN_YEAR, text: str = "text") -> DataFrame:
     """document_id, group_id, term for docs(document_id, year, text): below the least year noise; a noise term noise;
-    without a validator's term unclassified; else every normal group with a term, or unclassified (group null).
+    without a validator's term noise, without a term; else every normal group whose filters it passes and of which it
+    holds a term, or unclassified (group null).
 
-    groups(id, type, position): type validator, noise or normal. Without a noise group noise is unclassified.
+    groups(id, type, position and filters, see passes_filters): type validator, noise or normal. The noise group is the
+    first one; without one noise is unclassified. Texts may be in FIELDS instead, chosen by groups' match_fields.
     """
     kinds = groups.select(F.col("id").alias("group_id"), F.col("type").alias("kind"), F.col("position").alias("group_position"))
-    hits = term_hits(docs, rules, text).join(F.broadcast(kinds), "group_id")
+    hits = term_hits(docs, rules, text, groups).join(F.broadcast(kinds), "group_id")
     per = hits.groupBy("document_id").agg(
-        F.min_by("term", F.when(F.col("kind") == "noise", F.struct("group_position", "group_id"))).alias("noise"),
+        F.min_by(F.struct("group_id", "term"), F.when(F.col("kind") == "noise", F.struct("group_position", "group_id"))).alias("noise"),
         F.count(F.when(F.col("kind") == "validator", 1)).alias("validators"),
         F.collect_list(F.when(F.col("kind") == "normal", F.struct("group_id", "term"))).alias("normal"),  # of one document
     )
-    one = groups.agg(F.min_by("id", F.when(F.col("type") == "noise", F.struct("position", "id"))).alias("noise_group"), F.count(F.when(F.col("type") == "validator", 1)).alias("n_validators"))
+    has_term = rules.where("trim(term) <> ''").select(F.col("group_id").alias("id")).distinct()
+    one = groups.agg(F.min_by("id", F.when(F.col("type") == "noise", F.struct("position", "id"))).alias("noise_group")).crossJoin(groups.where("type = 'validator'").join(has_term, "id", "left_semi").agg(F.count("*").alias("n_validators")))
     rows = docs.select("document_id", "year").join(per, "document_id", "left").crossJoin(F.broadcast(one))  # one row
-    early = (F.col("year") != 0) & (F.col("year") < min_year)
+    early = (F.col("year") > 0) & (F.col("year") < min_year)
     own = lambda g, t: F.array(F.struct(g.cast("int").alias("group_id"), t.alias("term")))
-    none = own(F.lit(None), F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
     normal = F.transform(F.coalesce("normal", F.array()), lambda x: F.struct(x["group_id"].cast("int").alias("group_id"), x["term"].alias("term")))
     found = (
-        F.when(early, own(F.col("noise_group"), F.lit(f"year<{min_year}")))
-        .when(F.col("noise").isNotNull(), own(F.col("noise_group"), F.col("noise")))
-        .when((F.col("n_validators") > 0) & (F.coalesce("validators", F.lit(0)) == 0), none)
-        .when(F.size(normal) > 0, normal).otherwise(none)
+        F.when(early, own(F.col("noise_group"), F.when(F.col("noise_group").isNotNull(), f"year<{min_year}")))
+        .when(F.col("noise").isNotNull(), own(F.col("noise.group_id"), F.col("noise.term")))
+        .when((F.col("n_validators") > 0) & (F.coalesce("validators", F.lit(0)) == 0), own(F.col("noise_group"), none))
+        .when(F.size(normal) > 0, normal).otherwise(own(F.lit(None), none))
     )
     return rows.select("document_id", F.explode(found).alias("x")).select("document_id", "x.group_id", "x.term")
 

@@ -485,7 +485,8 @@ CLASSIFY = f"""g AS (SELECT * FROM {values(GROUPS, 'id, type, position')}), r AS
  a AS (SELECT document_id, CAST(2 AS INT) AS group_id, 'year<1996' AS term FROM t WHERE year <> 0 AND year < 1996
   UNION ALL SELECT t.document_id, 2, h.term FROM t JOIN h ON h.document_id = t.document_id AND h.group_id = 2 WHERE NOT coalesce(year <> 0 AND year < 1996, false)
   UNION ALL SELECT t.document_id, h.group_id, h.term FROM t JOIN h ON h.document_id = t.document_id AND h.group_id > 2
-   WHERE NOT coalesce(year <> 0 AND year < 1996, false) AND t.document_id NOT IN (SELECT document_id FROM h WHERE group_id = 2) AND t.document_id IN (SELECT document_id FROM h WHERE group_id = 1)),
+   WHERE NOT coalesce(year <> 0 AND year < 1996, false) AND t.document_id NOT IN (SELECT document_id FROM h WHERE group_id = 2) AND t.document_id IN (SELECT document_id FROM h WHERE group_id = 1)
+  UNION ALL SELECT document_id, 2, NULL FROM t WHERE NOT coalesce(year <> 0 AND year < 1996, false) AND document_id NOT IN (SELECT document_id FROM h WHERE group_id IN (1, 2))),
  cl AS (SELECT * FROM a UNION ALL SELECT document_id, NULL, NULL FROM t WHERE document_id NOT IN (SELECT document_id FROM a))"""
 ASSIGNED = "cl WHERE group_id IS NOT NULL"
 
@@ -798,3 +799,19 @@ def project_copy(c):
     docs, links, _ = E.copy_project(c.view("document"), {"author": c.view("document_author")}, c.view("authority_mapping"), c.project_id, 9, 10_000_000)
     n = links["author"].groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("authors"))
     return docs.select("id", "project_id", "year", F.md5(F.coalesce("doi", F.lit(""))).alias("title_md5")).join(n, "id", "left").withColumn("authors", F.coalesce("authors", F.lit(0)))
+
+
+FILTERED = [(1, "validator", 0, None, None, None, None, None, None), (2, "noise", 1, None, None, None, None, None, None), (3, "normal", 2, ["a1"], None, 1999, None, None, None), (4, "normal", 3, None, 1998, None, "Asia", None, None), (5, "normal", 4, None, None, None, None, ["CHINA", "India"], ["pub"]), (6, "normal", 5, None, None, None, None, None, ["private"])]
+
+
+@query("WITH " + CLASSIFY + """, m AS (SELECT i.document_id, bool_or(n.nature = 'public') AS pub, bool_or(n.nature = 'private') AS priv FROM {document_institution} i JOIN {institution} n ON n.id = i.institution_id GROUP BY 1),
+ f AS (SELECT cl.* FROM cl JOIN {doc} d ON d.id = document_id LEFT JOIN m USING (document_id) WHERE CASE group_id WHEN 3 THEN d.qualis = 'A1' AND d.year <= 1999 WHEN 4 THEN d.year >= 1998 AND document_id IN (SELECT document_id FROM {dc} WHERE continent = 'ASIA')
+  WHEN 5 THEN pub AND document_id IN (SELECT document_id FROM {dc} WHERE country IN ('CHINA', 'INDIA')) WHEN 6 THEN priv ELSE true END)
+ SELECT * FROM f UNION ALL SELECT DISTINCT document_id, NULL, NULL FROM cl WHERE document_id NOT IN (SELECT document_id FROM f)""")
+def classify_filtered(c):
+    """With filters of stratum, years, continent, countries and natures."""
+    rows = c.spark.createDataFrame(FILTERED, "id int, type string, position int, qualis array<string>, start_year int, end_year int, continent string, country_ids array<string>, nature array<string>")
+    where = c.document_countries.groupBy("document_id").agg(F.collect_set("continent").alias("continents"), F.collect_set("country").alias("countries"))
+    kinds = c.document_institutions.join(c.view("institution").select(F.col("id").alias("institution_id"), "nature").where("nature IS NOT NULL"), "institution_id").groupBy("document_id").agg(F.collect_set("nature").alias("natures"))
+    docs = texts(c).join(c.documents.select(F.col("id").alias("document_id"), "qualis"), "document_id").join(where, "document_id", "left").join(kinds, "document_id", "left")
+    return C.classify(docs, rows, rules(c))

@@ -328,3 +328,18 @@ def test_term_expansion(spark):
     make = spark.createDataFrame
     got = treatment.term_expansion(make([(1, 0, " Car "), (1, 1, "bus")], "group_id int, position int, term string"), make([(1, "Auto", "auto"), (1, "car", "car")], "concept_id long, label string, normalized string"), make([(1, "Car", "car"), (2, "Bus", "bus")], "id long, label string, normalized string"), make([(9, "bus", 1), (8, "car", 0)], "id long, normalized string, status int"), make([(9, "Omnibus", 1), (9, "old", 0), (8, "no", 1)], "keyword_id long, variation string, status int"))
     assert [r.term for r in got.orderBy("position").collect()] == ["car", "auto", "bus", "omnibus"]
+
+
+def test_authors_filter_and_continents(spark):
+    assert classify.parse_authors("Silva, J.R., Molin") == ["Silva, J.R.", "Molin"] and classify.parse_authors("Li, Wu") == ["Li", "Wu"] and classify.parse_authors("A, B; C\nD ") == ["A, B", "C", "D"]
+    d = spark.createDataFrame([("Europa", ["europa/ásia"]), ("Europa/Ásia", ["europa"])], "w string, c array<string>")
+    assert [r[0] for r in d.select(classify.continent_matches(F.col("w"), F.col("c"))).collect()] == [True, False]
+
+
+def test_classify_fields_filters_and_noise(spark):
+    docs = spark.createDataFrame([(1, 2000, "ok red", "blue", ["Silva, J."]), (2, 2000, "red", "", []), (3, None, "ok", "red", None), (4, 0, "ok red", None, ["x"]), (5, 1990, "ok red", "", [])], "document_id long, year int, title string, abstract string, authors array<string>")
+    groups = spark.createDataFrame([(1, "validator", 0, None, None), (2, "normal", 2, ["title"], ["silva"]), (3, "normal", 3, ["abstract"], None), (9, "noise", 5, None, None)], "id int, type string, position int, match_fields array<string>, authors array<string>")
+    rules = spark.createDataFrame([(1, 0, "ok"), (2, 0, "red"), (3, 0, "red"), (3, 1, "blue")], "group_id int, position int, term string")
+    assert {tuple(r) for r in classify.classify(docs, groups, rules).collect()} == {(1, 2, "red"), (1, 3, "blue"), (2, 9, None), (3, 3, "red"), (4, None, None), (5, 9, "year<1996")}
+    none = classify.classify(docs, groups.where("id < 9"), rules)
+    assert {tuple(r) for r in none.where("document_id IN (2, 5)").collect()} == {(2, None, None), (5, None, None)}
