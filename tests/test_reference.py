@@ -343,3 +343,34 @@ def test_classify_fields_filters_and_noise(spark):
     assert {tuple(r) for r in classify.classify(docs, groups, rules).collect()} == {(1, 2, "red"), (1, 3, "blue"), (2, 9, None), (3, 3, "red"), (4, None, None), (5, 9, "year<1996")}
     none = classify.classify(docs, groups.where("id < 9"), rules)
     assert {tuple(r) for r in none.where("document_id IN (2, 5)").collect()} == {(2, None, None), (5, None, None)}
+
+
+def test_keyword_groupings(spark):
+    kw = spark.createDataFrame([(1, 1, None), (2, 2, None), (3, 2, None), (4, 4, 7), (5, 4, None)], "id long, keyword_concept_id long, thesaurus_concept_id long")
+    none = spark.createDataFrame([], "entity_type string, scope string, scope_id int, source_id long, target_id long, note string")
+    concepts = lambda k: {r.id: r.keyword_concept_id for r in k.collect()}
+    k, m = identity.merge_keywords(kw, none, 2, 1)
+    assert concepts(k) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} and m.isEmpty()
+    assert concepts(identity.merge_keywords(k, m, 2, 1)[0]) == concepts(k)
+    with pytest.raises(ValueError):
+        identity.merge_keywords(k, m, 1, 2)
+    with pytest.raises(ValueError):
+        identity.merge_keywords(k, m, 2, 5)
+    k, _ = identity.undo_keywords(k, m, 2, spark.createDataFrame([(3,)], "id long"))
+    assert concepts(k) == concepts(kw)
+    k, m = identity.merge_keywords(kw, none, 4, 1)
+    assert {(r.source_id, r.target_id, r.note) for r in m.collect()} == {(4, 1, None), (5, 1, "via #4")} and concepts(k) == concepts(kw)
+    assert identity.undo_keywords(k, m, 4)[1].isEmpty()
+    assert {r.target_id for r in identity.merge_keywords(kw, none, 1, 4)[1].collect()} == {-7}
+
+
+def test_merge_tables_and_lists(spark):
+    e = spark.createDataFrame([(1, "A", "a"), (2, "B x", "b x"), (3, "C", "c")], "id long, name string, normalized string")
+    pairs, refused = identity.merges_of_table(e, spark.createDataFrame([("a", ["b x", "zz", "a"]), ("q", ["c"])], "header string, variations array<string>"))
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)] and {(r.variation, r.reason) for r in refused.collect()} == {("zz", "unknown variation"), ("a", "same entity"), ("c", "unknown header")}
+    links = spark.createDataFrame([(1, 10), (1, 10), (2, 10)], "id long, document_id long")
+    variations = spark.createDataFrame([(3, "An X-ray")], "id long, variation string")
+    got = identity.entity_list(e, variations, links, "X", spark.createDataFrame([(9,)], "source_id long"))
+    assert {tuple(r) for r in got.collect()} == {(2, "B x", 1), (3, "C", 0)}
+    d = spark.createDataFrame([(1, 5, "S, A"), (2, 5, "S, B")], "document_id long, author_id long, original_name string")
+    assert {(r.document_id, r.author_id) for r in identity.separate_variation(d, 5, "S, B", 8).collect()} == {(1, 5), (2, 8)}
