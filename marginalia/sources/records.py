@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marginalia.functions.text import doi_of, first_issn, year_of
 
@@ -168,10 +169,29 @@ def read_pubmed_csv(spark: SparkSession, path: str) -> DataFrame:
     return record(rows, source=F.lit("pubmed"), external_id=c("PMID"), title=c("Title"), year=year_of(c("Publication Year")), document_type=F.lit("Article"), doi=doi_of(c("DOI")), source_title=c("Journal/Book"), author_names=F.split(F.regexp_replace(c("Authors"), r"\.$", ""), ","))
 
 
+WORK = "id string, doi string, title string, publication_year int, type string, language string, cited_by_count int, primary_location struct<source:struct<display_name:string,issn_l:string>>, open_access struct<oa_status:string>, authorships array<struct<author:struct<display_name:string>,countries:array<string>,institutions:array<struct<display_name:string>>,raw_affiliation_strings:array<string>>>, keywords array<struct<display_name:string>>, referenced_works array<string>, abstract_inverted_index map<string,array<int>>"
+
+
 def read_works_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of works; the abstract is rebuilt from its inverted index by position."""
-    schema = "id string, doi string, title string, publication_year int, type string, language string, cited_by_count int, primary_location struct<source:struct<display_name:string,issn_l:string>>, open_access struct<oa_status:string>, authorships array<struct<author:struct<display_name:string>,countries:array<string>,institutions:array<struct<display_name:string>>,raw_affiliation_strings:array<string>>>, keywords array<struct<display_name:string>>, referenced_works array<string>, abstract_inverted_index map<string,array<int>>"
-    rows = spark.read.schema(schema).json(path)
+    """JSON lines of works, split among tasks; the abstract is rebuilt from its inverted index by position."""
+    return _works(spark.read.schema(WORK).json(path))
+
+
+def read_works_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Works as pages with `results` or as arrays, one a file: such a file is one task's, so large ones are better
+    exported as lines."""
+    rows = spark.read.schema(f"{WORK}, results array<struct<{_nested(WORK)}>>").json(path, multiLine=True)
+    own = F.struct(*(c for c in rows.columns if c != "results"))
+    return _works(rows.select(F.explode(F.coalesce("results", F.array(own))).alias("w")).select("w.*"))
+
+
+def _nested(ddl: str) -> str:
+    """The fields of a table schema as those of a struct."""
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl))
+
+
+def _works(rows: DataFrame) -> DataFrame:
+    rows = rows.where(F.col("id").rlike(r"W\d+\s*$"))  # what has no work id is no work
     words = F.flatten(F.transform(F.map_entries("abstract_inverted_index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     words = F.filter(words, lambda x: (x["p"] >= 0) & (x["p"] <= 100_000))
     abstract = F.array_join(F.transform(F.array_sort(words), lambda x: x["w"]), " ")

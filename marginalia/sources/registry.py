@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marginalia.sources import exports, records
 
 READERS = {
-    "ris": records.read_ris, "nbib": records.read_nbib, "wos": records.read_wos, "scopus": records.read_scopus_csv, "lens": records.read_lens_csv, "pubmed": records.read_pubmed_csv, "works": records.read_works_json,
+    "ris": records.read_ris, "nbib": records.read_nbib, "wos": records.read_wos, "scopus": records.read_scopus_csv, "lens": records.read_lens_csv, "pubmed": records.read_pubmed_csv, "works": records.read_works_json, "works_pages": records.read_works_pages,
     "thesis_csv": exports.read_thesis_csv, "thesis_ris": exports.read_thesis_ris, "basket_csv": exports.read_basket_csv, "basket_ris": exports.read_basket_ris, "search_csv": exports.read_search_csv,
     "works_csv": exports.read_works_csv, "works_ris": exports.read_works_ris, "works_tagged": exports.read_works_tagged,
 }
@@ -49,7 +50,9 @@ def scores(spark: SparkSession, path: str) -> dict[str, float]:
     out["nbib"] = float(any(x.startswith("PMID- ") for x in head))
     if any(x.startswith("PT ") for x in head):
         out["wos"], out["works_tagged"] = 0.9, float(any(x.startswith("FN OpenAlex") for x in head))
-    out["works"] = float(text.lstrip().startswith("{"))
+    start = text.lstrip()
+    page = start.startswith("[") or start.rstrip() == "{" or bool(re.match(r'\{\s*"(meta|results|group_by)"', start))
+    out["works"], out["works_pages"] = float(start.startswith("{") and not page), float(page)
     return out
 
 

@@ -250,6 +250,16 @@ def test_works_tables(spark, tmp_path):
     assert (r.source, r.external_id, r.cited_by, r.document_type, r.volume) == ("openalex", "W5", 4, "book-chapter", None)
 
 
+def test_works_pages(spark, tmp_path):
+    work = '{"id":"https://openalex.org/W%d","title":"T%d","referenced_works":["https://openalex.org/W1"],"open_access":{"oa_status":"gold"}}'
+    pages = '{"meta":{"count":3},\n"results":[' + work % (1, 1) + ",\n" + work % (2, 2) + ',{"title":"bad"}]}'
+    for name, text in {"p.json": pages, "a.json": "[\n" + work % (1, 1) + "," + work % (2, 2) + "]", "l.json": work % (1, 1) + "\n" + work % (2, 2) + "\n"}.items():
+        path = write(tmp_path / name, text)
+        assert registry.detect(spark, path) == ("works" if name == "l.json" else "works_pages")
+        got = sorted(records_of(spark, path), key=lambda r: r.title)
+        assert [(r.external_id, r.title, r.references, r.source) for r in got] == [("W1", "T1", ["W1"], "openalex"), ("W2", "T2", ["W1"], "openalex")]
+
+
 def test_archive(tmp_path):
     import zipfile
 
