@@ -384,3 +384,12 @@ def test_merge_tables_and_lists(spark):
     assert {tuple(r) for r in got.collect()} == {(2, "B x", 1), (3, "C", 0)}
     d = spark.createDataFrame([(1, 5, "S, A"), (2, 5, "S, B")], "document_id long, author_id long, original_name string")
     assert {(r.document_id, r.author_id) for r in identity.separate_variation(d, 5, "S, B", 8).collect()} == {(1, 5), (2, 8)}
+
+
+def test_color_board_and_fuzzy_score(spark):
+    groups = spark.createDataFrame([(1, "normal", "#FF0000", "a | Categoria 2 : Tools"), (2, "normal", "", None), (3, "noise", "#ff0000", None), (4, "normal", "#ff0000 ", "Categoria 2: Tools|x")], "id int, type string, color string, description string")
+    assigned = spark.createDataFrame([(10, 1), (10, 4), (11, 1), (11, 3)], "document_id long, group_id int")
+    assert {tuple(r) for r in enrichment.color_board(groups, assigned).collect()} == {("#ff0000", "2. Tools", 2, 3), ("#4f8ef7", None, 1, 0)}
+    rows = spark.createDataFrame([("word", "world", None, None), ("abc", "abcd", None, None), ("graph", "grape", "GRPH", None), ("çãéõ", "çãéo", None, None)], "a string, b string, da string, db string")
+    got = [r[0] for r in rows.select(treatment.fuzzy_score(*(F.col(c) for c in ("a", "b", "da", "db")))).collect()]
+    assert got == [pytest.approx(80), 0, 0, pytest.approx(75)]
