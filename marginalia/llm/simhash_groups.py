@@ -216,6 +216,7 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 CLASS_SHINGLES, CLASSES = 4, 6
 BLOCK_NODES = 512
+SAMPLE_ROWS, SAMPLE_SHARE, COMMON = 4000, 64, 200_000  # for the order of shingles only
 
 
 def shingle_hashes(text: str, shingle: int = NEAR_SHINGLE) -> np.ndarray:
@@ -240,8 +241,9 @@ def class_fingerprints(hashes: np.ndarray) -> list[int]:
     """SimHashes of small classes of a text's shingles.
 
     Shingles fall into 2^level classes by the low bits of their hashes, about CLASS_SHINGLES in each; CLASSES of them
-    stand for the text. An edit changes few shingles, so texts that share four fifths of them nearly always agree in a
-    class (each with a chance of about 0.6). Texts near the border of two levels have both.
+    stand for the text. An edit changes few shingles, so most texts that share four fifths of them agree in a class; at a
+    similarity of just 0.8 many do not. Texts near the border of two levels have both. These keys only find the bulk of
+    the links cheaply; what they miss is found by `missed_links`.
     """
     n = len(hashes)
     size = np.log2(max(n, 1) / CLASS_SHINGLES)
@@ -254,6 +256,40 @@ def class_fingerprints(hashes: np.ndarray) -> list[int]:
     return out
 
 
+def needed(size, similarity: float):
+    """The least number of shingles that a text of `size` shares with a similar one."""
+    return np.ceil(similarity * size - 1e-9).astype(np.int64)
+
+
+def rare_prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of the text by one order for all texts, so many that similar texts have one of them in common.
+
+    Any fixed order is exact; that of `common` (sorted hashes and their counts in a sample) puts common shingles last, so
+    that few texts meet.
+    """
+    if not len(hashes):
+        return hashes
+    listed, counts = common
+    rank = np.zeros(len(hashes), np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+        rank = np.where(listed[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))][: len(hashes) - int(needed(len(hashes), similarity)) + 1]
+
+
+def meetings(own: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """The (node, node) pairs of two tables of (node, component, size, place of the key) that a key leaves possible: of
+    different components, with sizes and shingles from the key on that suffice."""
+    out = [np.zeros((0, 2), np.int64)]
+    for i in range(0, len(own), 256):
+        a, b = own[i : i + 256, None, :], others[None, :, :]
+        least = np.ceil(similarity / (1 + similarity) * (a[..., 2] + b[..., 2]) - 1e-9)
+        x, y = np.nonzero((a[..., 1] != b[..., 1]) & (np.minimum(a[..., 2] - a[..., 3], b[..., 2] - b[..., 3]) >= least))
+        u, v = own[i + x, 0], others[y, 0]
+        out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
 def similar_links(nodes: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], list[int]]:
     """((node, linked node) pairs that span the components, the components' leaders) of one block.
 
@@ -294,7 +330,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", sim
     shingles of at least `similarity`, have the same root.
 
     Equal shingle sets are one node. Nodes that share a class fingerprint meet; only for these are shingles kept and sent.
-    A fingerprint that more than block_nodes nodes share is taken in blocks, whose leaders meet again.
+    A fingerprint that more than block_nodes nodes share is taken in blocks, whose leaders meet again. That links most
+    of a family at little cost; every similar pair still in two components is then found by `missed_links`.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +339,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", sim
             sets = [shingle_hashes(t) for t in texts_of(b)]
             ids = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
             keys = [[signed(x) for x in class_fingerprints(s)] for s in sets]
-            yield pa.record_batch([b.column("row"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "node", "keys"])
+            prefixes = [rare_prefix(s, similarity, common.value).astype("<u8").tobytes() for s in sets]
+            yield pa.record_batch([b.column("row"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64()), pa.array(prefixes, pa.binary())], names=["row", "node", "keys", "size", "prefix"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The upper halves of the hashes: enough to compare texts with."""
@@ -311,7 +349,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", sim
             yield pa.record_batch([b.column("row"), pa.array(halves, pa.binary())], names=["row", "shingles"])
 
     texts = docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
-    marked = written(texts.mapInArrow(sketch, "row long, node long, keys array<long>"), "near-sketch")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
+    marked = written(texts.mapInArrow(sketch, "row long, node long, keys array<long>, size long, prefix binary"), "near-sketch")
     members = marked.groupBy("node").agg(F.min("row").alias("least"))
     keyed = written(marked.select("row", "node", "keys").join(members.select(F.col("least").alias("row")), "row", "left_semi").select("row", "node", F.explode("keys").alias("key")), "near-keys")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -336,9 +375,99 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", sim
         told = total
         level = again.join(n, "key").select("row", "node", "key", F.pmod(F.xxhash64("node", "key", F.lit(depth)), F.ceil(F.col("n") / block_nodes).cast("long")).alias("block"), (F.col("n") > block_nodes).alias("more"))
     found = components(edges)
+    first = written(members.join(found, "node", "left").select(F.col("least").alias("row"), "node", F.coalesce("root", "node").alias("root")), "near-roots")
+    more = missed_links(texts, first, marked.select("row", "size", "prefix"), similarity, block_nodes)
+    if not more.isEmpty():
+        found = components(edges.union(more))
     return marked.select("row", "node").join(found, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
 
 
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the shingles that several texts of a sample share, the COMMON most frequent at most.
+    They set an order and decide no result."""
+    share = max(1, min(texts.count() // SAMPLE_ROWS, SAMPLE_SHARE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
+            if sets := [shingle_hashes(t) for t in texts_of(b)]:
+                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], names=["hash"])
+
+    found = texts.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 2")
+    got = found.orderBy(F.desc("n"), "hash").limit(COMMON).collect()
+    hashes, counts = np.array([r.hash for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def missed_links(texts: DataFrame, rooted: DataFrame, prefixes: DataFrame, similarity: float, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(a, b) of every similar pair of nodes with different roots; rooted has a row, node, root of each node.
+
+    Similar texts share one of their rare_prefix shingles. Nodes meet by these; keys within one component end there. The
+    pairs left are held against each other by all their shingles.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2000, text="prefix"):
+            parts = [np.frombuffer(x, "<i8") for x in b.column("prefix").to_pylist()]
+            n = [len(x) for x in parts]
+            each = np.repeat(np.arange(len(n)), n)
+            if len(each):
+                at = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                columns = [b.column(c).to_numpy(zero_copy_only=False)[each] for c in ("node", "root", "size")]
+                yield pa.record_batch([pa.array(np.concatenate(parts)), *map(pa.array, columns), pa.array(at)], names=["key", "node", "root", "size", "at"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _groups(batches, ["key"], ["node", "root", "size", "at"]):
+            roots, n = np.unique(own[:, 1], return_counts=True)
+            if len(roots) > 1:
+                # within the largest component nothing is missing
+                large = own[:, 1] == roots[n.argmax()]
+                found = np.unique(np.concatenate([meetings(own[~large], own, similarity)]), axis=0)
+                if len(found):
+                    yield pa.record_batch([pa.array(found[:, k]) for k in (0, 1)], names=["a", "b"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
+            yield pa.record_batch([b.column("node"), pa.array([shingle_hashes(t).astype("<u8").tobytes() for t in texts_of(b)], pa.binary())], names=["node", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for u, v, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "b", "s", "t")), strict=True):
+                x, y = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    rows.append((u, v))
+            if rows:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
+
+    keyed = prefixes.join(rooted, "row").select("node", "root", "size", "prefix").mapInArrow(keys, "key long, node long, root long, size long, at long")
+    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    pairs = written(pairs.distinct(), "near-pairs")
+    some = rooted.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("row", "node")
+    sets = written(texts.join(some, "row").select("node", "text").mapInArrow(shingles, "node long, shingles binary"), "near-sets")
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    return written(both.mapInArrow(verify, "a long, b long"), "near-missed")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(key, table of the columns) of each run of two or more equal keys of a sorted partition."""
+    at, parts = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, rows = (np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cs], axis=1) for cs in (by, columns))
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            if i or (now := tuple(key[0].tolist())) != at:
+                if sum(map(len, parts)) > 1:
+                    yield at, np.concatenate(parts)
+                at, parts = (tuple(key[i].tolist()) if i else now), []
+            parts.append(rows[i:j])
+    if sum(map(len, parts)) > 1:
+        yield at, np.concatenate(parts)
+
+
 def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) of each block of a key, and a row (a, null) for each leader of a key that has more blocks."""
 

@@ -245,6 +245,27 @@ def test_near_duplicates_against_all_pairs(spark, block):
     assert all(same(root, i) <= same(want, i) for i in range(len(rows)))
 
 
+@pytest.mark.parametrize("n", [4, 5, 9, 14, 40, 100, 300, 900])
+def test_near_duplicates_at_the_threshold(spark, n):
+    """Texts of n shingles and changed copies of them with a similarity from 0.8 to 0.85, and just below."""
+    rng = random.Random(n)
+    rows, want = [], set()
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(n + 4)]
+        part = [*base, *(f"g{g}x{i}" for i in range(rng.randint(n // 5, n // 4 + 1)))]  # longer texts that hold the whole base
+        if n > 20 and g % 2:
+            part = list(base)
+            for i in range(rng.randint(1, n // 40)):
+                part[(i + 1) * 40 % n] = f"g{g}y{i}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(part))]
+        a, b = (set(simhash_groups.shingle_hashes(" ".join(x)).tolist()) for x in (base, part))
+        if len(a & b) >= 0.8 * len(a | b):
+            want.add(g)
+    d = spark.createDataFrame(rows, "__row long, text string")
+    root = {r.row: r.root for r in simhash_groups.near_duplicates(d).collect()}
+    assert {g for g in range(40) if root[2 * g] == root[2 * g + 1]} == want and (want or n < 5)
+
+
 # ---- classifiers ----
 
 
