@@ -382,6 +382,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", sim
     return marked.select("row", "node").join(found, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
 
 
+MET = "a long, b long, key long, i long, j long, first long, node long, root long, size long, at long"
+
+
+def _met(**columns: np.ndarray) -> pa.RecordBatch:
+    """A batch of MET with nulls in the other columns."""
+    names = [c.split()[0] for c in MET.split(", ")]
+    n = len(next(iter(columns.values())))
+    return pa.record_batch([pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(n, pa.int64()) for c in names], names=names)
+
+
+def _pairs(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(found):
+        yield _met(a=found[:, 0], b=found[:, 1])
+
+
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of the shingles that several texts of a sample share, the COMMON most frequent at most.
     They set an order and decide no result."""
@@ -402,8 +417,9 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def missed_links(texts: DataFrame, rooted: DataFrame, prefixes: DataFrame, similarity: float, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(a, b) of every similar pair of nodes with different roots; rooted has a row, node, root of each node.
 
-    Similar texts share one of their rare_prefix shingles. Nodes meet by these; keys within one component end there. The
-    pairs left are held against each other by all their shingles.
+    Similar texts share one of their rare_prefix shingles. Nodes meet by these; keys within one component end there. A
+    key with more than block_nodes nodes besides its largest component is dealt out: every two of its blocks meet in a
+    task of their own. The pairs left are held against each other by all their shingles.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,14 +433,29 @@ def missed_links(texts: DataFrame, rooted: DataFrame, prefixes: DataFrame, simil
                 yield pa.record_batch([pa.array(np.concatenate(parts)), *map(pa.array, columns), pa.array(at)], names=["key", "node", "root", "size", "at"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _groups(batches, ["key"], ["node", "root", "size", "at"]):
+        for key, own in _groups(batches, ["key"], ["node", "root", "size", "at"]):
             roots, n = np.unique(own[:, 1], return_counts=True)
-            if len(roots) > 1:
-                # within the largest component nothing is missing
-                large = own[:, 1] == roots[n.argmax()]
-                found = np.unique(np.concatenate([meetings(own[~large], own, similarity)]), axis=0)
-                if len(found):
-                    yield pa.record_batch([pa.array(found[:, k]) for k in (0, 1)], names=["a", "b"])
+            if len(roots) < 2:
+                continue
+            # within the largest component nothing is missing
+            large = own[:, 1] == roots[n.argmax()]
+            blocks = -(-int((~large).sum()) // block_nodes)
+            if blocks < 2:
+                yield from _pairs(meetings(own[~large], own, similarity))
+                continue
+            block = np.where(large, 0, own[:, 0] % blocks + 1)
+            for i in range(1, blocks + 1):  # each block meets itself, the later ones and the largest component
+                for j in (0, *range(i, blocks + 1)):
+                    rows = own[(block == i) | (block == j)]
+                    first = (block == i)[(block == i) | (block == j)].astype(np.int64)
+                    same = {c: np.full(len(rows), x, np.int64) for c, x in (("key", key[0]), ("i", i), ("j", j))}
+                    yield _met(**same, first=first, node=rows[:, 0], root=rows[:, 1], size=rows[:, 2], at=rows[:, 3])
+
+    def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _groups(batches, ["key", "i", "j"], ["node", "root", "size", "at", "first"]):
+            one = own[own[:, 4] == 1]
+            other = own[own[:, 4] == 0]
+            yield from _pairs(meetings(one, other if len(other) else one, similarity))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):
@@ -442,8 +473,10 @@ def missed_links(texts: DataFrame, rooted: DataFrame, prefixes: DataFrame, simil
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
 
     keyed = prefixes.join(rooted, "row").select("node", "root", "size", "prefix").mapInArrow(keys, "key long, node long, root long, size long, at long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
-    pairs = written(pairs.distinct(), "near-pairs")
+    met = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, MET), "near-met")
+    dealt = met.where("a IS NULL").select("key", "i", "j", "first", "node", "root", "size", "at")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet_blocks, MET)
+    pairs = written(met.where("a IS NOT NULL").select("a", "b").union(dealt.select("a", "b")).distinct(), "near-pairs")
     some = rooted.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("row", "node")
     sets = written(texts.join(some, "row").select("node", "text").mapInArrow(shingles, "node long, shingles binary"), "near-sets")
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")

@@ -266,6 +266,26 @@ def test_near_duplicates_at_the_threshold(spark, n):
     assert {g for g in range(40) if root[2 * g] == root[2 * g + 1]} == want and (want or n < 5)
 
 
+def test_near_duplicates_on_crowded_keys(spark):
+    """Texts of one template, unlike one another but for a few pairs: most keys hold more nodes than a block."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(100)]
+    rows, want = [], set()
+    for g in range(60):
+        own = [f"g{g}w{i}" for i in range(rng.randint(15, 30))]
+        for k in range(1 + (g % 4 == 0)):
+            rows.append((len(rows), " ".join([*template, *own, *(f"g{g}k{k}x{i}" for i in range(10))])))
+    sets = [set(simhash_groups.shingle_hashes(t).tolist()) for _, t in rows]
+    want = components(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert 10 < len(set(want)) < len(rows)
+    d = spark.createDataFrame(rows, "__row long, text string")
+    for sample in (simhash_groups.COMMON, 0):  # also where no shingle is known as common
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(simhash_groups, "COMMON", sample)
+            root = {r.row: r.root for r in simhash_groups.near_duplicates(d, block_nodes=6).collect()}
+        assert all((root[i] == root[j]) == (want[i] == want[j]) for i in range(len(rows)) for j in range(i))
+
+
 # ---- classifiers ----
 
 
