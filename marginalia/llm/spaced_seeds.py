@@ -1,10 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are lower-cased and freed of signs at their ends. A mask covers `SPAN` words and ignores some fixed places, so a
-substituted word at one of them leaves the hash as it is. The hashes of every window of the benchmark are held against
-those of every window of every document; around each hit the item is laid along the document, and the best window of
+Words are lower-cased and freed of signs at their ends. A mask counts some places of a stretch of words and ignores the
+others, so a substituted word at one of these leaves the hash as it is. The hashes of the benchmark's words under each mask are held against
+those of every place of every document; around each hit the item is laid along the document, and the best window of
 `WINDOW` words counts: a document is contaminated if at least `IDENTITY` of such a window agrees with some item. Items
-shorter than the window count as a whole; items shorter than a mask have one seed of all their words.
+shorter than the window count as a whole.
+
+The masks leave no substitutions out that the threshold allows. A window (or shorter item) in which k words may differ
+is cut into k + 2 parts; two parts are then untouched, and each two parts are a mask (of 15 words, with 3 changed: two of
+five parts of three words). Where a window may begin at any word of the item, equal masks are one.
 
 Benchmarks are small beside the corpus, but may grow: they are taken in blocks of at most about `BLOCK_WORDS` words,
 whose seeds are broadcast, and the documents pass each block in turn with the best overlap found so far. Documents never
@@ -28,22 +32,21 @@ from pyspark.sql import functions as F
 
 from .common import WordCache, slices, table, texts_of
 
-#: Places that count within a window of 12 words.
-MASKS = ("110100110111", "111010010111", "111011001011", "111111110000")
-SPAN, WINDOW, IDENTITY = 12, 15, 0.8
+#: Fixed values
+WINDOW, IDENTITY = 15, 0.8
 BLOCK_WORDS = 2_000_000
 CACHE_WORDS = 200_000
 UNKNOWN = np.int32(-1).tobytes()
 SIGNS = ".,;:!?*#$%&|()[]{}\"'<>«»“”"
 RNG = np.random.default_rng(20)
-FACTORS = RNG.integers(1, 2**63, SPAN, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = RNG.integers(1, 2**63, WINDOW, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_of(text: str) -> list[str]:
     return [w for w in (x.strip(SIGNS) for x in text.lower().split()) if w]
 
 
-def seed_hashes(ids: np.ndarray, places: list[int]) -> np.ndarray:
+def seed_hashes(ids: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
     """A hash of each window's words at the places; ids are word numbers."""
     n = len(ids) - places[-1]
     if n <= 0:
@@ -55,6 +58,17 @@ def seed_hashes(ids: np.ndarray, places: list[int]) -> np.ndarray:
         return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def masks(n: int, identity: float = IDENTITY) -> list[tuple[int, ...]]:
+    """Places within n words, so that any n words of which at least `identity` agree agree at all places of some mask."""
+    changes = n - math.ceil(identity * n - 1e-9)
+    parts = changes + 2
+    if not changes or parts > n:
+        return [tuple(range(n))] if not changes else [(k,) for k in range(n)]
+    even = n // parts >= 3  # then equal parts, for fewer different masks
+    cuts = [k * (n // parts) if even else k * n // parts for k in range(parts + 1)]
+    return [(*range(cuts[i], cuts[i + 1]), *range(cuts[j], cuts[j + 1])) for i in range(parts) for j in range(i + 1, parts)]
+
+
 class Overlap(NamedTuple):
     item: int
     agree: int
@@ -65,21 +79,28 @@ class Overlap(NamedTuple):
 class Seeds:
     """A block of the benchmark, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int, str]], identity: float = IDENTITY):
+        self.identity = identity
         found = [(i, words_of(t or "")) for i, t in items if i is not None]
         found = sorted((i, w) for i, w in found if w)
         vocabulary = {w: k + 1 for k, w in enumerate(sorted({x for _, w in found for x in w}))}  # 0: in no item
         self.vocabulary = vocabulary
         self.items = [i for i, _ in found]
         self.words = [np.array([vocabulary[x] for x in w], np.int32) for _, w in found]
-        short = sorted({len(w) for w in self.words if len(w) < SPAN})
+        # the places of a mask, from 0 on -> (item, places before the mask; None: at all places of the item)
+        shapes: dict[tuple[int, ...], dict[tuple[int, int | None], None]] = {}
+        for k, w in enumerate(self.words):
+            for m in masks(min(len(w), WINDOW), identity):
+                shapes.setdefault(tuple(p - m[0] for p in m), {})[k, m[0] if len(w) < WINDOW else None] = None
         self.sets = []
-        for places, lengths in [*(([k for k, c in enumerate(m) if c == "1"], None) for m in masks), *((list(range(n)), n) for n in short)]:
-            of = [k for k, w in enumerate(self.words) if (len(w) >= SPAN if lengths is None else len(w) == lengths)]
-            parts = [seed_hashes(self.words[k], places) for k in of]
-            hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            item = np.concatenate([np.full(len(p), k, np.int32) for k, p in zip(of, parts, strict=True)]) if parts else np.zeros(0, np.int32)
-            at = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
+        for places, of in shapes.items():
+            parts, ats = [], []
+            for k, begin in of:
+                h = seed_hashes(self.words[k], places)
+                ats.append(np.arange(len(h), dtype=np.int32) if begin is None else np.array([begin], np.int32))
+                parts.append(h[ats[-1]])
+            hashes, at = np.concatenate(parts), np.concatenate(ats)
+            item = np.repeat(np.array([k for k, _ in of], np.int32), [len(p) for p in parts])
             order = np.argsort(hashes, kind="stable")
             bits = max(20, math.ceil(math.log2(256 * len(hashes) + 1)))  # one in 256 other windows at most passes this table
             known = np.zeros(1 << bits, bool)
@@ -90,7 +111,7 @@ class Seeds:
         self.cache = WordCache(lambda w: packed.get(x, UNKNOWN) if (x := w.strip(SIGNS)) else b"", CACHE_WORDS)
 
     def __reduce__(self):
-        return _seeds, ([(i, " ".join(self._text(w))) for i, w in zip(self.items, self.words, strict=True)],)
+        return _seeds, ([(i, " ".join(self._text(w))) for i, w in zip(self.items, self.words, strict=True)], self.identity)
 
     def _text(self, ids: np.ndarray) -> list[str]:
         if not hasattr(self, "_names"):
@@ -98,7 +119,7 @@ class Seeds:
         return [self._names[k] for k in ids.tolist()]
 
     def search(self, texts: list[str], window: int = WINDOW) -> list[Overlap | None]:
-        """The best overlap of each text with an item. All texts are hashed as one row of words, parted by SPAN unknown
+        """The best overlap of each text with an item. All texts are hashed as one row of words, parted by WINDOW unknown
         words, so that numpy works on long arrays."""
         out: list[Overlap | None] = [None] * len(texts)
         if not self.items:
@@ -106,8 +127,8 @@ class Seeds:
         known_words = self.cache.__getitem__
         parts = [b"".join(map(known_words, t.lower().split())) for t in texts]
         sizes = np.array([len(p) // 4 for p in parts])
-        starts = np.cumsum(sizes + SPAN) - sizes - SPAN
-        ids = np.frombuffer((UNKNOWN * SPAN).join(parts) + UNKNOWN * SPAN, np.int32)
+        starts = np.cumsum(sizes + WINDOW) - sizes - WINDOW
+        ids = np.frombuffer((UNKNOWN * WINDOW).join(parts) + UNKNOWN * WINDOW, np.int32)
         triples, hits = [], np.zeros(len(texts), np.int64)
         for places, hashes, item, at, known, shift in self.sets:
             h = seed_hashes(ids, places)
@@ -135,14 +156,14 @@ class Seeds:
         return out
 
 
-def _seeds(items: list[tuple[int, str]]) -> Seeds:
-    return Seeds(items)
+def _seeds(items: list[tuple[int, str]], identity: float) -> Seeds:
+    return Seeds(items, identity)
 
 
 SCHEMA_OF_FOUND = {"item_id": "long", "agree": "int", "window": "int", "hits": "int"}
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, identity: float = IDENTITY) -> DataFrame:
     """The rows of docs with all their columns and __item_id, __agree, __window, __hits of the best overlap, or null."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
@@ -156,7 +177,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     place = names.index(text)
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(Seeds([(r.id, r.text) for r in part.collect()]))  # about block_words words
+        shared = spark.sparkContext.broadcast(Seeds([(r.id, r.text) for r in part.collect()], identity))  # about block_words words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 1000, text=names[place]):
@@ -189,4 +210,4 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, identity: float = IDENTITY) -> DataFrame:
     """The rows of docs, with all their columns, that share no passage with the benchmark."""
-    return overlaps(docs, benchmark).where(~is_contaminated(identity)).select(*docs.columns)
+    return overlaps(docs, benchmark, identity=identity).where(~is_contaminated(identity)).select(*docs.columns)

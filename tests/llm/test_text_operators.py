@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -439,3 +440,15 @@ def test_seeds_odd_rows(spark, odd, none):
     got = spaced_seeds.overlaps(odd, b).where(spaced_seeds.is_contaminated()).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 3, 3]
     assert spaced_seeds.keep_clean(odd, b.limit(0)).count() == len(ODD) and spaced_seeds.keep_clean(none, b).count() == 0
+
+
+def test_seeds_for_all_substitutions_the_threshold_allows():
+    for n in range(1, 41):
+        words = [f"w{i}" for i in range(n)]
+        seeds = spaced_seeds.Seeds([(1, " ".join(words))])
+        size = min(n, 15)
+        most = size - -(-4 * size // 5)
+        starts = {0, (n - size) // 2, n - size}
+        texts = [" ".join("z" if i - at in gone else w for i, w in enumerate(words) if at <= i < at + size) for at in sorted(starts) for gone in itertools.combinations(range(size), most)]
+        for got in seeds.search(["a b c " + t + " d" for t in texts] + texts):
+            assert got and got.agree >= 0.8 * got.window
