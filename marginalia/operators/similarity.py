@@ -52,6 +52,19 @@ def similar_pairs(rows: DataFrame, block: Column, threshold: float = 0.85) -> Da
     return pairs.select("id1", "id2", F.round(score, 4).alias("score"), score.alias("exact")).where(F.col("exact") >= threshold).drop("exact")
 
 
+def similar_authors(authors: DataFrame, links: DataFrame, threshold: float = 0.85, limit: int = 5000) -> DataFrame:
+    """keep, discard, similarity (percent) of authors(id, name) with documents in links(author, document_id) and the same
+    block key. The one with more documents stays, of equal ones the first by name and id."""
+    docs = links.groupBy(F.col("author").alias("id")).agg(F.countDistinct("document_id").alias("n"))
+    own = authors.select("id", "name").join(docs, "id")
+    a, b = (own.select(*(F.col(c).alias(f"{c}{k}") for c in ("id", "name", "n"))) for k in (1, 2))
+    pairs = similar_pairs(own, block_key_column("name"), threshold).join(a, "id1").join(b, "id2")
+    ahead = (F.col("name1") < F.col("name2")) | ((F.col("name1") == F.col("name2")) & (F.col("id1") < F.col("id2")))
+    first = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & ahead)
+    out = pairs.select(F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("keep"), F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("discard"), F.round(pair_score(F.lower("name1"), F.lower("name2")) * 100, 1).alias("similarity"))
+    return out.orderBy(F.desc("similarity"), "keep", "discard").limit(limit)  # the report's top
+
+
 def cross_type(keywords: DataFrame) -> DataFrame:
     """Labels that are author keywords and indexed keywords."""
     of = lambda kind, name: keywords.where(F.col("type") == kind).groupBy(F.lower(F.trim("display")).alias("label")).agg(F.min("id").alias(name))

@@ -315,6 +315,19 @@ def test_duplicates_against_all_pairs(spark):
     assert {(frozenset((r.id1, r.id2))) for r in want} == {k for k, _ in got} and len(want) > 50
 
 
+def test_similar_authors_against_all_pairs(spark):
+    rng = random.Random(7)
+    names = [f"Silva{''.join(rng.choice('abc') for _ in range(12))}, A" for _ in range(30)]
+    names += ["".join(rng.choice("xyz") if rng.random() < 0.1 and 5 < i < 17 else c for i, c in enumerate(n)) for n in names]
+    d = spark.createDataFrame([*enumerate(names), (99, names[0])], "id long, name string")  # 99 has no document
+    links = spark.createDataFrame([(i, k) for i in range(60) for k in range(i % 4 + 1)] + [(0, 0)] * 5, "author long, document_id long")
+    got = {(r.keep, r.discard): r.similarity for r in similarity.similar_authors(d, links, limit=10**6).collect()}
+    a, b = (d.where("id < 99").select(F.col("id").alias(f"id{k}"), F.lower("name").alias(f"n{k}")) for k in "12")
+    want = a.join(b, F.col("id1") < F.col("id2")).select("id1", "id2", similarity.pair_score(F.col("n1"), F.col("n2"), 0.85).alias("s")).where("s IS NOT NULL").collect()
+    rank = lambda i: (-(i % 4), names[i], i)
+    assert {tuple(sorted((r.id1, r.id2), key=rank)) for r in want} == set(got) and any(85 <= s < 94 for s in got.values())
+
+
 def test_thesaurus_matches(spark):
     keys = spark.createDataFrame([(1, "machine lerning", None), (2, "deep networks", None), (3, "iot", None), (4, "graph", "GRPH"), (5, "exact", None), (6, "color", None), (7, "nothing like it", None), (8, "", None), (9, "information retrieval systems", None)], "id long, normalized string, display string")
     labels = spark.createDataFrame([("exact", "Exact", 10), ("colour", "Colour", 11), ("colors", "Colors", 12), ("information retrieval system", "x", 14), ("information retrieval systemz", "x", 14)], "normalized string, label string, concept_id long")
