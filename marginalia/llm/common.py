@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -30,12 +32,81 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it again: cuts the lineage, survives executors."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to a new table in the shared folder and read it again: cuts the lineage, survives executors."""
+    return _write(df, name)[0]
+
+
+class Scratch:
+    """Writes tables in the shared folder as written() does, and deletes them where the with-block ends.
+
+    What an operator returns must not read them any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out, at = _write(df, name)
+        self.paths.append(at)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for at in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """The name, or a longer one that none of the columns has (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame], doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs and the name of a long column of it that has another value in each row, the same in every read: doc_id where
+    that holds, else a number in a copy that keep() writes."""
+    if dict(docs.dtypes).get(doc_id) == "bigint" and docs.groupBy(doc_id).count().where((F.col("count") > 1) | F.col(doc_id).isNull()).isEmpty():
+        return docs, doc_id
+    name = fresh("row_number", docs.columns)
+    return keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+MOST_BITS = 1 << 27  # of a sieve: 16 MB, whatever the number of ids
+
+
+def sieve(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of a long column for the ids of a one-column table: true for all of them and for few others.
+
+    A bit for each id's hash, at least 16 bits an id up to MOST_BITS. The more ids there are beyond that, the more others
+    pass, so that a join must follow it; it only spares most rows the shuffle.
+    """
+    bits = 1 << min(max(16 * ids.count(), 1 << 16).bit_length(), MOST_BITS.bit_length() - 1)
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits)).cast("int")
+    marks = ids.select(place(F.col(ids.columns[0])).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
+    got = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    shared = ids.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def passes(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series((shared.value[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return lambda c: passes(place(c))
 
 
 def ascii_lower(col):
@@ -63,21 +134,42 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 class WordCache(dict):
-    """word -> make(word), made at the first look-up. Two generations: frequent words stay, and memory stays below about
-    twice `limit` entries, if turn() is called now and then."""
+    """word -> make(word), made at the first look-up, in about `mb` MB at most if turn() is called now and then.
 
-    def __init__(self, make: Callable[[str], object], limit: int):
+    Two generations, so that frequent words stay; words of over 256 characters are not kept. The caches of one owner alone
+    are filled in a Python worker: the first look-up of another owner's empties them.
+    """
+
+    ENTRY = 250  # bytes of an entry without its word and value, about
+    owner: object = None
+    filled: list[WordCache] = []
+
+    def __init__(self, make: Callable[[str], object], mb: float, owner: object = None, value_bytes: int = 150):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.most, self.of, self.value_bytes = make, mb * 1e6 / 2, owner or self, value_bytes
+        self.old, self.chars, self.listed = {}, 0, False
 
     def __missing__(self, word: str):
+        if not self.listed:
+            if WordCache.owner is not self.of:
+                for c in WordCache.filled:
+                    c.empty()
+                WordCache.owner, WordCache.filled = self.of, []
+            WordCache.filled.append(self)
+            self.listed = True
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
-        self[word] = value
+        if len(word) <= 256:
+            self[word] = value
+            self.chars += len(word)
         return value
 
+    def empty(self) -> None:
+        self.clear()
+        self.old, self.chars, self.listed = {}, 0, False
+
     def turn(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
+        if len(self) * (self.ENTRY + self.value_bytes) + self.chars > self.most:
+            self.old, self.chars = dict(self), 0
             self.clear()

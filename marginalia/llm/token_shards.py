@@ -35,7 +35,7 @@ CHECKSUMS = 0x80
 NULL_ID = -(2**63)
 FRAME_IDS, SHARD_IDS = 65_536, 1_000_000
 END_ID = 2
-CACHE_WORDS = 500_000
+CACHE_MB = 100.0
 TAIL = ".,;:!?*#$%&|)]\""
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, file binary"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -54,7 +54,7 @@ class ByteBpe:
     the text of an added token, goes through the library whole.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_mb: float = CACHE_MB):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -67,8 +67,9 @@ class ByteBpe:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in kept)
         self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.after_space = WordCache(lambda w: self._chunk(w, " "), cache_words)
-        self.at_start = WordCache(lambda w: self._chunk(w, ""), cache_words // 4)
+        self.line_end = self.packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.after_space = WordCache(lambda w: self._chunk(w, " "), 0.8 * cache_mb, self, 60)
+        self.at_start = WordCache(lambda w: self._chunk(w, ""), 0.2 * cache_mb, self, 60)
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -86,9 +87,11 @@ class ByteBpe:
         core = word.rstrip(TAIL)
         if len(core) < len(word) and core.isalpha() and (core.isascii() or max(core) < "\u0250"):  # letters, then one piece of signs
             return kept[core] + self.at_start[word[len(core) :]]
-        first, line, rest = word.partition("\n")
-        if line and first and rest and not (first[-1].isspace() or rest[0].isspace()):
-            return kept[first] + self.whole([line])[0] + self.at_start[rest]
+        if "\n" in word:
+            # a line end between two characters that aren't white space is a piece of its own
+            lines = word.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                return self.line_end.join([kept[lines[0]], *map(self.at_start.__getitem__, lines[1:])])
         return self.whole([space + word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -109,9 +112,9 @@ class ByteBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, cache_words: int = CACHE_WORDS) -> ByteBpe:
+def encoder(path: str, cache_mb: float = CACHE_MB) -> ByteBpe:
     """One per Python worker: the cache of chunks lives as long as the worker."""
-    return ByteBpe(path, cache_words)
+    return ByteBpe(path, cache_mb)
 
 
 def frame(rows: list[tuple[int, bytes]], width: int) -> bytes:
