@@ -6,8 +6,9 @@ to byte pieces. No piece of such a vocabulary holds a space mark after another c
 for, so a text falls into segments of space marks and what follows them; each segment is merged once and kept.
 Decoding joins pieces, turns space marks into spaces, drops the leading one and reads byte pieces as UTF-8.
 
-Checks in each Arrow batch, against the sentencepiece library: the new segments' ids, and whole texts (the first of
-each slice and every text with other than plain characters).
+Checks in each Arrow batch, against the sentencepiece library: the ids of new segments, without signs at their ends that
+no piece joins to what stands before; whole texts where they are the first of a slice, have runs of spaces or marks, or
+characters that don't print; the own decoding of the first text of a slice. The decoded texts are the library's.
 
 Defined results: a null text is empty and has no ids; rows are kept one by one, also with equal or null ids; an empty
 table gives no rows; other columns are ignored; a very long text is one row like any other.
@@ -15,6 +16,7 @@ table gives no rows; other columns are ignored; a very long text is one row like
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import heapq
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WordCache, slices, table, texts_of
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_MB = 100.0
 SHORT, NO_PIECE = 24, 1 << 40
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -37,7 +39,7 @@ BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
 class PieceBpe:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_mb: float = CACHE_MB):
         import sentencepiece
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -55,7 +57,8 @@ class PieceBpe:
             raise ValueError("not a merge-type vocabulary with byte pieces whose pieces start at spaces")
         if lib.encode(" a  b ") != self._plain(" a  b "):
             raise ValueError("a model that changes its text before encoding isn't supported")
-        self.cache, self.fresh = WordCache(self._word, cache_words), []
+        self.cache, self.fresh = WordCache(self._word, cache_mb, self), []
+        self.tails = WordCache(self._tail, 1, self)
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment of escaped text."""
@@ -106,24 +109,26 @@ class PieceBpe:
 
     def _word(self, word: str) -> tuple[str, bytes]:
         """(ids as text, ids as bytes) of the segment of one space mark and the word."""
-        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2:] not in self.inside:
-            text, ids = self.cache[word[:-1]]  # no piece holds these two characters side by side, so none can join them
-            own = self._tail(word[-1])
-            return f"{text},{own[0]}", ids + own[1]
-        ids = self.merge(MARK + word)
-        self.fresh.append((word, ids))
-        return ",".join(map(str, ids)), array("H", ids).tobytes()
-
-    def _tail(self, character: str) -> tuple[str, bytes]:
-        ids = self.merge(character)
+        cut = len(word)
+        while cut > 1 and word[cut - 1] in ".,;:!?" and word[cut - 2 : cut] not in self.inside:
+            cut -= 1  # no piece holds these two characters side by side, so none can join them
+        if cut == len(word):
+            ids = self.merge(MARK + word)
+            self.fresh.append((word, ids))
+            return ",".join(map(str, ids)), array("H", ids).tobytes()
+        text, ids = self.cache[word[:cut]]
+        own = self.tails[word[cut:]]
+        return f"{text},{own[0]}", ids + own[1]
+
+    def _tail(self, signs: str) -> tuple[str, bytes]:
+        ids = [i for c in signs for i in self.merge(c)]
         return ",".join(map(str, ids)), array("H", ids).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list[str], list[list[int]]]:
         """Of each text the ids as text, joined by commas, and the ids."""
         shown, ids = [], []
         for t in texts:
-            # runs of spaces and the mark itself go the long way
-            if not t or "  " in t or MARK in t or t[0] == " " or t[-1] == " ":
+            if self.odd(t):
                 got = self._plain(t)
                 shown.append(",".join(map(str, got)))
                 ids.append(got)
@@ -133,8 +138,14 @@ class PieceBpe:
                 ids.append(array("H", b"".join([p[1] for p in parts])).tolist())
         self.check()
         self.cache.turn()
+        self.tails.turn()
         return shown, ids
 
+    @staticmethod
+    def odd(text: str) -> bool:
+        """Whether runs of spaces, or the mark itself, send the text the long way."""
+        return not text or "  " in text or MARK in text or text[0] == " " or text[-1] == " "
+
     def check(self) -> None:
         """Hold the words merged since the last check against the library, in one call."""
         fresh, self.fresh = [x for x in self.fresh if x[0]], []
@@ -162,18 +173,18 @@ class PieceBpe:
         return "".join(out) + (_utf8(run) if run else "")
 
 
+codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
+
+
 def _utf8(data: bytes | bytearray) -> str:
     """UTF-8, with one replacement character for each byte that belongs to no character."""
-    try:
-        return data.decode()
-    except UnicodeDecodeError as e:
-        return data[: e.start].decode() + "�" + _utf8(data[e.start + 1 :])
+    return data.decode("utf-8", "each_byte")
 
 
 @functools.lru_cache(maxsize=2)
-def processor(path: str, cache_words: int = CACHE_WORDS) -> PieceBpe:
+def processor(path: str, cache_mb: float = CACHE_MB) -> PieceBpe:
     """One per Python worker."""
-    return PieceBpe(path, cache_words)
+    return PieceBpe(path, cache_mb)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -185,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
             texts = texts_of(b)
             shown, ids = bpe.encode(texts)
             for k, t in enumerate(texts):
-                if (k == 0 or not t.isascii() and not t.replace("\n", "").isprintable()) and bpe.library.encode(t) != ids[k]:
+                if (k == 0 or bpe.odd(t) or not t.replace("\n", "").isprintable()) and bpe.library.encode(t) != ids[k]:
                     raise AssertionError("a text differs from the sentencepiece library")
             decoded = bpe.library.decode(ids)
             if bpe.decode(ids[0]) != decoded[0]:
