@@ -9,6 +9,7 @@ every executor; each document's cosines with all labelled vectors are exact, a b
 Scores see the text alone: labels, lang, source and ids are no input.
 
 Defined results: a null text is empty; empty texts have the zero vector, no cosine, and get the share of good labels;
+labelled vectors that tie with the last neighbour vote too, so no order matters; a very long text is one row of counts;
 labels that are null or on unknown documents are not used; several labels of one document all vote; without any usable
 label every score is 0.5; rows are kept one by one, also with equal or null ids; an empty table gives no rows; other
 columns are ignored.
@@ -33,14 +34,13 @@ SHAPES, WORDS, EXTRA = 512, 512, 3
 DIMENSIONS = SHAPES + WORDS + EXTRA
 WORD_WEIGHT = 0.25
 MAX_LABELS, AXES, NEIGHBOURS, SHARPNESS = 6000, 32, 40, 20.0
-CACHE_WORDS = 200_000
+CACHE_MB = 60.0
 RUNS = re.compile(r"[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+|[0-9]+")
 
 
 def shape(word: str) -> str:
-    """Letters and digits by their kind, runs as one, signs as they are, at most 12 of all."""
-    out = RUNS.sub(lambda m: "9" if m[0][0].isdigit() else "x" if m[0][0].islower() else "X" if len(m[0]) == 1 else "XX", word)
-    return out[:12]
+    """Letters and digits by their kind, runs as one, signs as they are."""
+    return RUNS.sub(lambda m: "9" if m[0][0].isdigit() else "x" if m[0][0].islower() else "X" if len(m[0]) == 1 else "XX", word)
 
 
 def _word(word: str) -> bytes:
@@ -51,7 +51,7 @@ def _word(word: str) -> bytes:
 
 @functools.lru_cache(maxsize=1)
 def _cache() -> WordCache:
-    return WordCache(_word, CACHE_WORDS)
+    return WordCache(_word, CACHE_MB, value_bytes=40)
 
 
 def counts(texts: list[str]) -> np.ndarray:
@@ -73,6 +73,19 @@ def counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _packed(row: np.ndarray) -> bytes:
+    """The places and values of a row's counts that are not zero: most are."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].astype("<f4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    row = np.zeros(DIMENSIONS, np.float32)
+    row[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
+    return row
+
+
 class Model(NamedTuple):
     idf: np.ndarray
     axes: np.ndarray  # DIMENSIONS x k
@@ -100,8 +113,12 @@ class Model(NamedTuple):
             part = c[i : i + block]
             cos = self.project(part) @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(cos, near, 1).min(axis=1)
             w = np.exp(sharpness * np.take_along_axis(cos, near, 1))
             vote = (w * self.labels[near]).sum(1) / w.sum(1)
+            for r in np.flatnonzero((cos >= least[:, None]).sum(axis=1) > k):  # all that tie with the last one vote
+                tied = cos[r] >= least[r]
+                vote[r] = np.average(self.labels[tied], weights=np.exp(sharpness * cos[r][tied]))
             out[i : i + block] = np.where(part.any(axis=1), vote, self.prior)
         return np.clip(out, 0.0, 1.0)
 
@@ -131,10 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_labels:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1000):
             c = counts(texts_of(b))
-            yield pa.record_batch([b.column("doc_id"), b.column("label"), pa.array([x.astype("<f2").tobytes() for x in c], pa.binary())], names=["doc_id", "label", "counts"])
+            yield pa.record_batch([b.column("doc_id"), b.column("label"), pa.array([_packed(x) for x in c], pa.binary())], names=["doc_id", "label", "counts"])
 
     got = rows.mapInArrow(run, "doc_id long, label double, counts binary").orderBy("doc_id", "label", "counts").limit(max_labels).collect()
-    c = np.frombuffer(b"".join(bytes(r.counts) for r in got), "<f2").reshape(-1, DIMENSIONS).astype(np.float32)
+    c = np.array([_unpacked(bytes(r.counts)) for r in got], np.float32).reshape(-1, DIMENSIONS)
     return train(c, np.array([r.label for r in got], np.float64), axes)
 
 
