@@ -10,7 +10,8 @@ they use words that a two-grade fit of the same model marks as toxic (`CUTS`). E
 P(grade > j), from 0 to 3; the grade is the likeliest one.
 
 Defined results: a null text is empty and is graded by the thresholds alone; null labels and labels of unknown
-documents are not used; several labels of one document all count; without labels of both kinds every severity is 0;
+documents are not used; several labels of one document all count; without labels of both kinds every severity is 0; of
+equally likely grades the least; a very long text is one row of counts;
 rows are kept one by one, also with equal or null ids; an empty table gives no rows; other columns are ignored.
 """
 
@@ -137,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     )
     sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
     only = set(vocabulary_of(sample))
-    got = sample.mapInArrow(lambda x: _bags(x, only), "doc_id long, toxic int, words array<string>, counts array<int>").collect()  # a few words a row
+    got = sample.mapInArrow(lambda x: _bags(x, only), "doc_id long, toxic int, words array<string>, counts array<int>")
+    # of documents with equal ids each has all labels of the id, so the bound holds again here; a few words a row
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "words").limit(max_labels).collect()
     got.sort(key=lambda r: (r.doc_id, r.toxic, r.words))
     return train([dict(zip(r.words, r.counts, strict=True)) for r in got], np.array([r.toxic for r in got], int))
 
