@@ -5,7 +5,8 @@ repositories and owners: a value that many owners hold is a widely copied exampl
 owners is owner-specific. An owner-specific candidate that also looks live (its characters are near random) is a finding.
 
 Defined results: a null text is empty; a null repository or owner counts as one unnamed owner or repository; rows are
-kept one by one, also with equal or null ids; an empty table gives no rows; other columns are ignored.
+kept one by one, also with equal or null ids; spans that start together: by kind; a very long text is scanned whole, in
+time that grows with its length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of, written
+from .common import Scratch, fresh, numbered, sieve, slices, table, texts_of, written
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "vendor", "opaque")
 BASE = 3  # of KINDS, those that stay in any case
@@ -27,11 +29,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = re.compile("password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of 16 and more are the matches of [0-9a-f]+ that are kept
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,._]|-(?!----))*+)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 VENDOR = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{12,}|AIza[A-Za-z0-9_-]{35})")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 
+HOT = 10_000
+
 SPAN = "struct<kind:int,start:int,end:int,hash:string,live:boolean>"
 SCAN_SCHEMA = f"row long, doc_id long, repo string, owner string, spans array<{SPAN}>"
 
@@ -49,6 +53,18 @@ def looks_live(kind: int, value: str) -> bool:
     return mixed and entropy(value) >= 3.0
 
 
+def _free(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch meets none of the spans."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return lambda s, e: (k := bisect_left(starts, e)) == 0 or ends[k - 1] <= s
+
+
 def find_spans(text: str) -> list[tuple[int, int, int, str, bool]]:
     """(kind, start, end, hash of the value, looks live) by start, then kind, in code points."""
     found = []
@@ -67,11 +83,10 @@ def find_spans(text: str) -> list[tuple[int, int, int, str, bool]]:
                 add(1, m.start(), m.end(), m[0])
     for m in HEX.finditer(text):
         add(2, m.start(), m.end(), m[0])
-    base = [(s, e) for _, s, e, _, _ in found]
-    free = lambda s, e: all(e <= a or b <= s for a, b in base)
+    free = _free([(s, e) for _, s, e, _, _ in found])
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if free(m.start(), m.end()):
+            if len(m[1]) >= 40:  # a key may hold base spans
                 add(3, m.start(), m.end(), m[0])
     if "eyJ" in text:
         for m in JWT.finditer(text):
@@ -81,7 +96,7 @@ def find_spans(text: str) -> list[tuple[int, int, int, str, bool]]:
         for m in VENDOR.finditer(text):
             if free(m.start(), m.end()):
                 add(5, m.start(), m.end(), m[0])
-    base = [(s, e) for _, s, e, _, _ in found]
+    free = _free([(s, e) for _, s, e, _, _ in found])
     for m in OPAQUE.finditer(text):
         v = m[0]
         if any(x.isdigit() for x in v) and any(x.islower() for x in v) and any(x.isupper() for x in v) and free(m.start(), m.end()):
@@ -89,8 +104,8 @@ def find_spans(text: str) -> list[tuple[int, int, int, str, bool]]:
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repo: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """One row per row of docs, with a row number of its own and all candidate spans."""
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repo: Column | None = None, owner: Column | None = None, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """One row per row of docs, with a row number of its own and all candidate spans, as a table that keep() writes."""
     none = F.lit(None).cast("string")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
@@ -103,7 +118,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repo: Colu
             spans = [[dict(zip(("kind", "start", "end", "hash", "live"), s, strict=True)) for s in find_spans(t)] for t in texts_of(b)]
             yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("repo"), b.column("owner"), pa.array(spans, pa.list_(kind))], names=["row", "doc_id", "repo", "owner", "spans"])
 
-    return written(rows.mapInArrow(run, SCAN_SCHEMA), "secret-scan")
+    return keep(rows.mapInArrow(run, SCAN_SCHEMA), "secret-scan")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -118,16 +133,19 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return one.groupBy("hash").agg(F.sum("n").alias("n_docs"), F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners"))
 
 
-def secret_findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repo: Column | None = None, owner: Column | None = None, max_owners: int = 2, max_repos: int = 4) -> DataFrame:
+def secret_findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repo: Column | None = None, owner: Column | None = None, max_owners: int = 2, max_repos: int = 4, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """One row per row of docs: row, doc_id, and spans, an array of (kind, start, end, n_docs, n_repos, n_owners,
     owner_specific) that holds every base span and, of the wider kinds, the owner-specific live-looking ones.
 
     A value is owner-specific if at most max_owners owners and max_repos repositories hold it.
     """
-    scanned = scan(docs, text, doc_id, repo, owner)
-    common = ownership(scanned).where((F.col("n_owners") > 1) | (F.col("n_repos") > 1) | (F.col("n_docs") > 1))
+    scanned = scan(docs, text, doc_id, repo, owner, keep)
+    common = keep(ownership(scanned).where((F.col("n_owners") > 1) | (F.col("n_repos") > 1) | (F.col("n_docs") > 1)), "secret-owners")
     each = scanned.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", F.col("s.*"))
-    judged = each.join(common, "hash", "left").select(
+    # values with more than one in HOT of all copies are HOT at most; they are broadcast, so no task gets all copies of one
+    total = common.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    hot = F.broadcast(common.where(F.col("n_docs") > max(total // HOT, 1)))
+    judged = each.join(hot, "hash").unionByName(each.join(hot.select("hash"), "hash", "left_anti").join(common, "hash", "left")).select(
         "row", "kind", "start", "end", "live",
         *(F.coalesce(c, F.lit(1)).cast("long").alias(c) for c in ("n_docs", "n_repos", "n_owners")),
     )
@@ -165,26 +183,29 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_secrets(docs: DataFrame, **limits: int) -> DataFrame:
     """The columns of docs; owner-specific live-looking values in the text become [kind]. Widely copied examples stay.
 
-    The text moves through one join on a row number; rows without findings are not touched.
+    Rows without findings pass by a sieve and are not shuffled. docs is read several times, so it should be a table.
     """
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mask-input")
-    renamed = numbered.select(F.col("__row").alias("doc_id"), "text", "source", "lang")
-    found = secret_findings(renamed, **owner_columns(renamed), **limits).select(F.col("doc_id").alias("__row"), F.filter("spans", lambda s: s["owner_specific"]).alias("__spans"))
-    found = found.where(F.size("__spans") > 0)
-    out_schema = docs.schema
+    rows, row = numbered(docs, written)
+    with Scratch(docs.sparkSession) as keep:
+        plain = rows.select(F.col(row).alias("doc_id"), "text", "source", "lang")
+        found = secret_findings(plain, **owner_columns(plain), **limits, keep=keep)
+        found = written(found.select("doc_id", F.filter("spans", lambda s: s["owner_specific"]).alias("spans")).where(F.size("spans") > 0), "mask-spans")
+    marks = fresh("spans", rows.columns)
+    found = found.toDF(row, marks)
     names = F.array(*map(F.lit, KINDS))
-    joined = numbered.join(found, "__row", "left")
     # spans may touch one another: a later one that begins inside an earlier one is left to the earlier one
     cut = F.aggregate(
-        F.coalesce("__spans", F.array().cast(found.schema["__spans"].dataType)),
+        F.col(marks),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
             F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.get(names, s["kind"]), F.lit("]")).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))),
     )
-    masked = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut)
-    new = {"text": masked.alias("text")}
-    if "n_chars" in out_schema.names:
-        new["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(masked)).cast(out_schema["n_chars"].dataType).alias("n_chars")
-    return joined.select(*(new.get(c, F.col(c)) for c in out_schema.names))
+    none = F.col(marks).isNull()
+    new = {"text": F.when(none, F.col("text")).otherwise(cut)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(none, F.col("n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
+    maybe = sieve(found.select(row))(F.col(row))
+    joined = rows.where(maybe).join(found, row, "left")
+    return rows.where(~maybe).select(*docs.columns).union(joined.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns)))
