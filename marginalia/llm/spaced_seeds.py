@@ -15,7 +15,7 @@ whose seeds are broadcast, and the documents pass each block in turn with the be
 leave their partition, so a passage that a third of them hold makes no hot key.
 
 Defined results: a null text is empty; null items and items without words are not searched; several items that overlap
-equally: the least item id; rows are kept one by one, also with equal or null ids; an empty table gives no rows, an
+equally: the least item id; a very long text is searched whole; rows are kept one by one, also with equal or null ids; an empty table gives no rows, an
 empty benchmark contaminates nothing; other columns are ignored.
 """
 
@@ -27,15 +27,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordCache, slices, table, texts_of
+from .common import WordCache, fresh, slices, table, texts_of, written
 
 #: Fixed values
 WINDOW, IDENTITY = 15, 0.8
-BLOCK_WORDS = 2_000_000
-CACHE_WORDS = 200_000
+BLOCK_WORDS = 200_000
+MOST_BITS = 24  # of the table that spares most windows the search
+CACHE_MB = 40.0
 UNKNOWN = np.int32(-1).tobytes()
 SIGNS = ".,;:!?*#$%&|()[]{}\"'<>«»“”"
 RNG = np.random.default_rng(20)
@@ -102,13 +104,13 @@ class Seeds:
             hashes, at = np.concatenate(parts), np.concatenate(ats)
             item = np.repeat(np.array([k for k, _ in of], np.int32), [len(p) for p in parts])
             order = np.argsort(hashes, kind="stable")
-            bits = max(20, math.ceil(math.log2(256 * len(hashes) + 1)))  # one in 256 other windows at most passes this table
+            bits = min(max(20, math.ceil(math.log2(256 * len(hashes) + 1))), MOST_BITS)  # one in 256 other windows passes, more in large blocks
             known = np.zeros(1 << bits, bool)
             known[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
             self.sets.append((places, hashes[order], item[order], at[order], known, np.uint64(64 - bits)))
         packed = {w: np.int32(k).tobytes() for w, k in vocabulary.items()}
         # signs alone are no word and leave nothing
-        self.cache = WordCache(lambda w: packed.get(x, UNKNOWN) if (x := w.strip(SIGNS)) else b"", CACHE_WORDS)
+        self.cache = WordCache(lambda w: packed.get(x, UNKNOWN) if (x := w.strip(SIGNS)) else b"", CACHE_MB, value_bytes=40)
 
     def __reduce__(self):
         return _seeds, ([(i, " ".join(self._text(w))) for i, w in zip(self.items, self.words, strict=True)], self.identity)
@@ -160,54 +162,54 @@ def _seeds(items: list[tuple[int, str]], identity: float) -> Seeds:
     return Seeds(items, identity)
 
 
-SCHEMA_OF_FOUND = {"item_id": "long", "agree": "int", "window": "int", "hits": "int"}
+OVERLAP = "struct<item_id: bigint, agree: int, window: int, hits: bigint>"
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, identity: float = IDENTITY) -> DataFrame:
-    """The rows of docs with all their columns and __item_id, __agree, __window, __hits of the best overlap, or null."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, identity: float = IDENTITY, into: str = "overlap") -> DataFrame:
+    """The rows of docs with all their columns and a struct `into` of item_id, agree, window and hits of the best overlap,
+    or null; a column of docs with that name gives way. Between blocks of the benchmark the rows are written, so that executors hold one block at a time."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     sized = items.withColumn("n", F.size(F.split(F.trim("text"), r"\s+")))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
-    names, fields = docs.columns, docs.schema.fields
-    extra = [f"__{c}" for c in SCHEMA_OF_FOUND]
-    out = docs.select("*", *(F.lit(None).cast(t).alias(f"__{c}") for c, t in SCHEMA_OF_FOUND.items()))
-    schema = out.schema
+    out = docs.drop(into).select("*", F.lit(None).cast(OVERLAP).alias(into))
+    schema, names = out.schema, out.columns
     place = names.index(text)
+    kind = to_arrow_type(schema[into].dataType)
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(Seeds([(r.id, r.text) for r in part.collect()], identity))  # about block_words words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 1000, text=names[place]):
-                got = [b.column(len(fields) + i).to_pylist() for i in range(4)]
+                got = b.column(len(names) - 1).to_pylist()
                 for i, new in enumerate(shared.value.search(texts_of(b, names[place]))):
                     if new:
-                        item, agree, window, hits = (c[i] for c in got)
-                        if item is None or (new.agree / new.window, -new.item) > (agree / window, -item):
-                            got[0][i], got[1][i], got[2][i] = new.item, new.agree, new.window
-                        got[3][i] = (hits or 0) + new.hits
+                        best = old if (old := got[i]) and (old["agree"] / old["window"], -old["item_id"]) >= (new.agree / new.window, -new.item) else {"item_id": new.item, "agree": new.agree, "window": new.window}
+                        got[i] = best | {"hits": (old["hits"] if old else 0) + new.hits}
                 shared.value.cache.turn()
-                kinds = pa.int64(), pa.int32(), pa.int32(), pa.int32()
-                yield pa.record_batch([*b.columns[: len(fields)], *(pa.array(c, t) for c, t in zip(got, kinds, strict=True))], names=[*names, *extra])
+                yield pa.record_batch([*b.columns[:-1], pa.array(got, kind)], names=names)
 
         out = out.mapInArrow(run, schema)
+        if k < blocks - 1:
+            out = written(out, "seeds-block")
     return out
 
 
-def is_contaminated(identity: float = IDENTITY):
-    return F.coalesce(F.col("__agree") >= F.lit(identity) * F.col("__window"), F.lit(False))
+def is_contaminated(found: Column, identity: float = IDENTITY) -> Column:
+    return F.coalesce(found["agree"] >= F.lit(identity) * found["window"], F.lit(False))
 
 
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bad = is_contaminated()
-    found = overlaps(docs, table(spark, sf_dir, "benchmark"))
-    keep = lambda c: F.when(bad, F.col(f"__{c}")).alias(c)
-    return found.select("doc_id", bad.alias("contaminated"), keep("item_id"), keep("agree"), keep("window"), F.coalesce("__hits", F.lit(0)).cast("long").alias("seed_hits"))
+    found = F.col("overlap")
+    bad = is_contaminated(found)
+    keep = lambda c: F.when(bad, found[c]).alias(c)
+    return overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id", bad.alias("contaminated"), keep("item_id"), keep("agree"), keep("window"), F.coalesce(found["hits"], F.lit(0)).cast("long").alias("seed_hits"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, identity: float = IDENTITY) -> DataFrame:
     """The rows of docs, with all their columns, that share no passage with the benchmark."""
-    return overlaps(docs, benchmark, identity=identity).where(~is_contaminated(identity)).select(*docs.columns)
+    into = fresh("overlap", docs.columns)
+    return overlaps(docs, benchmark, identity=identity, into=into).where(~is_contaminated(F.col(into), identity)).select(*docs.columns)
