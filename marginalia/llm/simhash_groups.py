@@ -20,7 +20,7 @@ component (a component of null ids only has a null name); an empty table gives n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of, written
+from .common import Scratch, slices, table, texts_of, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 SHARD_NODES = 1024
@@ -53,15 +53,18 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and fp (a long that holds the 64 bits) of every row, written in the shared folder."""
+    """doc_id and fp (a long that holds the 64 bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):
             yield pa.record_batch([b.column("doc_id"), pa.array([signed(fingerprint(t)) for t in texts_of(b)], pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return written(rows.mapInArrow(run, "doc_id long, fp long"), "simhash")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 class BkTree:
@@ -117,7 +120,7 @@ def _bits(fp, start: int, n: int):
     return F.shiftrightunsigned(fp, start).bitwiseAND((1 << n) - 1)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, shard_nodes: int = SHARD_NODES) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, shard_nodes: int = SHARD_NODES, keep: Keep = written) -> DataFrame:
     """(a, b) links between fingerprints of nodes(fp), enough to span every component."""
     if radius != 2:
         raise ValueError("the shard keys are made for a radius of 2")
@@ -129,7 +132,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_nodes: int = SHARD_NODES
     free = {k: [b for p in range(4) if p not in pair for b in range(16 * p, 16 * p + 16)] for k, pair in enumerate(pairs)}
     out = None
     while True:
-        hot = written(level.groupBy("key", "kind").agg(F.count("*").alias("n")).where(F.col("n") > shard_nodes).select("key", "kind"), "simhash-hot")
+        hot = keep(level.groupBy("key", "kind").agg(F.count("*").alias("n")).where(F.col("n") > shard_nodes).select("key", "kind"), "simhash-hot")
         some = not hot.isEmpty()
         small = level.join(hot, ["key", "kind"], "left_anti") if some else level
         got = _linked(small, radius)
@@ -150,7 +153,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_nodes: int = SHARD_NODES
             return out
         rows = level.join(hot, ["key", "kind"], "left_semi")
         each = F.array(*(F.when(F.col("kind") == kind, F.struct(key.alias("key"), F.lit(new).alias("kind"))) for kind, new, key in again))
-        level = written(rows.select("fp", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("k")).select("fp", "k.key", "k.kind"), "simhash-level")
+        level = keep(rows.select("fp", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("k")).select("fp", "k.key", "k.kind"), "simhash-level")
         free = next_free
 
 
@@ -177,10 +180,10 @@ def _linked(level: DataFrame, radius: int) -> DataFrame:
     return level.repartition("key", "kind").sortWithinPartitions("kind", "key", "fp").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of the links can reach."""
+def components(edges: DataFrame, keep: Keep = written) -> DataFrame:
+    """(node, root): the least node that each node of the links (a, b) can reach. keep() writes the state of each round."""
     pairs = lambda a, b: edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    state = written(pairs("a", "b").where("u <> v").distinct(), "components")
+    state = keep(pairs("a", "b").where("u <> v").distinct(), "components")
     told = None
     while True:
         both = state.union(state.select("v", "u").toDF("u", "v"))
@@ -188,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m").toDF("u", "v")).where("u <> v").distinct()
-        state = written(small, "components")
+        state = keep(small, "components")
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == told:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -196,342 +199,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    marked = fingerprints(docs, text, doc_id)
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    found = components(links(nodes.select("fp"), radius, shard_nodes))
-    rooted = written(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    """doc_id, fp, component_id of every row, written in the shared folder."""
+    with Scratch(docs.sparkSession) as keep:
+        marked = keep(fingerprints(docs, text, doc_id), "simhash")
+        nodes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+        found = components(links(nodes.select("fp"), radius, shard_nodes, keep), keep)
+        rooted = keep(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+        named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_fp = rooted.join(named, "root").select("fp", "component_id")
+        return written(marked.join(by_fp, "fp").select("doc_id", "fp", "component_id"), "simhash-groups")
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# ---- near duplicates by the similarity of their shingles ----
-
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-CLASS_SHINGLES, CLASSES = 4, 6
-BLOCK_NODES = 512
-SAMPLE_ROWS, SAMPLE_SHARE, COMMON = 4000, 64, 200_000  # for the order of shingles only
-
-
-def shingle_hashes(text: str, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """The sorted distinct XXH64 of the text's shingles."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if len(words) <= shingle:
-        parts = [b" ".join(words)] if words else []
-        return np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], np.uint64)
-    digest, join = xxhash.xxh64_digest, b" ".join
-    return np.unique(np.frombuffer(b"".join([digest(join(s), SEED) for s in zip(*(words[k:] for k in range(shingle)))]), ">u8").astype(np.uint64))
-
-
-def majority(hashes: np.ndarray) -> int:
-    """The SimHash of some shingle hashes."""
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
-
-
-def class_fingerprints(hashes: np.ndarray) -> list[int]:
-    """SimHashes of small classes of a text's shingles.
-
-    Shingles fall into 2^level classes by the low bits of their hashes, about CLASS_SHINGLES in each; CLASSES of them
-    stand for the text. An edit changes few shingles, so most texts that share four fifths of them agree in a class; at a
-    similarity of just 0.8 many do not. Texts near the border of two levels have both. These keys only find the bulk of
-    the links cheaply; what they miss is found by `missed_links`.
-    """
-    n = len(hashes)
-    size = np.log2(max(n, 1) / CLASS_SHINGLES)
-    out = []
-    for level in {max(0, int(np.floor(size - 0.15))), max(0, int(np.floor(size + 0.15)))}:
-        of = hashes & np.uint64((1 << level) - 1)
-        for c in range(min(CLASSES, 1 << level)):
-            if len(own := hashes[of == c]):
-                out.append(xxhash.xxh64_intdigest(f"{level}:{c}:{majority(own)}:{len(own)}", SEED))
-    return out
-
-
-def needed(size, similarity: float):
-    """The least number of shingles that a text of `size` shares with a similar one."""
-    return np.ceil(similarity * size - 1e-9).astype(np.int64)
-
-
-def rare_prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of the text by one order for all texts, so many that similar texts have one of them in common.
-
-    Any fixed order is exact; that of `common` (sorted hashes and their counts in a sample) puts common shingles last, so
-    that few texts meet.
-    """
-    if not len(hashes):
-        return hashes
-    listed, counts = common
-    rank = np.zeros(len(hashes), np.int64)
-    if len(listed):
-        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
-        rank = np.where(listed[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, rank))][: len(hashes) - int(needed(len(hashes), similarity)) + 1]
-
-
-def meetings(own: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
-    """The (node, node) pairs of two tables of (node, component, size, place of the key) that a key leaves possible: of
-    different components, with sizes and shingles from the key on that suffice."""
-    out = [np.zeros((0, 2), np.int64)]
-    for i in range(0, len(own), 256):
-        a, b = own[i : i + 256, None, :], others[None, :, :]
-        least = np.ceil(similarity / (1 + similarity) * (a[..., 2] + b[..., 2]) - 1e-9)
-        x, y = np.nonzero((a[..., 1] != b[..., 1]) & (np.minimum(a[..., 2] - a[..., 3], b[..., 2] - b[..., 3]) >= least))
-        u, v = own[i + x, 0], others[y, 0]
-        out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
-
-
-def similar_links(nodes: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """((node, linked node) pairs that span the components, the components' leaders) of one block.
-
-    Each node is compared with the nodes before it, those with most links first, until it has met one of each
-    component or all; so a family of copies costs about one comparison a node.
-    """
-    parent, links_of, found, order = list(range(len(nodes))), [0] * len(nodes), [], []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i, own in enumerate(sets):
-        for j in sorted(order, key=lambda k: -links_of[k]):
-            if root(j) == root(i):
-                continue
-            a, b = len(own), len(sets[j])
-            if min(a, b) < similarity * max(a, b):
-                continue
-            both = len(np.intersect1d(own, sets[j], assume_unique=True))
-            if both >= similarity * (a + b - both):
-                found.append((nodes[i], nodes[j]))
-                links_of[i] += 1
-                links_of[j] += 1
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-        order.append(i)
-    best = {}
-    for i in range(len(nodes)):
-        r = root(i)
-        if r not in best or links_of[i] > links_of[best[r]]:
-            best[r] = i
-    return found, [nodes[i] for i in best.values()]
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", row: str = "__row", similarity: float = SIMILARITY, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """row and root of every row: rows whose texts are equal, or linked by a Jaccard similarity of their five-word
-    shingles of at least `similarity`, have the same root.
-
-    Equal shingle sets are one node. Nodes that share a class fingerprint meet; only for these are shingles kept and sent.
-    A fingerprint that more than block_nodes nodes share is taken in blocks, whose leaders meet again. That links most
-    of a family at little cost; every similar pair still in two components is then found by `missed_links`.
-    """
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 500):
-            sets = [shingle_hashes(t) for t in texts_of(b)]
-            ids = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
-            keys = [[signed(x) for x in class_fingerprints(s)] for s in sets]
-            prefixes = [rare_prefix(s, similarity, common.value).astype("<u8").tobytes() for s in sets]
-            yield pa.record_batch([b.column("row"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64()), pa.array(prefixes, pa.binary())], names=["row", "node", "keys", "size", "prefix"])
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The upper halves of the hashes: enough to compare texts with."""
-        for b in slices(batches, 500):
-            halves = [np.unique((shingle_hashes(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts_of(b)]
-            yield pa.record_batch([b.column("row"), pa.array(halves, pa.binary())], names=["row", "shingles"])
-
-    texts = docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
-    marked = written(texts.mapInArrow(sketch, "row long, node long, keys array<long>, size long, prefix binary"), "near-sketch")
-    members = marked.groupBy("node").agg(F.min("row").alias("least"))
-    keyed = written(marked.select("row", "node", "keys").join(members.select(F.col("least").alias("row")), "row", "left_semi").select("row", "node", F.explode("keys").alias("key")), "near-keys")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    level = keyed.join(counts, "key").select("row", "node", "key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / block_nodes).cast("long")).alias("block"), (F.col("n") > block_nodes).alias("more"))
-    level = written(level, "near-level")
-    compared = written(texts.join(level.select("row").distinct().hint("merge"), "row", "left_semi").mapInArrow(shingles, "row long, shingles binary"), "near-shingles")
-    edges, depth, told = None, 0, 0
-    while True:
-        rows = level.join(compared, "row").select("node", "row", "key", "block", "more", "shingles")
-        got = written(_blocks(rows, similarity), f"near-links-{depth}")
-        new = got.where("b IS NOT NULL").select("a", "b")
-        edges = new if edges is None else edges.union(new)
-        again = got.where("b IS NULL").select(F.col("a").alias("node"), "row", "key")
-        n = again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        depth += 1
-        if n.isEmpty():
-            break
-        # leaders of one key's blocks; every round but a last one joins blocks, as leaders that stay apart end it
-        total = again.count()
-        if depth > 1 and total >= told:
-            break
-        told = total
-        level = again.join(n, "key").select("row", "node", "key", F.pmod(F.xxhash64("node", "key", F.lit(depth)), F.ceil(F.col("n") / block_nodes).cast("long")).alias("block"), (F.col("n") > block_nodes).alias("more"))
-    found = components(edges)
-    first = written(members.join(found, "node", "left").select(F.col("least").alias("row"), "node", F.coalesce("root", "node").alias("root")), "near-roots")
-    more = missed_links(texts, first, marked.select("row", "size", "prefix"), similarity, block_nodes)
-    if not more.isEmpty():
-        found = components(edges.union(more))
-    return marked.select("row", "node").join(found, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
-
-
-MET = "a long, b long, key long, i long, j long, first long, node long, root long, size long, at long"
-
-
-def _met(**columns: np.ndarray) -> pa.RecordBatch:
-    """A batch of MET with nulls in the other columns."""
-    names = [c.split()[0] for c in MET.split(", ")]
-    n = len(next(iter(columns.values())))
-    return pa.record_batch([pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(n, pa.int64()) for c in names], names=names)
-
-
-def _pairs(found: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(found):
-        yield _met(a=found[:, 0], b=found[:, 1])
-
-
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the shingles that several texts of a sample share, the COMMON most frequent at most.
-    They set an order and decide no result."""
-    share = max(1, min(texts.count() // SAMPLE_ROWS, SAMPLE_SHARE))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 500):
-            if sets := [shingle_hashes(t) for t in texts_of(b)]:
-                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], names=["hash"])
-
-    found = texts.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 2")
-    got = found.orderBy(F.desc("n"), "hash").limit(COMMON).collect()
-    hashes, counts = np.array([r.hash for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def missed_links(texts: DataFrame, rooted: DataFrame, prefixes: DataFrame, similarity: float, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """(a, b) of every similar pair of nodes with different roots; rooted has a row, node, root of each node.
-
-    Similar texts share one of their rare_prefix shingles. Nodes meet by these; keys within one component end there. A
-    key with more than block_nodes nodes besides its largest component is dealt out: every two of its blocks meet in a
-    task of their own. The pairs left are held against each other by all their shingles.
-    """
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2000, text="prefix"):
-            parts = [np.frombuffer(x, "<i8") for x in b.column("prefix").to_pylist()]
-            n = [len(x) for x in parts]
-            each = np.repeat(np.arange(len(n)), n)
-            if len(each):
-                at = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                columns = [b.column(c).to_numpy(zero_copy_only=False)[each] for c in ("node", "root", "size")]
-                yield pa.record_batch([pa.array(np.concatenate(parts)), *map(pa.array, columns), pa.array(at)], names=["key", "node", "root", "size", "at"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, own in _groups(batches, ["key"], ["node", "root", "size", "at"]):
-            roots, n = np.unique(own[:, 1], return_counts=True)
-            if len(roots) < 2:
-                continue
-            # within the largest component nothing is missing
-            large = own[:, 1] == roots[n.argmax()]
-            blocks = -(-int((~large).sum()) // block_nodes)
-            if blocks < 2:
-                yield from _pairs(meetings(own[~large], own, similarity))
-                continue
-            block = np.where(large, 0, own[:, 0] % blocks + 1)
-            for i in range(1, blocks + 1):  # each block meets itself, the later ones and the largest component
-                for j in (0, *range(i, blocks + 1)):
-                    rows = own[(block == i) | (block == j)]
-                    first = (block == i)[(block == i) | (block == j)].astype(np.int64)
-                    same = {c: np.full(len(rows), x, np.int64) for c, x in (("key", key[0]), ("i", i), ("j", j))}
-                    yield _met(**same, first=first, node=rows[:, 0], root=rows[:, 1], size=rows[:, 2], at=rows[:, 3])
-
-    def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _groups(batches, ["key", "i", "j"], ["node", "root", "size", "at", "first"]):
-            one = own[own[:, 4] == 1]
-            other = own[own[:, 4] == 0]
-            yield from _pairs(meetings(one, other if len(other) else one, similarity))
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 500):
-            yield pa.record_batch([b.column("node"), pa.array([shingle_hashes(t).astype("<u8").tobytes() for t in texts_of(b)], pa.binary())], names=["node", "shingles"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for u, v, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "b", "s", "t")), strict=True):
-                x, y = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both):
-                    rows.append((u, v))
-            if rows:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
-
-    keyed = prefixes.join(rooted, "row").select("node", "root", "size", "prefix").mapInArrow(keys, "key long, node long, root long, size long, at long")
-    met = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, MET), "near-met")
-    dealt = met.where("a IS NULL").select("key", "i", "j", "first", "node", "root", "size", "at")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet_blocks, MET)
-    pairs = written(met.where("a IS NOT NULL").select("a", "b").union(dealt.select("a", "b")).distinct(), "near-pairs")
-    some = rooted.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("row", "node")
-    sets = written(texts.join(some, "row").select("node", "text").mapInArrow(shingles, "node long, shingles binary"), "near-sets")
-    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-    return written(both.mapInArrow(verify, "a long, b long"), "near-missed")
-
-
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """(key, table of the columns) of each run of two or more equal keys of a sorted partition."""
-    at, parts = None, []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, rows = (np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cs], axis=1) for cs in (by, columns))
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-            if i or (now := tuple(key[0].tolist())) != at:
-                if sum(map(len, parts)) > 1:
-                    yield at, np.concatenate(parts)
-                at, parts = (tuple(key[i].tolist()) if i else now), []
-            parts.append(rows[i:j])
-    if sum(map(len, parts)) > 1:
-        yield at, np.concatenate(parts)
-
-
-def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of each block of a key, and a row (a, null) for each leader of a key that has more blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, sets, ids, at, more = [], [], [], None, False
-
-        def done() -> Iterator[pa.RecordBatch]:
-            found, leaders = similar_links(nodes, sets, similarity) if len(nodes) > 1 else ([], nodes)
-            of = dict(zip(nodes, ids, strict=True))
-            out = [(a, b, None, None) for a, b in found] + ([(a, None, of[a], at[0]) for a in leaders] if more else [])
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "row", "key"])
-
-        for b in batches:
-            for node, row, key, block, now, s in zip(*(b.column(c).to_pylist() for c in ("node", "row", "key", "block", "more", "shingles")), strict=True):
-                if (key, block) != at:
-                    yield from done()
-                    nodes, sets, ids, at, more = [], [], [], (key, block), now
-                nodes.append(node)
-                ids.append(row)
-                sets.append(np.frombuffer(s, "<u4"))
-        yield from done()
-
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(run, "a long, b long, row long, key long")
-
-
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of near duplicates: that with the least doc_id (of equal ids one; a null id only where all
-    are null)."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-input")
-    rooted = near_duplicates(numbered, similarity=similarity)
-    ids = written(rooted.join(numbered.select(F.col("__row").alias("row"), F.col("doc_id").alias("real")), "row"), "dedup-groups")
-    first = ids.groupBy("root").agg(F.min(F.struct(F.col("real").isNull(), "real", "row")).alias("first")).select(F.col("first.row").alias("__row"))
-    return numbered.join(first.hint("merge"), "__row", "left_semi").select(*docs.columns)  # as many rows as are kept: never broadcast
