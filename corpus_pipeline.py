@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm.common import table, written
+from marginalia.llm.common import Scratch, table, written
 from marginalia.llm.piece_bpe import encode_documents
 from marginalia.llm.quality_knn import fit, keep_good
 from marginalia.llm.secret_scan import mask_secrets
-from marginalia.llm.simhash_groups import keep_one
+from marginalia.llm.near_duplicates import keep_one
 from marginalia.llm.spaced_seeds import keep_clean
 
 
@@ -51,6 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with Scratch(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        name, stage = STAGES[-1]
+        return written(stage(spark, docs, sf_dir), f"pipeline-{name}")
