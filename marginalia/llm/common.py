@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share; where the session names none, a local one for a session within one machine."""
     at = spark.conf.get(CHECKPOINT_KEY, None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         at = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not at:
             at = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -84,6 +87,22 @@ def numbered(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame], doc_i
     return keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+HOT = 10_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, copies: str, how: str = "left", small: Column | None = None) -> DataFrame:
+    """rows joined with side, which has one row for each key and, in `copies`, how many rows have it.
+
+    A key of more than one in HOT of all rows would be one task's work. There are HOT such keys at most, so they are
+    broadcast (those that are `small`, where side's rows have no bounded size); the others are joined by the shuffle.
+    """
+    total = side.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    hot = F.col(copies) > max(total // HOT, 1)
+    many = side.where(hot if small is None else hot & small)
+    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(side, key, how)
+    return rows.join(F.broadcast(many), key).unionByName(rest)
+
+
 MOST_BITS = 1 << 27  # of a sieve: 16 MB, whatever the number of ids
 
 
@@ -114,18 +133,23 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int, chars: int = 4_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into pieces of at most `rows` rows and about `chars` bytes of text, for bounded memory."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = 4_000_000, text: str = "text", owner: object = None) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into pieces of at most `rows` rows and about `size` bytes of text, for bounded memory.
+
+    Word caches of others than the owner are emptied first; at the end Arrow gives back what it holds in reserve.
+    """
+    WordCache.release(owner)
     for batch in batches:
-        sizes = batch.column(batch.schema.get_field_index(text)).fill_null("").to_pylist() if batch.num_rows else []
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
         begin = total = 0
-        for i, value in enumerate(sizes):
-            if i > begin and (i - begin >= rows or total + len(value) > chars):
+        for i, n in enumerate(sizes.tolist()):
+            if i > begin and (i - begin >= rows or total + n > size):
                 yield batch.slice(begin, i - begin)
                 begin, total = i, 0
-            total += len(value)
+            total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -150,13 +174,7 @@ class WordCache(dict):
         self.old, self.chars, self.listed = {}, 0, False
 
     def __missing__(self, word: str):
-        if not self.listed:
-            if WordCache.owner is not self.of:
-                for c in WordCache.filled:
-                    c.empty()
-                WordCache.owner, WordCache.filled = self.of, []
-            WordCache.filled.append(self)
-            self.listed = True
+        self.claim()
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
@@ -165,6 +183,31 @@ class WordCache(dict):
             self.chars += len(word)
         return value
 
+    def fill(self, words: set[str], make: Callable[[list[str]], Iterable]) -> None:
+        """Look up many words at once: make() gets a list of the new ones."""
+        self.claim()
+        new = words - self.keys()
+        again = new & self.old.keys()
+        self.update((w, self.old[w]) for w in again)
+        new = list(new - again)
+        self.update(zip(new, make(new), strict=True))
+        self.chars += sum(map(len, new))
+
+    def claim(self) -> None:
+        if not self.listed:
+            WordCache.release(self.of)
+            WordCache.owner = self.of
+            WordCache.filled.append(self)
+            self.listed = True
+
+    @staticmethod
+    def release(owner: object) -> None:
+        """Empty the caches of any other owner."""
+        if WordCache.owner is not owner:
+            for c in WordCache.filled:
+                c.empty()
+            WordCache.owner, WordCache.filled = None, []
+
     def empty(self) -> None:
         self.clear()
         self.old, self.chars, self.listed = {}, 0, False

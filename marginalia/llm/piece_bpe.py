@@ -6,8 +6,7 @@ to byte pieces. No piece of such a vocabulary holds a space mark after another c
 for, so a text falls into segments of space marks and what follows them; each segment is merged once and kept.
 Decoding joins pieces, turns space marks into spaces, drops the leading one and reads byte pieces as UTF-8.
 
-Checks in each Arrow batch, against the sentencepiece library: the ids of new segments, without signs at their ends that
-no piece joins to what stands before; whole texts where they are the first of a slice, have runs of spaces or marks, or
+Checks in each Arrow batch, against the sentencepiece library: the ids of all new segments; whole texts where they are the first of a slice, have runs of spaces or marks, or
 characters that don't print; the own decoding of the first text of a slice. The decoded texts are the library's.
 
 Defined results: a null text is empty and has no ids; rows are kept one by one, also with equal or null ids; an empty
@@ -24,6 +23,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ from .common import WordCache, slices, table, texts_of
 
 MARK = "▁"
 CACHE_MB = 100.0
-SHORT, NO_PIECE = 24, 1 << 40
+SHORT, NO_PIECE = 64, 1 << 30
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
@@ -48,7 +48,6 @@ class PieceBpe:
         self.ids = {self.pieces[i]: i for i in normal}
         order = {x: k for k, x in enumerate(sorted({lib.get_score(i) for i in normal}, reverse=True))}
         self.ranks = {self.pieces[i]: order[lib.get_score(i)] for i in normal}  # the highest score is rank 0
-        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.bytes = {int(m[1], 16): i for i, p in enumerate(self.pieces) if lib.is_byte(i) and (m := BYTE_PIECE.fullmatch(p))}
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.unknown = lib.unk_id()
@@ -57,13 +56,32 @@ class PieceBpe:
             raise ValueError("not a merge-type vocabulary with byte pieces whose pieces start at spaces")
         if lib.encode(" a  b ") != self._plain(" a  b "):
             raise ValueError("a model that changes its text before encoding isn't supported")
-        self.cache, self.fresh = WordCache(self._word, cache_mb, self), []
-        self.tails = WordCache(self._tail, 1, self)
+        self.cache = WordCache(self._word, cache_mb, self, 60)
+        self.numbers = list(map(str, range(len(self.pieces))))
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """Tables for many segments at once: the symbol of each character, and rank and symbol of each pair of symbols that
+        is a piece. A character that is no piece is symbol `other`, which no pair holds."""
+        self.other = n = len(self.pieces)
+        self.symbol_of = np.full(0x110000, n, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbol_of[ord(p)] = i
+        pairs = sorted((self.ids[a] * (n + 1) + self.ids[b], self.ranks[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if (a := p[:k]) in self.ids and (b := p[k:]) in self.ids)
+        self.pair_keys, ranks, symbols = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.pair_ranks, self.pair_symbols = ranks.astype(np.int32), symbols.astype(np.int32)
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, NO_PIECE where it is no piece."""
+        keys = left.astype(np.int64) * (self.other + 1) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_PIECE)
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment of escaped text."""
         symbols = list(segment)
-        self._merge_short(symbols) if len(symbols) <= SHORT else self._merge_long(symbols)
+        self._merge_long(symbols)
         out: list[int] = []
         for s in symbols:
             if s:
@@ -71,18 +89,45 @@ class PieceBpe:
                 out += [self.bytes[b] for b in s.encode()] if i is None else [i]
         return out
 
-    def _merge_short(self, symbols: list[str]) -> None:
-        """For a few symbols the agenda is a plain list by place, and its best pair the first of the least ranks."""
-        rank = self.ranks.get
-        agenda = [rank(a + b, NO_PIECE) for a, b in zip(symbols, symbols[1:])]
-        while agenda and (best := min(agenda)) != NO_PIECE:
-            i = agenda.index(best)
-            symbols[i : i + 2] = [pair := symbols[i] + symbols[i + 1]]
-            del agenda[i]
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + pair, NO_PIECE)
-            if i < len(agenda):
-                agenda[i] = rank(pair + symbols[i + 1], NO_PIECE)
+    def merge_all(self, segments: list[str]) -> list[list[int]]:
+        """Ids of many segments. Short ones of equal length are the rows of a table, each with its agenda of ranks by place;
+        in each round every row merges the first of its least ranks, until none has a pair that is a piece."""
+        out: list[list[int]] = [[]] * len(segments)
+        by_size: dict[int, list[int]] = {}
+        for k, s in enumerate(segments):
+            by_size.setdefault(len(s), []).append(k)
+        for size, places in by_size.items():
+            if size > SHORT:
+                for k in places:
+                    out[k] = self.merge(segments[k])
+                continue
+            text = "".join([segments[k] for k in places]).encode("utf-32-le", "surrogatepass")
+            symbols = self.symbol_of[np.frombuffer(text, "<u4").reshape(-1, size)]
+            rows = np.array(places)
+            ranks = self._ranked(symbols[:, :-1], symbols[:, 1:])
+            while len(rows):
+                each = np.arange(len(rows))
+                best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+                going = ranks[each, best] < NO_PIECE if ranks.shape[1] else np.zeros(len(rows), bool)
+                for k, ids in zip(rows[~going].tolist(), symbols[~going].tolist(), strict=True):
+                    out[k] = self._with_bytes(ids, segments[k]) if self.other in ids else ids
+                rows, symbols, ranks, best = rows[going], symbols[going], ranks[going], best[going, None]
+                each, n = np.arange(len(rows)), symbols.shape[1]
+                at = np.arange(n - 1)
+                keys = symbols[each, best[:, 0]].astype(np.int64) * (self.other + 1) + symbols[each, best[:, 0] + 1]
+                symbols = np.take_along_axis(symbols, at + (at > best), axis=1)
+                symbols[each, best[:, 0]] = merged = self.pair_symbols[np.searchsorted(self.pair_keys, keys)]
+                at = np.arange(n - 2)
+                ranks = np.take_along_axis(ranks, at + (at >= best), axis=1)
+                before, after = np.flatnonzero(best[:, 0] > 0), np.flatnonzero(best[:, 0] < n - 2)
+                ranks[before, best[before, 0] - 1] = self._ranked(symbols[before, best[before, 0] - 1], merged[before])
+                ranks[after, best[after, 0]] = self._ranked(merged[after], symbols[after, best[after, 0] + 1])
+        return out
+
+    def _with_bytes(self, ids: list[int], segment: str) -> list[int]:
+        """ids with the byte pieces of the segment's characters that are no piece."""
+        others = iter([c for c in segment if c not in self.ids])
+        return [x for i in ids for x in ([self.bytes[b] for b in next(others).encode()] if i == self.other else [i])]
 
     def _merge_long(self, symbols: list[str]) -> None:
         """A heap of (rank, place, pair); a pair that has merged elsewhere meanwhile is passed over."""
@@ -107,51 +152,30 @@ class PieceBpe:
     def _plain(self, text: str) -> list[int]:
         return [i for s in SEGMENT.findall((MARK + text.replace(" ", MARK)) if text else "") for i in self.merge(s)]
 
-    def _word(self, word: str) -> tuple[str, bytes]:
-        """(ids as text, ids as bytes) of the segment of one space mark and the word."""
-        cut = len(word)
-        while cut > 1 and word[cut - 1] in ".,;:!?" and word[cut - 2 : cut] not in self.inside:
-            cut -= 1  # no piece holds these two characters side by side, so none can join them
-        if cut == len(word):
-            ids = self.merge(MARK + word)
-            self.fresh.append((word, ids))
-            return ",".join(map(str, ids)), array("H", ids).tobytes()
-        text, ids = self.cache[word[:cut]]
-        own = self.tails[word[cut:]]
-        return f"{text},{own[0]}", ids + own[1]
-
-    def _tail(self, signs: str) -> tuple[str, bytes]:
-        ids = [i for c in signs for i in self.merge(c)]
-        return ",".join(map(str, ids)), array("H", ids).tobytes()
+    def _word(self, word: str) -> bytes:
+        return array("H", self.merge(MARK + word)).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of the segments of one space mark and a word, as bytes, held against the library in one call."""
+        ids = self.merge_all([MARK + w for w in words])
+        full = [k for k, w in enumerate(words) if w]  # the library drops a space alone
+        if self.library.encode([words[k] for k in full]) != [ids[k] for k in full]:
+            raise AssertionError("segments differ from the sentencepiece library")
+        return [array("H", x).tobytes() for x in ids]
 
     def encode(self, texts: list[str]) -> tuple[list[str], list[list[int]]]:
         """Of each text the ids as text, joined by commas, and the ids."""
-        shown, ids = [], []
-        for t in texts:
-            if self.odd(t):
-                got = self._plain(t)
-                shown.append(",".join(map(str, got)))
-                ids.append(got)
-            else:
-                parts = list(map(self.cache.__getitem__, t.split(" ")))
-                shown.append(",".join([p[0] for p in parts]))
-                ids.append(array("H", b"".join([p[1] for p in parts])).tolist())
-        self.check()
+        words = [None if self.odd(t) else t.split(" ") for t in texts]
+        self.cache.fill(set().union(*(w for w in words if w)), self._words)
+        ids = [self._plain(t) if w is None else array("H", b"".join(map(self.cache.__getitem__, w))).tolist() for t, w in zip(texts, words, strict=True)]
         self.cache.turn()
-        self.tails.turn()
-        return shown, ids
+        return [",".join(map(self.numbers.__getitem__, x)) for x in ids], ids
 
     @staticmethod
     def odd(text: str) -> bool:
         """Whether runs of spaces, or the mark itself, send the text the long way."""
         return not text or "  " in text or MARK in text or text[0] == " " or text[-1] == " "
 
-    def check(self) -> None:
-        """Hold the words merged since the last check against the library, in one call."""
-        fresh, self.fresh = [x for x in self.fresh if x[0]], []
-        if fresh and self.library.encode([w for w, _ in fresh]) != [x for _, x in fresh]:
-            raise AssertionError("segments differ from the sentencepiece library")
-
     def decode(self, ids: list[int]) -> str:
         """The text of ids, as the library's decode(ids): byte pieces as UTF-8, the first space mark dropped."""
         out, run, begun = [], bytearray(), False
@@ -192,7 +216,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = processor(path)
-        for b in slices(batches, 500, 2_000_000):
+        for b in slices(batches, 500, 2_000_000, owner=bpe):
             texts = texts_of(b)
             shown, ids = bpe.encode(texts)
             for k, t in enumerate(texts):
