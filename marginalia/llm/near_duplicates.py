@@ -189,7 +189,7 @@ def _linked(rows: DataFrame, similarity: float) -> DataFrame:
             if len(nodes) > 1 and (found := similar_links(nodes, sets, similarity)):
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-        for b in batches:
+        for b in slices(batches, 1000, text="shingles"):
             for key, block, row, s in zip(*(b.column(c).to_pylist() for c in ("key", "block", "row", "shingles")), strict=True):
                 if (key, block) != at:
                     yield from done()
@@ -350,7 +350,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, keep: Scratch, similarity: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
-        for batch in batches:
+        for batch in slices(batches, 1000, text="shingles"):
             found = []
             for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True):
                 if b is None:  # a's own row comes before its partners
@@ -381,7 +381,7 @@ def missed_links(texts: DataFrame, rooted: DataFrame, marked: DataFrame, keep: S
                 yield pa.record_batch([pa.array(np.concatenate(parts)), *map(pa.array, columns), pa.array(at)], names=["key", "row", "root", "size", "at"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 5000, text="s"):
             a, other, s, t, size = (b.column(c).to_pylist() for c in ("a", "b", "s", "t", "size"))
             d = [apart(x, y) for x, y in zip(s, t, strict=True)]
             ok = [k for k in range(len(a)) if d[k] <= most_apart(size[k], similarity)]

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,6 +36,7 @@ DIMENSIONS = SHAPES + WORDS + EXTRA
 WORD_WEIGHT = 0.25
 MAX_LABELS, AXES, NEIGHBOURS, SHARPNESS = 6000, 32, 40, 20.0
 CACHE_MB = 60.0
+PACK = struct.Struct("<3H").pack
 RUNS = re.compile(r"[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+|[0-9]+")
 
 
@@ -46,7 +48,7 @@ def shape(word: str) -> str:
 def _word(word: str) -> bytes:
     data = word.lower().strip(".,;:!?").encode("utf-8", "replace")
     h = zlib.crc32(data)
-    return np.array([zlib.crc32(shape(word).encode("utf-8", "replace")) % SHAPES, h % WORDS, h >> 16], np.uint16).tobytes()
+    return PACK(zlib.crc32(shape(word).encode("utf-8", "replace")) % SHAPES, h % WORDS, h >> 16)
 
 
 @functools.lru_cache(maxsize=1)
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_labels:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000):
+        for b in slices(batches, 1000, owner=_cache()):
             c = counts(texts_of(b))
             yield pa.record_batch([b.column("doc_id"), b.column("label"), pa.array([_packed(x) for x in c], pa.binary())], names=["doc_id", "label", "counts"])
 
@@ -160,7 +162,7 @@ def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB at most, by max_labels and axes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000):
+        for b in slices(batches, 1000, owner=_cache()):
             yield pa.record_batch([b.column("doc_id"), pa.array(shared.value.score(counts(texts_of(b))), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -178,7 +180,7 @@ def keep_good(docs: DataFrame, model: Model, at_least: float = 0.5) -> DataFrame
     kinds = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000):
+        for b in slices(batches, 1000, owner=_cache()):
             good = shared.value.score(counts(texts_of(b))) >= at_least
             yield b.filter(pa.array(good))
 
