@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, numbered, sieve, slices, table, texts_of, written
+from .common import Scratch, fresh, join_hot, numbered, sieve, slices, table, texts_of, written
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "vendor", "opaque")
 BASE = 3  # of KINDS, those that stay in any case
@@ -34,8 +34,6 @@ JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A
 VENDOR = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{12,}|AIza[A-Za-z0-9_-]{35})")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 
-HOT = 10_000
-
 SPAN = "struct<kind:int,start:int,end:int,hash:string,live:boolean>"
 SCAN_SCHEMA = f"row long, doc_id long, repo string, owner string, spans array<{SPAN}>"
 
@@ -142,10 +140,7 @@ def secret_findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     scanned = scan(docs, text, doc_id, repo, owner, keep)
     common = keep(ownership(scanned).where((F.col("n_owners") > 1) | (F.col("n_repos") > 1) | (F.col("n_docs") > 1)), "secret-owners")
     each = scanned.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", F.col("s.*"))
-    # values with more than one in HOT of all copies are HOT at most; they are broadcast, so no task gets all copies of one
-    total = common.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    hot = F.broadcast(common.where(F.col("n_docs") > max(total // HOT, 1)))
-    judged = each.join(hot, "hash").unionByName(each.join(hot.select("hash"), "hash", "left_anti").join(common, "hash", "left")).select(
+    judged = join_hot(each, common, "hash", "n_docs").select(
         "row", "kind", "start", "end", "live",
         *(F.coalesce(c, F.lit(1)).cast("long").alias(c) for c in ("n_docs", "n_repos", "n_owners")),
     )

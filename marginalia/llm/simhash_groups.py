@@ -15,7 +15,8 @@ Components come from rounds of large-star and small-star steps, each written to
 
 Defined results: a null text is empty; a text without words has fingerprint zero and links like any other; one with
 fewer words than a shingle is one shingle; rows are kept one by one, also with equal ids, and a null id never names a
-component (a component of null ids only has a null name); an empty table gives no rows; other columns are ignored.
+component (a component of null ids only has a null name); an empty table gives no rows; other columns are ignored; a
+very long text is hashed whole, some shingles at a time.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, table, texts_of, written
+from .common import Scratch, join_hot, slices, table, texts_of, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 SHARD_NODES = 1024
@@ -202,12 +203,12 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius:
     """doc_id, fp, component_id of every row, written in the shared folder."""
     with Scratch(docs.sparkSession) as keep:
         marked = keep(fingerprints(docs, text, doc_id), "simhash")
-        nodes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+        nodes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-nodes")
         found = components(links(nodes.select("fp"), radius, shard_nodes, keep), keep)
-        rooted = keep(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-        named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        by_fp = rooted.join(named, "root").select("fp", "component_id")
-        return written(marked.join(by_fp, "fp").select("doc_id", "fp", "component_id"), "simhash-groups")
+        rooted = keep(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+        named = keep(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "simhash-named")
+        by_fp = keep(join_hot(rooted, named, "root", "nodes").select("fp", "copies", "component_id"), "simhash-by-fp")
+        return written(join_hot(marked, by_fp, "fp", "copies").select("doc_id", "fp", "component_id"), "simhash-groups")
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

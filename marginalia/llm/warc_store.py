@@ -6,7 +6,8 @@ responses. Reading joins headers and payloads again, rebuilds each record byte b
 against its digest and lengths.
 
 A payload that a third of all pages share is summed up where it lies before anything is shuffled: the shuffle gets one
-copy per task. Only headers are joined with the first pages; AQE splits the hot digests of both joins.
+copy per task. Only headers are joined with the first pages. Digests of very many pages are broadcast, a bounded number;
+payloads too where they are small, as only these have many responses.
 
 Defined results: null html is empty; a null url is an empty target; of equal payloads with equal least ids all pages of
 that id are responses; pages with a null id come last and revisit a page with an id, if there is one, else all are
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import join_hot, table, written
 
 MIN_PAYLOAD = 100
 DATE = "2000-01-01T00:00:00Z"  # of all records: a fixed value, for equal archives from equal pages
@@ -62,12 +63,13 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_payload: int = MIN_PAYLOAD) -> tuple[DataFrame, DataFrame]:
     """(headers, payloads), both written in the shared folder: headers(page_id, record_type, digest, size, head) and
-    payloads(digest, payload), where each payload is there once."""
+    payloads(digest, payload, copies), where each payload is there once."""
     body = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     payloads = written(rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first"), F.count("*").alias("copies")), "warc-payloads")
-    shared = payloads.where((F.col("copies") > 1) & F.col("first").isNotNull()).select("digest", "first")
-    each = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size")).join(shared, "digest", "left")
+    shared = payloads.where((F.col("copies") > 1) & F.col("first").isNotNull()).select("digest", "first", "copies")
+    each = written(rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size")), "warc-pages")
+    each = join_hot(each, shared, "digest", "copies")
     revisit = (F.col("size") >= min_payload) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     each = each.select("page_id", "url", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -78,13 +80,14 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             yield pa.record_batch([b.column("page_id"), b.column("digest"), b.column("record_type"), pa.array(heads, pa.binary())], names=["page_id", "digest", "record_type", "head"])
 
     headers = written(each.mapInArrow(run, "page_id long, digest string, record_type string, head binary"), "warc-headers")
-    return headers, payloads.select("digest", "payload")
+    return headers, payloads.select("digest", "payload", "copies")
 
 
 def records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """The original records, record(page_id, digest, data): headers joined with payloads; a revisit has none of its own."""
     end = F.lit(b"\r\n\r\n")
-    full = headers.where(F.col("record_type") == "response").join(payloads, "digest").select("page_id", "digest", F.concat("head", "payload", end).alias("data"))
+    responses = headers.where(F.col("record_type") == "response")
+    full = join_hot(responses, payloads, "digest", "copies", "inner", F.octet_length("payload") < MIN_PAYLOAD).select("page_id", "digest", F.concat("head", "payload", end).alias("data"))
     return full.union(headers.where(F.col("record_type") != "response").select("page_id", "digest", F.concat("head", end).alias("data")))
 
 
