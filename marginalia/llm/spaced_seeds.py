@@ -182,7 +182,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         shared = spark.sparkContext.broadcast(Seeds([(r.id, r.text) for r in part.collect()], identity))  # about block_words words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, 1000, text=names[place]):
+            for b in slices(batches, 1000, text=names[place], owner=shared.value.cache):
                 got = b.column(len(names) - 1).to_pylist()
                 for i, new in enumerate(shared.value.search(texts_of(b, names[place]))):
                     if new:

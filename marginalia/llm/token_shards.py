@@ -7,8 +7,8 @@ frame). A reader looks documents up in the directory and decompresses only the f
 Documents are range-partitioned and sorted by id, so shards follow one another in ascending id order. Ids take two
 bytes where the vocabulary allows it, else four.
 
-Defined results: a null text is empty and has the end id alone; null ids come first; rows with equal ids stay, in text
-order; an empty table gives no shards and no rows; other columns are ignored; a very long text is a frame of its own.
+Defined results: a null text is empty and has the end id alone; null ids come first; rows with equal ids stay, in the
+order of their texts' hashes; an empty table gives no shards and no rows; other columns are ignored; a very long text is a frame of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import os
 import struct
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ FRAME_IDS, SHARD_IDS = 65_536, 1_000_000
 END_ID = 2
 CACHE_MB = 100.0
 TAIL = ".,;:!?*#$%&|)]\""
-SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, file binary"
+SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, first_id long, last_id long, file binary"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -174,18 +175,20 @@ class Shard:
             raise ValueError(f"frame {k} is damaged")
         return unframe(data, self.width)
 
-    def documents(self, wanted: Iterable[int]) -> dict[int, np.ndarray]:
-        """The ids of the wanted documents; only their frames are decompressed."""
-        want, found = set(wanted), {}
+    def documents(self, wanted: Iterable[int]) -> list[tuple[int, np.ndarray]]:
+        """(document, ids) of the wanted documents, all of an id; only their frames are decompressed."""
+        want, found = sorted(set(wanted)), []
         for k, (first, last, _, _) in enumerate(self.directory):
-            if any(first <= d <= last for d in want):
-                found |= {d: x for d, x in self.read(k) if d in want}
+            if own := set(want[bisect_left(want, first) : bisect_right(want, last)]):
+                found += [(d, x) for d, x in self.read(k) if d in own]
         return found
 
 
 def write_shards(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", end_id: int | None = END_ID, frame_ids: int = FRAME_IDS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Shards (part, seq, n_docs, n_ids, file) of docs in ascending order of doc_id, written in the shared folder."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # the texts' hash parts rows of one id, or of none, if they are many
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, seq = encoder(path), TaskContext.get().partitionId(), 0
@@ -194,10 +197,12 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
 
         def shard() -> pa.RecordBatch:
             file = write_shard(frames, width)
-            cells = [[part], [seq], [sum(map(len, frames))], [sum(len(x) for f in frames for _, x in f) // width], [file]]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "seq", "n_docs", "n_ids", "file"])
+            ends = [None if x == NULL_ID else x for x in (frames[0][0][0], frames[-1][-1][0])]
+            cells = [[part], [seq], [sum(map(len, frames))], [sum(len(x) for f in frames for _, x in f) // width], ends[:1], ends[1:], [file]]
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["part", "seq", "n_docs", "n_ids", "first_id", "last_id", "file"])
 
-        for b in slices(batches, 1000):
+        for b in slices(batches, 1000, owner=tokens):
             for d, ids in zip(b.column("doc_id").to_pylist(), tokens.encode(texts_of(b)), strict=True):
                 rows.append((NULL_ID if d is None else d, ids + end))
                 n = len(rows[-1][1]) // width
@@ -246,6 +251,25 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return shards.select("part", "seq", "file").join(side, ["part", "seq"]).select("before", "file").mapInArrow(run, READ_SCHEMA)
 
 
+def read_documents(shards: DataFrame, wanted: Iterable[int]) -> DataFrame:
+    """doc_id and ids of the wanted documents. Shards outside their range are not read, other frames not decompressed.
+    wanted is a list that the caller bounds."""
+    want = sorted(set(wanted))
+    if not want:
+        return shards.sparkSession.createDataFrame([], "doc_id long, ids array<int>")
+    shared = shards.sparkSession.sparkContext.broadcast(want)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, last, file in zip(b.column("first_id").to_pylist(), b.column("last_id").to_pylist(), b.column("file"), strict=True):
+                own = shared.value[bisect_left(shared.value, NULL_ID if first is None else first) : bisect_right(shared.value, last)]
+                if own and (found := Shard(file.as_py()).documents(own)):
+                    yield pa.record_batch([pa.array([d for d, _ in found], pa.int64()), pa.array([x.tolist() for _, x in found], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    near = shards.where((F.coalesce("first_id", F.lit(NULL_ID)) <= want[-1]) & (F.col("last_id") >= want[0]))
+    return near.select("first_id", "last_id", "file").mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

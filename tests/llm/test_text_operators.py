@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marginalia.llm import media_png, near_duplicates, piece_bpe, quality_knn, secret_scan, simhash_groups, spaced_seeds, token_shards, toxicity_ordinal
+from marginalia.llm import common, media_png, near_duplicates, piece_bpe, quality_knn, secret_scan, simhash_groups, spaced_seeds, token_shards, toxicity_ordinal
 from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,7 +106,7 @@ def test_shard_round_trip_and_damage():
     file = token_shards.write_shard([rows[:50], rows[50:120], rows[120:]], 2)
     shard = token_shards.Shard(file)
     got = shard.documents([3, 130])
-    assert {k: len(v) for k, v in got.items()} == {3: 3, 130: 130} and shard.opened == 2
+    assert {k: len(v) for k, v in got} == {3: 3, 130: 130} and shard.opened == 2
     bad = bytearray(file)
     bad[40] ^= 1
     with pytest.raises(Exception):
@@ -121,15 +121,20 @@ def test_token_shards_against_the_library(docs, odd, none):
     t = Tokenizer.from_file(BYTE)
     for d in (docs, odd):
         got = token_shards.read_shards(token_shards.write_shards(d, BYTE, shard_ids=5000, frame_ids=700)).collect()
-        rows = sorted(((r.doc_id, r.text) for r in d.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+        # null ids come first; equal ids stay together, ordered by a hash of their texts
+        rows = sorted(((r.doc_id, r.text, r.h) for r in d.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[2]))
         start, want = 0, []
-        for i, text in rows:
+        for i, text, _ in rows:
             ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
             want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
         key = lambda x: (x[1], x[2])
         assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=key) == sorted(want, key=key)
     assert token_shards.read_shards(token_shards.write_shards(none, BYTE)).count() == 0
+    shards = token_shards.write_shards(odd, BYTE, shard_ids=5000, frame_ids=700)
+    want = {(i, tuple([*t.encode(text or "", add_special_tokens=False).ids, 2])) for i, text, *_ in ODD if i in (3, 5, 2**40)}
+    got = [(r.doc_id, tuple(r.ids)) for r in token_shards.read_documents(shards, [3, 5, 4, 2**40]).collect()]
+    assert set(got) == want and len(got) == 4 and token_shards.read_documents(shards, []).count() == 0
 
 
 def test_pieces_are_the_librarys(docs):
@@ -507,9 +512,9 @@ def test_secret_ownership_against_a_plain_count(spark):
             owners.setdefault(v, set()).add(source or "")
             repos.setdefault(v, set()).add((source or "", lang or ""))
     d = spark.createDataFrame(rows, SCHEMA)
-    for hot in (secret_scan.HOT, 3):
+    for hot in (common.HOT, 3):
         with pytest.MonkeyPatch.context() as m:
-            m.setattr(secret_scan, "HOT", hot)
+            m.setattr(common, "HOT", hot)
             got = {r.doc_id: r for r in secret_scan.digest_columns(secret_scan.secret_findings(d, **secret_scan.owner_columns(d))).collect()}
         for i, t, *_ in rows:
             own = [v for v in t.split() if len(owners[v]) <= 2 and len(repos[v]) <= 4 and secret_scan.looks_live(0, v[6:])]

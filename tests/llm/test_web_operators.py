@@ -37,10 +37,10 @@ def test_rules_in_blocks_and_odd_rows(spark):
     d = spark.createDataFrame(rows, "page_id long, url string").withColumn("key", F.lit(1)).withColumn("rule", F.lit("r"))
     want = sorted([("", "", None, "allow"), ("", "", None, "allow"), ("a.example.com", "/en/7x", "example.com/en/7", "allow"), ("example.com", "/en/8", "com/en/", "block"), ("com", "/en/", "com/en/", "block"), ("com", "", None, "allow"), ("xcom", "/en/", None, "allow"), ("a.com", "", None, "allow"), ("é.com", "/en/\nb", "com/en/", "block")], key=str)
     for block in (2, 100):
-        got = apply_rules(d, url_rules.RULES, block=block).collect()
+        got = apply_rules(d, url_rules.rule_table(spark, url_rules.RULES), block=block).collect()
         assert sorted(((r.host, r.path, r.rule, r.verdict) for r in got), key=str) == want
-    assert apply_rules(d.limit(0), url_rules.RULES).count() == 0
-    assert {r.verdict for r in apply_rules(d, []).collect()} == {"allow"}
+    assert apply_rules(d.limit(0), url_rules.rule_table(spark, url_rules.RULES)).count() == 0
+    assert {r.verdict for r in apply_rules(d, url_rules.rule_table(spark, [])).collect()} == {"allow"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
