@@ -209,7 +209,8 @@ def _shingles(texts: DataFrame, rows: DataFrame, keep: Scratch) -> DataFrame:
             yield pa.record_batch([b.column("row"), pa.array([shingle_hashes(t).astype("<u8").tobytes() for t in texts_of(b)], pa.binary())], names=["row", "shingles"])
 
     rows = keep(rows.distinct(), "near-rows")
-    return keep(texts.where(sieve(rows)(F.col("row"))).join(rows, "row", "left_semi").mapInArrow(run, "row long, shingles binary"), "near-shingles")
+    # by merge, so that no task has two Python workers at a time
+    return keep(texts.where(sieve(rows)(F.col("row"))).join(rows.hint("merge"), "row", "left_semi").mapInArrow(run, "row long, shingles binary"), "near-shingles")
 
 
 def _in_blocks(level: DataFrame, block_nodes: int) -> DataFrame:
