@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.indicators import cites, long_sum
+from marginalia.operators.indicators import author_string, cites, long_sum
 
 MIN_YEAR = 1996
 
@@ -173,9 +173,9 @@ def lens_matches(docs: DataFrame, lenses: DataFrame, samples: int = 5) -> DataFr
     terms = F.broadcast(lenses.select("lens", F.lower("term").alias("term"), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])")).alias("pattern")).where("term <> ''"))
     rows = docs.select("document_id", F.lower("text").alias("text")).join(terms, F.col("text").contains(F.col("term")) & F.expr("text RLIKE pattern"))
     rows = rows.select("lens", "document_id").distinct()
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lens").orderBy("document_id")))
-    shown = F.array_sort(F.collect_list(F.when(F.col("rn") <= samples, F.col("document_id"))))
-    return ranked.groupBy("lens").agg(F.count("*").alias("doc_count"), F.array_join(shown, ",").alias("samples"))
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lens").orderBy("document_id"))).where(F.col("rn") <= samples)  # each task keeps so many of a lens
+    shown = first.groupBy("lens").agg(F.array_join(F.array_sort(F.collect_list("document_id")), ",").alias("samples"))
+    return rows.groupBy("lens").agg(F.count("*").alias("doc_count")).join(shown, "lens")
 
 
 def document_search(docs: DataFrame, title: str | None = None, year: int | None = None, authors: DataFrame | None = None, keywords: DataFrame | None = None, limit: int = 500) -> DataFrame:
@@ -189,3 +189,28 @@ def document_search(docs: DataFrame, title: str | None = None, year: int | None
         if ids is not None:
             out = out.join(ids, "document_id", "left_semi")
     return out.orderBy(F.desc("year"), "text", "document_id").limit(limit)
+
+
+def classified_page(assigned: DataFrame, docs: DataFrame, author_links: DataFrame, authors: DataFrame, group_id: int | None, page: int = 1, limit: int = 100) -> DataFrame:
+    """A page of a group's documents, of those without a group if it is None: the most cited first, then the latest.
+    Author strings are made for the page's few documents alone."""
+    rows = assigned.where(F.col("group_id").isNull() if group_id is None else F.col("group_id") == group_id).select("document_id", "term")
+    rows = rows.join(docs.select(F.col("id").alias("document_id"), "year", "source_title", "cited_by"), "document_id")
+    order = [F.desc_nulls_last("cited_by"), F.desc_nulls_last("year"), F.col("document_id"), F.col("term")]
+    top = rows.orderBy(*order).offset(max(0, (page - 1) * limit)).limit(max(1, limit))
+    names = author_string(author_links.join(F.broadcast(top.select("document_id").distinct()), "document_id", "left_semi"), authors)  # a page
+    return top.join(names, "document_id", "left")
+
+
+def move(assigned: DataFrame, document_id: int, source: int | None, target: int | None) -> DataFrame:
+    """assigned(document_id, group_id, term, manual) after a document was moved by hand from one group to another, null for
+    none: its row gets the target and is manual; where the document is in the target already, the source's row goes and
+    the target's is manual. Nothing changes if the document isn't in the source."""
+    here = F.col("document_id") == document_id
+    at = lambda g: here & F.col("group_id").eqNullSafe(F.lit(g).cast("int"))
+    if source == target or assigned.where(at(source)).isEmpty():
+        return assigned
+    if not assigned.where(at(target)).isEmpty():
+        return assigned.where(~at(source)).withColumn("manual", F.col("manual") | at(target))
+    moved = at(source)
+    return assigned.select("document_id", F.when(moved, F.lit(target).cast("int")).otherwise(F.col("group_id")).alias("group_id"), "term", (F.col("manual") | moved).alias("manual"))

@@ -5,14 +5,14 @@ The registers are small tables of names; each distinct raw name is looked up onc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import normalize_udf
+from marginalia.operators.similarity import ranked
 
 #: States and territories of the USA.
 US_STATES = tuple("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC PR GU VI AS MP".split())
-STREETS = "Rd|Road|Dr|Drive|St|Street|Ave|Avenue|Blvd|Boulevard|Ln|Lane|Way"
 
 
 def is_address(c: Column) -> Column:
@@ -97,16 +97,9 @@ def merge_entity(links: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
 
 
 def copy_project(documents: DataFrame, links: dict[str, DataFrame], mapping: DataFrame, old: int, new: int, first_id: int) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
-    """(documents, links, mapping rows) of a copy of a project: new ids from first_id on in the order of the old ones.
-
-    Ranks are taken per range partition of ids and shifted by the rows of the partitions before, so no task sees all rows.
-    """
-    own = documents.where(F.col("project_id") == old).repartitionByRange("id").sortWithinPartitions("id").withColumn("__part", F.spark_partition_id())
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy("id"))
-    ranked = own.select(F.col("id").alias("old_id"), "__part", rank.alias("rank"))
-    sizes = ranked.groupBy("__part").agg(F.count("*").alias("n"))  # a row a partition
-    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
-    ids = ranked.join(F.broadcast(before), "__part").select("old_id", (F.col("rank") + F.col("before") + first_id - 1).cast("long").alias("new_id"))
+    """(documents, links, mapping rows) of a copy of a project: new ids from first_id on in the order of the old ones."""
+    own = ranked(documents.where(F.col("project_id") == old).select(F.col("id").alias("old_id")), "rank")
+    ids = own.select("old_id", (F.col("rank") + first_id - 1).cast("long").alias("new_id"))
     docs = documents.where(F.col("project_id") == old).join(ids, F.col("id") == F.col("old_id")).select(*(F.col("new_id").alias(c) if c == "id" else F.lit(new).alias(c) if c == "project_id" else F.col(c) for c in documents.columns))
     moved = {k: t.join(ids, F.col("document_id") == F.col("old_id")).select(*(F.col("new_id").alias(c) if c == "document_id" else F.col(c) for c in t.columns)) for k, t in links.items()}
     rows = mapping.where((F.col("scope") == "project") & (F.col("scope_id") == old)).withColumn("scope_id", F.lit(new).cast(mapping.schema["scope_id"].dataType))

@@ -231,3 +231,14 @@ def dedup_key(doi: Column, strict_id: Column, source: Column, external_id: Colum
         .when(has(external_id), F.md5(F.concat_ws(":", F.lit("ext"), source, external_id)))
         .otherwise(F.md5(F.coalesce(clean, F.lit(""))))
     )
+
+
+def cities_report(links: DataFrame, docs: DataFrame, cities: DataFrame, states: DataFrame, countries: DataFrame, country_id: int | None = None) -> DataFrame:
+    """Documents and citations of each city, with its state's and country's names; of one country if it is given."""
+    own = cities.where(F.col("country_id") == country_id) if country_id else cities
+    pairs = links.select("document_id", "city_id").distinct().join(docs.select(F.col("id").alias("document_id"), cites().alias("cited")), "document_id")
+    per = pairs.groupBy("city_id").agg(F.count("*").alias("doc_count"), long_sum(F.col("cited")).alias("citations"))
+    named = own.select(F.col("id").alias("city_id"), F.col("name").alias("city"), "state_id", "country_id")
+    named = named.join(states.select(F.col("id").alias("state_id"), F.col("name").alias("state"), F.col("sigla").alias("state_sigla")), "state_id", "left")
+    named = named.join(countries.select(F.col("id").alias("country_id"), F.col("name").alias("country"), "continent"), "country_id")
+    return per.join(named, "city_id").select("city_id", "city", "state", "state_sigla", "country", "continent", "doc_count", "citations")

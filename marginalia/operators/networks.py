@@ -21,7 +21,7 @@ def top_nodes(pairs: DataFrame, key: str, limit: int, min_docs: int = 1) -> Data
 
 def co_edges(pairs: DataFrame, nodes: DataFrame, key: str, min_weight: int = 1) -> DataFrame:
     """source < target, weight: documents that hold both. pairs(document_id, key) must be distinct."""
-    kept = pairs.join(nodes.select(key), key, "left_semi")
+    kept = pairs.join(F.broadcast(nodes.select(key)), key, "left_semi")  # 1000 nodes at most
     a, b = kept.select("document_id", F.col(key).alias("source")), kept.select("document_id", F.col(key).alias("target"))
     return a.join(b, "document_id").where("source < target").groupBy("source", "target").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)
 
@@ -45,10 +45,10 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def association(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Edges with strength weight / (n_source * n_target), 0 if any of them isn't positive."""
-    n = nodes.select(F.col(key).alias("id"), "doc_count")
+    n = F.broadcast(nodes.select(F.col(key).alias("id"), "doc_count"))  # 1000 at most
     rows = edges.join(n.toDF("source", "n_source"), "source").join(n.toDF("target", "n_target"), "target")
     positive = (F.col("weight") > 0) & (F.col("n_source") > 0) & (F.col("n_target") > 0)
-    return rows.select("source", "target", "weight", F.when(positive, F.col("weight") / (F.col("n_source") * F.col("n_target"))).otherwise(F.lit(0.0)).alias("strength"))
+    return rows.select("source", "target", "weight", "n_source", "n_target", F.when(positive, F.col("weight") / (F.col("n_source") * F.col("n_target"))).otherwise(F.lit(0.0)).alias("strength"))
 
 
 def louvain(nodes: list, edges: list[tuple], runs: int = 10, seed: int = 42, resolution: float = 1.0) -> dict:
@@ -116,6 +116,17 @@ def modularity(member: dict, edges: list[tuple]) -> float:
     return sum(inner.get(c, 0.0) / total - (x / (2 * total)) ** 2 for c, x in ends.items())
 
 
+def modularity_of(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """modularity of the clusters a and b that the ends of the edges have, in one row: over all clusters the share of the
+    weight inside less the square of the share of the ends; 0 without weight."""
+    w, same = F.col(weight), F.col("a") == F.col("b")
+    ends = F.array(F.struct(F.col("a").alias("cluster"), F.when(same, w).otherwise(0.0).alias("inside"), w.alias("w")), F.struct(F.col("b").alias("cluster"), F.lit(0.0).alias("inside"), w.alias("w")))
+    per = edges.select(F.explode(ends).alias("x")).select("x.*").groupBy("cluster").agg(F.sum("inside").alias("inside"), F.sum("w").alias("ends"))
+    total = edges.agg(F.coalesce(F.sum(w), F.lit(0)).alias("total"))
+    share = F.when(F.col("total") > 0, F.col("inside") / F.col("total") - F.pow(F.col("ends") / (2 * F.col("total")), 2))
+    return per.crossJoin(total).agg(F.round(F.coalesce(F.sum(share), F.lit(0.0)), 9).alias("modularity"))  # total is one row
+
+
 def label_propagation(nodes: list, edges: list[tuple], rounds: int = 10, seed: int = 42) -> dict:
     """Asynchronous label propagation in seeded order; of equal sums the label met first."""
     near: dict = {n: [] for n in nodes}
@@ -138,19 +149,27 @@ def label_propagation(nodes: list, edges: list[tuple], rounds: int = 10, seed: i
     return {n: names[label[n]] for n in nodes}
 
 
-def clusters(edges: DataFrame, weight: str = "strength", method: str = "louvain") -> DataFrame:
-    """id, cluster over the edges' nodes. At most top_nodes' 1000 nodes reach the one task that runs the method."""
+def clustered(edges: DataFrame, weight: str = "strength", method: str = "louvain") -> DataFrame:
+    """The edges of positive weight with the clusters a and b of their ends. At most top_nodes' 1000 nodes reach the one
+    task that runs the method."""
     run_method = louvain if method == "louvain" else label_propagation
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))
-        rows = rows.sort_values(["source", "target"])
-        links = list(zip(rows["source"].tolist(), rows["target"].tolist(), rows["w"].tolist(), strict=True))
+        if not (parts := list(parts)):
+            return
+        rows = pd.concat(parts).sort_values(["source", "target"])
+        links = list(zip(rows["source"].tolist(), rows["target"].tolist(), rows[weight].astype(float).tolist(), strict=True))
         found = run_method(sorted({x for a, b, _ in links for x in (a, b)}), links)
-        yield pd.DataFrame({"id": list(found), "cluster": list(found.values())}, dtype="int64")
+        yield rows.assign(a=rows["source"].map(found).astype("int64"), b=rows["target"].map(found).astype("int64"))
 
-    few = edges.select("source", "target", F.col(weight).cast("double").alias("w")).where("w > 0")
-    return few.repartition(1).mapInPandas(run, "id long, cluster long")
+    few = edges.where(F.col(weight) > 0)
+    return few.repartition(1).mapInPandas(run, few.schema.add("a", "long").add("b", "long"))
+
+
+def clusters(edges: DataFrame, weight: str = "strength", method: str = "louvain") -> DataFrame:
+    """id, cluster over the edges' nodes."""
+    ends = F.explode(F.array(*(F.struct(F.col(n).cast("long").alias("id"), F.col(k).alias("cluster")) for n, k in (("source", "a"), ("target", "b")))))
+    return clustered(edges, weight, method).select(ends.alias("x")).select("x.*").distinct()
 
 
 def theme_metrics(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -164,28 +183,51 @@ def theme_metrics(edges: DataFrame, members: DataFrame) -> DataFrame:
     return out.select("cluster", "size", F.round("outside", 6).alias("centrality"), F.round(100 * F.col("inside") / F.col("size"), 6).alias("density"))
 
 
-def thematic_map(words: DataFrame, labels: DataFrame, limit: int = 100, min_docs: int = 2) -> DataFrame:
-    """Themes with centrality, density, size and the label of their most frequent keyword."""
+def of_years(words: DataFrame, docs: DataFrame, first: int | None, last: int | None) -> DataFrame:
+    """words of documents of the years, both inclusive, in either order; None or a year outside 1000 to 2200 is no limit."""
+    first, last = (y if y is not None and 1000 <= y <= 2200 else None for y in (first, last))
+    if first is not None and last is not None and first > last:
+        first, last = last, first
+    if first is None and last is None:
+        return words
+    own = docs.where(F.col("year").between(first if first is not None else -(2**31), last if last is not None else 2**31 - 1))
+    return words.join(own.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+
+
+def themes(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each cluster of edges(source, target, strength, n_source, n_target, a, b): label of its most frequent keyword, size,
+    documents, Callon's centrality and density, and the quadrant that the medians of both give. The edges are read once."""
+    own = lambda node, n, cluster, inside: F.struct(F.col(cluster).alias("cluster"), F.col(node).alias("keyword"), F.col(n).alias("doc_count"), inside.alias("inside"), F.when(F.col("a") != F.col("b"), F.col("strength")).otherwise(0.0).alias("outside"))
+    ends = F.array(own("source", "n_source", "a", F.when(F.col("a") == F.col("b"), F.col("strength")).otherwise(0.0)), own("target", "n_target", "b", F.lit(0.0)))
+    per = edges.select(F.explode(ends).alias("x")).select("x.*").groupBy("cluster", "keyword").agg(F.max("doc_count").alias("doc_count"), F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    out = per.join(labels, "keyword", "left").groupBy("cluster").agg(
+        F.min_by("label", F.struct(-F.col("doc_count"), F.col("keyword"))).alias("label"), F.count("*").alias("size"), F.sum("doc_count").alias("doc_count"),
+        F.round(F.sum("outside"), 6).alias("centrality"), F.round(100 * F.sum("inside") / F.count("*"), 6).alias("density"),
+    )
+    every = Window.partitionBy()  # a row for each theme, at most as many as nodes
+    axes = {f"{k}_{c}": F.round(f(c).over(every), 6) for c in ("centrality", "density") for k, f in (("avg", F.avg), ("median", F.median))}
+    central, dense = (F.col(c) >= F.col(f"median_{c}") for c in ("centrality", "density"))
+    return out.withColumns(axes).withColumn("quadrant", F.when(central & dense, "motor").when(central, "basic").when(dense, "niche").otherwise("emerging"))
+
+
+def thematic_map(words: DataFrame, labels: DataFrame, limit: int = 100, min_docs: int = 2, docs: DataFrame | None = None, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+    """The themes of the words, or of those of some years of docs. No rows without keywords that share a document."""
+    if docs is not None:
+        words = of_years(words, docs, first_year, last_year)
     nodes = top_nodes(words, "keyword", limit, min_docs)
-    # few rows, by the limit on nodes, that several steps read
-    edges = association(co_edges(words, nodes, "keyword"), nodes, "keyword").where("strength > 0").persist()
-    members = clusters(edges).persist()
-    named = members.join(nodes.withColumnRenamed("keyword", "id"), "id").join(labels.withColumnRenamed("keyword", "id"), "id")
-    top = named.groupBy("cluster").agg(F.min_by("label", F.struct(-F.col("doc_count"), F.col("id"))).alias("label"), F.sum("doc_count").alias("doc_count"))
-    return theme_metrics(edges, members).join(top, "cluster")
+    return themes(clustered(association(co_edges(words, nodes, "keyword"), nodes, "keyword")), labels)
 
 
 def thematic_evolution(words: DataFrame, docs: DataFrame, labels: DataFrame, cutoff: int, limit: int = 100) -> DataFrame:
     """Themes up to the cutoff year and after it, with their inclusion: shared keywords / the smaller theme's size."""
     dated = words.join(docs.select(F.col("id").alias("document_id"), "year"), "document_id")
     sides = []
-    for side in (dated.where(F.col("year") <= cutoff), dated.where(F.col("year") > cutoff)):
+    for name, side in (("before", dated.where(F.col("year") <= cutoff)), ("after", dated.where(F.col("year") > cutoff))):
         pairs = side.select("document_id", "keyword")
         nodes = top_nodes(pairs, "keyword", limit, 2)
-        sides.append(clusters(association(co_edges(pairs, nodes, "keyword"), nodes, "keyword")).persist())  # a row a node
-    sized = [s.groupBy("cluster").agg(F.count("*").alias("n")) for s in sides]
-    both = sides[0].select("id", F.col("cluster").alias("before")).join(sides[1].select("id", F.col("cluster").alias("after")), "id").groupBy("before", "after").agg(F.count("*").alias("shared"))
-    out = both.join(sized[0].toDF("before", "n_before"), "before").join(sized[1].toDF("after", "n_after"), "after")
+        found = clusters(association(co_edges(pairs, nodes, "keyword"), nodes, "keyword"))
+        sides.append(found.select("id", F.col("cluster").alias(name), F.count("*").over(Window.partitionBy("cluster")).alias(f"n_{name}")))  # a row a node
+    out = sides[0].join(sides[1], "id").groupBy("before", "after", "n_before", "n_after").agg(F.count("*").alias("shared"))
     return out.select("before", "after", "shared", F.round(F.col("shared") / F.least("n_before", "n_after"), 3).alias("inclusion"))
 
 
@@ -213,14 +255,16 @@ def matrix(rows: DataFrame, cols: DataFrame, limit: int = 30, min_weight: int =
     """row, col, weight of a contingency matrix. The weight of a label is its number of (document, other label) pairs;
     equal labels have no cell. Label weights come from counts per document, no pair is made before the cut."""
     per_row = rows.groupBy("document_id").agg(F.count("*").alias("n_rows"))
-    per_col = cols.groupBy("document_id").agg(F.count("*").alias("n_cols"))
+    per_col = per_row.withColumnRenamed("n_rows", "n_cols") if rows is cols else cols.groupBy("document_id").agg(F.count("*").alias("n_cols"))
+
     # pairs of a label with the other side, less the pair with itself where the other side holds it too
     def top(side: DataFrame, other: DataFrame, per: DataFrame, n: str, name: str) -> DataFrame:
-        own = side.join(other.withColumn("__same", F.lit(1)), ["document_id", "value"], "left").join(per, "document_id")
-        w = own.groupBy("value").agg(F.sum(F.col(n) - F.coalesce("__same", F.lit(0))).alias("w")).where("w > 0")
-        return w.orderBy(F.desc("w"), "value").limit(limit).select(F.col("value").alias(name))
+        both = side.withColumn("same", F.lit(1)) if side is other else side.join(other.withColumn("same", F.lit(1)), ["document_id", "value"], "left")
+        w = both.join(per, "document_id").groupBy("value").agg(F.sum(F.col(n) - F.coalesce("same", F.lit(0))).alias("w")).where("w > 0")
+        return F.broadcast(w.orderBy(F.desc("w"), "value").limit(limit).select(F.col("value").alias(name)))
 
-    r, c = top(rows, cols, per_col, "n_cols", "row"), top(cols, rows, per_row, "n_rows", "col")
+    r = top(rows, cols, per_col, "n_cols", "row")
+    c = r.withColumnRenamed("row", "col") if rows is cols else top(cols, rows, per_row, "n_rows", "col")
     left = rows.withColumnRenamed("value", "row").join(r, "row", "left_semi")
     right = cols.withColumnRenamed("value", "col").join(c, "col", "left_semi")
     return left.join(right, "document_id").where("row <> col").groupBy("row", "col").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)

@@ -71,11 +71,24 @@ def cross_type(keywords: DataFrame) -> DataFrame:
     return of("author_keyword", "author_keyword_id").join(of("indexed_keyword", "indexed_keyword_id"), "label")
 
 
+def ranked(ids: DataFrame, name: str) -> DataFrame:
+    """A one-column table of unique ids with their rank from 1 on. Ranks are taken per range partition and shifted by the
+    rows of the partitions before, so that no task sees all ids. Both branches read one exchange: it has one column, so
+    that none is pruned, and a fixed number of partitions, so that none are joined."""
+    (key,) = ids.columns
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = ids.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
+    sizes = own.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = own.select(key, "part", F.row_number().over(Window.partitionBy("part").orderBy(key)).alias("within"))
+    return within.join(F.broadcast(before), "part").select(key, (F.col("within") + F.col("before")).alias(name))
+
+
 def exact_groups(keywords: DataFrame, batch_size: int | None = 500) -> DataFrame:
-    """Keywords of one type and normalized form within a batch of ids; None: within all. The batch number needs a rank
-    over all ids: ids are few million at most, one small row each."""
-    batch = F.floor((F.row_number().over(Window.orderBy("id")) - 1) / batch_size).cast("long") if batch_size else F.lit(0).cast("long")
-    rows = keywords.select("id", "normalized", "type").withColumn("batch", batch)
+    """Keywords of one type and normalized form within a batch of ids; None: within all."""
+    rows = keywords.select("id", "normalized", "type")
+    batch = ranked(rows.select("id"), "rank").select("id", F.floor((F.col("rank") - 1) / batch_size).cast("long").alias("batch")) if batch_size else rows.select("id", F.lit(0).cast("long").alias("batch"))
+    rows = rows.join(batch, "id")
     return rows.groupBy("batch", "normalized", "type").agg(F.count("*").alias("n"), F.min("id").alias("canonical")).where("n > 1")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.forms import author_forms, is_acronym, keyword_forms
-from marginalia.functions.text import clean_display_udf
+from marginalia.functions.text import clean_display_udf, normalize_udf
 from marginalia.operators.similarity import similar_text
 
 AUTO, REVIEW, GAP = 95.0, 75.0, 3.0
@@ -156,3 +156,47 @@ def term_expansion(rules: DataFrame, labels: DataFrame, concepts: DataFrame, key
     # configuration: a group has few terms
     rank = F.row_number().over(Window.partitionBy("group_id").orderBy("at.position", "at.kind", "more")) - 1
     return first.select("group_id", rank.alias("position"), F.col("more").alias("term"))
+
+
+# ---- the report of a treatment, and decisions on what it left open ----
+
+GROUPED = ("exact_label_matched", "exact_concept_matched", "fuzzy_auto_matched")
+OPEN = "fuzzy_review_required"
+
+
+def grouped_terms(log: DataFrame, concepts: int = 50, terms: int = 200) -> DataFrame:
+    """concept, total, place, term: the first concepts of log(id, action, concept, term) in the order of their first entry,
+    each with its first terms and the number of all."""
+    rows = log.where(F.col("action").isin(*GROUPED)).select("id", F.coalesce("concept", F.lit("N/A")).alias("concept"), "term")
+    first = rows.groupBy("concept").agg(F.min("id").alias("first"), F.count("*").alias("total")).orderBy("first").limit(concepts)
+    own = rows.join(F.broadcast(first), "concept")  # so many rows at most
+    place = F.row_number().over(Window.partitionBy("concept").orderBy("id"))
+    return own.withColumn("place", place).where(F.col("place") <= terms).select("concept", "total", "place", "term")
+
+
+def listed_entries(log: DataFrame, action: str, limit: int = 500) -> DataFrame:
+    """The first entries of one action, as the report lists them, with the number of all."""
+    rows = log.where(F.col("action") == action)
+    return rows.orderBy("id").limit(limit).crossJoin(rows.agg(F.count("*").alias("total")))  # one row
+
+
+def decide(log: DataFrame, keywords: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log, keywords) after decisions(log_id, decision, new_display) on open entries of log(id, keyword_id, action, status,
+    concept_id); closed ones stay as they are. keywords has id, display, normalized and thesaurus_concept_id.
+
+    approve gives the keyword the concept, if there is one; reject closes the entry; edit gives the keyword a new form.
+    """
+    form = F.nullif(F.trim("new_display"), F.lit(""))
+    one = decisions.groupBy(F.col("log_id").alias("id")).agg(F.min_by(F.struct("decision", form.alias("new_display")), "decision").alias("d"))
+    rows = log.join(one, "id", "left").withColumn("open", (F.col("action") == OPEN) & (F.col("status") == "pending") & F.col("d").isNotNull())
+    d = F.col("d.decision")
+    kind = F.when(F.col("open") & (d == "approve") & F.col("concept_id").isNotNull(), "approve").when(F.col("open") & (d == "reject"), "reject").when(F.col("open") & (d == "edit") & F.col("d.new_display").isNotNull(), "edit")
+    rows = rows.withColumn("kind", kind)
+    action = F.when(F.col("kind") == "approve", "manual_approved").when(F.col("kind") == "reject", "manual_rejected").when(F.col("kind") == "edit", "cleaned").otherwise(F.col("action"))
+    status = F.when(F.col("kind").isin("approve", "edit"), "applied").when(F.col("kind") == "reject", "rejected").otherwise(F.col("status"))
+    new_log = rows.select(*(action.alias(c) if c == "action" else status.alias(c) if c == "status" else F.col(c) for c in log.columns))
+    done = rows.where(F.col("kind").isin("approve", "edit"))
+    per = done.groupBy(F.col("keyword_id").alias("id")).agg(F.max_by("concept_id", F.when(F.col("kind") == "approve", F.col("id"))).alias("concept"), F.max_by("d.new_display", F.when(F.col("kind") == "edit", F.col("id"))).alias("form"))
+    per = per.withColumn("plain", normalize_udf("form"))
+    new = {"display": F.coalesce("form", "display"), "normalized": F.coalesce("plain", "normalized"), "thesaurus_concept_id": F.coalesce("concept", "thesaurus_concept_id")}
+    return new_log, keywords.join(per, "id", "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in keywords.columns))

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import classify as C
-from marginalia.operators import identity as D
 from marginalia.operators import importing as M
 from marginalia.operators import indicators as I
 from marginalia.operators import networks as N
 from marginalia.operators import enrichment as E
+from marginalia.operators import identity as D
 from marginalia.operators import similarity as S
 from marginalia.operators import treatment as T
 from marginalia.plans.corpus import Corpus, oracle
+from marginalia.sources import records as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,7 +29,7 @@ LENSES = [("colour", "red"), ("colour", "blue"), ("size", "small"), ("joint", "r
 
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[Corpus], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus.of(spark, sf_dir))
         if sql:
             SQL[f.__name__] = oracle(sql)
         return f
@@ -54,15 +55,7 @@ def rules(c: Corpus) -> DataFrame:
 
 def texts(c: Corpus) -> DataFrame:
     """document_id, year, text."""
-    return c.documents.select(F.col("id").alias("document_id"), "year").join(c.titles, "document_id").withColumnRenamed("title", "text")
-
-
-def labels(c: Corpus) -> DataFrame:
-    return D.keyword_labels(c.view("keyword"), c.view("concept"))
-
-
-def plain_words(c: Corpus) -> DataFrame:
-    return c.document_keywords.select("document_id", "keyword").distinct()
+    return c.kept("texts", lambda: c.documents.select(F.col("id").alias("document_id"), "year").join(c.titles, "document_id").withColumnRenamed("title", "text"))
 
 
 def values(rows: list[tuple], names: str) -> str:
@@ -274,7 +267,7 @@ def keyword_search(c):
  y AS (SELECT unnest(generate_series(1996, 2000)) AS year), n AS (SELECT keyword, year, count(DISTINCT document_id) AS n FROM {dk} JOIN {doc} d ON d.id = document_id GROUP BY 1, 2)
  SELECT t.keyword, l.label, CAST(y.year AS INT) AS year, coalesce(n, 0) AS doc_count FROM top t JOIN {kw_label} l ON l.keyword = t.keyword CROSS JOIN y LEFT JOIN n ON n.keyword = t.keyword AND n.year = y.year""")
 def keyword_evolution(c):
-    return I.keyword_evolution(c.document_keywords, c.documents, labels(c), N.top_nodes(plain_words(c), "keyword", 10), 1996, 2000)
+    return I.keyword_evolution(c.document_keywords, c.documents, c.labels, N.top_nodes(c.words, "keyword", 10), 1996, 2000)
 
 
 @query("""WITH u AS (SELECT e.* FROM {eff_keyword} e JOIN {doc} d ON d.id = e.document_id WHERE e.keyword < 0), v AS (SELECT keyword, count(DISTINCT keyword_id) AS variant_count FROM u GROUP BY 1),
@@ -367,8 +360,8 @@ def _co(c: Corpus) -> tuple[DataFrame, DataFrame]:
 
 
 def _kw(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    nodes = N.top_nodes(plain_words(c), "keyword", 100, 2)
-    return nodes, N.co_edges(plain_words(c), nodes, "keyword")
+    nodes = N.top_nodes(c.words, "keyword", 100, 2)
+    return nodes, N.co_edges(c.words, nodes, "keyword")
 
 
 @query(CO + " SELECT * FROM n")
@@ -411,7 +404,7 @@ def net_communities(c):
 @query(KW + " SELECT source, target, weight, weight / (a.doc_count * b.doc_count) AS strength FROM e JOIN n a ON a.keyword = source JOIN n b ON b.keyword = target")
 def tm_edges(c):
     nodes, edges = _kw(c)
-    return N.association(edges, nodes, "keyword")
+    return N.association(edges, nodes, "keyword").drop("n_source", "n_target")
 
 
 @query()
@@ -430,12 +423,29 @@ def tm_metrics(c):
 
 @query()
 def thematic_map(c):
-    return N.thematic_map(plain_words(c), labels(c))
+    return N.thematic_map(c.words, c.labels)
+
+
+KW_YEARS = KW.replace("FROM {dk})", "FROM {dk} JOIN {doc} d ON d.id = document_id WHERE year BETWEEN 1994 AND 1997)")
+
+
+@query(KW_YEARS + """, s AS (SELECT source, target, weight / (a.doc_count * b.doc_count) AS strength, source % 5 AS x, target % 5 AS y FROM e JOIN n a ON a.keyword = source JOIN n b ON b.keyword = target),
+ v AS (SELECT source AS id FROM s UNION SELECT target FROM s), r AS (SELECT id % 5 AS cluster, doc_count, label, row_number() OVER (PARTITION BY id % 5 ORDER BY doc_count DESC, id) AS k FROM v JOIN n ON n.keyword = id JOIN {kw_label} l ON l.keyword = id),
+ m AS (SELECT cluster, count(*) AS size, CAST(sum(doc_count) AS BIGINT) AS doc_count, max(CASE WHEN k = 1 THEN label END) AS label FROM r GROUP BY 1), i AS (SELECT x AS cluster, sum(strength) AS w FROM s WHERE x = y GROUP BY 1), o AS (SELECT cluster, sum(strength) AS w FROM (SELECT x AS cluster, strength FROM s WHERE x <> y UNION ALL SELECT y, strength FROM s WHERE x <> y) GROUP BY 1),
+ t AS (SELECT m.cluster, label, size, doc_count, round(coalesce(o.w, 0), 6) AS centrality, round(100 * coalesce(i.w, 0) / size, 6) AS density FROM m LEFT JOIN i ON i.cluster = m.cluster LEFT JOIN o ON o.cluster = m.cluster),
+ x AS (SELECT round(avg(centrality), 6) AS avg_centrality, round(avg(density), 6) AS avg_density, round(median(centrality), 6) AS median_centrality, round(median(density), 6) AS median_density FROM t)
+ SELECT t.*, x.*, CASE WHEN centrality >= median_centrality THEN CASE WHEN density >= median_density THEN 'motor' ELSE 'basic' END WHEN density >= median_density THEN 'niche' ELSE 'emerging' END AS quadrant FROM t, x""")
+def tm_quadrants(c):
+    """Themes of 1994 to 1997 (the years given the wrong way round), with the clusters fixed by the ids."""
+    words = N.of_years(c.words, c.documents, 1997, 1994)
+    nodes = N.top_nodes(words, "keyword", 100, 2)
+    edges = N.association(N.co_edges(words, nodes, "keyword"), nodes, "keyword")
+    return N.themes(edges.withColumn("a", F.col("source") % 5).withColumn("b", F.col("target") % 5), c.labels)
 
 
 @query()
 def thematic_evolution(c):
-    return N.thematic_evolution(plain_words(c), c.documents, labels(c), 1998)
+    return N.thematic_evolution(c.words, c.documents, c.labels, 1998)
 
 
 FIELDS = """c AS (SELECT DISTINCT document_id, country_id AS id, country AS name FROM {dc}), k AS (SELECT DISTINCT d.document_id, d.keyword AS id, l.label AS name FROM {dk} d JOIN {kw_label} l ON l.keyword = d.keyword WHERE d.type = 'author_keyword'),
@@ -449,7 +459,7 @@ FIELDS = """c AS (SELECT DISTINCT document_id, country_id AS id, country AS name
  UNION ALL SELECT 1, k2.name, s2.name, count(*) FROM k2 JOIN s2 USING (document_id) GROUP BY 2, 3""")
 def three_fields(c):
     country = c.document_countries.select("document_id", F.col("country_id").alias("id"), F.col("country").alias("name"))
-    word = c.document_keywords.where("type = 'author_keyword'").join(labels(c), "keyword").select("document_id", F.col("keyword").alias("id"), F.col("label").alias("name"))
+    word = c.document_keywords.where("type = 'author_keyword'").join(c.labels, "keyword").select("document_id", F.col("keyword").alias("id"), F.col("label").alias("name"))
     source = c.documents.where("source_title <> ''").select(F.col("id").alias("document_id"), F.col("source_title").alias("id"), F.col("source_title").alias("name"))
     return N.three_fields([country, word, source])
 
@@ -464,7 +474,7 @@ AUTHOR_DIM = "SELECT DISTINCT document_id, preferred_name AS value FROM {da} JOI
 
 
 def _author_dim(c: Corpus) -> DataFrame:
-    return N.dimension(c.document_authors.join(c.view("author").withColumnRenamed("id", "author"), "author"), "preferred_name")
+    return c.kept("author_dimension", lambda: N.dimension(c.document_authors.join(c.view("author").withColumnRenamed("id", "author"), "author"), "preferred_name"))
 
 
 @query(_matrix(AUTHOR_DIM, "SELECT DISTINCT document_id, country AS value FROM {dc}"))
@@ -474,7 +484,8 @@ def matrix_cross(c):
 
 @query(_matrix(AUTHOR_DIM, AUTHOR_DIM))
 def matrix_same(c):
-    return N.matrix(_author_dim(c), _author_dim(c))
+    rows = _author_dim(c)
+    return N.matrix(rows, rows)
 
 
 # ---- classification and search ----
@@ -492,7 +503,7 @@ ASSIGNED = "cl WHERE group_id IS NOT NULL"
 
 
 def _assigned(c: Corpus) -> DataFrame:
-    return C.classify(texts(c), groups(c), rules(c))
+    return c.kept("assigned", lambda: C.classify(texts(c), groups(c), rules(c)))
 
 
 @query("WITH " + CLASSIFY + " SELECT * FROM cl")
@@ -544,7 +555,7 @@ def cmp_summary(c):
  z AS (SELECT group_id, count(*) AS n FROM o GROUP BY 1), b AS (SELECT x.group_id AS a, y.group_id AS b, count(*) AS shared FROM o x JOIN o y ON x.label = y.label AND x.group_id < y.group_id GROUP BY 1, 2)
  SELECT a, b, shared, p.n + q.n - shared AS "either", round(shared / (p.n + q.n - shared), 3) AS jaccard FROM b JOIN z p ON p.group_id = a JOIN z q ON q.group_id = b""")
 def group_jaccard(c):
-    return C.group_overlap(_assigned(c), c.document_keywords, labels(c))
+    return C.group_overlap(_assigned(c), c.document_keywords, c.labels)
 
 
 @query("WITH " + CLASSIFY + """ SELECT group_id, document_id, 'leaves' AS change FROM cl WHERE group_id = 4""")
@@ -680,7 +691,7 @@ def _raw(c: Corpus, sql: str) -> DataFrame:
 
 
 def _raw_keywords(c: Corpus) -> DataFrame:
-    return _raw(c, RAW_KEYWORDS)
+    return c.kept("raw_keywords", lambda: _raw(c, RAW_KEYWORDS))
 
 
 @query(f"""WITH k AS ({RAW_KEYWORDS}), f AS (SELECT *, original <> '[12]' AS valid, trim(trim(lower(original)), '.') AS nd FROM k), d AS (SELECT *, regexp_replace(nd, '^new ', 'New ') AS shown, valid AND (regexp_replace(nd, '^new ', 'New ') <> display OR nd <> normalized) AS dirty FROM f),
@@ -821,3 +832,236 @@ def classify_filtered(c):
     kinds = c.document_institutions.join(c.view("institution").select(F.col("id").alias("institution_id"), "nature").where("nature IS NOT NULL"), "institution_id").groupBy("document_id").agg(F.collect_set("nature").alias("natures"))
     docs = texts(c).join(c.documents.select(F.col("id").alias("document_id"), "qualis"), "document_id").join(where, "document_id", "left").join(kinds, "document_id", "left")
     return C.classify(docs, rows, rules(c))
+
+
+# ---- reports and pages of the web application ----
+
+
+@query("""WITH p AS (SELECT DISTINCT l.document_id, city_id, coalesce(cited_by, 0) AS cited FROM {document_city} l JOIN {doc} d ON d.id = l.document_id)
+ SELECT city_id, c.name AS city, s.name AS state, s.sigla AS state_sigla, n.name AS country, continent, count(*) AS doc_count, CAST(sum(cited) AS BIGINT) AS citations
+ FROM p JOIN {city} c ON c.id = city_id JOIN {country} n ON n.id = c.country_id LEFT JOIN {state} s ON s.id = c.state_id GROUP BY ALL""")
+def cities_report(c):
+    return I.cities_report(c.view("document_city"), c.documents, c.view("city"), c.view("state"), c.view("country"))
+
+
+ASSIGNED = SQL["classify"]
+AUTHOR_STRING = SQL["author_string"]
+
+
+SQL["classified_page"] = f"""WITH a AS ({ASSIGNED}), t AS (SELECT a.document_id, a.term, o.* EXCLUDE (id) FROM a JOIN ({oracle("SELECT id, year, source_title, cited_by FROM {doc}")}) o ON o.id = a.document_id
+ WHERE a.group_id = 4 ORDER BY cited_by DESC NULLS LAST, year DESC NULLS LAST, document_id, term LIMIT 100 OFFSET 100)
+ SELECT t.*, s.authors FROM t LEFT JOIN ({AUTHOR_STRING}) s ON s.document_id = t.document_id"""
+
+
+@query()
+def classified_page(c):
+    """The second page of a group."""
+    return C.classified_page(_assigned(c), c.documents, c.author_links, c.view("author"), 4, 2)
+
+
+SQL["classified_move"] = f"""WITH a AS ({ASSIGNED}), m AS (SELECT min(document_id) AS id FROM a WHERE group_id = 3)
+ SELECT document_id, CASE WHEN document_id = m.id AND group_id = 3 THEN 6 ELSE group_id END AS group_id, term, document_id = m.id AND (group_id = 3 OR group_id = 6) AS manual
+ FROM a, m WHERE NOT (document_id = m.id AND group_id = 3 AND EXISTS (SELECT 1 FROM a b WHERE b.document_id = m.id AND b.group_id = 6))"""
+
+
+@query()
+def classified_move(c):
+    """All assignments after the first document of a group was moved to another."""
+    rows = _assigned(c).withColumn("manual", F.lit(False))
+    first = rows.where("group_id = 3").agg(F.min("document_id")).first()[0]
+    return C.move(rows, first, 3, 6)
+
+
+#: How the log of a treatment is made of the keywords.
+TREATMENT_LOG = """SELECT id * 2 AS id, id AS keyword_id, CASE id % 7 WHEN 0 THEN 'exact_label_matched' WHEN 1 THEN 'exact_concept_matched' WHEN 2 THEN 'fuzzy_auto_matched' WHEN 3 THEN 'invalid' ELSE 'fuzzy_review_required' END AS action,
+ CASE WHEN id % 5 = 0 THEN 'applied' ELSE 'pending' END AS status, thesaurus_concept_id AS concept_id, concat('Concept ', CAST(id % 80 AS STRING)) AS concept, display AS term FROM {keyword}"""
+
+
+def _log(c: Corpus) -> DataFrame:
+    return c.kept("treatment_log", lambda: c.spark.sql(TREATMENT_LOG, keyword=c.view("keyword")))
+
+
+@query(f"""WITH l AS ({TREATMENT_LOG}), g AS (SELECT * FROM l WHERE action IN ('exact_label_matched', 'exact_concept_matched', 'fuzzy_auto_matched')), f AS (SELECT concept, min(id) AS k, count(*) AS total FROM g GROUP BY 1 ORDER BY 2 LIMIT 50),
+ r AS (SELECT concept, total, row_number() OVER (PARTITION BY concept ORDER BY id) AS place, term FROM g JOIN f USING (concept)) SELECT * FROM r WHERE place <= 200""")
+def treatment_report(c):
+    return T.grouped_terms(_log(c))
+
+
+@query(f"WITH l AS ({TREATMENT_LOG}) SELECT id, term, (SELECT count(*) FROM l WHERE action = 'invalid') AS total FROM l WHERE action = 'invalid' ORDER BY id LIMIT 500")
+def treatment_invalid(c):
+    return T.listed_entries(_log(c), "invalid").select("id", "term", "total")
+
+
+#: The decisions on the log.
+DECISIONS = """SELECT id AS log_id, CASE id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'edit' END AS decision, concat(term, ' part') AS new_display FROM {log} WHERE id % 4 = 0"""
+
+
+@query(f"""WITH l AS ({TREATMENT_LOG}), d AS ({DECISIONS.replace("{log}", "l")}), j AS (SELECT l.*, CASE WHEN decision = 'approve' AND concept_id IS NOT NULL THEN 1 WHEN decision = 'reject' THEN 2 WHEN decision = 'edit' THEN 3 END AS k, new_display
+  FROM l LEFT JOIN d ON log_id = id AND action = 'fuzzy_review_required' AND status = 'pending')
+ SELECT j.id, CASE k WHEN 1 THEN 'manual_approved' WHEN 2 THEN 'manual_rejected' WHEN 3 THEN 'cleaned' ELSE action END AS action, CASE k WHEN 1 THEN 'applied' WHEN 2 THEN 'rejected' WHEN 3 THEN 'applied' ELSE status END AS status,
+  CASE k WHEN 3 THEN new_display ELSE w.display END AS display, CASE k WHEN 3 THEN lower(new_display) ELSE normalized END AS normalized, CASE k WHEN 1 THEN concept_id ELSE thesaurus_concept_id END AS thesaurus_concept_id
+ FROM j JOIN {{keyword}} w ON w.id = keyword_id""")
+def treatment_decisions(c):
+    log = _log(c)
+    new_log, words = T.decide(log, c.view("keyword"), c.spark.sql(DECISIONS, log=log))
+    return new_log.select("id", "keyword_id", "action", "status").join(words.select(F.col("id").alias("keyword_id"), "display", "normalized", "thesaurus_concept_id"), "keyword_id").drop("keyword_id")
+
+
+# ---- import with all rules ----
+
+#: The records of an import, of few titles, from two sources of which one has strict ids; and what is there.
+RECORDS = """SELECT id, CASE WHEN id % 6 = 0 THEN concat('10.1/', CAST(id % 5000 AS STRING)) END AS doi, CASE WHEN id % 2 = 0 THEN 'Alpha' ELSE 'beta' END AS source, CASE WHEN id % 10 < 9 THEN CAST(id % 9000 AS STRING) END AS external_id,
+ concat('Title ', CAST(id % 1500 AS STRING)) AS title, CASE WHEN id % 40 > 0 THEN year END AS year, id % 4 = 1 AS strict FROM {document} WHERE project_id = 2"""
+OLD = 400
+IDENTITIES = """SELECT id, doi, source, strict, CASE WHEN doi IS NOT NULL THEN md5('doi:' || lower(doi)) WHEN strict THEN ext WHEN ty IS NOT NULL THEN ty WHEN ext IS NOT NULL THEN ext ELSE md5('title:' || lower(title)) END AS hash, ty AS title_year FROM (
+ SELECT id, doi, lower(source) AS source, strict AND external_id IS NOT NULL AS strict, md5('ext:' || lower(source) || ':' || external_id) AS ext, CASE WHEN year IS NOT NULL THEN md5(lower(title) || ':' || year) END AS ty, title FROM r)"""
+
+
+def _round(k: int) -> str:
+    """SQL of one round of import_outcomes: from s{k} to s{k + 1}."""
+    return f"""h{k} AS (SELECT hash, min(id) AS hid, min(own) AS own FROM s{k} WHERE accepted GROUP BY 1), t{k} AS (SELECT title_year, id AS tid, source AS tsource, kind AS tkind, doi IS NOT NULL AS tdoi FROM (SELECT *, row_number() OVER (PARTITION BY title_year ORDER BY id) AS n FROM s{k} WHERE accepted AND title_year IS NOT NULL) WHERE n = 1),
+ j{k} AS (SELECT s.id, s.doi, s.source, s.strict, s.hash, s.title_year, s.kind, s.known, s.own, NOT s.known AND coalesce(hid < s.id, false) AS rep, hid, tid,
+  NOT s.known AND coalesce(tid < s.id AND NOT (s.doi IS NOT NULL AND tdoi) AND CASE WHEN s.strict THEN tsource <> s.source OR tkind = 'title' ELSE tkind = 'ext' END, false) AS tit FROM s{k} s LEFT JOIN h{k} h ON h.hash = s.hash LEFT JOIN t{k} t ON t.title_year = s.title_year),
+ s{k + 1} AS (SELECT id, doi, source, strict, hash, title_year, kind, known, own, NOT rep AND NOT tit AS accepted, CASE WHEN rep THEN hid WHEN tit THEN tid END AS kept FROM j{k})"""
+
+
+ROUNDS = 6
+
+
+@query(f"WITH r AS ({RECORDS}), i AS (SELECT *, CASE WHEN doi IS NOT NULL THEN 'doi' WHEN hash = title_year THEN 'title' ELSE 'ext' END AS kind FROM ({IDENTITIES})), o AS (SELECT id FROM i ORDER BY id LIMIT {OLD}), "
+       f"s0 AS (SELECT i.*, o.id IS NOT NULL AS known, o.id IS NOT NULL AND i.id % 3 = 0 AS own, true AS accepted FROM i LEFT JOIN o ON o.id = i.id), {', '.join(map(_round, range(ROUNDS)))}, "
+       f"x AS (SELECT f.*, k.own AS mine FROM s{ROUNDS} f LEFT JOIN s{ROUNDS} k ON k.id = f.kept AND f.hash = k.hash), m AS (SELECT kept, min(id) AS first_id FROM x WHERE mine GROUP BY 1), d AS (SELECT doi, min(id) AS did FROM x WHERE accepted AND doi IS NOT NULL GROUP BY 1) "
+       "SELECT x.id, CASE WHEN accepted THEN 'imported' WHEN mine AND first_id = x.id THEN 'again' WHEN did < x.id THEN 'doi' ELSE 'hash' END AS outcome, coalesce(x.kept, x.id) AS kept FROM x LEFT JOIN m ON m.kept = x.kept LEFT JOIN d ON d.doi = x.doi WHERE NOT known")
+def import_outcomes(c):
+    """An import with all rules, into a project that has the first documents."""
+    rows = M.identities(c.spark.sql(RECORDS, document=c.view("document")))
+    old = rows.orderBy("id").limit(OLD).withColumn("own", F.col("id") % 3 == 0)
+    return M.import_outcomes(rows.join(old.select("id"), "id", "left_anti"), old)
+
+
+@query("""WITH n AS (SELECT l_orderkey AS document_id, l_linenumber AS position, concat('Writer ', CAST(l_suppkey % 900 AS STRING)) AS name FROM {lineitem}), k AS (SELECT s_suppkey AS id, lower(concat('writer ', CAST(s_suppkey AS STRING))) AS normalized FROM {supplier} WHERE s_suppkey < 400),
+ f AS (SELECT lower(name) AS normalized, min(name) AS name, min(document_id * 100 + position) AS pos FROM n GROUP BY 1), j AS (SELECT f.*, k.id FROM f LEFT JOIN k ON k.normalized = f.normalized), t AS (SELECT coalesce(max(id), 0) AS top FROM k)
+ SELECT coalesce(id, top + row_number() OVER (PARTITION BY id IS NULL ORDER BY pos)) AS id, id IS NULL AS is_new, normalized, name FROM j, t""")
+def resolve_import(c):
+    """Names of an import against known identities; unknown ones get new ids in order of appearance."""
+    rows = c.source("lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("Writer "), (F.col("l_suppkey") % 900).cast("string")).alias("name")).withColumn("normalized", F.lower("name"))
+    known = c.source("supplier").where("s_suppkey < 400").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("writer "), F.col("s_suppkey").cast("string")).alias("normalized"))
+    return M.resolve(rows, known, ["normalized"]).select("id", "is_new", "normalized", "name")
+
+
+@query("""WITH g AS (SELECT document_id FROM {da} WHERE document_id % 7 = 0 GROUP BY 1), n AS (SELECT document_id, min(author) AS author FROM {da} WHERE document_id % 14 = 0 GROUP BY 1)
+ SELECT document_id, author FROM {da} WHERE document_id NOT IN (SELECT document_id FROM g) UNION ALL SELECT document_id, author FROM n""")
+def replaced_links(c):
+    """Author links after every seventh document was enriched anew: half of these keep one author, the others none."""
+    links = c.document_authors
+    some = links.where("document_id % 7 = 0")
+    new = some.where("document_id % 14 = 0").groupBy("document_id").agg(F.min("author").alias("author"))
+    return M.replace_links(links, new, some.select("document_id"))
+
+
+# ---- more of networks, merges, boards ----
+
+SQL["color_board"] = f"""WITH r AS (SELECT id AS group_id, CASE WHEN id % 2 = 0 THEN '#ff0000' ELSE '#4f8ef7' END AS color, CASE WHEN id > 3 THEN concat(id, '. colours') END AS section FROM {values(GROUPS, "id, type, position")} WHERE type = 'normal'),
+ d AS (SELECT group_id, count(DISTINCT document_id) AS docs FROM ({ASSIGNED}) GROUP BY 1) SELECT color, section, count(*) AS groups, CAST(coalesce(sum(docs), 0) AS BIGINT) AS docs FROM r LEFT JOIN d ON d.group_id = r.group_id GROUP BY 1, 2"""
+
+
+@query(KW + """, t AS (SELECT sum(weight) AS t FROM e), i AS (SELECT source % 5 AS c, sum(weight) AS w FROM e WHERE source % 5 = target % 5 GROUP BY 1), d AS (SELECT c, sum(weight) AS w FROM (SELECT source % 5 AS c, weight FROM e UNION ALL SELECT target % 5, weight FROM e) GROUP BY 1)
+ SELECT round(sum(coalesce(i.w, 0) / t - pow(d.w / (2 * t), 2)), 9) AS modularity FROM d LEFT JOIN i ON i.c = d.c, t""")
+def modularity(c):
+    """Of clusters fixed by the ids."""
+    return N.modularity_of(_kw(c)[1].withColumn("a", F.col("source") % 5).withColumn("b", F.col("target") % 5))
+
+
+@query("""WITH p AS (SELECT trim(country) AS country, count(DISTINCT document_id) AS doc_count FROM {dc} GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY doc_count DESC, country) AS INT) AS id, country, doc_count FROM p""")
+def net_country_nodes(c):
+    return N.country_nodes(c.document_countries)
+
+
+@query("""WITH d AS (SELECT id, year, cited_by, source_title, issn, doi FROM {doc}), k AS (SELECT doi, min(id) AS kept FROM d WHERE doi IS NOT NULL GROUP BY 1), p AS (SELECT kept, id AS dropped FROM d JOIN k USING (doi) WHERE id <> kept),
+ g AS (SELECT kept, max(cited_by) AS c, arg_min(year, id) FILTER (year IS NOT NULL) AS y, arg_min(source_title, id) FILTER (source_title IS NOT NULL) AS s, arg_min(issn, id) FILTER (issn IS NOT NULL) AS i FROM p JOIN d ON d.id = dropped GROUP BY 1)
+ SELECT d.id, coalesce(year, y) AS year, greatest(cited_by, c) AS cited_by, coalesce(source_title, s) AS source_title, coalesce(issn, i) AS issn FROM d LEFT JOIN g ON g.kept = d.id WHERE d.id NOT IN (SELECT dropped FROM p)""")
+def merged_documents(c):
+    """Documents of one DOI merged into the first."""
+    docs = c.documents
+    first = docs.where("doi IS NOT NULL").groupBy("doi").agg(F.min("id").alias("kept"))
+    pairs = docs.join(first, "doi").where("id <> kept").select("kept", F.col("id").alias("dropped"))
+    return M.merge_documents(docs.select("id", "year", "cited_by", "source_title", "issn"), pairs)
+
+
+@query("""WITH m AS (SELECT *, entity_type = 'author' AND scope = 'project' AND scope_id = 2 AS here FROM {authority_mapping}), f AS (SELECT coalesce(max(target_id), 9) AS final FROM m WHERE here AND source_id = 9)
+ SELECT entity_type, scope, scope_id, source_id, CASE WHEN here AND target_id = 10 THEN final ELSE target_id END AS target_id FROM m, f WHERE NOT (here AND source_id = 10) UNION ALL SELECT 'author', 'project', 2, 10, final FROM f""")
+def merged_mapping(c):
+    """The mappings after author 10 was grouped into author 9, who is grouped already."""
+    return D.merge_mapping(c.view("authority_mapping"), "author", "project", 2, 10, 9)
+
+
+# ---- readers: the corpus written in the formats of the sources and read again ----
+
+
+def _export(c: Corpus) -> DataFrame:
+    """id, year, cited_by, source_title, title and authors (joined by ; ) of documents with authors."""
+    names = I.author_string(c.author_links, c.view("author"))
+    rows = c.documents.select(F.col("id").alias("document_id"), "year", "cited_by", F.nullif("source_title", F.lit("")).alias("source_title"))
+    return c.kept("export", lambda: rows.join(c.titles, "document_id").join(names, "document_id").withColumn("key", F.col("document_id").cast("string")))
+
+
+def _read(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("external_id", "title", "year", "source_title", F.array_join("author_names", "; ").alias("authors"), *more)
+
+
+EXPORTED = "SELECT CAST(d.id AS VARCHAR) AS external_id, title, year, nullif(source_title, '') AS source_title, s.authors FROM ({0}) d JOIN ({1}) t ON t.document_id = d.id JOIN ({2}) s ON s.document_id = d.id".format(
+    oracle("SELECT id, year, cited_by, source_title FROM {doc}"), oracle("SELECT * FROM {title}"), AUTHOR_STRING
+)
+EXPORTED_CITED = EXPORTED.replace(", s.authors FROM", ", s.authors, cited_by FROM", 1)
+
+
+def _tag(tag: str, c: Column) -> Column:
+    """A line of tagged text, or nothing where the value is null."""
+    return F.concat(F.lit(tag), c.cast("string"))
+
+
+def _each(tag: str) -> Column:
+    return F.array_join(F.transform(F.split("authors", "; "), lambda x: F.concat(F.lit(tag), x)), "\n")
+
+
+@query(EXPORTED)
+def read_ris(c):
+    col = F.col
+    lines = F.concat_ws("\n", F.lit("TY  - JOUR"), _tag("ID  - ", col("key")), _tag("TI  - ", col("title")), _each("AU  - "), _tag("PY  - ", col("year")), _tag("JO  - ", col("source_title")), F.lit("ER  - "))
+    return _read(R.read_ris(c.spark, c.exported("ris", _export(c).select(lines).write.text)))
+
+
+@query(EXPORTED)
+def read_nbib(c):
+    col = F.col
+    lines = F.concat_ws("\n", _tag("PMID- ", col("key")), _tag("TI  - ", col("title")), _each("FAU - "), _tag("DP  - ", col("year")), _tag("JT  - ", col("source_title")), F.lit(""))
+    return _read(R.read_nbib(c.spark, c.exported("nbib", _export(c).select(lines).write.text)))
+
+
+@query(EXPORTED_CITED)
+def read_wos(c):
+    col = F.col
+    lines = F.concat_ws("\n", F.lit("PT J"), F.concat(F.lit("AU "), F.regexp_replace("authors", "; ", "\n   ")), _tag("TI ", col("title")), _tag("SO ", col("source_title")), _tag("PY ", col("year")), _tag("TC ", col("cited_by")), _tag("UT ", col("key")), F.lit("ER\n"))
+    return _read(R.read_wos(c.spark, c.exported("wos", _export(c).select(lines).write.text)), "cited_by")
+
+
+@query(EXPORTED_CITED)
+def read_scopus(c):
+    rows = _export(c).select(F.col("authors").alias("Authors"), F.col("title").alias("Title"), F.col("year").alias("Year"), F.col("source_title").alias("Source title"), F.col("cited_by").alias("Cited by"), F.col("key").alias("EID"))
+    return _read(R.read_scopus_csv(c.spark, c.exported("scopus", lambda at: rows.write.csv(at, header=True, quote='"', escape='"'))), "cited_by")
+
+
+@query(EXPORTED_CITED)
+def read_lens(c):
+    rows = _export(c).select(F.col("key").alias("Lens ID"), F.col("title").alias("Title"), F.col("year").alias("Publication Year"), F.col("authors").alias("Author/s"), F.col("source_title").alias("Source Title"), F.col("cited_by").alias("Citing Works Count"))
+    return _read(R.read_lens_csv(c.spark, c.exported("lens", lambda at: rows.write.csv(at, header=True, quote='"', escape='"'))), "cited_by")
+
+
+@query(EXPORTED_CITED)
+def read_works(c):
+    """As JSON lines; the ids get a W as works have it."""
+    people = F.transform(F.split("authors", "; "), lambda x: F.struct(F.struct(x.alias("display_name")).alias("author")))
+    place = F.struct(F.struct(F.col("source_title").alias("display_name")).alias("source"))
+    rows = _export(c).select(F.concat(F.lit("https://openalex.org/W"), "key").alias("id"), "title", F.col("year").alias("publication_year"), F.col("cited_by").alias("cited_by_count"), place.alias("primary_location"), people.alias("authorships"))
+    got = _read(R.read_works_json(c.spark, c.exported("works", rows.write.json)), "cited_by")
+    return got.withColumn("external_id", F.substring("external_id", 2, 20))

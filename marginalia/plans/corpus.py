@@ -7,12 +7,14 @@ view. Derived tables (effective identities) are operators, not views.
 from __future__ import annotations
 
 import re
-from functools import cached_property
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators.identity import effective_authors, effective_keywords
+from marginalia.operators.identity import effective_authors, effective_keywords, keyword_labels
+from marginalia.sources.store import store_folder, stored
 
 PROJECT = 2
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -43,15 +45,19 @@ VIEWS: dict[str, str] = {
     "keyword": """SELECT p_partkey AS id, p_name AS display, concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) AS original, p_name AS normalized,
         CASE p_size % 2 WHEN 0 THEN 'author_keyword' ELSE 'indexed_keyword' END AS type,
         min(p_partkey) OVER (PARTITION BY p_name, p_size % 2) AS keyword_concept_id,
-        CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN dense_rank() OVER (ORDER BY p_name) END AS thesaurus_concept_id
+        CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN min(p_partkey) OVER (PARTITION BY p_name) + 1 END AS thesaurus_concept_id
       FROM {part}""",
-    "concept": """SELECT DISTINCT dense_rank() OVER (ORDER BY p_name) AS id, concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) AS label FROM {part}""",
+    "concept": """SELECT min(p_partkey) + 1 AS id, concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) AS label FROM {part} GROUP BY p_name""",
     "document_keyword": "SELECT l_orderkey AS document_id, l_partkey AS keyword_id FROM {lineitem}",
     "document_keyword_position": "SELECT l_orderkey AS document_id, l_partkey AS keyword_id, l_linenumber AS position FROM {lineitem}",
     "document_country": """SELECT DISTINCT l_orderkey AS document_id, n_nationkey AS country_id, n_name AS country, r_name AS continent
         FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "institution": """SELECT DISTINCT s_suppkey % 50 AS id, concat('Institution ', CAST(s_suppkey % 50 AS STRING)) AS official_name,
         CASE (s_suppkey % 50) % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' END AS nature, (s_suppkey % 50) % 25 AS country_id FROM {supplier}""",
+    "city": """SELECT DISTINCT s_suppkey % 30 AS id, concat('City ', CAST(s_suppkey % 30 AS STRING)) AS name, CASE WHEN (s_suppkey % 30) % 3 > 0 THEN (s_suppkey % 30) % 7 END AS state_id, (s_suppkey % 30) % 25 AS country_id FROM {supplier}""",
+    "state": """SELECT DISTINCT s_suppkey % 7 AS id, concat('State ', CAST(s_suppkey % 7 AS STRING)) AS name, concat('S', CAST(s_suppkey % 7 AS STRING)) AS sigla FROM {supplier}""",
+    "country": "SELECT n_nationkey AS id, n_name AS name, r_name AS continent FROM {nation} JOIN {region} ON n_regionkey = r_regionkey",
+    "document_city": "SELECT l_orderkey AS document_id, l_suppkey % 30 AS city_id FROM {lineitem}",
     "document_institution": "SELECT l_orderkey AS document_id, l_suppkey % 50 AS institution_id FROM {lineitem}",
 }
 #: For the oracles only: the same effective identities in SQL.
@@ -91,11 +97,46 @@ def oracle(sql: str) -> str:
     return f"WITH {head}{',' + body[4:] if body.startswith('WITH') else ' ' + body}" if head else body
 
 
+#: Views that every query would otherwise derive anew.
+STORED = ("document", "keyword", "concept", "document_country", "institution")
+
+
 class Corpus:
-    """One project's corpus; every attribute is a DataFrame."""
+    """One project's corpus; every attribute is a DataFrame.
+
+    What many queries need (documents, effective identities of links, labels, titles, assignments) is derived once and
+    kept as Parquet tables, as an import would leave it. The tables lie in the folder that the session names in
+    spark.checkpoint.dir; where a session on one machine names none, in a folder of its own; else nothing is kept.
+    """
+
+    _opened: dict[tuple, Corpus] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str, project_id: int = PROJECT):
-        self.spark, self.sf_dir, self.project_id, self._views = spark, sf_dir, project_id, {}
+        self.spark, self.sf_dir, self.project_id, self._views, self._tables, self._files = spark, sf_dir, project_id, {}, {}, {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str, project_id: int = PROJECT) -> Corpus:
+        """The corpus that this application has opened before, or a new one."""
+        key = (spark.sparkContext.applicationId, sf_dir, project_id)
+        if key not in cls._opened:
+            cls._opened = {k: c for k, c in cls._opened.items() if k[0] == key[0]} | {key: cls(spark, sf_dir, project_id)}
+        return cls._opened[key]
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table of that name, made and written at the first call."""
+        if name not in self._tables:
+            df = make()
+            self._tables[name] = stored(df, f"corpus-{name}") if store_folder(self.spark) else df
+        return self._tables[name]
+
+    def exported(self, name: str, write: Callable[[str], None]) -> str:
+        """The path of an export file of the corpus, written at the first call; see the class for where."""
+        if name not in self._files:
+            if not (folder := store_folder(self.spark)):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            self._files[name] = f"{folder}/export-{name}-{uuid.uuid4().hex}"
+            write(self._files[name])
+        return self._files[name]
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -105,45 +146,58 @@ class Corpus:
             return self.source(name)
         if name not in self._views:
             sql = VIEWS[name]
-            self._views[name] = self.spark.sql(sql, **{n: self.view(n) for n in set(re.findall(r"\{(\w+)\}", sql))})
+            make = lambda: self.spark.sql(sql, **{n: self.view(n) for n in set(re.findall(r"\{(\w+)\}", sql))})
+            self._views[name] = self.kept(name, make) if name in STORED else make()
         return self._views[name]
 
-    @cached_property
+    @property
     def documents(self) -> DataFrame:
-        return self.view("document").where(f"project_id = {self.project_id}")
+        return self.kept("documents", lambda: self.view("document").where(f"project_id = {self.project_id}"))
 
-    @cached_property
+    @property
     def author_links(self) -> DataFrame:
         """document_id, author_id, position and the effective author of each link of the project."""
-        return effective_authors(self.view("document_author"), self.documents, self.view("project"), self.view("authority_mapping"))
+        return self.kept("author_links", lambda: effective_authors(self.view("document_author"), self.documents, self.view("project"), self.view("authority_mapping")))
 
-    @cached_property
+    @property
     def keyword_links(self) -> DataFrame:
-        return effective_keywords(self.view("document_keyword"), self.documents, self.view("project"), self.view("authority_mapping"), self.view("keyword"))
+        return self.kept("keyword_links", lambda: effective_keywords(self.view("document_keyword"), self.documents, self.view("project"), self.view("authority_mapping"), self.view("keyword")))
 
-    @cached_property
+    @property
     def document_authors(self) -> DataFrame:
         """Distinct (document_id, author): every count and sum is over these."""
-        return self.author_links.select("document_id", "author").distinct()
+        return self.kept("document_authors", lambda: self.author_links.select("document_id", "author").distinct())
 
-    @cached_property
+    @property
     def document_keywords(self) -> DataFrame:
-        return self.keyword_links.select("document_id", "keyword", "type").distinct()
+        return self.kept("document_keywords", lambda: self.keyword_links.select("document_id", "keyword", "type").distinct())
+
+    @property
+    def words(self) -> DataFrame:
+        """Distinct (document_id, keyword), of any type."""
+        return self.kept("words", lambda: self.document_keywords.select("document_id", "keyword").distinct())
+
+    @property
+    def labels(self) -> DataFrame:
+        return self.kept("labels", lambda: keyword_labels(self.view("keyword"), self.view("concept")))
 
     def of_project(self, view: str) -> DataFrame:
-        return self.view(view).join(self.documents.select(self.documents.id.alias("document_id")), "document_id", "left_semi")
+        return self.view(view).join(self.documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
-    @cached_property
+    @property
     def document_countries(self) -> DataFrame:
-        return self.of_project("document_country")
+        return self.kept("document_countries", lambda: self.of_project("document_country"))
 
-    @cached_property
+    @property
     def document_institutions(self) -> DataFrame:
-        return self.of_project("document_institution").distinct()
+        return self.kept("document_institutions", lambda: self.of_project("document_institution").distinct())
 
-    @cached_property
+    @property
     def titles(self) -> DataFrame:
         """document_id, title: the names of an order's parts."""
-        named = self.of_project("document_keyword_position").join(self.view("keyword").select(F.col("id").alias("keyword_id"), "display"), "keyword_id")
-        words = F.transform(F.array_sort(F.collect_list(F.struct("position", "display"))), lambda x: x["display"])
-        return named.groupBy("document_id").agg(F.array_join(words, " ").alias("title"))
+        def make() -> DataFrame:
+            named = self.of_project("document_keyword_position").join(self.view("keyword").select(F.col("id").alias("keyword_id"), "display"), "keyword_id")
+            words = F.transform(F.array_sort(F.collect_list(F.struct("position", "display"))), lambda x: x["display"])
+            return named.groupBy("document_id").agg(F.array_join(words, " ").alias("title"))
+
+        return self.kept("titles", make)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import doi_of, entities, first_issn, safe_url, without_tags, year_of
-from marginalia.sources.records import _cell, _csv, _records, all_of, bare, country_of, first_of, institution_of, read_wos, record, ris_record
+from marginalia.sources.records import _cell, _csv, ris_rows, all_of, bare, country_of, first_of, institution_of, read_wos, record, ris_record
 
 #: Sources whose external id identifies a record by itself, before title and year.
 STRICT_SOURCES = ("bdtd", "brapci", "lista", "openalex")
@@ -114,7 +114,7 @@ def read_thesis_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_thesis_ris(spark: SparkSession, path: str) -> DataFrame:
-    rows = _ordered(_records(spark, path, "ER  -", "[A-Z][A-Z0-9]", " {1,2}- ?").where(F.exists("fields", lambda x: x["tag"] == "TY")))
+    rows = _ordered(ris_rows(spark, path))
     joined = lambda t: F.array_join(all_of(t), "||")
     return _thesis(rows, author=joined("AU"), title=first_of("TI"), year=first_of("PY"), link=first_of("UR"), type=first_of("TY"), language=joined("LA"), abstract=first_of("AB"))
 
@@ -145,7 +145,7 @@ def read_basket_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_basket_ris(spark: SparkSession, path: str) -> DataFrame:
     """RIS of a basket: the id is the last part of the record's handle."""
-    rows = _records(spark, path, "ER  -", "[A-Z][A-Z0-9]", " {1,2}- ?").where(F.exists("fields", lambda x: x["tag"] == "TY"))
+    rows = ris_rows(spark, path)
     handle = F.regexp_extract(F.coalesce(_first_kept(all_of("UR"), lambda x: x.startswith(BASKET_HANDLE)), F.lit("")), r"(\d+)\s*$", 1)
     rows = rows.withColumn("__id", F.nullif(handle, F.lit("")))
     # the common fields come from the RIS record; the id goes through a field of its own
@@ -206,7 +206,7 @@ def read_works_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_works_ris(spark: SparkSession, path: str) -> DataFrame:
     """RIS of works: affiliations in C1, types in lower case."""
-    rows = _records(spark, path, "ER  -", "[A-Z][A-Z0-9]", " {1,2}- ?").where(F.exists("fields", lambda x: x["tag"] == "TY"))
+    rows = ris_rows(spark, path)
     flat = lambda c: F.regexp_replace(c, r"\s*\n\s*", " ")
     places = F.array_distinct(F.transform(all_of("C1"), flat))
     parts = F.transform(F.flatten(F.transform(places, lambda x: F.split(x, ";"))), bare)

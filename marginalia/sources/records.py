@@ -77,15 +77,39 @@ def first_of(*tags: str) -> Column:
     return F.coalesce(*(F.get(F.filter(all_of(t), lambda x: x != ""), F.lit(0)) for t in tags))
 
 
-def _records(spark: SparkSession, path: str, separator: str, tag: str, sep: str, head: str = "") -> DataFrame:
-    rows = spark.read.option("lineSep", separator).text(path)
-    return rows.select(tagged(F.concat(F.lit(head), "value"), tag, sep).alias("fields")).where(F.size("fields") > 0)
+def cut(lines: DataFrame, mark: str, tag: str, sep: str, opens: str = "") -> DataFrame:
+    """fields of each record of rows of text that were split at "\\n" + mark; where lines end with a carriage return alone
+    the text is split here. Bytes that are no UTF-8 become the replacement character. `opens` is put before a record whose mark was cut off."""
+    text = F.regexp_replace(F.make_valid_utf8("value"), "\\A\ufeff", "")
+    if opens:
+        text = F.when(text.startswith(opens), text).otherwise(F.concat(F.lit(opens), text))
+    records = F.explode(F.split(text, rf"\r(?!\n){'(?=' if opens else ''}{mark}{')' if opens else '(?![A-Za-z0-9])'}"))
+    return lines.select(records.alias("record")).select(tagged(F.col("record"), tag, sep).alias("fields")).where(F.size("fields") > 0)
+
+
+def _records(spark: SparkSession, path: str, mark: str, tag: str, sep: str, opens: str = "") -> DataFrame:
+    return cut(spark.read.option("lineSep", "\n" + mark).text(path), mark, tag, sep, opens)
+
+
+RIS_END, RIS_TAG, RIS_SEP = "ER  -", "[A-Z][A-Z0-9]", " {1,2}- ?"
+
+
+def ris_fields(lines: DataFrame) -> DataFrame:
+    """fields of RIS records: what stands before a record's type is dropped, and a new type opens a new record."""
+    rows = cut(lines, RIS_END, RIS_TAG, RIS_SEP)
+    at = F.filter(F.transform("fields", lambda x, i: F.when(x["tag"] == "TY", i)), lambda i: i.isNotNull())
+    rows = rows.select("fields", F.posexplode(at).alias("k", "begin"), at.alias("at"))
+    end = F.coalesce(F.get("at", F.col("k") + 1), F.size("fields"))
+    return rows.select(F.slice("fields", F.col("begin") + 1, end - F.col("begin")).alias("fields"))
+
+
+def ris_rows(spark: SparkSession, path: str) -> DataFrame:
+    return ris_fields(spark.read.option("lineSep", "\n" + RIS_END).text(path))
 
 
 def read_ris(spark: SparkSession, path: str, source: str = "ris") -> DataFrame:
     """RIS with any line ends; an open record at the end of the file counts."""
-    rows = _records(spark, path, "ER  -", "[A-Z][A-Z0-9]", " {1,2}- ?").where(F.exists("fields", lambda x: x["tag"] == "TY"))
-    return ris_record(rows, source)
+    return ris_record(ris_rows(spark, path), source)
 
 
 def ris_record(rows: DataFrame, source: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -100,7 +124,7 @@ def ris_record(rows: DataFrame, source: str, keep: tuple[str, ...] = ()) -> Data
 
 def read_nbib(spark: SparkSession, path: str) -> DataFrame:
     """MEDLINE: a record begins at PMID, a tag fills four characters, continuation lines join the value with a space."""
-    rows = _records(spark, path, "PMID- ", "[A-Z]{2,4} *", "- ", head="PMID- ")
+    rows = _records(spark, path, "PMID- ", "[A-Z]{2,4} *", "- ", opens="PMID- ")
     rows = rows.where(F.exists("fields", lambda x: (x["tag"] == "TI") | (x["tag"] == "AU")))
     flat = lambda c: F.regexp_replace(c, r"\s*\n\s*", " ")
     doi = lambda tag: F.get(F.filter(all_of(tag), lambda x: x.contains("[doi]")), F.lit(0))
@@ -115,7 +139,7 @@ def read_nbib(spark: SparkSession, path: str) -> DataFrame:
 
 def read_wos(spark: SparkSession, path: str) -> DataFrame:
     """Tagged text of PT … ER records; lines that begin with spaces continue a tag, a line each for lists."""
-    rows = _records(spark, path, "\nER", "[A-Z][A-Z0-9]", "(?: |(?=\n)|$)").where(F.exists("fields", lambda x: x["tag"] == "PT"))
+    rows = _records(spark, path, "ER", "[A-Z][A-Z0-9]", "(?: |(?=\n)|$)").where(F.exists("fields", lambda x: x["tag"] == "PT"))
     lines = lambda *t: F.flatten(F.transform(all_of(*t), lambda x: F.split(x, r"\s*\n\s*")))
     flat = lambda c: F.regexp_replace(c, r"\s*\n\s*", " ")
     places = F.transform(lines("C1"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\[[^\]]*\]\s*", ""), r"\.$", "")))

@@ -24,11 +24,52 @@ SIGNATURES = {
 DECLARED_LEAST, OTHER_SURE, ANY_LEAST = 0.3, 0.8, 0.5
 ARCHIVED = ("csv", "txt", "ris", "nbib", "json", "jsonl", "xls")
 MAX_ARCHIVED = 2**30
+SAMPLE_BYTES = 256 * 1024
+#: How OLE2 and ZIP files begin.
+BINARY = (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"PK\x03\x04")
+
+
+def first_bytes(spark: SparkSession, path: str, n: int = SAMPLE_BYTES) -> bytes:
+    """The first n bytes of a file, or of a folder's first file, wherever Spark can read it."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.getFileStatus(at)
+    if found.isDirectory():
+        inner = sorted((x for x in fs.listStatus(at) if x.isFile() and not x.getPath().getName().startswith(("_", "."))), key=lambda x: x.getPath().getName())
+        if not inner:
+            return b""
+        found = inner[0]
+    stream = fs.open(found.getPath())
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, found.getLen())))
+    finally:
+        stream.close()
+
+
+def is_utf8(sample: bytes, cut: bool = False) -> bool:
+    """UTF-8 without zero bytes; a character that the sample's end cuts through doesn't count. UTF-16 marks are no UTF-8."""
+    if sample[:2] in (b"\xff\xfe", b"\xfe\xff") or b"\0" in sample:
+        return False
+    for less in range(4 if cut else 1):
+        try:
+            sample[: len(sample) - less].decode()
+            return True
+        except UnicodeDecodeError:
+            pass
+    return False
+
+
+def check_encoding(spark: SparkSession, path: str) -> None:
+    """ValueError for text in another encoding than UTF-8; spreadsheets and archives are no text."""
+    sample = first_bytes(spark, path)
+    if not sample.startswith(BINARY) and not is_utf8(sample, len(sample) == SAMPLE_BYTES):
+        raise ValueError(f"{path} isn't UTF-8: save it again in that encoding")
 
 
 def scores(spark: SparkSession, path: str) -> dict[str, float]:
-    """How well each reader fits the first lines of a file."""
-    head = [line for r in spark.read.text(path).limit(400).collect() for line in r.value.lstrip("﻿").replace("\r", "\n").split("\n")]
+    """How well each reader fits the beginning of a file."""
+    head = first_bytes(spark, path).decode("utf-8", "replace").lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")[:400]
     text = "\n".join(head)
     columns = {c.strip().strip('"').strip() for c in (head[0] if head else "").split(",")}
     out = {k: len(columns & set(v)) / len(v) for k, v in SIGNATURES.items()}
@@ -66,7 +107,8 @@ def detect(spark: SparkSession, path: str, declared: str | None = None) -> str |
 
 
 def read(spark: SparkSession, path: str, declared: str | None = None) -> DataFrame:
-    """The records of a file; ValueError if no reader fits it."""
+    """The records of a file; ValueError if no reader fits it or it isn't UTF-8."""
+    check_encoding(spark, path)
     if (name := detect(spark, path, declared)) is None:
         raise ValueError(f"no reader fits {path}")
     return READERS[name](spark, path)

@@ -34,3 +34,12 @@ def category_lines(docs: DataFrame, assigned: DataFrame, fallback: str) -> DataF
     rows = docs.select(F.col("id").alias("document_id")).join(first, "document_id", "left").orderBy("document_id").select(F.coalesce(F.col("g").cast("string"), F.lit(fallback)).alias("value"))
     head = docs.sparkSession.createDataFrame([("label",)], "value string")
     return head.union(rows)
+
+
+CITIES = ("city", "state", "state_sigla", "country", "continent", "document_count", "citation_count")
+
+
+def write_cities(report: DataFrame, path: str) -> None:
+    """The cities report as one CSV in its order; a row for each city."""
+    rows = report.orderBy(F.desc("doc_count"), "city_id").select("city", "state", "state_sigla", "country", "continent", "doc_count", "citations").toDF(*CITIES)
+    safe_csv(rows.na.fill("").coalesce(1), path, ",")

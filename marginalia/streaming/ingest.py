@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.operators.indicators import dedup_key
-from marginalia.sources.records import ris_record, tagged
+from marginalia.sources.records import RIS_END, ris_fields, ris_record
 
 
 def stream_ris(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.readStream.option("lineSep", "ER  -").text(folder).select(tagged(F.col("value"), "[A-Z][A-Z0-9]", " {1,2}- ?").alias("fields"))
-    return ris_record(rows.where(F.exists("fields", lambda x: x["tag"] == "TY")), "ris")
+    return ris_record(ris_fields(spark.readStream.option("lineSep", "\n" + RIS_END).text(folder)), "ris")
 
 
 def import_stream(records: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

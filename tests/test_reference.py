@@ -123,7 +123,97 @@ def test_first_of_each_is_the_sequential_fold(spark):
     rng = random.Random(1)
     rows = [(i, f"h{rng.randrange(30)}") for i in range(100)]
     got = {r.id for r in importing.first_of_each(spark.createDataFrame(rows, "id long, hash string"), "hash", "id").where("outcome = 'hash'").collect()}
-    assert got == {p for p, _ in importing.sequential_dedup([{"position": i, "hash": h} for i, h in rows])}
+    seen = set()
+    assert got == {i for i, h in rows if h in seen or seen.add(h)}
+
+
+def fold(rows, known):
+    """Outcomes of an import, one record after the other."""
+    dois, hashes, titles, met, out = {}, {}, {}, set(), {}
+
+    def accept(r):
+        if r.doi:
+            dois.setdefault(r.doi, r.id)
+        hashes.setdefault(r.hash, r.id)
+        if r.title_year:
+            titles.setdefault(r.title_year, r)
+
+    own = {r.id for r in known if r.own}
+    for r in sorted(known, key=lambda r: r.id):
+        accept(r)
+    for r in sorted(rows, key=lambda r: r.id):
+        match = hashes.get(r.hash)
+        first = titles.get(r.title_year) if r.title_year else None
+        if match is not None and match in own and match not in met:
+            met.add(match)
+            out[r.id] = "again", match
+        elif match is not None:
+            out[r.id] = "doi" if r.doi in dois else "hash", match
+        elif first and not (r.doi and first.doi) and (first.source != r.source or first.kind == "title" if r.strict else first.kind == "ext"):
+            out[r.id] = "hash", first.id
+        else:
+            out[r.id] = "imported", r.id
+            accept(r)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_import_outcomes_are_the_sequential_fold(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda *x: rng.choice(x)
+    rows = [(i, pick(None, None, "", "10.1/" + pick("A", "a", "b", "c") + str(rng.randrange(9))), pick("Alpha", "beta"), pick(None, str(rng.randrange(40))), pick(None, "T " * rng.randint(1, 6), "t"), pick(2000, 2001, None), rng.random() < 0.5) for i in range(400)]
+    d = importing.identities(spark.createDataFrame(rows, "id long, doi string, source string, external_id string, title string, year int, strict boolean")).withColumn("own", F.col("id") % 3 == 0)
+    d = d.where("hash IS NOT NULL")
+    one = d.where("id < 30").groupBy("hash").agg(F.min("id").alias("id"))
+    known, new = d.join(one, ["id", "hash"], "left_semi"), d.where("id >= 30")
+    got = {r.id: (r.outcome, r.kept) for r in importing.import_outcomes(new, known).collect()}
+    assert got == fold(new.collect(), known.collect())
+    assert {o for o, _ in got.values()} >= {"imported", "again", "doi", "hash"}
+    assert importing.import_outcomes(new.limit(0)).count() == 0
+
+
+def test_resolve_gives_new_ids_in_order(spark):
+    names = spark.createDataFrame([(2, 1, "B", "b"), (1, 2, "c", "c"), (1, 1, "A", "a"), (2, 2, "C", "c")], "document_id long, position int, name string, normalized string")
+    known = spark.createDataFrame([(7, "a")], "id long, normalized string")
+    got = {r.normalized: (r.id, r.is_new, r.name) for r in importing.resolve(names, known, ["normalized"]).collect()}
+    assert got == {"a": (7, False, "A"), "c": (8, True, "c"), "b": (9, True, "B")}
+
+
+def test_moves_by_hand(spark):
+    rows = spark.createDataFrame([(1, 3, "a", False), (1, 6, "b", False), (2, 3, "a", False), (3, None, None, False)], "document_id long, group_id int, term string, manual boolean")
+    after = lambda *x: {tuple(r) for r in classify.move(rows, *x).collect()}
+    every = {tuple(r) for r in rows.collect()}
+    assert after(1, 3, 6) == every - {(1, 3, "a", False), (1, 6, "b", False)} | {(1, 6, "b", True)}
+    assert after(2, 3, None) == every - {(2, 3, "a", False)} | {(2, None, "a", True)}
+    assert after(3, None, 4) == every - {(3, None, None, False)} | {(3, 4, None, True)}
+    assert after(9, 3, 4) == every and after(1, 3, 3) == every
+
+
+def test_decisions_on_open_entries(spark):
+    log = spark.createDataFrame([(1, 10, "fuzzy_review_required", "pending", 5), (2, 11, "fuzzy_review_required", "pending", None), (3, 12, "fuzzy_review_required", "applied", 5), (4, 13, "fuzzy_review_required", "pending", 6)], "id long, keyword_id long, action string, status string, concept_id long")
+    words = spark.createDataFrame([(i, "w", "w", None) for i in (10, 11, 12, 13)], "id long, display string, normalized string, thesaurus_concept_id long")
+    new_log, new_words = treatment.decide(log, words, spark.createDataFrame([(1, "approve", None), (2, "edit", " New Form "), (3, "reject", None), (4, "edit", " ")], "log_id long, decision string, new_display string"))
+    assert {r.id: (r.action, r.status) for r in new_log.collect()} == {1: ("manual_approved", "applied"), 2: ("cleaned", "applied"), 3: ("fuzzy_review_required", "applied"), 4: ("fuzzy_review_required", "pending")}
+    assert {r.id: (r.display, r.normalized, r.thesaurus_concept_id) for r in new_words.collect()} == {10: ("w", "w", 5), 11: ("New Form", "new form", None), 12: ("w", "w", None), 13: ("w", "w", None)}
+
+
+def test_thematic_map_of_few_words(spark):
+    words = spark.createDataFrame([(d, k) for d in range(4) for k in (1, 2)] + [(d, k) for d in range(4, 8) for k in (3, 4)], "document_id long, keyword long")
+    names, docs = spark.createDataFrame([(k, f"k{k}") for k in range(1, 5)], "keyword long, label string"), spark.createDataFrame([(d, 2000 + d) for d in range(8)], "id long, year int")
+    got = networks.thematic_map(words, names).collect()
+    assert sorted((r.label, r.size, r.doc_count, r.centrality, r.density, r.median_density, r.quadrant) for r in got) == [("k1", 2, 8, 0.0, 12.5, 12.5, "motor"), ("k3", 2, 8, 0.0, 12.5, 12.5, "motor")]
+    years = lambda a, b: {r.label for r in networks.thematic_map(words, names, docs=docs, first_year=a, last_year=b).collect()}
+    assert years(2000, 2003) == years(2003, 2000) == years(None, 2003) == {"k1"} and years(2004, 9999) == {"k3"} and years(None, None) == {"k1", "k3"}
+    none = words.limit(0)
+    assert networks.thematic_map(none, names).count() == 0 and networks.thematic_evolution(none, docs, names, 2003).count() == 0
+    edges = networks.association(networks.co_edges(none, networks.top_nodes(none, "keyword", 9), "keyword"), networks.top_nodes(none, "keyword", 9), "keyword")
+    assert networks.clusters(edges, method="labels").count() == 0
+
+
+def test_ranks_over_partitions(spark):
+    ids = spark.range(1000).where("id % 3 <> 0")
+    got = {r.id: r.rank for r in similarity.ranked(ids, "rank").collect()}
+    assert got == {i: k + 1 for k, i in enumerate(i for i in range(1000) if i % 3)}
 
 
 def test_upsert_and_merge(spark):
@@ -153,6 +243,31 @@ def test_ris(spark, tmp_path, end):
     assert (b.title, b.year, b.document_type, b.author_names) == ("Open", 2014, "BOOK", [])
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_records_end_at_line_starts_only(spark, tmp_path, end):
+    ris = "TY  - JOUR\nTI  - A LASER  - BASED method\nPY  - 2001\nER  - \nTY  - JOUR\nTI  - No end\nTY  - JOUR\nTI  - Last\nER  - \n"
+    (tmp_path / "a.ris").write_text(ris.replace("\n", end), newline="")
+    got = records.read_ris(spark, str(tmp_path / "a.ris")).collect()
+    assert sorted((r.title, r.year) for r in got) == [("A LASER  - BASED method", 2001), ("Last", None), ("No end", None)]
+    (tmp_path / "a.nbib").write_text("PMID- 1\nTI  - See PMID- 99 too\nPMID- 2\nTI  - Other\n".replace("\n", end), newline="")
+    assert sorted((r.external_id, r.title) for r in records.read_nbib(spark, str(tmp_path / "a.nbib")).collect()) == [("1", "See PMID- 99 too"), ("2", "Other")]
+    (tmp_path / "w.txt").write_text("FN x\nPT J\nTI One\nER\n\nPT J\nTI Two\nER\nEF\n".replace("\n", end), newline="")
+    assert sorted(r.title for r in records.read_wos(spark, str(tmp_path / "w.txt")).collect()) == ["One", "Two"]
+
+
+def test_encodings(spark, tmp_path):
+    (tmp_path / "bad.ris").write_bytes(b"TY  - JOUR\nTI  - caf\xe9 au\xff lait\nER  - \n")
+    assert records.read_ris(spark, str(tmp_path / "bad.ris")).first().title == "caf\ufffd au\ufffd lait"
+    with pytest.raises(ValueError):
+        registry.read(spark, str(tmp_path / "bad.ris"))
+    (tmp_path / "good.ris").write_text("TY  - JOUR\nTI  - café\nER  - \n")
+    assert registry.read(spark, str(tmp_path / "good.ris")).first().title == "café"
+    cut = ("é" * 200_000).encode()[:-1]
+    assert registry.is_utf8(cut, True) and not registry.is_utf8(cut) and not registry.is_utf8("é".encode("utf-16")) and not registry.is_utf8(b"a\0b")
+    (tmp_path / "book.xls").write_bytes(registry.BINARY[0] + b"\xff" * 9)
+    registry.check_encoding(spark, str(tmp_path / "book.xls"))
+
+
 def test_nbib_and_wos(spark, tmp_path):
     (tmp_path / "a.nbib").write_text("\nPMID- 12\nTI  - Long\n      title\nFAU - Silva, Ana\nAU  - Silva A\nDP  - 2020 Jan\nOT  - word*\nMH  - Head*\nAID - 10.1000/x [doi]\nPG  - 1-9\n\nPMID- 13\nTI  - Other\n")
     a, b = sorted(records.read_nbib(spark, str(tmp_path / "a.nbib")).collect(), key=lambda r: r.external_id)
@@ -186,6 +301,15 @@ def test_stream_import_and_windows(spark, tmp_path):
     assert ingest.event_counts(events).agg(F.sum("n")).first()[0] == events.count()
 
 
+def test_cities_file(spark, tmp_path):
+    sinks.write_cities(catalog.queries()["cities_report"](spark, SF), str(tmp_path / "c"))
+    (file,) = (tmp_path / "c").glob("*.csv")
+    lines = file.read_text().split("\n")
+    assert lines[0] == ",".join(sinks.CITIES) and len(lines) > 5
+    counts = [int(x.split(",")[-2]) for x in lines[1:] if x]
+    assert counts == sorted(counts, reverse=True)
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([(1, "a", 2000, 2), (1, "a", 2001, 3), (2, "=b", 2001, 1)], "keyword long, label string, year int, doc_count long")
     wide = {r.keyword: r for r in sinks.years_wide(d, [2000, 2001]).collect()}
