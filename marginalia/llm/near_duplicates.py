@@ -26,17 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, numbered, sieve, slices, texts_of, written
+from .common import Scratch, numbered, sieve, slices, texts_of, written
 from .simhash_groups import SEED, BkTree, components, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
-CLASS_SHINGLES, CLASSES, ROUNDS = 4, 6, 4
+CLASS_SHINGLES, CLASSES = 4, 6
 BLOCK_NODES, BLOCK_SHINGLES = 512, 2_000_000  # of a block of texts that share a key
 GROUP_ROWS = 256  # texts that share a prefix shingle and meet in one step
-BLOCK_BITS = 512  # of the sketches of dealt texts
+MARK_BITS = 512  # of the short sketches that go with shared shingles
 SAMPLE_ROWS, SAMPLE_SHARE, COMMON = 4000, 64, 200_000  # for the order of shingles only
 
 
@@ -53,9 +53,9 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
 # ---- what a text is known by ----
 
 
-def parity_sketch(hashes: np.ndarray) -> bytes:
-    """Bits of which each says whether its bucket of hashes holds an odd number; at least two for each shingle."""
-    bits = 1 << min(max(int(2 * len(hashes) - 1).bit_length(), 6), 15)
+def parity_sketch(hashes: np.ndarray, bits: int | None = None) -> bytes:
+    """Bits of which each says whether its bucket of hashes holds an odd number; two for each shingle, or so many."""
+    bits = bits or 1 << min(max(int(2 * len(hashes) - 1).bit_length(), 6), 15)
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -219,68 +219,90 @@ def _in_blocks(level: DataFrame, block_nodes: int) -> DataFrame:
     return level.select("row", "key", F.pmod(F.xxhash64("row", "key"), blocks).alias("block"))
 
 
-def families(texts: DataFrame, keyed: DataFrame, keep: Scratch, similarity: float, block_nodes: int) -> DataFrame | None:
-    """(a, b) links between rows that share keys; keyed has row, key and size. None: no rows share one."""
+def merged(rooted: DataFrame, links: DataFrame, keep: Scratch) -> DataFrame:
+    """rooted(row, root) after links(a, b) between rows joined their groups: components of the roots."""
+    ends = links.join(rooted.toDF("a", "ra"), "a").join(rooted.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    found = components(ends, keep).toDF("root", "new")
+    return keep(rooted.join(found, "root", "left").select("row", F.coalesce("new", "root").alias("root")), "near-rooted")
+
+
+def families(texts: DataFrame, keyed: DataFrame, rooted: DataFrame, keep: Scratch, similarity: float, block_nodes: int) -> DataFrame:
+    """rooted(row, root) after the links between rows that share keys; keyed has row, key and size."""
     sums = F.count("*").alias("n"), F.sum("size").alias("shingles")
     shared = keep(keyed.join(keyed.groupBy("key").agg(*sums).where("n > 1"), "key"), "near-shared-keys")
     if shared.isEmpty():
-        return None
+        return rooted
     sets = _shingles(texts, shared.select("row"), keep)
-    # the first round goes by the key that most texts share, later ones by all keys with one text of each group
+    # first by the key that most texts share, then by all keys with one text of each group
     level = shared.groupBy("row").agg(F.max(F.struct("n", "shingles", "key")).alias("k")).select("row", "k.*")
-    edges = None
-    for depth in range(ROUNDS):
-        got = keep(_linked(_in_blocks(level, block_nodes).join(sets, "row"), similarity), f"near-links-{depth}")
-        if got.isEmpty():
-            break
-        edges = got if edges is None else edges.union(got)
-        found = components(edges, keep).withColumnRenamed("node", "row")
-        one = shared.join(found, "row", "left").groupBy("key", F.coalesce("root", "row").alias("root")).agg(F.min("row").alias("row"), F.max("size").alias("size"))
-        one = keep(one, "near-groups")
-        level = one.join(one.groupBy("key").agg(*sums).where("n > 1"), "key").select("row", "key", "n", "shingles")
-    return edges
+    for again in (False, True):
+        if again:
+            one = shared.join(rooted, "row").groupBy("key", "root").agg(F.min("row").alias("row"), F.max("size").alias("size"))
+            one = keep(one, "near-groups")
+            level = one.join(one.groupBy("key").agg(*sums).where("n > 1"), "key").select("row", "key", "n", "shingles")
+        found = keep(_linked(_in_blocks(level, block_nodes).join(sets, "row"), similarity), "near-links")
+        rooted = merged(rooted, found, keep)
+    return rooted
 
 
 # ---- what is left ----
 
 
-def meetings(own: np.ndarray, others: np.ndarray, similarity: float, a_bits: np.ndarray | None = None, b_bits: np.ndarray | None = None) -> np.ndarray:
-    """The (row, row) pairs of two tables of (row, root, size, place of the shared shingle) that the shingle leaves
-    possible: of different groups, with sizes and shingles from it on that suffice, and sketches that allow it."""
+COLUMNS = ["row", "root", "size", "at"]
+
+
+def possible(a: np.ndarray, b: np.ndarray, a_marks: np.ndarray, b_marks: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of two tables of (row, root, size, place of the shared shingle) the shingle leaves possible: those of
+    different groups, with sizes and shingles from it on that suffice, and marks that allow it."""
+    sizes = a[:, 2] + b[:, 2]
+    least = np.ceil(similarity / (1 + similarity) * sizes - 1e-9)
+    ok = np.flatnonzero((a[:, 1] != b[:, 1]) & (np.minimum(a[:, 2] - a[:, 3], b[:, 2] - b[:, 3]) >= least))
+    differ = np.bitwise_count(a_marks[ok] ^ b_marks[ok]).sum(axis=1, dtype=np.int64)
+    return ok[differ <= most_apart(sizes[ok], similarity)]
+
+
+def met(keys: np.ndarray, rows: np.ndarray, marks: np.ndarray, similarity: float) -> np.ndarray:
+    """The possible (row, row) pairs of all keys at once; keys is sorted."""
+    out, i, step = [np.zeros((0, 2), np.int64)], np.arange(len(keys)), 1
+    while len(i := i[i + step < len(keys)]) and len(i := i[keys[i] == keys[i + step]]):
+        k = i[possible(rows[i], rows[i + step], marks[i], marks[i + step], similarity)]
+        out.append(np.sort(np.stack([rows[k, 0], rows[k + step, 0]], axis=1), axis=1))
+        step += 1
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def meetings(one: np.ndarray, other: np.ndarray, one_marks: np.ndarray, other_marks: np.ndarray, similarity: float) -> np.ndarray:
+    """The possible (row, row) pairs of each row of one block with each of another."""
     out = [np.zeros((0, 2), np.int64)]
-    for i in range(0, len(own), 256):
-        a, b = own[i : i + 256, None, :], others[None, :, :]
-        sizes = a[..., 2] + b[..., 2]
-        least = np.ceil(similarity / (1 + similarity) * sizes - 1e-9)
-        ok = (a[..., 1] != b[..., 1]) & (np.minimum(a[..., 2] - a[..., 3], b[..., 2] - b[..., 3]) >= least)
-        if a_bits is not None:
-            differ = sum(np.bitwise_count(a_bits[i : i + 256, None, k] ^ b_bits[None, :, k]).astype(np.int64) for k in range(a_bits.shape[1]))
-            ok &= differ <= most_apart(sizes, similarity)
-        x, y = np.nonzero(ok)
-        u, v = own[i + x, 0], others[y, 0]
-        out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+    for i in range(0, len(one), 64):
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(i, min(i + 64, len(one))), np.arange(len(other)), indexing="ij"))
+        k = possible(one[a], other[b], one_marks[a], other_marks[b], similarity)
+        out.append(np.sort(np.stack([one[a[k], 0], other[b[k], 0]], axis=1), axis=1))
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[tuple[np.ndarray, list]]:
-    """(table of the long columns, list of sketches) of each run of two or more equal keys of a sorted partition."""
-    at, parts, sketches = None, [], []
+def _table(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+
+
+def _marks(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("mark").to_pylist()), "<u8").reshape(-1, MARK_BITS // 64)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, table of the columns, marks) of a sorted partition, a batch at a time; no key is parted."""
+    kept = None
     for b in batches:
         if not b.num_rows:
             continue
-        key, rows = (np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cs], axis=1) for cs in (by, columns))
-        own = b.column("sketch").to_pylist() if "sketch" in b.schema.names else None
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-            if (now := tuple(key[i].tolist())) != at:
-                if sum(map(len, parts)) > 1:
-                    yield np.concatenate(parts), sketches
-                at, parts, sketches = now, [], []
-            parts.append(rows[i:j])
-            if own:
-                sketches += own[i:j]
-    if sum(map(len, parts)) > 1:
-        yield np.concatenate(parts), sketches
+        new = _table(b, by), _table(b, columns), _marks(b)
+        keys, rows, marks = new if kept is None else (np.concatenate(x) for x in zip(kept, new, strict=True))
+        begin = len(keys) - int((keys[::-1] == keys[-1]).all(axis=1).cumprod().sum())  # the last key may go on
+        if begin:
+            yield keys[:begin], rows[:begin], marks[:begin]
+        kept = keys[begin:], rows[begin:], marks[begin:]
+    if kept:
+        yield kept
 
 
 def _pairs(found: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -288,42 +310,24 @@ def _pairs(found: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def met(keys: np.ndarray, rows: np.ndarray, similarity: float) -> np.ndarray:
-    """The possible (row, row) pairs of all keys at once; keys is sorted, rows has row, root, size and place."""
-    out, i, step = [np.zeros((0, 2), np.int64)], np.arange(len(keys)), 1
-    while len(i := i[i + step < len(keys)]) and len(i := i[keys[i] == keys[i + step]]):
-        a, b = rows[i], rows[i + step]
-        least = np.ceil(similarity / (1 + similarity) * (a[:, 2] + b[:, 2]) - 1e-9)
-        ok = (a[:, 1] != b[:, 1]) & (np.minimum(a[:, 2] - a[:, 3], b[:, 2] - b[:, 3]) >= least)
-        out.append(np.sort(np.stack([a[ok, 0], b[ok, 0]], axis=1), axis=1))
-        step += 1
-    return np.unique(np.concatenate(out), axis=0)
-
-
 def _met(shared: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) candidates of shared(key, row, root, size, at), a few rows for each key."""
+    """(a, b) candidates of shared(key, row, root, size, at, mark), a few rows for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows = np.zeros(0, np.int64), np.zeros((0, 4), np.int64)
-        for b in batches:
-            keys = np.concatenate([keys, b.column("key").to_numpy(zero_copy_only=False)])
-            rows = np.concatenate([rows, np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "root", "size", "at")], axis=1)])
-            begin = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last key may go on in the next batch
-            yield from _pairs(met(keys[:begin], rows[:begin], similarity))
-            keys, rows = keys[begin:], rows[begin:]
-        yield from _pairs(met(keys, rows, similarity))
+        for keys, rows, marks in _by_key(batches, ["key"], COLUMNS):
+            yield from _pairs(met(keys[:, 0], rows, marks, similarity))
 
     return shared.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def _dealt(shared: DataFrame, sketches: DataFrame, keep: Scratch, similarity: float, group_rows: int) -> DataFrame:
+def _dealt(shared: DataFrame, similarity: float, group_rows: int) -> DataFrame:
     """(a, b) candidates of keys with many rows. A key's rows outside its largest group are cut into blocks, the largest
     group too; each two of the former, and each of the former with each of the latter, are a task of their own."""
     by_root = shared.groupBy("key", "root").agg(F.count("*").alias("n"))
     sizes = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     parts = lambda n: F.ceil(n / group_rows).cast("long")
     sizes = sizes.select("key", F.col("top.root").alias("largest"), parts(F.col("n") - F.col("top.n")).alias("blocks"), parts(F.col("top.n")).alias("chunks"))
-    rows = shared.join(sizes, "key").join(sketches, "row").withColumn("inside", F.col("root") == F.col("largest"))
+    rows = shared.join(sizes, "key").withColumn("inside", F.col("root") == F.col("largest"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("row", "key"), F.when(F.col("inside"), F.col("chunks")).otherwise(F.col("blocks"))))
     own = F.col("own")
     task = lambda i, j, first: F.struct(i.alias("i"), j.alias("j"), first.cast("long").alias("first"))
@@ -333,15 +337,16 @@ def _dealt(shared: DataFrame, sketches: DataFrame, keep: Scratch, similarity: fl
         F.transform(upto(F.col("blocks")), lambda j: task(F.least(own, j), F.greatest(own, j), own <= j)),
         F.transform(upto(F.col("chunks")), lambda c: task(own, -1 - c, F.lit(1))),
     )
-    each = rows.select("key", "row", "root", "size", "at", "sketch", F.explode(F.when(F.col("inside"), with_all).otherwise(with_others)).alias("task")).select("*", "task.*").drop("task")
+    each = rows.select("key", *COLUMNS, "mark", F.explode(F.when(F.col("inside"), with_all).otherwise(with_others)).alias("task")).select("*", "task.*").drop("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, sketches in _runs(batches, ["key", "i", "j"], ["row", "root", "size", "at", "first"]):
-            bits = min(8 * min(map(len, sketches)), BLOCK_BITS)
-            marks = np.frombuffer(b"".join(folded(s, bits).to_bytes(bits // 8, "little") for s in sketches), "<u8").reshape(len(own), -1)
-            one = own[:, 4] == 1
-            other = ~one if not one.all() else one
-            yield from _pairs(meetings(own[one], own[other], similarity, marks[one], marks[other]))
+        for keys, rows, marks in _by_key(batches, ["key", "i", "j"], [*COLUMNS, "first"]):
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                own, m = rows[i:j], marks[i:j]
+                one = own[:, 4] == 1
+                other = one if one.all() else ~one
+                yield from _pairs(meetings(own[one], own[other], m[one], m[other], similarity))
 
     return each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
@@ -368,7 +373,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, keep: Scratch, similarity: flo
 
 
 def missed_links(texts: DataFrame, rooted: DataFrame, marked: DataFrame, keep: Scratch, similarity: float, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b) links that join all similar rows of different roots; rooted has row and root of one row of each set of
+    """rooted after the links between all similar rows of different roots. rooted has row and root of one row of each set of
     shingles, marked also size, sketch and prefix of all rows."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,10 +399,11 @@ def missed_links(texts: DataFrame, rooted: DataFrame, marked: DataFrame, keep: S
     every = F.struct("root", "row", "size", "at")
     live = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(every).alias("lo"), F.max(every).alias("hi")).where("lo.root <> hi.root").select("key", "n")
     shared = keep(keyed.join(live, "key"), "near-shared")
+    shared = shared.join(marked.select("row", "mark"), "row")
     pairs = _met(shared.where(F.col("n") <= group_rows), similarity)
     many = shared.where(F.col("n") > group_rows)
     if not many.isEmpty():
-        pairs = pairs.union(_dealt(many, marked.select("row", "sketch"), keep, similarity, group_rows))
+        pairs = pairs.union(_dealt(many, similarity, group_rows))
     pairs = keep(pairs.distinct(), "near-pairs")
     of = marked.select("row", "sketch", "size")
     both = pairs.join(of.toDF("a", "s", "m"), "a").join(of.toDF("b", "t", "n"), "b").select("a", "b", "s", "t", (F.col("m") + F.col("n")).alias("size"))
@@ -407,12 +413,10 @@ def missed_links(texts: DataFrame, rooted: DataFrame, marked: DataFrame, keep: S
     first = ends(near, rooted).groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
     first = keep(first, "near-first")
     if first.isEmpty():
-        return first
-    links = _verified(first, texts, keep, similarity)
-    found = components(links.join(rooted.toDF("a", "ra"), "a").join(rooted.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), keep)
-    again = keep(rooted.join(found.toDF("root", "new"), "root", "left").select("row", F.coalesce("new", "root").alias("root")), "near-roots")
-    rest = keep(ends(near, again).select("a", "b").join(first, ["a", "b"], "left_anti"), "near-rest")
-    return links if rest.isEmpty() else links.union(_verified(rest, texts, keep, similarity))
+        return rooted
+    rooted = merged(rooted, _verified(first, texts, keep, similarity), keep)
+    rest = keep(ends(near, rooted).select("a", "b").join(first, ["a", "b"], "left_anti"), "near-rest")
+    return rooted if rest.isEmpty() else merged(rooted, _verified(rest, texts, keep, similarity), keep)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", row: str = "row", similarity: float = SIMILARITY, block_nodes: int = BLOCK_NODES, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -427,25 +431,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str = "row", simil
             nodes = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
             keys = [[signed(x) for x in class_fingerprints(s)] for s in sets]
             prefixes = [rare_prefix(s, similarity, common.value).astype("<u8").tobytes() for s in sets]
-            cells = (nodes, pa.int64()), (map(len, sets), pa.int64()), (map(parity_sketch, sets), pa.binary()), (keys, pa.list_(pa.int64())), (prefixes, pa.binary())
-            yield pa.record_batch([b.column("row"), *(pa.array(c, t) for c, t in cells)], names=["row", "node", "size", "sketch", "keys", "prefix"])
+            cells = (nodes, pa.int64()), (map(len, sets), pa.int64()), (map(parity_sketch, sets), pa.binary()), ([parity_sketch(s, MARK_BITS) for s in sets], pa.binary()), (keys, pa.list_(pa.int64())), (prefixes, pa.binary())
+            yield pa.record_batch([b.column("row"), *(pa.array(c, t) for c, t in cells)], names=["row", "node", "size", "sketch", "mark", "keys", "prefix"])
 
     with Scratch(docs.sparkSession) as keep:
-        marked = keep(texts.mapInArrow(sketch, "row long, node long, size long, sketch binary, keys array<long>, prefix binary"), "near-sketch")
+        marked = keep(texts.mapInArrow(sketch, "row long, node long, size long, sketch binary, mark binary, keys array<long>, prefix binary"), "near-sketch")
         least = marked.groupBy("node", "size").agg(F.min("row").alias("first"))
         members = keep(marked.select("row", "node", "size").join(least, ["node", "size"]).select("row", "first"), "near-members")
         single = members.where("row = first").select("row")
         keyed = keep(marked.select("row", "size", "keys").join(single, "row").select("row", "size", F.explode("keys").alias("key")), "near-keys")
-        edges = families(texts, keyed, keep, similarity, block_nodes)
-        rooted = single.withColumn("root", F.col("row"))
-        if edges is not None:
-            found = components(edges, keep).withColumnRenamed("node", "row")
-            rooted = single.join(found, "row", "left").select("row", F.coalesce("root", "row").alias("root"))
-        rooted = keep(rooted, "near-rooted")
-        more = missed_links(texts, rooted, marked, keep, similarity, group_rows)
-        edges = more if edges is None else edges.union(more)
-        found = components(edges, keep)
-        out = written(members.join(found, F.col("first") == F.col("node"), "left").select("row", F.coalesce("root", "first").alias("root")), "near-roots")
+        rooted = keep(single.withColumn("root", F.col("row")), "near-rooted")
+        rooted = families(texts, keyed, rooted, keep, similarity, block_nodes)
+        rooted = missed_links(texts, rooted, marked, keep, similarity, group_rows)
+        out = written(members.join(rooted.toDF("first", "root"), "first").select("row", "root"), "near-roots")
     common.destroy()
     return out
 
