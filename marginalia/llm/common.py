@@ -160,7 +160,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 class WordCache(dict):
     """word -> make(word), made at the first look-up, in about `mb` MB at most if turn() is called now and then.
 
-    Two generations, so that frequent words stay; words of over 256 characters are not kept. The caches of one owner alone
+    Two generations, so that frequent words stay; words of over 256 characters go at the next turn. The caches of one owner alone
     are filled in a Python worker: the first look-up of another owner's empties them.
     """
 
@@ -171,7 +171,7 @@ class WordCache(dict):
     def __init__(self, make: Callable[[str], object], mb: float, owner: object = None, value_bytes: int = 150):
         super().__init__()
         self.make, self.most, self.of, self.value_bytes = make, mb * 1e6 / 2, owner or self, value_bytes
-        self.old, self.chars, self.listed = {}, 0, False
+        self.old, self.long, self.chars, self.listed = {}, [], 0, False
 
     def __missing__(self, word: str):
         self.claim()
@@ -191,6 +191,7 @@ class WordCache(dict):
         self.update((w, self.old[w]) for w in again)
         new = list(new - again)
         self.update(zip(new, make(new), strict=True))
+        self.long += [w for w in new if len(w) > 256]
         self.chars += sum(map(len, new))
 
     def claim(self) -> None:
@@ -210,9 +211,12 @@ class WordCache(dict):
 
     def empty(self) -> None:
         self.clear()
-        self.old, self.chars, self.listed = {}, 0, False
+        self.old, self.long, self.chars, self.listed = {}, [], 0, False
 
     def turn(self) -> None:
+        for w in self.long:
+            self.chars -= len(w) if self.pop(w, None) is not None else 0
+        self.long = []
         if len(self) * (self.ENTRY + self.value_bytes) + self.chars > self.most:
             self.old, self.chars = dict(self), 0
             self.clear()

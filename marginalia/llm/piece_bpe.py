@@ -6,8 +6,9 @@ to byte pieces. No piece of such a vocabulary holds a space mark after another c
 for, so a text falls into segments of space marks and what follows them; each segment is merged once and kept.
 Decoding joins pieces, turns space marks into spaces, drops the leading one and reads byte pieces as UTF-8.
 
-Checks in each Arrow batch, against the sentencepiece library: the ids of all new segments; whole texts where they are the first of a slice, have runs of spaces or marks, or
-characters that don't print; the own decoding of the first text of a slice. The decoded texts are the library's.
+Checks in each Arrow batch, against the sentencepiece library: the ids of all new words; whole texts where they are the
+first of a slice, have runs of spaces or marks, or characters that don't print; the own decoding of the first text of a
+slice. The decoded texts are the library's.
 
 Defined results: a null text is empty and has no ids; rows are kept one by one, also with equal or null ids; an empty
 table gives no rows; other columns are ignored; a very long text is one row like any other.
@@ -35,6 +36,7 @@ CACHE_MB = 100.0
 SHORT, NO_PIECE = 64, 1 << 30
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
+SIGNS = ".,;:!?*#$%&|()[]{}\"'<>«»“”"
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -52,11 +54,13 @@ class PieceBpe:
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.unknown = lib.unk_id()
         self.silent = {i for i in range(len(self.pieces)) if lib.is_control(i)}
-        if len(self.pieces) > 65_536 or len(self.bytes) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("not a merge-type vocabulary with byte pieces whose pieces start at spaces")
+        if len(self.pieces) > 65_536 or len(self.bytes) != 256 or any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
+            raise ValueError("not a merge-type vocabulary with byte pieces whose pieces start at spaces and end at lines")
         if lib.encode(" a  b ") != self._plain(" a  b "):
             raise ValueError("a model that changes its text before encoding isn't supported")
-        self.cache = WordCache(self._word, cache_mb, self, 60)
+        self.cache = WordCache(lambda w: self._words([w])[0], 0.6 * cache_mb, self, 60)
+        self.parts = WordCache(lambda x: array("H", self.merge(x)).tobytes(), 0.4 * cache_mb, self, 60)
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.numbers = list(map(str, range(len(self.pieces))))
         self._pairs()
 
@@ -152,16 +156,32 @@ class PieceBpe:
     def _plain(self, text: str) -> list[int]:
         return [i for s in SEGMENT.findall((MARK + text.replace(" ", MARK)) if text else "") for i in self.merge(s)]
 
-    def _word(self, word: str) -> bytes:
-        return array("H", self.merge(MARK + word)).tobytes()
+    def _segments(self, word: str) -> list[str]:
+        """The word with its space mark, cut at line ends, which no piece holds, and before signs at the end of a line that
+        no piece joins to what stands before them. Words share most of these parts."""
+        out, lead = [], MARK
+        for line in word.split("\n"):
+            if not lead:
+                out.append("\n")
+            core = line.rstrip(SIGNS)
+            if core and len(core) < len(line) and line[len(core) - 1 : len(core) + 1] not in self.inside:
+                out += [lead + core, line[len(core) :]]
+            elif lead or line:
+                out.append(lead + line)
+            lead = ""
+        return out
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of the segments of one space mark and a word, as bytes, held against the library in one call."""
-        ids = self.merge_all([MARK + w for w in words])
+        parts = list(map(self._segments, words))
+        self.parts.fill(set().union(*parts), lambda new: [array("H", x).tobytes() for x in self.merge_all(new)])
+        part = self.parts.__getitem__
+        out = [part(x[0]) if len(x) == 1 else b"".join(map(part, x)) for x in parts]
+        self.parts.turn()
         full = [k for k, w in enumerate(words) if w]  # the library drops a space alone
-        if self.library.encode([words[k] for k in full]) != [ids[k] for k in full]:
+        if self.library.encode([words[k] for k in full]) != [array("H", out[k]).tolist() for k in full]:
             raise AssertionError("segments differ from the sentencepiece library")
-        return [array("H", x).tobytes() for x in ids]
+        return out
 
     def encode(self, texts: list[str]) -> tuple[list[str], list[list[int]]]:
         """Of each text the ids as text, joined by commas, and the ids."""
