@@ -36,7 +36,7 @@ CHECKSUMS = 0x80
 NULL_ID = -(2**63)
 FRAME_IDS, SHARD_IDS = 65_536, 1_000_000
 END_ID = 2
-CACHE_MB = 100.0
+CACHE_MB = 240.0
 TAIL = ".,;:!?*#$%&|)]\""
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, first_id long, last_id long, file binary"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"

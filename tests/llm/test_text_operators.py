@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import math
+import os
 import random
 import re
 import zlib
@@ -519,3 +521,68 @@ def test_secret_ownership_against_a_plain_count(spark):
         for i, t, *_ in rows:
             own = [v for v in t.split() if len(owners[v]) <= 2 and len(repos[v]) <= 4 and secret_scan.looks_live(0, v[6:])]
             assert got[i].n_owner_specific == len(own) and got[i].n_owner_specific + got[i].n_widely_copied == 3
+
+
+def test_sieve_and_joins_on_hot_keys(spark):
+    ids = spark.range(0, 50_000, 7)
+    passed = {r.id for r in spark.range(50_000).where(common.sieve(ids)(F.col("id"))).collect()}
+    assert passed >= set(range(0, 50_000, 7)) and len(passed) < 12_000
+    assert spark.range(9).where(common.sieve(ids.limit(0))(F.col("id"))).count() == 0
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("key"))
+    side = rows.where("key % 5 < 4").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    for hot in (common.HOT, 10):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "HOT", hot)
+            for how in ("left", "inner"):
+                for small in (None, F.col("key") < 30):
+                    got = common.join_hot(rows, side, "key", "n", how, small)
+                    assert sorted(map(tuple, got.select("id", "key", "least").collect()), key=repr) == sorted(map(tuple, rows.join(side, "key", how).select("id", "key", "least").collect()), key=repr)
+
+
+def test_numbered_rows(spark, odd):
+    keep = common.written
+    plain = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert common.numbered(plain, keep)[1] == "doc_id"
+    rows, name = common.numbered(odd, keep)
+    assert name not in odd.columns and rows.select(name).distinct().count() == len(ODD)
+
+
+def test_scratch_tables_go(spark):
+    with common.Scratch(spark) as keep:
+        keep(spark.range(3), "gone")
+        at = keep.paths[0].removeprefix("file://")
+        assert os.path.isdir(at)
+    assert not os.path.exists(at)
+
+
+def test_toxicity_grades_against_a_plain_version(spark):
+    rng = random.Random(1)
+    m = toxicity_ordinal.Model({"bad": 1.5, "worse": 2.5, "nice": -1.0}, (1.0, 2.0, 4.0))
+    rows = [(i, " ".join(rng.choices(["bad", "Worse!", "nice", "word", "(bad)"], k=rng.randint(0, 9)))) for i in range(100)]
+    got = {r.doc_id: r for r in toxicity_ordinal.grade_documents(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    for i, t in rows:
+        words = [w.strip("!()").lower() for w in t.split()]
+        z = sum(m.weights[w] * (1 + math.log(words.count(w))) for w in set(words) if w in m.weights)
+        above = [1 / (1 + math.exp(x - z)) for x in m.thresholds]
+        each = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+        assert abs(got[i].expected_severity - sum(above)) < 1e-9 and got[i].grade == each.index(max(each)) and got[i].toxic == (above[0] >= 0.5)
+
+
+def test_masking_against_a_plain_version(spark):
+    """Values of one owner are masked where they stand, copied ones and everything else stay."""
+    rng = random.Random(2)
+    value = lambda: "".join(rng.choice("abcdefGHIJKL0123456789") for _ in range(20))
+    shared = [value() for _ in range(5)]
+    rows, want = [], {}
+    for i in range(200):
+        parts, masked = [], []
+        for _ in range(rng.randint(0, 4)):
+            kind, v = rng.choice([("own", value()), ("shared", rng.choice(shared)), ("word", "plain text é")])
+            parts.append(f"token={v}" if kind != "word" else v)
+            masked.append("[assign]" if kind == "own" else parts[-1])
+        rows.append((i if i % 10 else 7, " ".join(parts), "en", f"s{i % 9}", i))
+        want.setdefault(rows[-1][0], []).append(" ".join(masked))
+    got = {}
+    for r in secret_scan.mask_secrets(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
