@@ -14,10 +14,15 @@ from marginalia.operators.similarity import ranked
 #: States and territories of the USA.
 US_STATES = tuple("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC PR GU VI AS MP".split())
 
+#: Patterns of an address, of a US state with ZIP code and country, and of a section in a description.
+ADDRESS = r"(?i)^\d+\s+[A-Za-z0-9 .\-]+$"
+US_TOKEN = r"(?i)^([A-Z]{2})(?:\s+\d{5}(?:-\d{4})?)?\s*(USA)?$"
+SECTION = r"(?iu)(?:^|\|)\s*Categoria\s+(\d+\s*:\s*[^|\n]+)"
+
 
 def is_address(c: Column) -> Column:
     """A house number with a street or other plain words; such parts name no institution."""
-    return c.rlike(r"(?i)^\d+\s+[A-Za-z0-9 .\-]+$")
+    return c.rlike(ADDRESS)
 
 
 def _keys(names: DataFrame, *same: str) -> DataFrame:
@@ -62,9 +67,8 @@ def places(raw: DataFrame, countries: DataFrame, states: DataFrame, cities: Data
     country_id), variations included as rows. Two-letter US states that don't exist bind nothing. `state` is the code of
     a known US state, for new rows where state_id is null.
     """
-    token = r"(?i)^([A-Z]{2})(?:\s+\d{5}(?:-\d{4})?)?\s*(USA)?$"
     rows = _distinct_keys(raw)
-    code, usa = F.upper(F.regexp_extract("raw", token, 1)), F.regexp_extract("raw", token, 2)
+    code, usa = F.upper(F.regexp_extract("raw", US_TOKEN, 1)), F.regexp_extract("raw", US_TOKEN, 2)
     rows = rows.withColumn("code", F.when(code.isin(*US_STATES), code)).withColumn("us", F.coalesce(F.col("code").isNotNull() | (usa != ""), F.lit(False)))
     one = lambda t, kind, *more: _keys(t.select("name", F.col("id").cast("long").alias("id"), *more), "id", *more).groupBy("key").agg(F.max(F.struct("id", *more)).alias(kind))
     fake = (F.col("country_id") == F.lit(usa_id)) & F.col("key").rlike("^[a-z]{2}$") & ~F.upper("key").isin(*US_STATES)
@@ -109,7 +113,7 @@ def copy_project(documents: DataFrame, links: dict[str, DataFrame], mapping: Dat
 def color_board(groups: DataFrame, assigned: DataFrame) -> DataFrame:
     """Documents and groups per color and section of normal groups(id, type, color, description); a section is what
     follows "Categoria N:" in the description."""
-    found = F.regexp_extract(F.coalesce("description", F.lit("")), r"(?iu)(?:^|\|)\s*Categoria\s+(\d+\s*:\s*[^|\n]+)", 1)
+    found = F.regexp_extract(F.coalesce("description", F.lit("")), SECTION, 1)
     section = F.nullif(F.regexp_replace(F.trim(found), r"^(\d+)\s*:\s*", "$1. "), F.lit(""))
     color = F.lower(F.trim(F.coalesce(F.nullif("color", F.lit("")), F.lit("#4f8ef7"))))
     docs = assigned.groupBy("group_id").agg(F.countDistinct("document_id").alias("docs"))

@@ -20,6 +20,15 @@ def years_wide(rows: DataFrame, years: list[int]) -> DataFrame:
     return wide.na.fill(0).withColumn("total", total)
 
 
+def matrix_wide(cells: DataFrame, cols: list[str], total: str = "Total") -> DataFrame:
+    """A matrix's cells(row, col, weight) as a table: a column for each of cols and the sum, and a last row of sums. cols
+    are given, at most as many as the matrix has, so the pivot needs no pass of its own."""
+    wide = cells.groupBy("row").pivot("col", cols).agg(F.sum("weight")).na.fill(0)
+    name = lambda c: F.col(f"`{c}`")
+    wide = wide.withColumn(total, sum((name(c) for c in cols), F.lit(0).cast("long")))
+    return wide.unionByName(wide.agg(F.lit(total).alias("row"), *(F.coalesce(F.sum(name(c)), F.lit(0)).alias(c) for c in (*cols, total))))
+
+
 def joined_classification(assigned: DataFrame, groups: DataFrame) -> DataFrame:
     """A row a document, its groups, types and terms joined by | in the groups' order."""
     g = groups.select(F.col("id").alias("group_id"), "type", "position")

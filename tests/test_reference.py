@@ -310,6 +310,13 @@ def test_cities_file(spark, tmp_path):
     assert counts == sorted(counts, reverse=True)
 
 
+def test_matrix_table(spark):
+    cells = spark.createDataFrame([("a", "x.1", 2), ("a", "y", 3), ("b", "y", 4)], "row string, col string, weight long")
+    got = {tuple(r) for r in sinks.matrix_wide(cells, ["x.1", "y"]).collect()}
+    assert got == {("a", 2, 3, 5), ("b", 0, 4, 4), ("Total", 2, 7, 9)}
+    assert {tuple(r) for r in sinks.matrix_wide(cells.limit(0), ["y"]).collect()} == {("Total", 0, 0)}
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([(1, "a", 2000, 2), (1, "a", 2001, 3), (2, "=b", 2001, 1)], "keyword long, label string, year int, doc_count long")
     wide = {r.keyword: r for r in sinks.years_wide(d, [2000, 2001]).collect()}
