@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -136,7 +138,7 @@ def ascii_lower(col):
 def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = 4_000_000, text: str = "text", owner: object = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of at most `rows` rows and about `size` bytes of text, for bounded memory.
 
-    Word caches of others than the owner are emptied first; at the end Arrow gives back what it holds in reserve.
+    Word caches of others than the owner are emptied first; at the end memory held in reserve is given back.
     """
     WordCache.release(owner)
     for batch in batches:
@@ -149,7 +151,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = 4_000_000,
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a Python worker holds in reserve: it lives on, idle, while others need the memory."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library's, where it has one
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -205,9 +215,11 @@ class WordCache(dict):
     def release(owner: object) -> None:
         """Empty the caches of any other owner."""
         if WordCache.owner is not owner:
-            for c in WordCache.filled:
+            filled, WordCache.owner, WordCache.filled = WordCache.filled, None, []
+            for c in filled:
                 c.empty()
-            WordCache.owner, WordCache.filled = None, []
+            if filled:
+                give_back()
 
     def empty(self) -> None:
         self.clear()
