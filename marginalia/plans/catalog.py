@@ -1065,3 +1065,53 @@ def read_works(c):
     rows = _export(c).select(F.concat(F.lit("https://openalex.org/W"), "key").alias("id"), "title", F.col("year").alias("publication_year"), F.col("cited_by").alias("cited_by_count"), place.alias("primary_location"), people.alias("authorships"))
     got = _read(R.read_works_json(c.spark, c.exported("works", rows.write.json)), "cited_by")
     return got.withColumn("external_id", F.substring("external_id", 2, 20))
+
+
+# ---- upkeep of identities ----
+
+
+@query("SELECT * FROM {authority_mapping} WHERE NOT (entity_type = 'author' AND scope = 'project' AND scope_id = 2 AND source_id = 13)")
+def undone_mapping(c):
+    return D.undo_mapping(c.view("authority_mapping"), "author", "project", 2, 13)
+
+
+@query("""WITH l AS (SELECT e.*, CASE e.document_id % 10 WHEN 0 THEN author + 1 WHEN 1 THEN NULL ELSE author END AS stored FROM {eff_author} e JOIN {doc} d ON d.id = e.document_id)
+ SELECT document_id, author_id, position, author, stored FROM l WHERE author IS DISTINCT FROM stored""")
+def diverging_links(c):
+    """Links whose stored author is another one, or none."""
+    links, at = c.author_links, F.col("document_id") % 10
+    stored = links.withColumn("author", F.when(at == 0, F.col("author") + 1).when(at == 1, None).otherwise(F.col("author")))
+    return D.diverging_links(links, stored, ["document_id", "author_id", "position"], "author")
+
+
+@query("""WITH d AS (SELECT author AS id, count(DISTINCT document_id) AS n FROM {da} GROUP BY 1)
+ SELECT a.id, preferred_name AS name, coalesce(n, 0) AS documents FROM {author} a LEFT JOIN d ON d.id = a.id WHERE (lower(preferred_name) LIKE '%12%' OR concat('v', a.id % 130) LIKE '%12%') AND a.id NOT IN (SELECT source_id FROM {authority_mapping} WHERE entity_type = 'author' AND scope = 'project')""")
+def author_list(c):
+    """Authors whose name or variation holds a text, without those that are grouped."""
+    a = c.view("author").select("id", F.col("preferred_name").alias("name"), F.lower("preferred_name").alias("normalized"))
+    other = c.view("author").select("id", F.concat(F.lit("V"), (F.col("id") % 130).cast("string")).alias("variation"))
+    grouped = c.view("authority_mapping").where("entity_type = 'author' AND scope = 'project'").select("source_id")
+    return D.entity_list(a, other, c.document_authors.withColumnRenamed("author", "id"), "12", grouped)
+
+
+@query("""WITH i AS (SELECT concat('e', s_suppkey % 40) AS normalized, min(s_suppkey) AS id FROM {supplier} GROUP BY 1), r AS (SELECT DISTINCT concat('e', s_suppkey % 40) AS header, concat('e', (s_suppkey + 1) % 60) AS variation FROM {supplier})
+ SELECT min(h.id) AS kept, v.id AS dropped FROM r JOIN i h ON h.normalized = header JOIN i v ON v.normalized = variation WHERE h.id <> v.id GROUP BY v.id""")
+def table_merges(c):
+    """The pairs that a merge table gives; unknown names and an entity with itself give none."""
+    own = c.source("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("e"), (F.col("s_suppkey") % 40).cast("string")).alias("normalized"))
+    entries = c.source("supplier").select(F.concat(F.lit("e"), (F.col("s_suppkey") % 40).cast("string")).alias("header"), F.array(F.concat(F.lit("e"), ((F.col("s_suppkey") + 1) % 60).cast("string"))).alias("variations"))
+    return D.merges_of_table(own, entries)[0]
+
+
+@query("SELECT DISTINCT document_id, CASE WHEN institution_id BETWEEN 10 AND 19 THEN institution_id - 10 ELSE institution_id END AS institution_id FROM {document_institution} l JOIN {doc} d ON d.id = l.document_id")
+def merged_institutions(c):
+    """Links after ten institutions went into others."""
+    pairs = c.view("institution").where("id BETWEEN 10 AND 19").select((F.col("id") - 10).alias("kept"), F.col("id").alias("dropped"))
+    return E.merge_entity(c.document_institutions, "institution_id", pairs)
+
+
+@query("SELECT l_orderkey AS document_id, CASE WHEN l_suppkey % 20 = 7 AND l_linenumber = 2 THEN 999999 ELSE l_suppkey % 20 END AS author_id, concat('N', CAST(l_linenumber AS VARCHAR)) AS original_name FROM {lineitem}")
+def separated_author(c):
+    """Links after one written form of an author got an identity of its own."""
+    links = c.source("lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_suppkey") % 20).alias("author_id"), F.concat(F.lit("N"), F.col("l_linenumber").cast("string")).alias("original_name"))
+    return D.separate_variation(links, 7, "N2", 999999)
