@@ -1075,11 +1075,11 @@ def undone_mapping(c):
     return D.undo_mapping(c.view("authority_mapping"), "author", "project", 2, 13)
 
 
-@query("""WITH l AS (SELECT e.*, CASE e.document_id % 10 WHEN 0 THEN author + 1 WHEN 1 THEN NULL ELSE author END AS stored FROM {eff_author} e JOIN {doc} d ON d.id = e.document_id)
+@query("""WITH l AS (SELECT DISTINCT e.*, CASE e.document_id % 10 WHEN 0 THEN author + 1 WHEN 1 THEN NULL ELSE author END AS stored FROM {eff_author} e JOIN {doc} d ON d.id = e.document_id)
  SELECT document_id, author_id, position, author, stored FROM l WHERE author IS DISTINCT FROM stored""")
 def diverging_links(c):
     """Links whose stored author is another one, or none."""
-    links, at = c.author_links, F.col("document_id") % 10
+    links, at = c.author_links.distinct(), F.col("document_id") % 10
     stored = links.withColumn("author", F.when(at == 0, F.col("author") + 1).when(at == 1, None).otherwise(F.col("author")))
     return D.diverging_links(links, stored, ["document_id", "author_id", "position"], "author")
 
