@@ -37,10 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _write(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.partitionBy(*by).parquet(at)
     return spark.read.schema(df.schema).parquet(at), at
 
 
@@ -58,8 +58,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        out, at = _write(df, name)
+    def __call__(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        out, at = _write(df, name, *by)
         self.paths.append(at)
         return out
 
