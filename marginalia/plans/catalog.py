@@ -29,7 +29,7 @@ LENSES = [("colour", "red"), ("colour", "blue"), ("size", "small"), ("joint", "r
 
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[Corpus], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus.of(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: Corpus.answer(spark, sf_dir, f)
         if sql:
             SQL[f.__name__] = oracle(sql)
         return f

@@ -7,6 +7,7 @@ view. Derived tables (effective identities) are operators, not views.
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.identity import effective_authors, effective_keywords, keyword_labels
-from marginalia.sources.store import store_folder, stored
+from marginalia.sources.store import store_folder
+from marginalia.sources.versions import ResultCache, file_system, snapshot_id
 
 PROJECT = 2
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -107,27 +109,67 @@ class Corpus:
     What many queries need (documents, effective identities of links, labels, titles, assignments) is derived once and
     kept as Parquet tables, as an import would leave it. The tables lie in the folder that the session names in
     spark.checkpoint.dir; where a session on one machine names none, in a folder of its own; else nothing is kept.
+
+    All of it belongs to one version of the input files (snapshot_id). of() gives a new corpus when the version has moved;
+    kept tables of the version before stay for those who still read them, older ones are deleted.
     """
 
     _opened: dict[tuple, Corpus] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str, project_id: int = PROJECT):
-        self.spark, self.sf_dir, self.project_id, self._views, self._tables, self._files = spark, sf_dir, project_id, {}, {}, {}
+        self.spark, self.sf_dir, self.project_id, self._views, self._kept, self._tables, self._files = spark, sf_dir, project_id, {}, {}, {}, {}
+        self.version, self._before, self.seconds = self.current_version(), None, 0.0
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, project_id: int = PROJECT) -> Corpus:
-        """The corpus that this application has opened before, or a new one."""
+        """The corpus that this application has opened before over the same files, or a new one."""
         key = (spark.sparkContext.applicationId, sf_dir, project_id)
-        if key not in cls._opened:
-            cls._opened = {k: c for k, c in cls._opened.items() if k[0] == key[0]} | {key: cls(spark, sf_dir, project_id)}
+        old = cls._opened.get(key)
+        if old is None or old.version is None or old.version != old.current_version():
+            new = cls(spark, sf_dir, project_id)
+            if old is not None:
+                if old._before is not None:
+                    old._before.drop()
+                new._before, old._before = old, None
+            cls._opened = {k: c for k, c in cls._opened.items() if k[0] == key[0]} | {key: new}
         return cls._opened[key]
 
+    @classmethod
+    def answer(cls, spark: SparkSession, sf_dir: str, make: Callable[[Corpus], DataFrame], project_id: int = PROJECT) -> DataFrame:
+        """make(corpus); once more if the input's version moves while it is made, as it may mix two states of the data."""
+        for _ in range(3):
+            corpus = cls.of(spark, sf_dir, project_id)
+            out = make(corpus)
+            if corpus.version is not None and corpus.version == corpus.current_version():
+                return out
+        return make(cls(spark, sf_dir, project_id))  # it moves all the time: nothing of it is kept for others
+
+    def current_version(self) -> str | None:
+        return snapshot_id(self.spark, [f"{self.sf_dir}/{name}.parquet" for name in SOURCES])
+
+    def drop(self) -> None:
+        """Delete the kept tables and files."""
+        for at in [*self._tables.values(), *self._files.values()]:
+            fs, path = file_system(self.spark, at)
+            fs.delete(path, True)
+        self._kept, self._tables, self._files = {}, {}, {}
+
+    @property
+    def results(self) -> ResultCache:
+        """Results of this project's analyses, kept by version for all sessions with the same shared folder."""
+        return ResultCache(self.spark, self.current_version)
+
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The table of that name, made and written at the first call."""
-        if name not in self._tables:
+        if name not in self._kept:
             df = make()
-            self._tables[name] = stored(df, f"corpus-{name}") if store_folder(self.spark) else df
-        return self._tables[name]
+            if folder := store_folder(self.spark):
+                began, at = time.time(), f"{folder}/corpus-{name}-{uuid.uuid4().hex}"
+                df.write.parquet(at)
+                self.seconds += time.time() - began
+                self._tables[name], df = at, self.spark.read.schema(df.schema).parquet(at)
+            self._kept[name] = df
+        return self._kept[name]
 
     def exported(self, name: str, write: Callable[[str], None]) -> str:
         """The path of an export file of the corpus, written at the first call; see the class for where."""
