@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.indicators import author_string, cites, long_sum
+from marginalia.operators.terms import TermIndex
 
 MIN_YEAR = 1996
 
@@ -72,23 +73,37 @@ def parse_authors(raw: str) -> list[str]:
 
 def term_hits(docs: DataFrame, rules: DataFrame, text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """document_id, group_id, term: for each group the first rule (by position) whose term the text holds, as a substring
-    of lower case. Rules are configuration; they are matched against every document through one map join. With groups,
-    normal ones count only for documents that pass their filters, and each looks at its own match_fields if docs has them."""
+    of lower case. All terms are in one automaton, which reads each text once, whatever their number. With groups, normal
+    ones count only for documents that pass their filters, and each looks at its own match_fields if docs has them."""
     own = rules.select("group_id", F.col("position").alias("rule"), F.lower(F.trim("term")).alias("term")).where("term <> ''")
     fields = [f for f in FIELDS if f in docs.columns]
-    searched, passes = F.lower(F.col(f"d.{text}")) if text in docs.columns else None, F.lit(True)
+    searched, passes = {None: F.lower(F.col(text))} if text in docs.columns else {}, F.lit(True)
+    own = own.withColumn("fields", F.lit(None).cast("string"))
     if groups is not None:
         own = own.join(groups.withColumnRenamed("id", "group_id").drop("position"), "group_id")
         passes = (F.col("g.type") != "normal") | passes_filters(docs, groups)
         if fields and "match_fields" in groups.columns:
-            chosen = lambda f: F.when(F.col("g.match_fields").isNull() | F.array_contains("g.match_fields", f), F.lower(F.col(f"d.{f}")))
-            searched = F.concat_ws(" ", *map(chosen, fields))
-    rows = docs.alias("d").join(F.broadcast(own).alias("g"), searched.contains(F.col("g.term")) & passes)
+            chosen = F.coalesce(F.array_join(F.array_intersect(F.array(*map(F.lit, fields)), "match_fields"), ","), F.lit(",".join(fields)))
+            own = own.withColumn("fields", chosen)
+            each = [r[0] for r in own.select("fields").distinct().collect()]  # at most 16 choices of four fields
+            searched = {c: F.concat_ws(" ", *(F.lower(F.col(f)) for f in c.split(",") if f)) for c in each}
+    index = TermIndex(own.select("term"))
+    found = None
+    for c, column in searched.items():
+        part = index.search(docs, column).withColumn("searched", F.lit(c).cast("string"))
+        found = part if found is None else found.unionByName(part)
+    own = own.join(index.numbers(), "term")
+    rows = found.alias("d").join(own.alias("g"), (F.col("d.number") == F.col("g.number")) & F.col("d.searched").eqNullSafe(F.col("g.fields")) & passes)
     return rows.groupBy("document_id", "group_id").agg(F.min_by("term", F.struct("rule", "term")).alias("term"))
 
 
 def classify(docs: DataFrame, groups: DataFrame, rules: DataFrame, min_year: int = MIN_YEAR, text: str = "text") -> DataFrame:
-    """document_id, group_id, term for docs(document_id, year, text): below the least year noise; a noise term noise;
+    """classify_whole without the column `rejected`."""
+    return classify_whole(docs, groups, rules, min_year, text).drop("rejected")
+
+
+def classify_whole(docs: DataFrame, groups: DataFrame, rules: DataFrame, min_year: int = MIN_YEAR, text: str = "text") -> DataFrame:
+    """document_id, group_id, term, rejected (the document is noise, be there a group for it or not) for docs(document_id, year, text): below the least year noise; a noise term noise;
     without a validator's term noise, without a term; else every normal group whose filters it passes and of which it
     holds a term, or unclassified (group null).
 
@@ -109,13 +124,25 @@ def classify(docs: DataFrame, groups: DataFrame, rules: DataFrame, min_year: int
     own = lambda g, t: F.array(F.struct(g.cast("int").alias("group_id"), t.alias("term")))
     none = F.lit(None).cast("string")
     normal = F.transform(F.coalesce("normal", F.array()), lambda x: F.struct(x["group_id"].cast("int").alias("group_id"), x["term"].alias("term")))
+    unknown = (F.col("n_validators") > 0) & (F.coalesce("validators", F.lit(0)) == 0)
+    rejected = F.coalesce(early, F.lit(False)) | F.col("noise").isNotNull() | unknown
     found = (
         F.when(early, own(F.col("noise_group"), F.when(F.col("noise_group").isNotNull(), f"year<{min_year}")))
         .when(F.col("noise").isNotNull(), own(F.col("noise.group_id"), F.col("noise.term")))
-        .when((F.col("n_validators") > 0) & (F.coalesce("validators", F.lit(0)) == 0), own(F.col("noise_group"), none))
+        .when(unknown, own(F.col("noise_group"), none))
         .when(F.size(normal) > 0, normal).otherwise(own(F.lit(None), none))
     )
-    return rows.select("document_id", F.explode(found).alias("x")).select("document_id", "x.group_id", "x.term")
+    return rows.select("document_id", rejected.alias("rejected"), F.explode(found).alias("x")).select("document_id", "x.group_id", "x.term", "rejected")
+
+
+def classification_counts(whole: DataFrame) -> DataFrame:
+    """kind, group_id, n of classify_whole's rows: total, noise, unclassified, multi and rejected_unassigned (noise without a
+    group for it) in documents, by_group in assignments (group null: unclassified). One pass over documents, one over rows."""
+    per = whole.groupBy("document_id").agg(F.count("group_id").alias("n"), F.bool_or("rejected").alias("rejected"))
+    of = {"total": F.lit(True), "noise": F.col("rejected") & (F.col("n") > 0), "unclassified": F.col("n") == 0, "multi": (F.col("n") > 1) & ~F.col("rejected"), "rejected_unassigned": F.col("rejected") & (F.col("n") == 0)}
+    one = per.agg(*(F.count_if(test).alias(name) for name, test in of.items()))
+    kinds = one.select(F.inline(F.array(*(F.struct(F.lit(name).alias("kind"), F.lit(None).cast("int").alias("group_id"), F.col(name).alias("n")) for name in of))))
+    return kinds.unionByName(whole.groupBy("group_id").agg(F.count("*").alias("n")).select(F.lit("by_group").alias("kind"), "group_id", "n"))
 
 
 def classification_stats(assigned: DataFrame, groups: DataFrame) -> DataFrame:
@@ -169,9 +196,9 @@ def assignments_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def lens_matches(docs: DataFrame, lenses: DataFrame, samples: int = 5) -> DataFrame:
     """lens, doc_count and first documents: a lens's term must stand between characters that are no letters or digits."""
-    quoted = F.regexp_replace(F.lower("term"), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    terms = F.broadcast(lenses.select("lens", F.lower("term").alias("term"), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])")).alias("pattern")).where("term <> ''"))
-    rows = docs.select("document_id", F.lower("text").alias("text")).join(terms, F.col("text").contains(F.col("term")) & F.expr("text RLIKE pattern"))
+    own = lenses.select("lens", F.lower("term").alias("term")).where("term <> ''").distinct()
+    index = TermIndex(own.select("term"))
+    rows = index.search(docs.select("document_id", F.lower("text").alias("text")), F.col("text"), words=True).drop("text").join(own.join(index.numbers(), "term"), "number")
     rows = rows.select("lens", "document_id").distinct()
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lens").orderBy("document_id"))).where(F.col("rn") <= samples)  # each task keeps so many of a lens
     shown = first.groupBy("lens").agg(F.array_join(F.array_sort(F.collect_list("document_id")), ",").alias("samples"))

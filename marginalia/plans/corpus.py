@@ -96,7 +96,8 @@ def oracle(sql: str) -> str:
     plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
     head = ", ".join(f"{n} AS ({plain(defs[n])})" for n in order)
     body = plain(sql).strip()
-    return f"WITH {head}{',' + body[4:] if body.startswith('WITH') else ' ' + body}" if head else body
+    start = next((w for w in ("WITH RECURSIVE", "WITH") if body.startswith(w)), "")
+    return f"{start or 'WITH'} {head}{',' if start else ' '}{body[len(start):]}" if head else body
 
 
 #: Views that every query would otherwise derive anew.
