@@ -2,16 +2,18 @@
 
 The corpus lies in `shards` tables, which are scanned in a cycle. In the first cycle words are counted. A longer phrase is
 counted from the scan after the one in which both its subphrases (all words but the last, all but the first) have come to
-`least` occurrences so far, for one whole cycle, so lengths mix in one scan, and every count that is used is complete. The
-scans end when a whole cycle has brought no new subphrase.
+`least` occurrences so far, for one whole cycle, so lengths mix in one scan. The scans end when a whole cycle has brought
+no new subphrase.
 
-A scan counts in Arrow batches: words get numbers per slice of text, phrases are pairs of such numbers, and all lengths are
-counted by numpy. Which subphrases count so far is broadcast as two bit tables of at most 16 MB each, whatever their
-number; what passes them by chance is taken out by exact joins before it is added. Counts are summed per task before they
-travel, so a frequent phrase is no hot key. Scores are decimals of 38 digits.
+A scan counts in Arrow batches: words get numbers per part of text, phrases are built of such numbers, and all lengths are
+counted by numpy. Which subphrases have come so far is broadcast as two bit tables of at most 16 MB each, whatever their
+number. A phrase that passes them by chance is counted too and does no harm: of each phrase the counts of the last `shards`
+scans are held, which are of different shards, so their sum is never above the true count; it is the true count after a whole
+cycle, and every frequent phrase has one, as its subphrases are frequent. The greatest sum that is seen is its count.
+Counts are summed per task before they travel, so a frequent phrase is no hot key. Scores are decimals of 38 digits.
 
 Defined results: a null text is empty; a null language is `und`; ties as the contract has them; equal rows count each; very
-long texts are counted in pieces of bounded size that overlap by the words a phrase needs; an empty table gives no rows; other
+long texts are counted in parts of bounded size that overlap by the words a phrase needs; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -21,41 +23,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MOST_BITS, Scratch, slices, table, texts_of, written
 
-LEAST, WORDS, SHARDS, TOP, SHARE = 30, 4, 4, 2000, 80
-SLICE = 8_000_000  # bytes of text that are counted at once
+LEAST, WORDS, SHARDS, TOP, SHARE = 30, 4, 2, 2000, 80
+PART = 16_000_000  # bytes of text that are counted at once
 COUNTS = "lang string, words int, phrase string, n long"
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, STEP = np.uint64(0x9E3779B97F4A7C15), 0x2545F4914F6CDD1D  # odd numbers
 LONE = b"\xff"  # stands where a piece ends: no byte of UTF-8
 # the signs that end a piece become LONE, A-Z small letters, a tab a space
 TO = bytes(LONE[0] if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
 
 
-def parts_of(data: bytes, size: int, more: int) -> Iterator[tuple[bytes, bytes]]:
-    """Cut text at spaces into (part, the words after it that a phrase beginning in the part may reach)."""
+def spaced(texts: list[str]) -> bytes:
+    """Texts as words with one space after each; LONE is a word of its own where a piece ends."""
+    data = "\n".join(texts).encode().translate(TO).replace(LONE, b" \xff ") + b" "
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    return data.lstrip(b" ")
+
+
+def parts_of(data: bytes, size: int, more: int) -> Iterator[tuple[bytes, int]]:
+    """Cut spaced text after words into (part, bytes of it that are its own): after these stand the words that a phrase
+    beginning among them may reach."""
     begin = 0
     while begin < len(data):
-        end = len(data) if len(data) - begin <= size else data.find(b" ", begin + size)
-        end = len(data) if end < 0 else end
+        end = data.find(b" ", min(begin + size, len(data)) - 1) + 1
         ahead = end
         for _ in range(more):
-            while ahead < len(data) and data[ahead] == 32:
-                ahead += 1
-            ahead = data.find(b" ", ahead)
-            if ahead < 0:
-                ahead = len(data)
-        yield data[begin:end], data[end:ahead]
+            ahead = (data.find(b" ", ahead) + 1) or len(data)
+        yield data[begin:ahead], end - begin
         begin = end
 
 
-def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    start = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, start) for w in words), np.uint64, len(words))
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each word by its bytes, of running sums: the sieve's only, no result hangs on it."""
+    power = np.full(len(data) + 1, STEP, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    back = np.full(len(data) + 1, pow(STEP, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    np.multiply.accumulate(back, out=back)
+    out = (sums[ends] - sums[begins]) * back[begins] + np.uint64(seed)
+    out ^= out >> np.uint64(31)
+    out *= MIX
+    return out ^ (out >> np.uint64(29))
+
+
+def seed_of(lang: str) -> int:
+    return int.from_bytes(lang.encode()[-7:], "little")
 
 
 def longer(hash_: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -79,7 +99,9 @@ def bit_tables(reached: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
             for lang, words, phrase, fresh in zip(*(b.column(c).to_pylist() for c in ("lang", "words", "phrase", "fresh")), strict=True):
                 by.setdefault((lang, words, fresh), []).append(phrase)
             for (lang, words, fresh), phrases in by.items():
-                each = word_hashes(lang, " ".join(phrases).encode().split(b" ")).reshape(-1, words)
+                data = np.frombuffer((" ".join(phrases) + " ").encode(), np.uint8)
+                ends = np.flatnonzero(data == 32)
+                each = word_hashes(data, np.concatenate(([0], ends[:-1] + 1)), ends, seed_of(lang)).reshape(-1, words)
                 hash_ = each[:, 0]
                 for k in range(1, words):
                     hash_ = longer(hash_, each[:, k])
@@ -99,62 +121,68 @@ def marked(bits: np.ndarray, hash_: np.ndarray, words: int) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def counted(lang: str, data: bytes, longest: int, count_words: bool, known: np.ndarray | None, fresh: np.ndarray | None, size: int = SLICE) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(length, phrases, counts) of a text after TO: words if wanted, and phrases whose two subphrases are known and one of
+def counted(lang: str, data: bytes, longest: int, count_words: bool, known: np.ndarray | None, fresh: np.ndarray | None, size: int = PART) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(length, phrases, counts) of a spaced text: words if wanted, and phrases whose two subphrases are known and one of
     them fresh, as far as the bit tables tell."""
-    for part, after in parts_of(data, size, longest - 1):
-        own = part.split()
-        tokens = own + after.split()
-        number: dict[bytes, int] = {LONE: 0}
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int64, len(tokens))
-        vocabulary = list(number)
+    for part, own in parts_of(data, size, longest - 1):
+        buffer = np.frombuffer(part, np.uint8)
+        ends = np.flatnonzero(buffer == 32)
+        begins = np.concatenate(([0], ends[:-1] + 1))
+        n_own = int(np.searchsorted(ends, own))
+        offsets = pa.py_buffer(np.concatenate((begins, [len(part)])).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(part)]).dictionary_encode()
+        ids, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        lone = names.index(LONE + b" ") if LONE + b" " in names else -1
         if count_words:
-            n = np.bincount(ids[: len(own)], minlength=len(vocabulary))
-            at = np.flatnonzero(n[1:]) + 1
-            yield 1, [vocabulary[i].decode() for i in at.tolist()], n[at]
+            n = np.bincount(ids[:n_own], minlength=len(names))
+            if lone >= 0:
+                n[lone] = 0
+            at = np.flatnonzero(n)
+            yield 1, pa.array([names[i][:-1] for i in at.tolist()], pa.binary()), n[at]
         if known is None:
             continue
-        word = word_hashes(lang, vocabulary)[ids]
-        sub, whole = word, ids != 0  # the hashes of the phrases of the length before, by their place
+        word = word_hashes(buffer, begins, ends, seed_of(lang))
+        sub, whole = word, ids != lone  # the hashes of the phrases of the length before, by their place
         for k in range(2, longest + 1):
-            room = len(tokens) - k + 1
+            room = len(ids) - k + 1
             if room <= 0:
                 break
-            whole = whole[:room] & (ids[k - 1 :] != 0)
-            at = np.flatnonzero(whole[: len(own)])
-            a, b = sub[at], sub[at + 1]
-            ok = marked(known, a, k - 1)
-            ok[ok] = marked(known, b[ok], k - 1)
-            ok[ok] = marked(fresh, a[ok], k - 1) | marked(fresh, b[ok], k - 1)
-            at = at[ok]
+            whole = whole[:room] & (ids[k - 1 :] != lone)
+            at = np.flatnonzero(whole[:n_own])
+            at = at[marked(known, sub[at], k - 1)]
+            at = at[marked(known, sub[at + 1], k - 1)]
+            at = at[marked(fresh, sub[at], k - 1) | marked(fresh, sub[at + 1], k - 1)]
             if len(at):
-                key = ids[at]
-                for j in range(1, k):  # numbers of the phrases so far: exact, not hashes
-                    key = np.unique(key, return_inverse=True)[1] * len(vocabulary) + ids[at + j]
+                key, most = ids[at], len(names)  # numbers of the phrases so far: exact, not hashes
+                for j in range(1, k):
+                    if most > (1 << 62) // len(names):
+                        old, key = np.unique(key, return_inverse=True)
+                        most = len(old)
+                    key, most = key * len(names) + ids[at + j], most * len(names)
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
-                yield k, [b" ".join(tokens[i : i + k]).decode() for i in at[first].tolist()], n
+                where = at[first]
+                yield k, pa.array([part[i:j] for i, j in zip(begins[where].tolist(), ends[where + k - 1].tolist(), strict=True)], pa.binary()), n
             sub = longer(sub[:room], word[k - 1 :])
 
 
 def scan(shard: DataFrame, longest: int, count_words: bool, tables: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """(lang, words, phrase, n) of a shard."""
+    """(lang, words, phrase, n) of a shard, not yet summed."""
     shared = shard.sparkSession.sparkContext.broadcast(tables) if tables else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fresh = shared.value if shared else (None, None)
-        for batch in slices(batches, 100_000, SLICE):
+        for batch in slices(batches, 100_000, PART):
             by: dict[str, list[str]] = {}
             for lang, text in zip(texts_of(batch, "lang"), texts_of(batch), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                data = "\n".join(texts).encode().translate(TO).replace(LONE, b" \xff ")
-                for words, phrases, n in counted(lang, data, longest, count_words, known, fresh):
+                for words, phrases, n in counted(lang, spaced(texts), longest, count_words, known, fresh):
                     for i in range(0, len(phrases), 50_000):
-                        some = phrases[i : i + 50_000]
-                        cells = [pa.array([lang] * len(some)), pa.array(np.full(len(some), words, np.int32)), pa.array(some), pa.array(n[i : i + 50_000].astype(np.int64))]
+                        some = phrases[i : i + 50_000].cast(pa.string())
+                        cells = [pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), words, np.int32)), some, pa.array(n[i : i + 50_000].astype(np.int64))]
                         yield pa.record_batch(cells, names=["lang", "words", "phrase", "n"])
 
-    return shard.mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return shard.mapInArrow(run, COUNTS)
 
 
 def first_words(phrase: Column, words: Column) -> Column:
@@ -169,36 +197,35 @@ def frequent_phrases(docs: DataFrame, keep: Scratch, text: str = "text", lang: s
     """(lang, words, phrase, n) of all words and phrases with n >= least, and (lang, n) of all words; by dynamic counting."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
     rows = keep(rows, "phrase-shards", "shard")
-    state = totals = None  # state: lang, words, phrase, n so far, reached: the scan in which n came to least, until: the last scan
-    step, last, before = 0, shards - 1, Scratch(docs.sparkSession)
-    sub = F.col("reached").isNotNull() & (F.col("words") < longest)
-    n_subs = 0
+    # state: counts of the last scans, n0 of the latest; found: what has come to least, n: the greatest sum, reached: in which scan
+    ages = [f"n{i}" for i in range(shards)]
+    keys = ["lang", "words", "phrase"]
+    state = found = totals = None
+    step, last, before, n_subs = 0, shards - 1, Scratch(docs.sparkSession), 0
+    sub = F.col("words") < longest
     while step <= last:
-        now = Scratch(docs.sparkSession)
-        tables = subs = None
+        now, tables = Scratch(docs.sparkSession), None
         if n_subs:
-            subs = state.where(sub)
-            tables = bit_tables(subs.withColumn("fresh", F.col("reached") >= step - shards), n_subs)
-        new = now(scan(rows.where(F.col("shard") == step % shards).select("lang", "text"), longest, step < shards, tables), "phrase-counts")
-        found = new.where("words = 1").withColumn("until", F.lit(shards - 1))
-        if tables:
-            many = new.where("words > 1")
-            for x, part in (("a", first_words), ("b", last_words)):
-                side = subs.select("lang", "words", "phrase", "reached").toDF(f"l{x}", f"w{x}", f"p{x}", f"r{x}")
-                many = many.join(side, (many["lang"] == side[f"l{x}"]) & (many["words"] == side[f"w{x}"] + 1) & (part(many["phrase"], many["words"] - 1) == side[f"p{x}"]))
-            found = found.unionByName(many.withColumn("until", F.greatest("ra", "rb") + shards).where(F.col("until") >= step).select(*found.columns))
-        found = found.withColumn("reached", F.lit(None).cast("int"))
-        summed = (found if state is None else found.unionByName(state)).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.max("until").alias("until"), F.min("reached").alias("reached"))
-        state = now(summed.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, F.lit(step)))), "phrase-state")
+            tables = bit_tables(found.where(sub).withColumn("fresh", F.col("reached") >= step - shards), n_subs)
+        new = scan(rows.where(F.col("shard") == step % shards).select("lang", "text"), longest, step < shards, tables)
+        new = new.select(*keys, F.col("n").alias("n0"), *(F.lit(0).cast("long").alias(x) for x in ages[1:]))
+        if state is not None and shards > 1:
+            older = state.where(" + ".join(ages[:-1]) + " > 0").select(*keys, F.lit(0).cast("long").alias("n0"), *(F.col(x).alias(y) for x, y in zip(ages, ages[1:], strict=False)))
+            new = new.unionByName(older)
+        state = now(new.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in ages)), "phrase-counts")
+        total = sum((F.col(x) for x in ages[1:]), F.col(ages[0]))
         if step == shards - 1:
-            totals = keep(state.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-        state = state.where((F.col("n") >= least) | (F.col("until") > step))  # what is complete and rare plays no part any more
-        n_subs, latest = state.agg(F.count_if(sub), F.max(F.when(sub, F.col("reached")))).first()
+            totals = keep(state.where("words = 1").groupBy("lang").agg(F.sum(total).alias("n")), "phrase-totals")
+        come = state.select(*keys, total.alias("n")).where(F.col("n") >= least).withColumn("reached", F.lit(step))
+        if found is not None:
+            come = come.unionByName(found).groupBy(*keys).agg(F.max("n").alias("n"), F.min("reached").alias("reached"))
+        found = now(come, "phrase-found")
+        n_subs, latest = found.where(sub).agg(F.count("*"), F.max("reached")).first()
         last = max(shards - 1, -1 if latest is None else latest + shards)
-        with before:  # the tables of the step before go
+        with before:  # the tables of the scan before go
             before, step = now, step + 1
     keep.paths += before.paths
-    return state.where(F.col("n") >= least).select("lang", "words", "phrase", "n"), totals
+    return found.select("lang", "words", "phrase", "n"), totals
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = WORDS, shards: int = SHARDS, top: int = TOP, share: int = SHARE) -> DataFrame:
