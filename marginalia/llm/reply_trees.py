@@ -17,6 +17,8 @@ rows; other columns are ignored. A path must fit one string (2 GB).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +52,22 @@ def ups(nodes: DataFrame, keep: Scratch) -> tuple[DataFrame, list[DataFrame]]:
     at = keep(at, "reply-up")
     rounds = max(at.groupBy("tree").count().agg(F.max("count")).first()[0] or 1, 1).bit_length()  # 2**rounds: more than any tree has nodes
     while True:
-        jumps, first = [], at
+        # of each round the nodes that saw someone above before it; who sees no one any more is done
+        jumps, first, done = [], at, []
+        result = lambda: reduce(DataFrame.union, [*done, at]).select("tree", "node", "depth", F.col("score").alias("path_score"))  # noqa: B023, E731
         for _ in range(rounds):
-            jump = at.where(F.col("up").isNotNull()).select("tree", "node", "up")
+            jump = at.where(F.col("up").isNotNull())
             if jump.isEmpty():
-                return at.select("tree", "node", "depth", F.col("score").alias("path_score")), jumps
-            jumps.append(jump)
-            far = at.toDF("t", "n", "u", "s", "d", "l")
-            got = at.join(far, same(at, far, ("tree", "t")) & (at["up"] == far["n"]), "left")
-            score, depth = F.col("score") + F.coalesce("s", F.lit(0.0)), F.col("depth") + F.coalesce("d", F.lit(0))
-            at = keep(got.select("tree", "node", F.col("u").alias("up"), score.alias("score"), depth.alias("depth"), F.least("least", "l").alias("least")), "reply-up")
+                return result(), jumps
+            jumps.append(jump.select("tree", "node", "up"))
+            far = reduce(DataFrame.union, [*done, at]).toDF("t", "n", "u", "s", "d", "l")
+            done.append(at.where(F.col("up").isNull()))
+            got = jump.join(far, same(jump, far, ("tree", "t")) & (jump["up"] == far["n"]))
+            at = keep(got.select("tree", "node", F.col("u").alias("up"), (F.col("score") + F.col("s")).alias("score"), (F.col("depth") + F.col("d")).alias("depth"), F.least("least", "l").alias("least")), "reply-up")
         # who still sees someone above stands below a loop; seen by others so far below are the loop's own nodes alone
         seen = at.where(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
         if seen.isEmpty():
-            return at.select("tree", "node", "depth", F.col("score").alias("path_score")), jumps
+            return result(), jumps
         cut = at.join(seen, same(at, seen, ("tree", "t")) & (at["node"] == seen["n"])).where("node = least").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.lit(True).alias("cut"))
         fixed = first.join(cut, same(first, cut, ("tree", "t")) & (first["node"] == cut["n"]), "left")
         at = keep(fixed.select("tree", "node", F.when(F.col("cut").isNull(), F.col("up")).alias("up"), "score", "depth", "least"), "reply-up")
