@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import MOST_BITS, Scratch, slices, table, texts_of, written
 
 LEAST, WORDS, SHARDS, TOP, SHARE = 30, 4, 2, 2000, 80
-PART = 16_000_000  # bytes of text that are counted at once
+PART = 4_000_000  # bytes of text that are counted at once
 COUNTS = "lang string, words int, phrase string, n long"
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), 0x2545F4914F6CDD1D  # odd numbers
 LONE = b"\xff"  # stands where a piece ends: no byte of UTF-8
