@@ -40,16 +40,66 @@ def block_key_column(column: str) -> Column:
     return F.pandas_udf(keys, "string")(F.col(column))
 
 
+def _shared(a: str, b: str) -> str:
+    """SQL: how many letters two texts share at their beginning."""
+    return f"aggregate(sequence(1, greatest(least(length({a}), length({b})), 1)), 0, (n, i) -> IF(n = i - 1 AND i <= length({a}) AND substr({a}, i, 1) = substr({b}, i, 1), i, n))"
+
+
+def edit_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(block, text1, text2, score) of the different texts of rows(block, text) of one block with score = 1 - distance / longer
+    length at the threshold or above; text1 is the longer one, of equal lengths the lesser.
+
+    Not all texts of a block are compared. The longer text, without what its whole block begins with, is cut into one more
+    segment than the edits that the threshold allows. Then for one segment, the i-th of n + 1 say, fewer than i edits lie before
+    it and at most n + 1 - i behind it, so the other text has it unchanged, at most so many places away, counted from either
+    end. Texts meet by block, length, i and segment, so a block that very many texts share is dealt by what tells them apart; of
+    those that meet distances are taken within the allowed band.
+    """
+    own = rows.select("block", "text").where("block IS NOT NULL AND text IS NOT NULL").distinct()
+    start = own.groupBy("block").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).select("block", F.expr(_shared("lo", "hi")).alias("cut"))
+    own = own.join(start, "block").select("block", "text", F.length("text").alias("size"), F.expr("substr(text, cut + 1)").alias("rest"), "cut")
+    edits = lambda size: F.floor(F.col(size) * (1 - threshold) + 1e-9).cast("int")
+
+    def segments(shapes: DataFrame) -> DataFrame:
+        """shapes(size1, cut, n): size1 - cut letters in n + 1 segments, the longer ones last: the i-th begins at `at` and has `wide` letters."""
+        wide, short = F.expr("(size1 - cut) div (n + 1)"), F.expr("n + 1 - (size1 - cut) % (n + 1)")
+        rows = shapes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+        rows = rows.withColumn("at", F.col("i") * wide + F.greatest(F.lit(0), F.col("i") - short)).withColumn("wide", wide + F.when(F.col("i") >= short, 1).otherwise(0))
+        return rows.withColumns({c: F.col(c).cast("int") for c in ("at", "wide")})
+
+    # where texts of each length are cut or looked at: a row for each length, i and place, joined with the texts of that length
+    sizes = own.where("size > 0").select("size", "cut").distinct()
+    cuts = segments(sizes.withColumnRenamed("size", "size1").withColumn("n", edits("size1")))
+    reach = sizes.withColumn("size1", F.explode(F.sequence(F.col("size"), F.floor(F.col("size") / threshold + 1e-9).cast("int")))).withColumn("n", edits("size1"))
+    reach = segments(reach.where("size1 - size <= n"))
+    less = F.col("size") - F.col("size1")
+    low = F.greatest(F.lit(0), F.col("at") - F.col("i"), F.col("at") + less - (F.col("n") - F.col("i")))
+    high = F.least(F.col("size") - F.col("cut") - F.col("wide"), F.col("at") + F.col("i"), F.col("at") + less + (F.col("n") - F.col("i")))
+    reach = reach.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("place", F.explode(F.sequence("low", "high"))).select("size", "cut", "size1", "i", "wide", "place")
+    segment = lambda place: F.substr("rest", F.col(place) + 1, F.col("wide")).alias("segment")
+    long = own.withColumnRenamed("size", "size1").join(cuts, ["size1", "cut"]).select("block", F.col("text").alias("text1"), "size1", "n", "i", segment("at"))
+    short = own.join(reach, ["size", "cut"]).select("block", F.col("text").alias("text2"), "size", "size1", "i", segment("place"))
+    met = long.join(short, ["block", "size1", "i", "segment"]).where((F.col("size1") > F.col("size")) | (F.col("text1") < F.col("text2")))
+    near = met.withColumn("distance", F.expr("levenshtein(text1, text2, n)")).where("distance >= 0")
+    near = near.select("block", "text1", "text2", (1 - F.col("distance") / F.col("size1")).alias("score")).distinct()
+    return near.where(F.col("score") >= threshold)
+
+
+def bare(text: Column) -> Column:
+    return F.regexp_replace(text, "[^a-z0-9 ]", "")
+
+
 def similar_pairs(rows: DataFrame, block: Column, threshold: float = 0.85) -> DataFrame:
-    """(id1, id2, score) of rows(id, name) within a block: 1 for equal names, 0.98 for names equal but for signs, else
-    1 - distance / longer length. Lengths that can't reach the threshold are left out before any distance is taken."""
-    own = rows.select("id", F.lower("name").alias("name"), block.alias("block")).withColumn("bare", F.regexp_replace("name", "[^a-z0-9 ]", ""))
-    a, b = (own.select(*(F.col(c).alias(f"{c}{k}") for c in ("id", "name", "bare")), "block") for k in (1, 2))
-    longer, shorter = F.greatest(F.length("name1"), F.length("name2")), F.least(F.length("name1"), F.length("name2"))
-    near = (F.col("bare1") == F.col("bare2")) | (shorter >= longer * threshold - 1e-9)
-    pairs = a.join(b, "block").where("id1 < id2").where(near)
-    score = F.when(F.col("name1") == F.col("name2"), 1.0).when(F.col("bare1") == F.col("bare2"), 0.98).otherwise(1 - F.levenshtein("name1", "name2") / longer)
-    return pairs.select("id1", "id2", F.round(score, 4).alias("score"), score.alias("exact")).where(F.col("exact") >= threshold).drop("exact")
+    """(id1, id2, score, exact) of rows(id, name) within a block, id1 < id2: 1 for equal names, 0.98 for names equal but for
+    signs, else 1 - distance / longer length; in lower case. score is rounded to 4 digits."""
+    own = rows.select("id", F.lower("name").alias("text"), block.alias("block"))
+    own = own.withColumn("bare", bare(F.col("text")))
+    side = lambda k: own.select("block", *(F.col(c).alias(f"{c}{k}") for c in ("id", "text", "bare")))
+    equal = side(1).join(side(2).withColumnRenamed("bare2", "bare1"), ["block", "bare1"]).where("id1 < id2")
+    equal = equal.select("id1", "id2", F.when(F.col("text1") == F.col("text2"), 1.0).otherwise(0.98).alias("exact"))
+    near = edit_pairs(own, threshold).join(side(1), ["block", "text1"]).join(side(2), ["block", "text2"]).where("bare1 <> bare2")
+    near = near.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), F.col("score").alias("exact"))
+    return equal.where(F.col("exact") >= threshold).unionByName(near).select("id1", "id2", F.round("exact", 4).alias("score"), "exact")
 
 
 def similar_authors(authors: DataFrame, links: DataFrame, threshold: float = 0.85, limit: int = 5000) -> DataFrame:
@@ -61,7 +111,7 @@ def similar_authors(authors: DataFrame, links: DataFrame, threshold: float = 0.8
     pairs = similar_pairs(own, block_key_column("name"), threshold).join(a, "id1").join(b, "id2")
     ahead = (F.col("name1") < F.col("name2")) | ((F.col("name1") == F.col("name2")) & (F.col("id1") < F.col("id2")))
     first = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & ahead)
-    out = pairs.select(F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("keep"), F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("discard"), F.round(pair_score(F.lower("name1"), F.lower("name2")) * 100, 1).alias("similarity"))
+    out = pairs.select(F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("keep"), F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("discard"), F.round(F.col("exact") * 100, 1).alias("similarity"))
     return out.orderBy(F.desc("similarity"), "keep", "discard").limit(limit)  # the report's top
 
 
@@ -116,17 +166,19 @@ def pair_score(a: Column, b: Column, least: float = 0.0) -> Column:
 
 def similar_keywords(rows: DataFrame, threshold: float = 0.85, limit: int = 5000) -> DataFrame:
     """keep, discard, similarity (percent), match_type of rows(id, term, doc_count) with the same first four bytes: above
-    the threshold, or one the other's plural in s or es. The one with more documents stays, of equal ones the first term.
-    Lengths that can't reach the threshold are left out before any distance is taken; equal terms meet once as one."""
+    the threshold, or one the other's plural in s or es. The one with more documents stays, of equal ones the first term."""
     low = F.lower(F.trim("term"))
     own = rows.select("id", "term", "doc_count", low.alias("low"), F.substring(F.encode(low, "utf-8"), 1, 4).alias("block"))
-    a, b = (own.select("block", *(F.col(c).alias(f"{c}{k}") for c in ("id", "term", "doc_count", "low"))) for k in (1, 2))
-    plural = (F.concat("low1", F.lit("s")) == F.col("low2")) | (F.concat("low2", F.lit("s")) == F.col("low1")) | (F.concat("low1", F.lit("es")) == F.col("low2")) | (F.concat("low2", F.lit("es")) == F.col("low1"))
-    before = (F.col("term1") < F.col("term2")) | ((F.col("term1") == F.col("term2")) & (F.col("id1") < F.col("id2")))
-    bare = lambda x: F.regexp_replace(x, "[^a-z0-9 ]", "")
-    reach = F.least(F.length("low1"), F.length("low2")) >= F.greatest(F.length("low1"), F.length("low2")) * threshold - 1e-9
-    pairs = a.join(b, "block").where(before).where(reach | plural | (bare(F.col("low1")) == bare(F.col("low2")))).withColumn("plural", plural)
-    pairs = pairs.withColumn("score", pair_score(F.col("low1"), F.col("low2"))).where(F.col("plural") | (F.col("score") >= threshold))
+    a, b = (own.select(*(F.col(c).alias(f"{c}{k}") for c in ("id", "term", "doc_count", "low", "block"))) for k in (1, 2))
+    met = similar_pairs(own.select("id", F.col("low").alias("name"), "block"), F.col("block"), threshold).select("id1", "id2", "exact")
+    forms = a.select("id1", "block1", F.explode(F.array(F.concat("low1", F.lit("s")), F.concat("low1", F.lit("es")))).alias("low2")).join(b.select("id2", "low2", F.col("block2").alias("block1")), ["low2", "block1"])
+    plurals = forms.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), F.lit(True).alias("plural")).distinct()
+    pairs = met.join(plurals, ["id1", "id2"], "full").join(a, "id1").join(b, "id2")
+    pairs = pairs.withColumn("plural", F.coalesce("plural", F.lit(False))).withColumn("score", F.coalesce("exact", pair_score(F.col("low1"), F.col("low2"))))
+    # the first by term and id is the pair's first
+    ahead = (F.col("term1") < F.col("term2")) | ((F.col("term1") == F.col("term2")) & (F.col("id1") < F.col("id2")))
+    swapped = pairs.where(~ahead).select(*(F.col(c[:-1] + "21"[int(c[-1]) - 1]).alias(c) if c[-1] in "12" else F.col(c) for c in pairs.columns))
+    pairs = pairs.where(ahead).unionByName(swapped)
     first = F.col("doc_count1") >= F.col("doc_count2")
     out = pairs.select(F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("keep"), F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("discard"), F.round(F.col("score") * 100, 1).alias("similarity"), F.when(F.col("plural"), "plural").otherwise("same_type").alias("match_type"))
     return out.orderBy(F.desc("similarity"), "keep", "discard").limit(limit)  # the report's top
@@ -135,46 +187,14 @@ def similar_keywords(rows: DataFrame, threshold: float = 0.85, limit: int = 5000
 def duplicate_documents(docs: DataFrame, threshold: float = 0.85, limit: int = 100) -> DataFrame:
     """keep, discard, similarity (percent) of docs(id, title, year, doi, cited_by) of one year with similar titles; byte
     lengths must be within the threshold. The first by title and id stays if it alone has a DOI or is cited no less.
-
-    Not all titles of a year are compared. Cut into one more piece than the edits that the threshold allows, the longer
-    of two similar titles has a piece that the other one holds unchanged, at most so many places away; titles meet by
-    such pieces.
     """
-    own = docs.where("year IS NOT NULL AND title IS NOT NULL").select("id", "title", "year", "doi", F.coalesce("cited_by", F.lit(-1)).alias("cited"), F.lower("title").alias("low"), F.octet_length("title").alias("bytes"))
-    own = own.withColumn("size", F.length("low")).withColumn("bare", F.regexp_replace("low", "[^a-z0-9 ]", ""))
-    long = own.select("year", F.col("id").alias("id1"), F.col("size").alias("size1"), F.inline(_pieces(F.col("low"), F.col("size"), threshold)))
-    short = own.select("year", F.col("id").alias("id2"), F.col("size").alias("size2"), F.inline(_parts(F.col("low"), F.col("size"), threshold)).alias("at2", "piece"))
-    edits = F.floor(F.col("size1") * (1 - threshold) + 1e-9)
-    met = long.join(short, ["year", "piece"]).where((F.col("id1") != F.col("id2")) & (F.col("size2") <= F.col("size1")) & (F.col("size1") - F.col("size2") <= edits) & (F.abs(F.col("at") - F.col("at2")) <= edits))
-    same = own.select("year", "bare", F.col("id").alias("id1")).join(own.select("year", "bare", F.col("id").alias("id2")), ["year", "bare"]).where("id1 < id2")
-    ids = met.select("id1", "id2").union(same.select("id1", "id2")).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
-    a, b = (own.select(*(F.col(c).alias(f"{c}{k}") for c in ("id", "title", "doi", "cited", "low", "bytes"))) for k in (1, 2))
+    own = docs.where("year IS NOT NULL AND title IS NOT NULL").select("id", "title", "year", "doi", F.coalesce("cited_by", F.lit(-1)).alias("cited"), F.octet_length("title").alias("bytes"))
+    a, b = (own.select(*(F.col(c).alias(f"{c}{k}") for c in ("id", "title", "doi", "cited", "bytes"))) for k in (1, 2))
     near = F.abs(F.col("bytes1") - F.col("bytes2")) <= F.greatest("bytes1", "bytes2") * (1 - threshold) + 1e-9
-    pairs = ids.join(a, "id1").join(b, "id2").where(near).withColumn("score", pair_score(F.col("low1"), F.col("low2"), threshold)).where("score IS NOT NULL")
+    pairs = similar_pairs(own.select("id", F.col("title").alias("name"), "year"), F.col("year"), threshold).select("id1", "id2", F.col("exact").alias("score")).join(a, "id1").join(b, "id2").where(near)
     has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     ahead = (F.col("title1") < F.col("title2")) | ((F.col("title1") == F.col("title2")) & (F.col("id1") < F.col("id2")))
     side = lambda k, o: (has(f"doi{k}") & ~has(f"doi{o}")) | (F.col(f"cited{k}") >= F.col(f"cited{o}"))
     first = F.when(ahead, side(1, 2)).otherwise(~side(2, 1))
     out = pairs.select(F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("keep"), F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("discard"), F.round(F.col("score") * 100, 1).alias("similarity"))
     return out.orderBy(F.desc("similarity"), "keep", "discard").limit(limit)  # the report's top
-
-
-def _count(size: Column, threshold: float) -> Column:
-    """Pieces that a title of this length is cut into."""
-    return (F.floor(size * (1 - threshold) + 1e-9) + 1).cast("int")
-
-
-def _pieces(low: Column, size: Column, threshold: float) -> Column:
-    """array<struct<at, piece>>: so many pieces of equal length; what is left at the end belongs to none."""
-    n = _count(size, threshold)
-    width = F.floor(size / n).cast("int")
-    cut = lambda i: F.struct((i * width + 1).alias("at"), F.substr(low, i * width + 1, width).alias("piece"))
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), n - 1), cut))
-
-
-def _parts(low: Column, size: Column, threshold: float) -> Column:
-    """array<struct<at, piece>>: every part of the title that may be a piece of one that is as long or longer."""
-    longer = F.sequence(size, F.floor(size / threshold + 1e-9).cast("int"))
-    widths = F.array_distinct(F.transform(longer, lambda x: F.floor(x / _count(x, threshold)).cast("int")))
-    of_width = lambda w: F.transform(F.sequence(F.lit(1), size - w + 1), lambda i: F.struct(i.alias("at"), F.substr(low, i, w).alias("piece")))
-    return F.when(size > 0, F.flatten(F.transform(F.filter(widths, lambda w: w <= size), of_width)))

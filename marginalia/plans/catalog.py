@@ -634,14 +634,15 @@ def _journals(c: Corpus) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT id, preferred_name, lower(substr(preferred_name, 1, 4)) || '|' AS k FROM {author}), s AS (SELECT a.id AS id1, b.id AS id2, 1 - levenshtein(lower(a.preferred_name), lower(b.preferred_name)) / greatest(length(a.preferred_name), length(b.preferred_name)) AS score FROM p a JOIN p b ON a.k = b.k AND a.id < b.id)
- SELECT id1, id2, round(score, 4) AS score FROM s WHERE score >= 0.94""")
+ SELECT id1, id2, round(score, 4) AS score FROM s WHERE score >= 0.85""")
 def similar_authors(c):
-    return S.similar_pairs(c.view("author").select("id", F.col("preferred_name").alias("name")), S.block_key_column("name"), 0.94)
+    return S.similar_pairs(c.view("author").select("id", F.col("preferred_name").alias("name")), S.block_key_column("name")).drop("exact")
 
 
-@query()
+@query("""WITH n AS (SELECT author AS id, count(DISTINCT document_id) AS n FROM {da} GROUP BY 1), p AS (SELECT a.id, preferred_name AS name, lower(substr(preferred_name, 1, 4)) AS k, n FROM {author} a JOIN n ON n.id = a.id),
+ s AS (SELECT a.id AS id1, b.id AS id2, a.n > b.n OR (a.n = b.n AND (a.name < b.name OR (a.name = b.name AND a.id < b.id))) AS first, 1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)) AS score FROM p a JOIN p b ON a.k = b.k AND a.id < b.id)
+ SELECT CASE WHEN first THEN id1 ELSE id2 END AS keep, CASE WHEN first THEN id2 ELSE id1 END AS discard, round(score * 100, 1) AS similarity FROM s WHERE score >= 0.85 ORDER BY 3 DESC, 1, 2 LIMIT 5000""")
 def similar_authors_report(c):
-    """Survey M04 at its threshold of 0.85; similar_authors has only the pairs from 0.94 on, as its SQL."""
     return S.similar_authors(c.view("author").select("id", F.col("preferred_name").alias("name")), c.document_authors)
 
 
@@ -662,7 +663,11 @@ def clean_texts(c):
 # ---- treatment and enrichment ----
 
 
-@query()
+@query("""WITH t AS (SELECT d.id, year, trim(coalesce(doi, '')) <> '' AS has, coalesce(cited_by, -1) AS cited, title FROM {doc} d JOIN {title} ON document_id = d.id WHERE year IS NOT NULL),
+ s AS (SELECT a.id AS id1, b.id AS id2, a.title < b.title OR (a.title = b.title AND a.id < b.id) AS ahead, (a.has AND NOT b.has) OR a.cited >= b.cited AS a_stays, (b.has AND NOT a.has) OR b.cited >= a.cited AS b_stays,
+  1 - levenshtein(lower(a.title), lower(b.title)) / greatest(length(a.title), length(b.title)) AS score FROM t a JOIN t b ON a.year = b.year AND a.id < b.id AND length(a.title) BETWEEN 0.84 * length(b.title) AND length(b.title) / 0.84),
+ f AS (SELECT *, CASE WHEN ahead THEN a_stays ELSE NOT b_stays END AS first FROM s WHERE score >= 0.85)
+ SELECT CASE WHEN first THEN id1 ELSE id2 END AS keep, CASE WHEN first THEN id2 ELSE id1 END AS discard, round(score * 100, 1) AS similarity FROM f ORDER BY 3 DESC, 1, 2 LIMIT 100""")
 def dup_documents(c):
     return S.duplicate_documents(c.documents.join(c.titles.withColumnRenamed("document_id", "id"), "id"))
 

@@ -90,3 +90,41 @@ def test_many_terms_in_one_pass(spark):
             for g in {g for g, _, t in rules if t == word}:
                 want.setdefault(f"l{g}", set()).add(i)
     assert {r["lens"]: r["doc_count"] for r in lens_matches(docs, lenses).collect()} == {k: len(v) for k, v in want.items()}
+
+
+# ---- edit distance ----
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.85])
+def test_pairs_by_segments_are_all_pairs(spark, threshold):
+    from marginalia.operators.similarity import edit_pairs
+
+    rnd, texts = random.Random(11), ["a" * 17, "a" * 17 + "bcd", "", "x", "xy", "\U0001f600é" * 6, "\U0001f600é" * 5 + "é"]
+    for _ in range(14):
+        base = "".join(rnd.choice("abc ") for _ in range(rnd.randrange(1, 30)))
+        for _ in range(4):
+            other = list(base)
+            for _ in range(rnd.randrange(5)):
+                at = rnd.randrange(len(other) + 1)
+                other[at : at + rnd.randrange(2)] = rnd.choice(["", "d", "ee"])
+            texts.append("".join(other))
+    made = [(block, head + t) for block, head in ((1, ""), (2, "one and the same start ")) for t in texts] + [(None, "aaa"), (1, None)]
+    got = edit_pairs(spark.createDataFrame(made, "block int, text string"), threshold)
+    want = {}
+    for block, head in ((1, ""), (2, "one and the same start ")):
+        own = sorted({head + t for t in texts}, key=lambda t: (-len(t), t))
+        for i, x in enumerate(own):
+            for y in own[i + 1 :]:
+                score = 1 - _distance(x, y) / max(len(x), 1)
+                if x and y and score >= threshold:
+                    want[block, x, y] = round(score, 9)
+    assert {(r["block"], r["text1"], r["text2"]): round(r["score"], 9) for r in got.collect()} == want and len(want) > 50
