@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources.store import stored
+
 
 def top_nodes(pairs: DataFrame, key: str, limit: int, min_docs: int = 1) -> DataFrame:
     """key, doc_count of the first nodes by documents; ties by id."""
@@ -149,6 +151,26 @@ def label_propagation(nodes: list, edges: list[tuple], rounds: int = 10, seed: i
     return {n: names[label[n]] for n in nodes}
 
 
+def label_rounds(edges: DataFrame, weight: str = "weight", rounds: int = 10) -> DataFrame:
+    """id, label: synchronous label propagation over edges(source, target, weight) of any number of nodes.
+
+    In a round every node sends its label over its edges; a node takes the label of the greatest sum of weights, its own if
+    that is among them, else the least. Sums are aggregates by node and label, so a node with very many neighbours is no task's
+    work; each round is a table. It ends when no label changes or after `rounds`. A node is first labelled by itself.
+    """
+    ends = lambda a, b: edges.select(F.col(a).alias("of"), F.col(b).alias("id"), F.col(weight).alias("w"))
+    links = stored(ends("source", "target").union(ends("target", "source")).where("of <> id AND w > 0"), "links")
+    now = stored(links.select("id").distinct().withColumn("label", F.col("id")), "labels")
+    for _ in range(rounds):
+        sums = links.join(now.toDF("of", "label"), "of").groupBy("id", "label").agg(F.sum("w").alias("w"))
+        best = sums.join(now.toDF("id", "own"), "id").groupBy("id", "own").agg(F.max(F.struct("w", (F.col("label") == F.col("own")).alias("stays"), (-F.col("label")).alias("least"))).alias("top"))
+        after = stored(best.select("id", (-F.col("top.least")).alias("label"), (F.col("own") != -F.col("top.least")).alias("moved")), "labels")
+        now = after.select("id", "label")
+        if after.where("moved").isEmpty():
+            break
+    return now
+
+
 def clustered(edges: DataFrame, weight: str = "strength", method: str = "louvain") -> DataFrame:
     """The edges of positive weight with the clusters a and b of their ends. At most top_nodes' 1000 nodes reach the one
     task that runs the method."""

@@ -142,17 +142,35 @@ def exact_groups(keywords: DataFrame, batch_size: int | None = 500) -> DataFrame
     return rows.groupBy("batch", "normalized", "type").agg(F.count("*").alias("n"), F.min("id").alias("canonical")).where("n > 1")
 
 
+def _common_run(a: str, b: str) -> tuple[int, int, int]:
+    """(length, place in a, place in b) of the longest run that both have; of several the first in a, then in b. Runs of a length
+    are looked up in a set; the length is found by halving, as what has a run of n letters has one of n - 1."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        n = (low + high + 1) // 2
+        runs = {b[j : j + n] for j in range(len(b) - n + 1)}
+        if any(a[i : i + n] in runs for i in range(len(a) - n + 1)):
+            low = n
+        else:
+            high = n - 1
+    if not low:
+        return 0, 0, 0
+    runs = {b[j : j + low] for j in range(len(b) - low + 1)}
+    i = next(i for i in range(len(a) - low + 1) if a[i : i + low] in runs)
+    return low, i, b.index(a[i : i + low])
+
+
 def similar_text(a: str, b: str) -> int:
     """Characters in common: the longest common run, then the same left and right of it."""
-    best, at, bt = 0, 0, 0
-    for i in range(len(a)):
-        for j in range(len(b)):
-            k = 0
-            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
-                k += 1
-            if k > best:
-                best, at, bt = k, i, j
-    return best and best + similar_text(a[:at], b[:bt]) + similar_text(a[at + best :], b[bt + best :])
+    total, todo = 0, [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if a and b:
+            n, i, j = _common_run(a, b)
+            total += n
+            if n:
+                todo += [(a[:i], b[:j]), (a[i + n :], b[j + n :])]
+    return total
 
 
 def pair_score(a: Column, b: Column, least: float = 0.0) -> Column:

@@ -11,6 +11,7 @@ from marginalia.operators import classify as C
 from marginalia.operators import comparison as P
 from marginalia.operators import importing as M
 from marginalia.operators import indicators as I
+from marginalia.operators import networks as N
 from marginalia.operators import upkeep as U
 from marginalia.operators.identity import effective_authors
 from marginalia.plans import catalog as Q
@@ -18,6 +19,7 @@ from marginalia.plans.catalog import query
 from marginalia.plans.corpus import Corpus
 from marginalia.sources.store import store_folder, stored
 from marginalia.sources.versions import VersionedTable
+from marginalia.streaming import ingest as G
 
 
 def _table(c: Corpus, rows: DataFrame, keys: list[str], buckets: int = 8) -> VersionedTable:
@@ -127,6 +129,54 @@ def remapped_authors(c):
     return U.merge_all(c.view("authority_mapping"), P.variation_merges(links, forms), "author", "global", 0)[0].where("entity_type = 'author' AND scope = 'global'")
 
 
+# ---- streams ----
+
+
+@query(Q.SQL["import_outcomes"])
+def streamed_import(c):
+    """The same import in four batches; each reads the state of its own hashes and titles alone."""
+    rows = stored(M.identities(c.spark.sql(Q.RECORDS, document=c.view("document"))), "identities")
+    old = rows.orderBy("id").limit(Q.OLD).withColumn("own", F.col("id") % 3 == 0)
+    rest = rows.join(old.select("id"), "id", "left_anti")
+    state = G.ImportState(c.spark, f"{store_folder(c.spark)}/import-{uuid.uuid4().hex}", old, 8)
+    first, last = rest.agg(F.min("id"), F.max("id")).first()
+    cuts = [first + (last + 1 - first) * x // 20 for x in (0, 1, 7, 8, 20)] if first is not None else []
+    for batch, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        state.step(rest.where(F.col("id").between(a, b - 1)), batch)
+    return state.outcomes(c.spark)
+
+
+@query("""SELECT event_type, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS start_s, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(c):
+    return G.event_counts(c.source("events")).select("event_type", F.unix_seconds("start").alias("start_s"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 minutes THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
+ SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, k""")
+def event_sessions(c):
+    return G.event_sessions(c.source("events")).select("user_id", F.unix_micros("start").alias("start_us"), "n", F.round("total", 4).alias("total"))
+
+
+# ---- communities of any size ----
+
+LABEL_ROUNDS = 3
+
+
+def _labels(k: int) -> str:
+    """SQL of one round of label_rounds: from l{k} to l{k + 1}."""
+    return f"""m{k} AS (SELECT x.id, l.label, sum(x.w) AS w, o.label AS own FROM x JOIN l{k} l ON l.id = x.peer JOIN l{k} o ON o.id = x.id GROUP BY 1, 2, 4),
+ l{k + 1} AS (SELECT id, arg_max(label, struct_pack(w := w, stays := label = own, least := -label)) AS label FROM m{k} GROUP BY 1)"""
+
+
+@query("""WITH e AS (SELECT a.author AS source, b.author AS target, count(*) AS w FROM {da} a JOIN {da} b ON a.document_id = b.document_id AND a.author < b.author GROUP BY 1, 2),
+ x AS (SELECT source AS peer, target AS id, w FROM e UNION ALL SELECT target, source, w FROM e), l0 AS (SELECT DISTINCT id, id AS label FROM x), """ + ", ".join(map(_labels, range(LABEL_ROUNDS))) + f" SELECT * FROM l{LABEL_ROUNDS}")
+def net_labels(c):
+    """Label propagation over all authors of the project."""
+    a, b = c.document_authors.toDF("document_id", "source"), c.document_authors.toDF("document_id", "target")
+    edges = a.join(b, "document_id").where("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"))
+    return N.label_rounds(edges, rounds=LABEL_ROUNDS)
+
+
 # ---- comparison of groups ----
 
 
