@@ -5,8 +5,7 @@ counted from the scan after the one in which both its subphrases (all words but
 `least` occurrences so far, for one whole cycle, so lengths mix in one scan. The scans end when a whole cycle has brought
 no new subphrase.
 
-A scan counts in Arrow batches: words get numbers per part of text, phrases are built of such numbers, and all lengths are
-counted by numpy. Which subphrases have come so far is broadcast as two bit tables of at most 16 MB each, whatever their
+A scan counts in Arrow batches, part by part of the text; places are found by numpy, phrases are counted by their bytes. Which subphrases have come so far is broadcast as two bit tables of at most 16 MB each, whatever their
 number. A phrase that passes them by chance is counted too and does no harm: of each phrase the counts of the last `shards`
 scans are held, which are of different shards, so their sum is never above the true count; it is the true count after a whole
 cycle, and every frequent phrase has one, as its subphrases are frequent. The greatest sum that is seen is its count.
@@ -23,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from .common import MOST_BITS, Scratch, slices, table, texts_of, written
 
 LEAST, WORDS, SHARDS, TOP, SHARE = 30, 4, 2, 2000, 80
 PART = 4_000_000  # bytes of text that are counted at once
-COUNTS = "lang string, words int, phrase string, n long"
+COUNTS = "key string, n long"  # key: a phrase, a tab, which no word has, and the language
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), 0x2545F4914F6CDD1D  # odd numbers
 LONE = b"\xff"  # stands where a piece ends: no byte of UTF-8
 # the signs that end a piece become LONE, A-Z small letters, a tab a space
@@ -58,16 +58,29 @@ def parts_of(data: bytes, size: int, more: int) -> Iterator[tuple[bytes, int]]:
         begin = end
 
 
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of STEP and of its inverse, kept in a worker as far as a part needs them."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (STEP, pow(STEP, -1, 1 << 64)):
+        row = np.full(n, base, np.uint64)
+        row[0] = 1
+        made.append(np.multiply.accumulate(row, out=row))
+    if n <= 2 * PART:
+        _powers[:] = made
+    return made
+
+
 def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """A hash of each word by its bytes, of running sums: the sieve's only, no result hangs on it."""
-    power = np.full(len(data) + 1, STEP, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
+    power, back = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    back = np.full(len(data) + 1, pow(STEP, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
+    np.multiply(data, power[: len(data)], out=sums[1:])
+    np.cumsum(sums, out=sums)
     out = (sums[ends] - sums[begins]) * back[begins] + np.uint64(seed)
     out ^= out >> np.uint64(31)
     out *= MIX
@@ -121,52 +134,51 @@ def marked(bits: np.ndarray, hash_: np.ndarray, words: int) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def counted(lang: str, data: bytes, longest: int, count_words: bool, known: np.ndarray | None, fresh: np.ndarray | None, size: int = PART) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(length, phrases, counts) of a spaced text: words if wanted, and phrases whose two subphrases are known and one of
-    them fresh, as far as the bit tables tell."""
+def counted(lang: str, data: bytes, lengths: set[int], count_words: bool, known: np.ndarray | None, fresh: np.ndarray | None, size: int = PART) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(phrases, counts) of a spaced text: words if wanted, and phrases of the lengths whose two subphrases are known and one
+    of them fresh, as far as the bit tables tell."""
+    longest = max(lengths, default=1)
     for part, own in parts_of(data, size, longest - 1):
         buffer = np.frombuffer(part, np.uint8)
         ends = np.flatnonzero(buffer == 32)
         begins = np.concatenate(([0], ends[:-1] + 1))
         n_own = int(np.searchsorted(ends, own))
-        offsets = pa.py_buffer(np.concatenate((begins, [len(part)])).astype(np.int32))
-        coded = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(part)]).dictionary_encode()
-        ids, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        lone = names.index(LONE + b" ") if LONE + b" " in names else -1
         if count_words:
-            n = np.bincount(ids[:n_own], minlength=len(names))
-            if lone >= 0:
-                n[lone] = 0
-            at = np.flatnonzero(n)
-            yield 1, pa.array([names[i][:-1] for i in at.tolist()], pa.binary()), n[at]
-        if known is None:
+            offsets = pa.py_buffer(np.concatenate((begins[:n_own], [own])).astype(np.int32))
+            yield from summed(pa.Array.from_buffers(pa.binary(), n_own, [None, offsets, pa.py_buffer(part)]))
+        if not lengths:
             continue
         word = word_hashes(buffer, begins, ends, seed_of(lang))
-        sub, whole = word, ids != lone  # the hashes of the phrases of the length before, by their place
+        sub, whole = word, buffer[begins] != LONE[0]  # the hashes of the phrases of the length before, by their place
+        words = whole
         for k in range(2, longest + 1):
-            room = len(ids) - k + 1
+            room = len(word) - k + 1
             if room <= 0:
                 break
-            whole = whole[:room] & (ids[k - 1 :] != lone)
-            at = np.flatnonzero(whole[:n_own])
-            at = at[marked(known, sub[at], k - 1)]
-            at = at[marked(known, sub[at + 1], k - 1)]
-            at = at[marked(fresh, sub[at], k - 1) | marked(fresh, sub[at + 1], k - 1)]
-            if len(at):
-                key, most = ids[at], len(names)  # numbers of the phrases so far: exact, not hashes
-                for j in range(1, k):
-                    if most > (1 << 62) // len(names):
-                        old, key = np.unique(key, return_inverse=True)
-                        most = len(old)
-                    key, most = key * len(names) + ids[at + j], most * len(names)
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                where = at[first]
-                yield k, pa.array([part[i:j] for i, j in zip(begins[where].tolist(), ends[where + k - 1].tolist(), strict=True)], pa.binary()), n
-            sub = longer(sub[:room], word[k - 1 :])
-
-
-def scan(shard: DataFrame, longest: int, count_words: bool, tables: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """(lang, words, phrase, n) of a shard, not yet summed."""
+            whole = whole[:room] & words[k - 1 :]
+            if k in lengths:
+                at = np.flatnonzero(whole[:n_own])
+                new = marked(fresh, sub[: n_own + 1], k - 1)
+                at = at[new[at] | new[np.minimum(at + 1, len(new) - 1)]]
+                at = at[marked(known, sub[at], k - 1)]
+                at = at[marked(known, sub[at + 1], k - 1)]
+                if len(at):
+                    yield from summed(pa.array([part[i:j] for i, j in zip(begins[at].tolist(), (ends[at + k - 1] + 1).tolist(), strict=True)], pa.binary()))
+            if k < longest:
+                sub = longer(sub[:room], word[k - 1 :])
+
+
+def summed(phrases: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Each phrase once, without the space at its end, and how often it is there; not LONE."""
+    coded = phrases.dictionary_encode()
+    n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+    names = pc.binary_slice(coded.dictionary, 0, -1)
+    keep = pc.not_equal(names, LONE)
+    yield names.filter(keep), n[keep.to_numpy(zero_copy_only=False)]
+
+
+def scan(shard: DataFrame, lengths: set[int], count_words: bool, tables: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """(key, n) of a shard, not yet summed."""
     shared = shard.sparkSession.sparkContext.broadcast(tables) if tables else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +188,26 @@ def scan(shard: DataFrame, longest: int, count_words: bool, tables: tuple[np.nda
             for lang, text in zip(texts_of(batch, "lang"), texts_of(batch), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                for words, phrases, n in counted(lang, spaced(texts), longest, count_words, known, fresh):
+                for phrases, n in counted(lang, spaced(texts), lengths, count_words, known, fresh):
                     for i in range(0, len(phrases), 50_000):
-                        some = phrases[i : i + 50_000].cast(pa.string())
-                        cells = [pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), words, np.int32)), some, pa.array(n[i : i + 50_000].astype(np.int64))]
-                        yield pa.record_batch(cells, names=["lang", "words", "phrase", "n"])
+                        key = pc.binary_join_element_wise(phrases[i : i + 50_000], lang.encode(), b"\t").cast(pa.string())
+                        yield pa.record_batch([key, pa.array(n[i : i + 50_000].astype(np.int64))], names=["key", "n"])
 
     return shard.mapInArrow(run, COUNTS)
 
 
+def phrase_of(key: Column) -> Column:
+    return F.substring_index(key, "\t", 1)
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """rows with lang, words and phrase in place of the key."""
+    phrase = phrase_of(F.col("key"))
+    lang = F.substr("key", F.length(phrase) + 2)
+    words = F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1
+    return rows.select(lang.alias("lang"), words.alias("words"), phrase.alias("phrase"), *(c for c in rows.columns if c != "key"))
+
+
 def first_words(phrase: Column, words: Column) -> Column:
     return F.call_function("substring_index", phrase, F.lit(" "), words)
 
@@ -199,29 +222,31 @@ def frequent_phrases(docs: DataFrame, keep: Scratch, text: str = "text", lang: s
     rows = keep(rows, "phrase-shards", "shard")
     # state: counts of the last scans, n0 of the latest; found: what has come to least, n: the greatest sum, reached: in which scan
     ages = [f"n{i}" for i in range(shards)]
-    keys = ["lang", "words", "phrase"]
+    names = ["lang", "words", "phrase"]
     state = found = totals = None
-    step, last, before, n_subs = 0, shards - 1, Scratch(docs.sparkSession), 0
-    sub = F.col("words") < longest
+    step, last, before = 0, shards - 1, Scratch(docs.sparkSession)
+    latest: dict[int, tuple[int, int]] = {}  # by words: how many have come, and in which scan the last one
     while step <= last:
         now, tables = Scratch(docs.sparkSession), None
-        if n_subs:
-            tables = bit_tables(found.where(sub).withColumn("fresh", F.col("reached") >= step - shards), n_subs)
-        new = scan(rows.where(F.col("shard") == step % shards).select("lang", "text"), longest, step < shards, tables)
-        new = new.select(*keys, F.col("n").alias("n0"), *(F.lit(0).cast("long").alias(x) for x in ages[1:]))
+        lengths = {k + 1 for k, (_, at) in latest.items() if at >= step - shards}
+        if lengths:
+            tables = bit_tables(found.where(F.col("words") < longest).withColumn("fresh", F.col("reached") >= step - shards), sum(n for n, _ in latest.values()))
+        new = scan(rows.where(F.col("shard") == step % shards).select("lang", "text"), lengths, step < shards, tables)
+        new = new.select("key", F.col("n").alias("n0"), *(F.lit(0).cast("long").alias(x) for x in ages[1:]))
         if state is not None and shards > 1:
-            older = state.where(" + ".join(ages[:-1]) + " > 0").select(*keys, F.lit(0).cast("long").alias("n0"), *(F.col(x).alias(y) for x, y in zip(ages, ages[1:], strict=False)))
+            older = state.where(" + ".join(ages[:-1]) + " > 0").select("key", F.lit(0).cast("long").alias("n0"), *(F.col(x).alias(y) for x, y in zip(ages, ages[1:], strict=False)))
             new = new.unionByName(older)
-        state = now(new.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in ages)), "phrase-counts")
+        state = now(new.groupBy("key").agg(*(F.sum(x).alias(x) for x in ages)), "phrase-counts")
         total = sum((F.col(x) for x in ages[1:]), F.col(ages[0]))
         if step == shards - 1:
-            totals = keep(state.where("words = 1").groupBy("lang").agg(F.sum(total).alias("n")), "phrase-totals")
-        come = state.select(*keys, total.alias("n")).where(F.col("n") >= least).withColumn("reached", F.lit(step))
+            words = state.where(~phrase_of(F.col("key")).contains(" ")).select("key", total.alias("n"))
+            totals = keep(told(words).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+        come = told(state.select("key", total.alias("n")).where(F.col("n") >= least)).withColumn("reached", F.lit(step))
         if found is not None:
-            come = come.unionByName(found).groupBy(*keys).agg(F.max("n").alias("n"), F.min("reached").alias("reached"))
+            come = come.unionByName(found).groupBy(*names).agg(F.max("n").alias("n"), F.min("reached").alias("reached"))
         found = now(come, "phrase-found")
-        n_subs, latest = found.where(sub).agg(F.count("*"), F.max("reached")).first()
-        last = max(shards - 1, -1 if latest is None else latest + shards)
+        latest = {r[0]: (r[1], r[2]) for r in found.where(F.col("words") < longest).groupBy("words").agg(F.count("*"), F.max("reached")).collect()}
+        last = max(shards - 1, *(at + shards for _, at in latest.values())) if latest else shards - 1
         with before:  # the tables of the scan before go
             before, step = now, step + 1
     keep.paths += before.paths
