@@ -34,9 +34,10 @@ def cleaned_keywords(keywords: DataFrame) -> DataFrame:
     return rows.select("id", "type", action.alias("action"), "reason", "new_display", "new_normalized", into.alias("merged_into"), F.nullif("review_reasons", F.lit("")).alias("review_reasons"))
 
 
-def diagnosis(keywords: DataFrame, links: DataFrame) -> DataFrame:
-    """One row of counters of keywords(id, original, display, normalized, type, keyword_concept_id,
-    thesaurus_concept_id) and links(document_id, keyword_id)."""
+def diagnosis(keywords: DataFrame, links: DataFrame, concepts: DataFrame, labels: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row of counters of keywords(id, original, display, normalized, type, status, keyword_concept_id,
+    thesaurus_concept_id), links(document_id, keyword_id), the thesaurus's concepts and labels(concept_id), and
+    matches(entity_type, status) that wait for a decision."""
     shown = F.coalesce("display", "original")
     rows = keywords.withColumn("shown", shown)
     rows = rows.withColumn("clean", clean_display_udf("shown")).withColumn("f", keyword_forms(F.col("shown")))
@@ -45,11 +46,16 @@ def diagnosis(keywords: DataFrame, links: DataFrame) -> DataFrame:
     one = rows.agg(
         F.count("*").alias("total"), count(F.coalesce(c("display"), F.lit("")) == "", "no_display"), count(c("normalized") == "", "no_normalized"), count(c("clean") != c("shown"), "dirty"), count(~c("f.valid"), "invalid"),
         count(c("f.needs_review"), "suspicious"), count(c("thesaurus_concept_id").isNull(), "no_concept"), count(c("thesaurus_concept_id").isNotNull(), "with_concept"),
-        count(c("keyword_concept_id").isNotNull() & c("thesaurus_concept_id").isNull(), "keyword_concept"), count(c("type") == "author_keyword", "author_keywords"), count(c("type") == "indexed_keyword", "indexed_keywords"),
+        count(c("keyword_concept_id").isNotNull() & c("thesaurus_concept_id").isNull(), "keyword_concept"), count(c("type") == "author_keyword", "author_keywords"), count(c("type") == "indexed_keyword", "indexed_keywords"), count(c("status") == 0, "inactive"),
     )
     twice = keywords.where("normalized <> ''").groupBy("normalized").agg(F.count("*").alias("n")).agg(count(c("n") > 1, "duplicates"))
     linked = links.agg(F.count("*").alias("links"), F.countDistinct("document_id").alias("documents"))
-    return one.crossJoin(twice).crossJoin(linked)  # one row each
+    known = concepts.agg(F.count("*").alias("concepts"))
+    named = labels.join(concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_semi").agg(F.count("*").alias("labels"))
+    waiting = matches.agg(count((c("status") == "pending") & (c("entity_type") == "keyword"), "pending"))
+    for row in (twice, linked, known, named, waiting):
+        one = one.crossJoin(row)  # one row each
+    return one
 
 
 # ---- thesaurus ----

@@ -712,11 +712,15 @@ def kw_clean(c):
  l AS (SELECT count(*) AS links, count(DISTINCT document_id) AS documents FROM {{document_keyword}})
  SELECT count(*) AS total, 0 AS no_display, 0 AS no_normalized, count(CASE WHEN original LIKE ' %' OR original = '[12]' THEN 1 END) AS dirty, count(CASE WHEN original = '[12]' THEN 1 END) AS invalid, count(CASE WHEN original LIKE '% 2' THEN 1 END) AS suspicious,
   count(CASE WHEN thesaurus_concept_id IS NULL THEN 1 END) AS no_concept, count(thesaurus_concept_id) AS with_concept, count(CASE WHEN thesaurus_concept_id IS NULL AND keyword_concept_id IS NOT NULL THEN 1 END) AS keyword_concept,
-  count(CASE WHEN type = 'author_keyword' THEN 1 END) AS author_keywords, count(CASE WHEN type = 'indexed_keyword' THEN 1 END) AS indexed_keywords, any_value(s.n) AS duplicates, any_value(links) AS links, any_value(documents) AS documents FROM v, s, l""")
+  count(CASE WHEN type = 'author_keyword' THEN 1 END) AS author_keywords, count(CASE WHEN type = 'indexed_keyword' THEN 1 END) AS indexed_keywords, any_value(s.n) AS duplicates, any_value(links) AS links, any_value(documents) AS documents,
+  count(CASE WHEN status = 0 THEN 1 END) AS inactive, (SELECT count(*) FROM {{concept}}) AS concepts, (SELECT count(*) FROM {{keyword}} k JOIN {{concept}} c ON c.id = k.thesaurus_concept_id) AS labels,
+  (SELECT count(*) FROM {{keyword}} WHERE id % 3 = 0 AND id % 4 < 3) AS pending FROM v, s, l""")
 def kw_diagnosis(c):
     """Of the raw forms, as no other form is kept for them."""
     own = _raw_keywords(c).withColumn("display", F.col("original")).join(c.view("keyword").select("id", "thesaurus_concept_id", "keyword_concept_id"), "id")
-    return T.diagnosis(own, c.view("document_keyword"))
+    k = c.view("keyword")
+    matches = k.select(F.when(F.col("id") % 4 < 3, "keyword").otherwise("author").alias("entity_type"), F.when(F.col("id") % 3 == 0, "pending").otherwise("accepted").alias("status"))
+    return T.diagnosis(own, c.view("document_keyword"), c.view("concept"), k.select(F.col("thesaurus_concept_id").alias("concept_id")), matches)
 
 
 @query()

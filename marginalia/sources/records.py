@@ -43,10 +43,14 @@ def listed(c: Column, sep: str) -> Column:
 # ---- affiliations ----
 
 
+#: Fixed value: a US state with a ZIP code and the country's name.
+US_PLACE = r"(?i)^[A-Z]{2}\s+\d{5}(?:-\d{4})?\s+(USA|US|U\.S\.A\.)$"
+
+
 def country_of(affiliation: Column) -> Column:
     """The last part between commas, unless it is shorter than three letters; a US state and ZIP code give USA."""
     last = bare(F.element_at(F.split(affiliation, ","), -1))
-    us = last.rlike(r"(?i)^[A-Z]{2}\s+\d{5}(?:-\d{4})?\s+(USA|US|U\.S\.A\.)$")
+    us = last.rlike(US_PLACE)
     return F.when(us, "USA").when(F.lower(last) == "peoples r china", "China").when(F.length(last) > 2, last)
 
 
