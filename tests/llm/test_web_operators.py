@@ -97,3 +97,11 @@ def test_pipeline_stages_on_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rules_with_capitals_or_without_a_host(spark):
+    d = spark.createDataFrame([(1, "http://A.Example.com/x/1"), (2, "http://b.org/x/1")], "page_id long, url string")
+    got = apply_rules(d, url_rules.rule_table(spark, [Rule("block", "EXAMPLE.com", "/x/")])).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [("example.com/x/", "block"), (None, "allow")]
+    with pytest.raises(ValueError, match="empty host"):
+        apply_rules(d, url_rules.rule_table(spark, [Rule("block", "", "/x/")]))
