@@ -204,8 +204,12 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
 
         for b in slices(batches, 1000, owner=tokens):
             for d, ids in zip(b.column("doc_id").to_pylist(), tokens.encode(texts_of(b)), strict=True):
-                rows.append((NULL_ID if d is None else d, ids + end))
-                n = len(rows[-1][1]) // width
+                ids = ids + end
+                n = len(ids) // width
+                if rows and n >= frame_ids:  # a very long text is a frame of its own
+                    frames.append(rows)
+                    rows, in_frame = [], 0
+                rows.append((NULL_ID if d is None else d, ids))
                 in_frame, in_shard = in_frame + n, in_shard + n
                 if in_frame >= frame_ids:
                     frames.append(rows)

@@ -186,6 +186,20 @@ def components(n, linked):
     return [find(i) for i in range(n)]
 
 
+def test_a_very_long_text_is_a_frame_of_its_own(spark):
+    rows = [(1, "a b c"), (2, "word " * 3000), (3, "d e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    (file,) = [r["file"] for r in token_shards.write_shards(d, BYTE, frame_ids=500).collect()]
+    sizes = []
+    reader, data = token_shards.zstandard.ZstdDecompressor(), bytes(file)
+    while data[:4] == b"\x28\xb5\x2f\xfd":  # frames of content; skippable ones follow
+        one = reader.decompressobj()
+        sizes.append(len(one.decompress(data)))
+        data = one.unused_data
+    assert len(sizes) == 3 and sizes[1] > 100 * max(sizes[0], sizes[2])
+
+
+
 @pytest.mark.parametrize("shard", [1024, 2])
 def test_simhash_groups_against_all_pairs(spark, docs, shard):
     rng = random.Random(4)
