@@ -52,3 +52,34 @@ def write_cities(report: DataFrame, path: str) -> None:
     """The cities report as one CSV in its order; a row for each city."""
     rows = report.orderBy(F.desc("doc_count"), "city_id").select("city", "state", "state_sigla", "country", "continent", "doc_count", "citations").toDF(*CITIES)
     safe_csv(rows.na.fill("").coalesce(1), path, ",")
+
+
+#: The columns of the files of groups, of their comparison, and of author names.
+GROUP_HEADER = ("nome", "tipo", "cor", "icone", "posicao", "termos", "campos_match", "ano_inicio", "ano_fim", "qualis", "natureza_instituicao", "continente", "paises", "autores", "usar_tesauro")
+COMPARISON_HEADER = ("ID Grupo", "Nome do Grupo", "Tipo", "Total Documentos", "% do Corpus", "Total Citações", "Média Citações")
+NAMES_HEADER = ("preferred_name", "variant_name", "source", "created_at")
+
+
+def group_rows(groups: DataFrame, rules: DataFrame) -> DataFrame:
+    """A row a group under GROUP_HEADER, as read_groups reads it; lists are joined by "; ", a group's terms in their order."""
+    terms = rules.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "term"))), lambda x: x["term"]), "; ").alias("terms"))
+    listed = lambda c: F.coalesce(F.array_join(c, "; "), F.lit(""))
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = groups.join(terms, "key", "left").orderBy("position", "name")
+    cells = [*map(plain, ("name", "type", "color", "icon", "position", "terms")), listed("match_fields"), *map(plain, ("start_year", "end_year")), listed("qualis"), listed("nature"), plain("continent"), listed("country_ids"), listed("authors")]
+    return rows.select(*cells, F.when(F.col("use_thesaurus"), "1").otherwise("0")).toDF(*GROUP_HEADER)
+
+
+def comparison_rows(stats: DataFrame, groups: DataFrame, documents: int) -> DataFrame:
+    """A row a group of stats(group_id, doc_count, citations) under COMPARISON_HEADER; groups(id, name, type)."""
+    share = F.format_string("%.1f", F.when(F.lit(documents) > 0, 100.0 * F.col("doc_count") / F.lit(documents)).otherwise(0.0))
+    mean = F.format_string("%.2f", F.col("citations") / F.col("doc_count"))
+    rows = stats.join(groups.select(F.col("id").alias("group_id"), "name", "type"), "group_id").orderBy("group_id")
+    return rows.select("group_id", "name", "type", "doc_count", share, "citations", mean).toDF(*COMPARISON_HEADER)
+
+
+def name_rows(authors: DataFrame, variants: DataFrame, links: DataFrame) -> DataFrame:
+    """The written forms that differ from the preferred name, of authors(id, name) with links(author_id);
+    variants(author_id, original_name, source, created_at)."""
+    rows = variants.join(authors.select(F.col("id").alias("author_id"), "name"), "author_id").join(links.select("author_id").distinct(), "author_id", "left_semi")
+    return rows.where("original_name <> name").select("name", "original_name", "source", "created_at").distinct().toDF(*NAMES_HEADER).orderBy(*NAMES_HEADER[:2])

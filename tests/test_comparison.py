@@ -128,3 +128,25 @@ def test_pairs_by_segments_are_all_pairs(spark, threshold):
                 if x and y and score >= threshold:
                     want[block, x, y] = round(score, 9)
     assert {(r["block"], r["text1"], r["text2"]): round(r["score"], 9) for r in got.collect()} == want and len(want) > 50
+
+
+# ---- files ----
+
+
+def test_groups_written_and_read_again(spark, tmp_path):
+    from marginalia.sources.sinks import comparison_rows, group_rows, name_rows, safe_csv
+    from marginalia.sources.vocabularies import read_groups
+
+    lines = ["h" * 3 + ";" * 14, 'Alpha;normal;#111111;i;2;red bolt, blue;title;1999;2001;A1; B2;public;south;1; 2;"Silva, A; Souza";1', "=Beta;noise;;;1;x;;;;;;;;;0"]
+    (tmp_path / "in.csv").write_text("\n".join(x if i != 1 else 'Alpha;normal;#111111;i;2;red bolt, blue;title;1999;2001;A1;public;south;1;"Silva, A; Souza";1' for i, x in enumerate(lines)))
+    first = read_groups(spark, str(tmp_path / "in.csv"))
+    safe_csv(group_rows(*first).coalesce(1), str(tmp_path / "out"))
+    again = read_groups(spark, str(tmp_path / "out"))
+    assert rows(again[0].drop("__at")) == rows(first[0].drop("__at")) and rows(again[1]) == rows(first[1]) and len(rows(first[1])) == 3
+    stats = spark.createDataFrame([(2, 3, 7), (1, 1, 0)], "group_id int, doc_count long, citations long")
+    groups = spark.createDataFrame([(1, "a", "normal"), (2, "b", "noise")], "id int, name string, type string")
+    assert [tuple(r) for r in comparison_rows(stats, groups, 8).collect()] == [(1, "a", "normal", 1, "12.5", 0, "0.00"), (2, "b", "noise", 3, "37.5", 7, "2.33")]
+    authors = spark.createDataFrame([(1, "Silva, A"), (2, "Souza")], "id long, name string")
+    variants = spark.createDataFrame([(1, "silva a", "x", "d"), (1, "Silva, A", "x", "d"), (1, "A Silva", "x", "d"), (2, "souza", "x", "d")], "author_id long, original_name string, source string, created_at string")
+    links = spark.createDataFrame([(1,), (1,)], "author_id long")
+    assert [r[1] for r in name_rows(authors, variants, links).collect()] == ["A Silva", "silva a"]
