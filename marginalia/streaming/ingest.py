@@ -92,6 +92,10 @@ class ImportState:
         return out
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
+        """id, outcome, kept of all batches."""
+        fs, path = file_system(spark, f"{self.folder}/outcomes")
+        if not fs.exists(path):  # no batch yet
+            return spark.createDataFrame([], "id long, outcome string, kept long")
         return spark.read.parquet(f"{self.folder}/outcomes").select("id", "outcome", "kept")
 
 
