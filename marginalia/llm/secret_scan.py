@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import Scratch, fresh, join_hot, numbered, sieve, slices, table, texts_of, written
 
@@ -175,30 +176,35 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(secret_findings(docs, **owner_columns(docs)))
 
 
+@F.arrow_udf(StringType())
+def masked(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts with each of their spans, which are in order, as [kind]. The pieces are joined once, so time grows with
+    the text and its spans. Of spans that overlap, a later one that begins inside an earlier one is left to that."""
+    out = []
+    for t, found in zip(text, spans, strict=True):
+        t, at, pieces = t.as_py() or "", 0, []
+        for s in found.as_py() or ():
+            if s["start"] >= at:
+                pieces += [t[at : s["start"]], f"[{KINDS[s['kind']]}]"]
+                at = s["end"]
+        out.append("".join([*pieces, t[at:]]))
+    return pa.array(out, pa.string())
+
+
 def mask_secrets(docs: DataFrame, **limits: int) -> DataFrame:
     """The columns of docs; owner-specific live-looking values in the text become [kind]. Widely copied examples stay.
 
-    Rows without findings pass by a sieve and are not shuffled. docs is read several times, so it should be a table.
+    Without a column source or lang all rows have one unnamed owner or language, as rows have where it is null. Rows without findings pass by a sieve and are not shuffled. docs is read several times, so it should be a table.
     """
     rows, row = numbered(docs, written)
     with Scratch(docs.sparkSession) as keep:
-        plain = rows.select(F.col(row).alias("doc_id"), "text", "source", "lang")
+        plain = rows.select(F.col(row).alias("doc_id"), "text", *(c if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")))
         found = secret_findings(plain, **owner_columns(plain), **limits, keep=keep)
         found = written(found.select("doc_id", F.filter("spans", lambda s: s["owner_specific"]).alias("spans")).where(F.size("spans") > 0), "mask-spans")
     marks = fresh("spans", rows.columns)
     found = found.toDF(row, marks)
-    names = F.array(*map(F.lit, KINDS))
-    # spans may touch one another: a later one that begins inside an earlier one is left to the earlier one
-    cut = F.aggregate(
-        F.col(marks),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.get(names, s["kind"]), F.lit("]")).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))),
-    )
     none = F.col(marks).isNull()
-    new = {"text": F.when(none, F.col("text")).otherwise(cut)}
+    new = {"text": F.when(none, F.col("text")).otherwise(masked(F.col("text"), F.col(marks)))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(none, F.col("n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
     maybe = sieve(found.select(row))(F.col(row))
