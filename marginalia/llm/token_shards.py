@@ -14,6 +14,7 @@ order of their texts' hashes; an empty table gives no shards and no rows; other
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
@@ -52,7 +53,8 @@ class ByteBpe:
     Its byte-level pattern never lets a piece run from a character that isn't white space into a following space, and
     a lone space belongs to what follows it. So a text may be cut before each lone space between two other characters
     and the ids of the chunks joined. Chunks are encoded once and kept; a text with any other shape of spaces, or with
-    the text of an added token, goes through the library whole.
+    the text of an added token, goes through the library whole. So do all texts where the tokenizer's file names another
+    normalizer, pattern or model, and the first text of each slice is held against the library in any case.
     """
 
     def __init__(self, path: str, cache_mb: float = CACHE_MB):
@@ -60,6 +62,13 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        about = json.loads(self.tokenizer.to_str())
+        split, model = about["pre_tokenizer"] or {}, about["model"]
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        self.by_chunks = (
+            about["normalizer"] is None and about["post_processor"] is None and split.get("type") == "ByteLevel" and split.get("use_regex")
+            and not split.get("add_prefix_space") and model["type"] == "BPE" and not any(model.get(x) for x in odd)
+        )
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if self.vocabulary <= 65_536 else 4
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -97,6 +106,8 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The library's ids of each text."""
+        if not self.by_chunks:
+            return self.whole(texts)
         out: list[bytes] = []
         follow, begin = self.after_space.__getitem__, self.at_start
         for t in texts:
@@ -109,6 +120,8 @@ class ByteBpe:
                 out.append(self.whole([t])[0] if t else b"")
         self.after_space.turn()
         self.at_start.turn()
+        if out and out[0] != self.whole(texts[:1])[0]:
+            raise ValueError("chunks and the tokenizers library disagree about a text")
         return out
 
 
