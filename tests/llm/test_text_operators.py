@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import json
 import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -477,6 +479,60 @@ def test_seeds_for_all_substitutions_the_threshold_allows():
             assert got and got.agree >= 0.8 * got.window
 
 
+def brute_overlap(text, items):
+    """The best window of any item on any place of the text: share, then least id."""
+    words, best = spaced_seeds.words_of(text or ""), None
+    for item, t in items:
+        w = spaced_seeds.words_of(t)
+        n = min(len(w), 15)
+        for i in range(len(w) - n + 1):
+            for at in range(1 - n, len(words)):
+                same = sum(0 <= at + k < len(words) and words[at + k] == w[i + k] for k in range(n))
+                new = (same * 360360 // n, -item)
+                best = new if best is None or new > best else best
+    return best
+
+
+def test_seeds_against_all_windows(spark):
+    """The same decision, share and item as laying all windows on all places, also of texts and items that repeat words."""
+    rng = random.Random(12)
+    items, rows = [], []
+    for i in range(25):
+        words = ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else [f"w{x}" for x in range(60)]
+        items.append((i // 2, " ".join(rng.choice(words) for _ in range(rng.choice([3, 7, 15, 16, 19, 30])))))
+    for i in range(60):
+        kind = i % 3
+        if kind == 0:
+            w = [rng.choice(["a", "b", "c"]) for _ in range(rng.choice([0, 4, 15, 40]))]
+        else:
+            w = rng.choice(items)[1].split()
+            for k in rng.sample(range(len(w)), min(len(w), rng.randrange(6))):
+                w[k] = rng.choice(["z", "w1", "a"])
+            w = ["w5", "q"] * kind + w + ["r"] * rng.randrange(3)
+        rows.append((i if i % 7 else None, " ".join(w), "en", "s", i))
+    want = {n: brute_overlap(t, items) for _, t, _, _, n in rows}
+    d, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    for words in (10**6, 100):
+        got = {r.n_chars: r.overlap for r in spaced_seeds.overlaps(d, b, block_words=words).collect()}
+        assert got.keys() == want.keys()
+        for n, best in want.items():
+            bad = best[0] >= 0.8 * 360360
+            assert bad == bool(got[n] and got[n].agree >= 0.8 * got[n].window), n
+            if bad:
+                assert (got[n].agree * 360360 // got[n].window, -got[n].item_id) == best
+
+
+def test_seeds_of_repeated_words_take_time_that_grows_with_the_text():
+    """An item of one word many times, and texts of ten times as many: pairs of places would be 160 million."""
+    n = 4000
+    seeds = spaced_seeds.Seeds([(1, "same " * n), (2, "one two " * n)])
+    assert len(seeds.windows) == 3
+    start = time.perf_counter()
+    got = seeds.search(["same " * 10 * n, "one two " * 10 * n, "one three " * 10 * n])
+    assert time.perf_counter() - start < 20
+    assert [x and (x.item, x.agree, x.window) for x in got] == [(1, 15, 15), (2, 15, 15), None]
+
+
 # ---- hard rows ----
 
 
@@ -600,3 +656,35 @@ def test_masking_against_a_plain_version(spark):
     for r in secret_scan.mask_secrets(spark.createDataFrame(rows, SCHEMA)).collect():
         got.setdefault(r.doc_id, []).append(r.text)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_masking_of_very_many_findings(spark):
+    """One text of 20,000 findings, in columns without source and lang."""
+    rng = random.Random(4)
+    values = ["".join(rng.choice("abcdefGHIJKL0123456789") for _ in range(20)) for _ in range(20_000)]
+    text = " ".join(f"token={v} é" for v in values)
+    d = spark.createDataFrame([(1, text), (2, None), (3, "plain")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.mask_secrets(d).collect()}
+    assert got == {1: " ".join(("[assign]" if secret_scan.looks_live(0, v) else f"token={v}") + " é" for v in values), 2: None, 3: "plain"}
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    spans = [{"start": 2, "end": 6, "kind": 0}, {"start": 4, "end": 9, "kind": 6}, {"start": 9, "end": 10, "kind": 3}]
+    d = spark.createDataFrame([("abcdefghijkl", spans), (None, None), ("é", [])], "text string, spans array<struct<start:int,end:int,kind:int>>")
+    assert [r[0] for r in d.select(secret_scan.masked("text", "spans")).collect()] == ["ab[assign]ghi[pem]kl", "", "é"]
+
+
+def test_other_tokenizers_go_through_the_library(tmp_path, docs):
+    """A file whose pattern or normalizer is another one is not cut by the byte-level rule; a wrong chunk is an error."""
+    d = json.loads(open(BYTE).read())
+    texts = ["Some words, HERE and there.", "a b  c", ""] + [r.text or "" for r in docs.limit(20).collect()]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": d["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": None}):
+        at = tmp_path / "other.json"
+        at.write_text(json.dumps(d | change))
+        b = token_shards.ByteBpe(str(at))
+        assert not b.by_chunks and b.encode(texts) == b.whole(texts)
+    b = token_shards.ByteBpe(BYTE)
+    assert b.by_chunks and b.encode(texts) == b.whole(texts) and b.encode([]) == []
+    b.at_start["Some"] = b""
+    with pytest.raises(ValueError):
+        b.encode(texts)
