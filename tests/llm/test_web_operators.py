@@ -106,3 +106,11 @@ def test_rules_with_capitals_or_without_a_host(spark):
     assert [(r.rule, r.verdict) for r in got] == [("example.com/x/", "block"), (None, "allow")]
     with pytest.raises(ValueError, match="empty host"):
         apply_rules(d, url_rules.rule_table(spark, [Rule("block", "", "/x/")]))
+
+
+def test_rules_of_the_contract(spark):
+    """Each rule's word, on a page where that rule is the longest."""
+    rows = ["http://a.com/en/1", "http://example.com/en/7", "http://a.net/de/1", "http://b.example.net/de/8", "http://example.net/de/9", "http://a.org/es/"]
+    d = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = apply_rules(d, url_rules.rule_table(spark, url_rules.RULES)).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]
