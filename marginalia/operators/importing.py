@@ -76,8 +76,8 @@ def import_outcomes(rows: DataFrame, known: DataFrame | None = None) -> DataFram
 
 def resolve(names: DataFrame, known: DataFrame, form: list[str]) -> DataFrame:
     """id, is_new and the row of each distinct form of names(document_id, position, form columns, …): the id of the known
-    identity of that form, else a new one above all known ids, in the order in which the forms first appear. The names'
-    other columns are those of the first appearance."""
+    identity of that form, else a new one above all known ids, in the order in which the forms first appear (by document and
+    position; those that appear at the same place by form). The names' other columns are those of the first appearance."""
     rest = [c for c in names.columns if c not in form]
     first = names.groupBy(*form).agg(F.min(F.struct("document_id", "position", *(c for c in rest if c not in ("document_id", "position")))).alias("first"))
     found = first.join(known.select("id", *form), form, "left")

@@ -949,10 +949,10 @@ def import_outcomes(c):
 
 
 @query("""WITH n AS (SELECT l_orderkey AS document_id, l_linenumber AS position, concat('Writer ', CAST(l_suppkey % 900 AS STRING)) AS name FROM {lineitem}), k AS (SELECT s_suppkey AS id, lower(concat('writer ', CAST(s_suppkey AS STRING))) AS normalized FROM {supplier} WHERE s_suppkey < 400),
- f AS (SELECT lower(name) AS normalized, min(name) AS name, min(document_id * 100 + position) AS pos FROM n GROUP BY 1), j AS (SELECT f.*, k.id FROM f LEFT JOIN k ON k.normalized = f.normalized), t AS (SELECT coalesce(max(id), 0) AS top FROM k)
- SELECT coalesce(id, top + row_number() OVER (PARTITION BY id IS NULL ORDER BY pos)) AS id, id IS NULL AS is_new, normalized, name FROM j, t""")
+ f AS (SELECT lower(name) AS normalized, min(struct_pack(document_id := document_id, position := position, name := name)) AS first FROM n GROUP BY 1), j AS (SELECT f.normalized, first.name AS name, first.document_id AS document_id, first.position AS position, k.id FROM f LEFT JOIN k ON k.normalized = f.normalized), t AS (SELECT coalesce(max(id), 0) AS top FROM k)
+ SELECT coalesce(id, top + row_number() OVER (PARTITION BY id IS NULL ORDER BY document_id, position, normalized)) AS id, id IS NULL AS is_new, normalized, name FROM j, t""")
 def resolve_import(c):
-    """Names of an import against known identities; unknown ones get new ids in order of appearance."""
+    """Names of an import against known identities; unknown ones get new ids in order of appearance, at one place by form."""
     rows = c.source("lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("Writer "), (F.col("l_suppkey") % 900).cast("string")).alias("name")).withColumn("normalized", F.lower("name"))
     known = c.source("supplier").where("s_suppkey < 400").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("writer "), F.col("s_suppkey").cast("string")).alias("normalized"))
     return M.resolve(rows, known, ["normalized"]).select("id", "is_new", "normalized", "name")

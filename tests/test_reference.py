@@ -537,3 +537,18 @@ def test_color_board_and_fuzzy_score(spark):
     rows = spark.createDataFrame([("word", "world", None, None), ("abc", "abcd", None, None), ("graph", "grape", "GRPH", None), ("çãéõ", "çãéo", None, None)], "a string, b string, da string, db string")
     got = [r[0] for r in rows.select(treatment.fuzzy_score(*(F.col(c) for c in ("a", "b", "da", "db")))).collect()]
     assert got == [pytest.approx(80), 0, 0, pytest.approx(75)]
+
+
+def test_resolve_import_of_names_at_the_same_place(spark, tmp_path):
+    """Several new names at one document and position: their ids follow the form, in the query as in its SQL."""
+    rows = [(k % 5, 1, 400 + (k * 37) % 500) for k in range(500)] + [(k % 5, 120, k) for k in range(50)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(500).toDF("s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    own = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        own.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = own.sql(catalog.oracle_sql()["resolve_import"]).fetchall()
+    got = sorted(map(tuple, catalog.queries()["resolve_import"](spark, str(tmp_path)).collect()))
+    assert got == sorted(want) and len(got) == 550
+    places = {f"writer {k}": (d, p) for d, p, k in reversed(rows)}
+    assert [x[2] for x in got if x[1]] == sorted((x[2] for x in got if x[1]), key=lambda n: (*places[n], n))
