@@ -37,10 +37,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded text."""
+    """doc_id, n_tokens and digests of the ids and of the decoded text. The stages before leave less memory for words than op6 has."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), cache_mb=30)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("without_secrets", without_secrets), ("encoded", encoded)]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, slices, table, texts_of
+from .common import WordCache, give_back, slices, table, texts_of
 
 MARK = "▁"
 CACHE_MB = 100.0
@@ -208,14 +208,16 @@ def _utf8(data: bytes | bytearray) -> str:
 @functools.lru_cache(maxsize=2)
 def processor(path: str, cache_mb: float = CACHE_MB) -> PieceBpe:
     """One per Python worker."""
-    return PieceBpe(path, cache_mb)
+    made = PieceBpe(path, cache_mb)
+    give_back()  # what its tables were made of
+    return made
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", cache_mb: float = CACHE_MB) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row. Words are kept in cache_mb per Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = processor(path)
+        bpe = processor(path, cache_mb)
         for b in slices(batches, 500, 2_000_000, owner=bpe):
             texts = texts_of(b)
             shown, ids = bpe.encode(texts)

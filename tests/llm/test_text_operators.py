@@ -688,3 +688,13 @@ def test_other_tokenizers_go_through_the_library(tmp_path, docs):
     b.at_start["Some"] = b""
     with pytest.raises(ValueError):
         b.encode(texts)
+
+
+def test_piece_bpe_with_few_words_kept(spark):
+    """A small cache gives the same rows."""
+    import public_tokenizers
+
+    from marginalia.llm.piece_bpe import encode_documents
+
+    d, at = spark.read.parquet(f"{SF}/documents.parquet").limit(50), public_tokenizers.path("piece_bpe_32k.model")
+    assert sorted(encode_documents(d, at, cache_mb=0.01).collect()) == sorted(encode_documents(d, at).collect())
