@@ -33,6 +33,8 @@ from .common import WordCache, give_back, slices, table, texts_of
 MARK = "▁"
 CACHE_MB = 100.0
 SHORT, NO_PIECE = 64, 1 << 30
+AT_ONCE = 40_000  # new words that are merged in one table
+PART = 50  # texts whose ids are held at once
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
@@ -155,21 +157,34 @@ class PieceBpe:
     def _word(self, word: str) -> bytes:
         return array("H", self.merge(MARK + word)).tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of the segments of one space mark and a word, as bytes, held against the library in one call."""
-        ids = self.merge_all([MARK + w for w in words])
-        full = [k for k, w in enumerate(words) if w]  # the library drops a space alone
-        if self.library.encode([words[k] for k in full]) != [ids[k] for k in full]:
-            raise AssertionError("segments differ from the sentencepiece library")
-        return [array("H", x).tobytes() for x in ids]
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of the segments of one space mark and a word, as bytes; so many at once are held against the library in one call."""
+        for k in range(0, len(words), AT_ONCE):
+            part = words[k : k + AT_ONCE]
+            ids = self.merge_all([MARK + w for w in part])
+            full = [k for k, w in enumerate(part) if w]  # the library drops a space alone
+            if self.library.encode([part[k] for k in full]) != [ids[k] for k in full]:
+                raise AssertionError("segments differ from the sentencepiece library")
+            yield from (array("H", x).tobytes() for x in ids)
 
     def encode(self, texts: list[str]) -> tuple[list[str], list[list[int]]]:
         """Of each text the ids as text, joined by commas, and the ids."""
-        words = [None if self.odd(t) else t.split(" ") for t in texts]
-        self.cache.fill(set().union(*(w for w in words if w)), self._words)
-        ids = [self._plain(t) if w is None else array("H", b"".join(map(self.cache.__getitem__, w))).tolist() for t, w in zip(texts, words, strict=True)]
+        parts = list(self.encode_parts(texts))
+        return [x for shown, _ in parts for x in shown], [x for _, ids in parts for x in ids]
+
+    def encode_parts(self, texts: list[str], size: int = PART) -> Iterator[tuple[list[str], list[list[int]]]]:
+        """What encode() returns, for parts of so many texts: new words are merged for all texts at once, but ids, which take
+        many times the memory of the texts, are made for one part after the other."""
+        new: set[str] = set()
+        for t in texts:
+            if not self.odd(t):
+                new.update(t.split(" "))
+        self.cache.fill(new, self._words)
+        del new
+        for k in range(0, len(texts), size):
+            ids = [self._plain(t) if self.odd(t) else array("H", b"".join(map(self.cache.__getitem__, t.split(" ")))).tolist() for t in texts[k : k + size]]
+            yield [",".join(map(self.numbers.__getitem__, x)) for x in ids], ids
         self.cache.turn()
-        return [",".join(map(self.numbers.__getitem__, x)) for x in ids], ids
 
     @staticmethod
     def odd(text: str) -> bool:
@@ -220,16 +235,19 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
         bpe = processor(path, cache_mb)
         for b in slices(batches, 500, 2_000_000, owner=bpe):
             texts = texts_of(b)
-            shown, ids = bpe.encode(texts)
-            for k, t in enumerate(texts):
-                if (k == 0 or bpe.odd(t) or not t.replace("\n", "").isprintable()) and bpe.library.encode(t) != ids[k]:
-                    raise AssertionError("a text differs from the sentencepiece library")
-            decoded = bpe.library.decode(ids)
-            if bpe.decode(ids[0]) != decoded[0]:
-                raise AssertionError("a decoded text differs from the sentencepiece library")
-            sizes = [len(x) for x in ids]
-            shas, decoded = ([hashlib.sha256(x.encode()).hexdigest() for x in y] for y in (shown, decoded))
-            yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            sizes, shas, decoded_shas = [], [], []
+            for shown, ids in bpe.encode_parts(texts):
+                first = len(sizes)
+                for k, t in enumerate(texts[first : first + len(ids)]):
+                    if (first + k == 0 or bpe.odd(t) or not t.replace("\n", "").isprintable()) and bpe.library.encode(t) != ids[k]:
+                        raise AssertionError("a text differs from the sentencepiece library")
+                decoded = bpe.library.decode(ids)
+                if first == 0 and bpe.decode(ids[0]) != decoded[0]:
+                    raise AssertionError("a decoded text differs from the sentencepiece library")
+                sizes += map(len, ids)
+                shas += (hashlib.sha256(x.encode()).hexdigest() for x in shown)
+                decoded_shas += (hashlib.sha256(x.encode()).hexdigest() for x in decoded)
+            yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

@@ -124,7 +124,7 @@ class Seeds:
             bits = min(max(20, math.ceil(math.log2(256 * len(hashes) + 1))), MOST_BITS)  # one in 256 other windows passes, more in large blocks
             known = np.zeros(1 << bits, bool)
             known[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.sets.append((places, hashes[order], window[order], before[order], known, np.uint64(64 - bits)))
+            self.sets.append((places, hashes[order], window[order], before[order], np.packbits(known, bitorder="little"), np.uint64(64 - bits)))
         packed = {w: np.int32(k).tobytes() for w, k in vocabulary.items()}
         # signs alone are no word and leave nothing
         self.cache = WordCache(lambda w: packed.get(x, UNKNOWN) if (x := w.strip(SIGNS)) else b"", CACHE_MB, value_bytes=40)
@@ -152,7 +152,8 @@ class Seeds:
         around = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
         for places, hashes, window, before, known, shift in self.sets:
             h = seed_hashes(ids, places)
-            where = np.flatnonzero(known[(h >> shift).astype(np.int64)])
+            at = h >> shift
+            where = np.flatnonzero(known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
             lo, hi = np.searchsorted(hashes, h[where], "left"), np.searchsorted(hashes, h[where], "right")
             where, lo, n = where[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             if not len(where):
@@ -226,7 +227,7 @@ def _searched(rows: DataFrame, text: str, seeds: Seeds) -> DataFrame:
     kind = to_arrow_type(schema[-1].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000, text=text, owner=shared.value.cache):
+        for b in slices(batches, 1000, 2_000_000, text, shared.value.cache):
             got = pa.array([x and dict(zip(("item_id", "agree", "window", "hits"), x, strict=True)) for x in shared.value.search(texts_of(b, text))], kind)
             shared.value.cache.turn()
             yield pa.record_batch([*b.columns[:-1], got], names=names)

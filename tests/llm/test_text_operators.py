@@ -698,3 +698,13 @@ def test_piece_bpe_with_few_words_kept(spark):
 
     d, at = spark.read.parquet(f"{SF}/documents.parquet").limit(50), public_tokenizers.path("piece_bpe_32k.model")
     assert sorted(encode_documents(d, at, cache_mb=0.01).collect()) == sorted(encode_documents(d, at).collect())
+
+
+def test_piece_bpe_holds_the_ids_of_few_texts_at_once():
+    """Parts of a slice give what the whole slice gives, also beyond the words that one table takes."""
+    p, texts = piece_bpe.PieceBpe(PIECE), [f"w{k} some words, {k * 7919} ümläut  twice" if k % 5 else f"plain x{k} y{k * k}" for k in range(120)] + [""]
+    parts = list(p.encode_parts(texts))
+    assert max(len(ids) for _, ids in parts) <= piece_bpe.PART < len(texts)
+    assert [x for _, ids in parts for x in ids] == p.library.encode(texts)
+    words = [f"v{k}" for k in range(piece_bpe.AT_ONCE + 5)]
+    assert [len(x) // 2 for x in p._words(words)] == list(map(len, p.library.encode(words)))
