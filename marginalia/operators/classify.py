@@ -92,7 +92,7 @@ def term_hits(docs: DataFrame, rules: DataFrame, text: str = "text", groups: Dat
     for c, column in searched.items():
         part = index.search(docs, column).withColumn("searched", F.lit(c).cast("string"))
         found = part if found is None else found.unionByName(part)
-    own = own.join(index.numbers(), "term")
+    own = F.broadcast(own.join(index.numbers(), "term"))  # rules are configuration; dealt by term, all hits would be the work of few tasks
     rows = found.alias("d").join(own.alias("g"), (F.col("d.number") == F.col("g.number")) & F.col("d.searched").eqNullSafe(F.col("g.fields")) & passes)
     return rows.groupBy("document_id", "group_id").agg(F.min_by("term", F.struct("rule", "term")).alias("term"))
 

@@ -190,3 +190,17 @@ def test_profiles_in_more_partitions_than_the_session_has(spark, monkeypatch):
         for kind, label in (("group", None), ("stratum", "none"), ("year", str(2000 + d % 2))):
             seen.setdefault((d % 3, kind, label), set()).add(d)
     assert got == {k: len(x) for k, x in seen.items()}
+
+
+def test_hits_are_not_dealt_by_term(spark):
+    """Few terms hold most hits, so a shuffle by term would leave all of them to few tasks, however many there are."""
+    docs = spark.range(50).selectExpr("id AS document_id", "1999 AS year", "concat('red ring ', id) AS text")
+    rules = spark.createDataFrame([(1, 0, "red"), (2, 0, "ring"), (2, 1, "7")], "group_id int, position int, term string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = term_hits(docs, rules)
+        assert "hashpartitioning(number" not in hits._jdf.queryExecution().executedPlan().toString()
+        assert {(r.group_id, r.term) for r in hits.collect()} == {(1, "red"), (2, "ring")} and hits.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
