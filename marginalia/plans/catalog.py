@@ -767,11 +767,11 @@ def matrix_label(c):
     return c.of_project("document_keyword").join(rows, "keyword_id").select("document_id", F.coalesce("preferred", "grouped", "plain_label").alias("label"), "plain_label")
 
 
-def _houses(c: Corpus) -> DataFrame:
+def _houses(c: Corpus, raw: DataFrame | None = None) -> DataFrame:
     s = c.source("supplier").select(F.col("s_suppkey").alias("k"))
     named = lambda kind, n, id_, *more: s.select(id_.alias("id"), F.concat(F.lit(f"{kind} "), (F.col("k") % n).cast("string")).alias("name"), *more).distinct()
     return E.institutions(
-        _raw(c, RAW_HOUSES), c.view("institution").select("id", F.col("official_name").alias("name")), named("Inst.", 60, F.col("k") % 60 % 50), named("Company", 5, F.col("k") % 5), named("Unit", 9, F.col("k") % 9, (F.col("k") % 9 + 100).alias("parent")),
+        _raw(c, RAW_HOUSES) if raw is None else raw, c.view("institution").select("id", F.col("official_name").alias("name")), named("Inst.", 60, F.col("k") % 60 % 50), named("Company", 5, F.col("k") % 5), named("Unit", 9, F.col("k") % 9, (F.col("k") % 9 + 100).alias("parent")),
     )
 
 
@@ -791,16 +791,20 @@ def unresolved(c):
     return E.unresolved(_houses(c), F.col("kind").isNotNull())
 
 
+def _places(c: Corpus, raw: DataFrame) -> DataFrame:
+    s = c.source("supplier").select(F.col("s_suppkey").alias("k"))
+    states = s.select((F.col("k") % 4).alias("id"), F.concat(F.lit("State "), (F.col("k") % 4).cast("string")).alias("name"), (F.col("k") % 4 + 10).alias("country_id")).distinct()
+    states = states.union(c.spark.createDataFrame([(50, "TX", 24), (51, "UK", 24)], "id long, name string, country_id long"))
+    cities = s.select((F.col("k") % 5 + 200).alias("id"), F.concat(F.lit("City "), (F.col("k") % 5).cast("string")).alias("name"), (F.col("k") % 5 + 60).alias("state_id"), (F.col("k") % 5).alias("country_id")).distinct()
+    return E.places(raw, c.source("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), states, cities, 24)
+
+
 @query(f"""WITH r AS ({RAW_PLACES}), n AS (SELECT lower(n_name) AS k, n_nationkey AS id FROM nation)
  SELECT document_id, raw, CAST(CASE WHEN raw IN ('ny 10027 USA', 'TX') THEN 24 WHEN raw LIKE 'City %' THEN CAST(right(raw, 1) AS INT) WHEN raw LIKE 'State %' THEN CAST(right(raw, 1) AS INT) + 10 ELSE n.id END AS BIGINT) AS country_id,
   CASE raw WHEN 'ny 10027 USA' THEN 'NY' WHEN 'TX' THEN 'TX' END AS state, CAST(CASE WHEN raw = 'TX' THEN 50 WHEN raw LIKE 'City %' THEN CAST(right(raw, 1) AS INT) + 60 WHEN raw LIKE 'State %' THEN CAST(right(raw, 1) AS INT) END AS BIGINT) AS state_id,
   CAST(CASE WHEN raw LIKE 'City %' THEN CAST(right(raw, 1) AS INT) + 200 END AS BIGINT) AS city_id FROM r LEFT JOIN n ON n.k = lower(raw)""")
 def enrich_country(c):
-    s = c.source("supplier").select(F.col("s_suppkey").alias("k"))
-    states = s.select((F.col("k") % 4).alias("id"), F.concat(F.lit("State "), (F.col("k") % 4).cast("string")).alias("name"), (F.col("k") % 4 + 10).alias("country_id")).distinct()
-    states = states.union(c.spark.createDataFrame([(50, "TX", 24), (51, "UK", 24)], "id long, name string, country_id long"))
-    cities = s.select((F.col("k") % 5 + 200).alias("id"), F.concat(F.lit("City "), (F.col("k") % 5).cast("string")).alias("name"), (F.col("k") % 5 + 60).alias("state_id"), (F.col("k") % 5).alias("country_id")).distinct()
-    return E.places(_raw(c, RAW_PLACES), c.source("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), states, cities, 24)
+    return _places(c, _raw(c, RAW_PLACES))
 
 
 @query()

@@ -234,17 +234,22 @@ def classify_rejected(c):
 
 
 def _resolution(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Equal links are counted before they are looked up: ids, titles and raw names are few, links are not."""
     known = lambda id_, n: id_ % n > 0
+    counted = lambda rows, *by: rows.groupBy(*by).agg(F.count("*").alias("n"))
     authors = c.author_links.select("document_id", (F.col("document_id") * 10 + F.col("position")).alias("link_id"), F.col("author_id").alias("raw"), F.col("author").alias("effective"))
-    authors = P.first_links(authors).join(c.view("author").select(F.col("id").alias("effective"), F.col("preferred_name").alias("label")), "effective").withColumn("resolved", known(F.col("effective"), 3))
+    authors = counted(P.first_links(authors), "effective").join(c.view("author").select(F.col("id").alias("effective"), F.col("preferred_name").alias("label")), "effective").withColumn("resolved", known(F.col("effective"), 3))
     effective = c.keyword_links.select("document_id", F.col("keyword_id").alias("raw"), F.col("keyword").alias("effective")).distinct()
     words = c.of_project("document_keyword_position").select("document_id", (F.col("document_id") * 10 + F.col("position")).alias("link_id"), F.col("keyword_id").alias("raw")).join(effective, ["document_id", "raw"])
     shown = P.first_links(words).withColumn("id", F.when(F.col("effective") > 0, F.col("effective")).otherwise(F.col("raw")))
-    words = shown.join(c.view("keyword").select("id", F.col("display").alias("label")), "id").withColumn("resolved", known(F.col("id"), 7))
-    journals = M.journal_strata(c.documents.where("source_title <> ''").select("source_title", "issn"), Q._journals(c))
-    journals = journals.select(F.concat("source_title", F.coalesce(F.concat(F.lit(" ["), "issn", F.lit("]")), F.lit(""))).alias("label"), F.col("stratum").isNotNull().alias("resolved"))
-    houses = Q._houses(c).select(F.col("raw").alias("label"), F.col("kind").isNotNull().alias("resolved"))
-    places = Q.enrich_country(c).select(F.col("raw").alias("label"), F.col("country_id").isNotNull().alias("resolved"))
+    words = counted(shown, "id").join(c.view("keyword").select("id", F.col("display").alias("label")), "id").withColumn("resolved", known(F.col("id"), 7))
+    journals = M.journal_strata(counted(c.documents.where("source_title <> ''"), "source_title", "issn"), Q._journals(c))
+    journals = journals.select(F.concat("source_title", F.coalesce(F.concat(F.lit(" ["), "issn", F.lit("]")), F.lit(""))).alias("label"), F.col("stratum").isNotNull().alias("resolved"), "n")
+    raw = {q: c.kept(f"raw_{name}", lambda q=q: counted(Q._raw(c, q), F.trim("raw").alias("raw"))) for name, q in (("houses", Q.RAW_HOUSES), ("places", Q.RAW_PLACES))}
+    each = lambda rows: rows.select(F.lit(None).cast("long").alias("document_id"), "raw")
+    named = lambda found, known, rows: found.join(rows, "raw").select(F.col("raw").alias("label"), known.isNotNull().alias("resolved"), "n")
+    houses = named(Q._houses(c, each(raw[Q.RAW_HOUSES])), F.col("kind"), raw[Q.RAW_HOUSES])
+    places = named(Q._places(c, each(raw[Q.RAW_PLACES])), F.col("country_id"), raw[Q.RAW_PLACES])
     return P.resolution_report({"author": authors, "keyword": words, "journal": journals, "institution": houses, "country": places})
 
 

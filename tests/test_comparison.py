@@ -192,6 +192,18 @@ def test_profiles_in_more_partitions_than_the_session_has(spark, monkeypatch):
     assert got == {k: len(x) for k, x in seen.items()}
 
 
+def test_report_of_links_that_are_counted(spark):
+    """A row may stand for n links; the report and the totals are those of the single links."""
+    from marginalia.operators.comparison import resolution_report
+
+    one = spark.createDataFrame([("a", True)] * 3 + [("b", False)] * 2 + [("c", False)], "label string, resolved boolean")
+    many = spark.createDataFrame([("a", True, 1), ("a", True, 2), ("b", False, 2), ("c", False, 1)], "label string, resolved boolean, n long")
+    for single, counted in zip(resolution_report({"x": one, "y": many}), resolution_report({"x": many, "y": one}), strict=True):
+        assert sorted(single.collect()) == sorted(counted.collect())
+    got = {tuple(r) for r in resolution_report({"x": many})[0].collect()}
+    assert got == {("x", True, "a", 3), ("x", False, "b", 2), ("x", False, "c", 1)}
+
+
 def test_hits_are_not_dealt_by_term(spark):
     """Few terms hold most hits, so a shuffle by term would leave all of them to few tasks, however many there are."""
     docs = spark.range(50).selectExpr("id AS document_id", "1999 AS year", "concat('red ring ', id) AS text")
