@@ -16,7 +16,6 @@ table gives no rows; other columns are ignored; a very long text is one row like
 from __future__ import annotations
 
 import codecs
-import functools
 import hashlib
 import heapq
 import re
@@ -58,7 +57,7 @@ class PieceBpe:
             raise ValueError("not a merge-type vocabulary with byte pieces whose pieces start at spaces")
         if lib.encode(" a  b ") != self._plain(" a  b "):
             raise ValueError("a model that changes its text before encoding isn't supported")
-        self.cache = WordCache(self._word, cache_mb, self, 60)
+        self.cache = WordCache(self._word, cache_mb, self, 60, lambda: MADE.pop((path, cache_mb), None))
         self.numbers = list(map(str, range(len(self.pieces))))
         self._pairs()
 
@@ -220,11 +219,15 @@ def _utf8(data: bytes | bytearray) -> str:
     return data.decode("utf-8", "each_byte")
 
 
-@functools.lru_cache(maxsize=2)
+MADE: dict[tuple[str, float], PieceBpe] = {}
+
+
 def processor(path: str, cache_mb: float = CACHE_MB) -> PieceBpe:
-    """One per Python worker."""
-    made = PieceBpe(path, cache_mb)
-    give_back()  # what its tables were made of
+    """One per Python worker, until another operator works there."""
+    made = MADE.get((path, cache_mb))
+    if made is None:
+        made = MADE[path, cache_mb] = PieceBpe(path, cache_mb)
+        give_back()  # what its tables were made of
     return made
 
 

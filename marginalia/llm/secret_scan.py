@@ -208,5 +208,6 @@ def mask_secrets(docs: DataFrame, **limits: int) -> DataFrame:
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(none, F.col("n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
     maybe = sieve(found.select(row))(F.col(row))
-    joined = rows.where(maybe).join(found, row, "left")
+    # by merge, so that no task has two Python workers at a time, the sieve's and the masks': they stay for later stages
+    joined = rows.where(maybe).join(found.hint("merge"), row, "left")
     return rows.where(~maybe).select(*docs.columns).union(joined.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns)))

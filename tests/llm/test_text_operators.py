@@ -7,6 +7,8 @@ import math
 import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -708,3 +710,34 @@ def test_piece_bpe_holds_the_ids_of_few_texts_at_once():
     assert [x for _, ids in parts for x in ids] == p.library.encode(texts)
     words = [f"v{k}" for k in range(piece_bpe.AT_ONCE + 5)]
     assert [len(x) // 2 for x in p._words(words)] == list(map(len, p.library.encode(words)))
+
+
+# ---- memory of Python workers ----
+
+
+def test_corpus_operators_of_the_pipeline_load_no_pandas():
+    code = "import sys, corpus_pipeline; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": os.environ["PYTHONPATH"]}).returncode == 0
+
+
+def test_masking_has_one_python_worker_a_task(spark):
+    d = spark.createDataFrame([(k, f"token = {hashlib.sha256(bytes([k])).hexdigest()}", "en", f"s{k}", 70) for k in range(20)], SCHEMA)
+    out = secret_scan.mask_secrets(d)
+    assert {r.text for r in out.collect()} == {"[assign]"}
+    # the sieve's and the masks' nodes are parted by a shuffle, though the spans are few
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_tables_of_the_tokenizer_go_when_another_operator_works():
+    path = tokenizers.path("piece_bpe_32k.model")
+    piece_bpe.MADE.clear()
+    first = piece_bpe.processor(path, 1.0)
+    first.encode(["one two"])
+    assert piece_bpe.processor(path, 1.0) is first
+    other = piece_bpe.processor(path, 2.0)
+    common.WordCache.release(other)
+    other.encode(["one two"])
+    assert [*piece_bpe.MADE.values()] == [other] and piece_bpe.processor(path, 2.0) is other
+    common.WordCache.release(None)
+    assert not piece_bpe.MADE
